@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .licenses import OP9_SQL, op9_licenses
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .mixing import OP4_SQL, op4_mixing
 from .near_dup import op10_near_dup
@@ -13,8 +14,8 @@ from .packing import op7_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixing, op7_packing, op8_line_dedup, op10_near_dup)}
+    return {f.__name__: f for f in (op4_mixing, op7_packing, op8_line_dedup, op9_licenses, op10_near_dup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op4_mixing": OP4_SQL, "op8_line_dedup": OP8_SQL, "op9_licenses": OP9_SQL}
