@@ -11,10 +11,11 @@ from .line_dedup import OP8_SQL, op8_line_dedup
 from .mixing import OP4_SQL, op4_mixing
 from .near_dup import op10_near_dup
 from .packing import op7_packing
+from .toxicity import op1_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixing, op7_packing, op8_line_dedup, op9_licenses, op10_near_dup)}
+    return {f.__name__: f for f in (op1_toxicity, op4_mixing, op7_packing, op8_line_dedup, op9_licenses, op10_near_dup)}
 
 
 def oracle_sql() -> dict[str, str]:
