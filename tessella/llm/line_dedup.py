@@ -11,7 +11,9 @@ A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` and lower-cased A-Z.
    suspects, only (document, line number, SHA-256 of the key) is shuffled: the
    number of documents of each key is confirmed exactly, and so is the first
    occurrence (smallest doc_id, then line number).
-3. What is dropped is gathered by document, as line numbers, and joined.
+3. Up to ``max_keys`` confirmed keys are broadcast and the texts are cut where
+   they lie. More are joined with the suspects, and what is dropped is gathered
+   by document, as line numbers, and joined with the texts.
 
 A fuller filter makes more suspects, never another result. A null or empty
 text is one empty line; an empty key is never dropped. Rows of the same doc_id
@@ -27,24 +29,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACES, UPPER, Scratch
 
 HASHES, BITS_PER_LINE, MAX_BITS, SLICE_BITS = 4, 16, 1 << 27, 1 << 20
-_LOWER = str.maketrans(UPPER, UPPER.lower())
+#: Keys that are broadcast at most; more are joined.
+MAX_KEYS = 1 << 14
+_LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
+_SPACES = SPACES.encode()
 
 
-def keys(text: str | None) -> list[str]:
-    return [line.strip(SPACES).translate(_LOWER) for line in (text or "").split("\n")]
+def keys(text: str | None) -> list[bytes]:
+    """The key of each line, in UTF-8."""
+    return [line.strip(_SPACES) for line in (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split(b"\n")]
 
 
-def key_hashes(ks: list[str]) -> np.ndarray:
+def key_hashes(ks: list[bytes]) -> np.ndarray:
     import xxhash
 
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(k.encode("utf-8", "surrogatepass")) for k in ks), np.uint64, len(ks))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, ks), np.uint64, len(ks))
 
 
 def positions(h: np.ndarray, bits: int) -> np.ndarray:
@@ -105,10 +111,9 @@ def twice_filter(docs: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def repeated_lines(docs: DataFrame, spark: SparkSession, scratch: Scratch, min_docs: int = 2, keep_first: bool = False, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, lines): numbers, from 0, of the lines to drop in each document
-    that has any: those whose key is in ``min_docs`` documents or more, except
-    the key's first occurrence if ``keep_first``."""
+def repeated_keys(docs: DataFrame, spark: SparkSession, scratch: Scratch, min_docs: int = 2, max_bits: int = MAX_BITS) -> tuple[DataFrame, DataFrame]:
+    """The suspects' lines (doc_id, line, key) and, of their keys, those in
+    ``min_docs`` documents or more (key, docs, first: doc_id and line)."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = d.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
     bits = filter_bits(int(lines), max_bits)
@@ -129,34 +134,66 @@ def repeated_lines(docs: DataFrame, spark: SparkSession, scratch: Scratch, min_d
                 ids = np.repeat(part["doc_id"].to_numpy(dtype="float64" if part["doc_id"].hasnans else "int64"), n)
                 w = [i for i in np.flatnonzero(hit) if flat[i]]
                 if w:
-                    yield pd.DataFrame({"doc_id": ids[w].astype("int64"), "line": line[w].astype("int32"), "key": [hashlib.sha256(flat[i].encode("utf-8", "surrogatepass")).digest() for i in w]})
+                    yield pd.DataFrame({"doc_id": ids[w].astype("int64"), "line": line[w].astype("int32"), "key": [hashlib.sha256(flat[i]).digest() for i in w]})
 
     at = scratch.save(d.where("doc_id is not null").mapInPandas(suspects, "doc_id long, line int, key binary"))
     # a document counts once a key, however often it has the line
     by_key = at.groupBy("key", "doc_id").agg(F.min("line").alias("line")).groupBy("key")
     counted = scratch.save(by_key.agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "line")).alias("first")).where(F.col("docs") >= min_docs))
-    gone = at.join(counted, "key")
-    if keep_first:
-        gone = gone.where(~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))))
-    return gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    return at, counted
 
 
-def drop_lines(docs: DataFrame, spark: SparkSession, **options) -> DataFrame:
-    """``docs`` with the repeated lines taken out of ``text``, and n_lines and
-    n_dropped added as ``__n_lines`` and ``__n_dropped``. A null text stays
-    null; a document all of whose lines go has the empty text."""
+def drop_lines(docs: DataFrame, spark: SparkSession, min_docs: int = 2, keep_first: bool = False, max_bits: int = MAX_BITS, max_keys: int = MAX_KEYS) -> DataFrame:
+    """``docs`` without the lines whose key is in ``min_docs`` documents or
+    more, but for the key's first occurrence if ``keep_first``. ``__n_lines``
+    and ``__n_dropped`` are added. A null text stays null; a document all of
+    whose lines go has the empty text.
+
+    Up to ``max_keys`` confirmed keys are broadcast and no text moves; more are
+    joined with the suspects' lines, and what to drop with the documents."""
     scratch = Scratch(spark)
-    gone = scratch.save(repeated_lines(docs, spark, scratch, **options).withColumnRenamed("doc_id", "__id"))
-    out = docs.join(gone, docs["doc_id"].cast("long") == gone["__id"], "left")
+    at, counted = repeated_keys(docs, spark, scratch, min_docs, max_bits)
+    named = docs.select(F.col("doc_id").cast("long").alias("__id"), *[F.col(f"`{c}`") for c in docs.columns])
+    if counted.count() <= max_keys:
+        return _drop_broadcast(named, spark, counted, keep_first, docs.columns)
+    gone = at.join(counted, "key")
+    if keep_first:
+        gone = gone.where(~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))))
+    gone = scratch.save(gone.groupBy(F.col("doc_id").alias("__gone")).agg(F.collect_set("line").alias("__lines")))
+    out = named.join(gone.hint("merge"), F.col("__id") == F.col("__gone"), "left")
     parts = F.split("text", "\n", -1)
-    kept = F.filter(parts, lambda line, i: ~F.array_contains(F.col("lines"), i))
+    kept = F.filter(parts, lambda line, i: ~F.array_contains(F.col("__lines"), i))
     return out.select(
-        *[F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        *[F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
         F.coalesce(F.size(parts), F.lit(1)).cast("long").alias("__n_lines"),
-        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("__n_dropped"),
+        F.when(F.col("__lines").isNull(), F.lit(0)).otherwise(F.size("__lines")).cast("long").alias("__n_dropped"),
     )
 
 
+def _drop_broadcast(named: DataFrame, spark: SparkSession, counted: DataFrame, keep_first: bool, columns: list[str]) -> DataFrame:
+    drop = spark.sparkContext.broadcast({bytes(r["key"]): (r["first"]["doc_id"], r["first"]["line"]) for r in counted.collect()})  # max_keys at most
+    schema = named.drop("__id").schema.add("__n_lines", "long").add("__n_dropped", "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = drop.value
+        for b in batches:
+            ids, texts = b.column("__id").to_pylist(), b.column("text").to_pylist()
+            kept, n, dropped = [], [], []
+            for doc_id, text in zip(ids, texts):
+                lines = (text or "").split("\n")
+                stay = lines
+                if doc_id is not None and first:
+                    at = [first.get(hashlib.sha256(k).digest()) if k else None for k in keys(text)]
+                    stay = [line for i, line in enumerate(lines) if at[i] is None or keep_first and at[i] == (doc_id, i)]
+                kept.append(text if len(stay) == len(lines) else "\n".join(stay))
+                n.append(len(lines))
+                dropped.append(len(lines) - len(stay))
+            arrays = [pa.array(kept, pa.string()) if c == "text" else b.column(b.schema.get_field_index(c)) for c in columns]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=[*columns, "__n_lines", "__n_dropped"])
+
+    return named.mapInArrow(run, schema)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = drop_lines(docs, spark, min_docs=10)

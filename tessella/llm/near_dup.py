@@ -4,18 +4,19 @@ One hash function orders all shingles; a document's sketch is its ``k``
 smallest shingle hashes. Documents with the same set are one class, and from
 there on one representative stands for all its copies.
 
-1. Inverted lists hold the retained values that two classes or more share. A
-   value found in more than ``hot`` classes is hot. Pairs out of the other
-   lists are counted: the count, plus the hot values both may share, bounds
-   the overlap of two sketches.
-2. Union-sketch estimation drops pairs whose overlap is less than similar
-   documents can have. Of complete sketches (sets of at most ``k``) that bound
-   is exact; of others it lies ``sigmas`` standard deviations below the mean.
-   A class with so many hot values that an overlap could hide in them is also
-   linked, by a star, to the classes of its rarest hot lists: a prefix filter,
-   which only makes families larger and loses none.
+1. Similar sets have a least overlap of their sketches: of complete sketches
+   (sets of at most ``k``) that bound is exact, of others it lies ``sigmas``
+   standard deviations below the mean. So each class is put on the inverted
+   lists of its rarest retained values only, as many as two sketches with that
+   overlap can't both avoid; values that no other class retains need no list.
+2. On each list, pairs are estimated by the union of their ``WIDE`` smallest
+   values, kept as an odd bitmap that travels with the postings: the bits that
+   differ bound the values that differ (sets of at most ``WIDE``: exactly).
+   Short lists are joined with themselves, and pairs that fail don't leave the
+   join. A list of more than ``hot`` classes is dealt to all pairs of its
+   blocks of LIST_BLOCK, and a task returns a spanning forest of its pairs.
 3. Exact Jaccard similarity on full sets verifies within each family, where
-   families are the connected pairs that are left. A family larger than
+   families are what the pairs left connect. A family larger than
    ``block`` is dealt to all pairs of its blocks; a task sees two blocks and
    returns a spanning forest of the links it found, never all pairs.
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, chunk_pairs, components, groups, shingles
 
-SKETCH, SIGMAS, HOT, BLOCK = 64, 4.7, 64, 256
+SKETCH, WIDE, SIGMAS, HOT, LIST_BLOCK, BLOCK = 32, 256, 4.7, 64, 1024, 256
 
 
 def least_overlap(k: int, similarity: float, sigmas: float) -> int:
@@ -44,8 +45,31 @@ def least_overlap(k: int, similarity: float, sigmas: float) -> int:
     return max(1, math.floor(k * similarity - sigmas * math.sqrt(k * similarity * (1 - similarity))))
 
 
+SIGNATURE = [f"s{i}" for i in range(8)]
+_BITS = 64 * len(SIGNATURE)
+
+
+def signature(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The bottom-``k`` sketch as an odd bitmap: the values' bits, by XOR.
+
+    Two bitmaps differ in no more bits than their sketches in values."""
+    bits = np.bincount((hashes[:k] & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).view("<i8")
+
+
+def most_bits(k: int, similarity: float, sigmas: float) -> int:
+    """Bits in which the odd bitmaps of bottom-``k`` sketches of sets of at
+    least this similarity differ, but for a chance of ``sigmas`` deviations."""
+    differ = 2 * k * (1 - similarity)
+    mean = _BITS / 2 * (1 - math.exp(-2 * differ / _BITS))
+    from_sample = math.exp(-2 * differ / _BITS) * 2 * math.sqrt(k * similarity * (1 - similarity))
+    own = math.sqrt(_BITS / 4 * (1 - math.exp(-4 * differ / _BITS)))
+    return math.ceil(mean + sigmas * math.hypot(from_sample, own))
+
+
 def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
-    """doc_id, n (set size), c1, c2 (128-bit class digest), sketch (k smallest)."""
+    """doc_id, n (set size), c1, c2 (128-bit class digest), sketch (k smallest)
+    and the bitmap of the WIDE smallest."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -53,7 +77,7 @@ def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
         for b in batches:
             for at in range(0, len(b), 2000):
                 part = b.iloc[at : at + 2000]
-                n, c1, c2, sk = [], [], [], []
+                n, c1, c2, sk, bits = [], [], [], [], []
                 for text in part["text"]:
                     s = shingles(text, size)
                     d = xxhash.xxh3_128_digest(s.tobytes())
@@ -61,9 +85,10 @@ def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
                     c1.append(int.from_bytes(d[:8], "little", signed=True))
                     c2.append(int.from_bytes(d[8:], "little", signed=True))
                     sk.append(s[:k].view(np.int64))
-                yield pd.DataFrame({"doc_id": part["doc_id"], "n": n, "c1": c1, "c2": c2, "sketch": sk})
+                    bits.append(signature(s, WIDE))
+                yield pd.DataFrame({"doc_id": part["doc_id"], "n": n, "c1": c1, "c2": c2, "sketch": sk, **{c: [x[i] for x in bits] for i, c in enumerate(SIGNATURE)}})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n long, c1 long, c2 long, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n long, c1 long, c2 long, sketch array<long>, " + ", ".join(f"{c} long" for c in SIGNATURE))
 
 
 def verify_family(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
@@ -103,6 +128,26 @@ def verify_family(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     return out
 
 
+def span_list(rows: pd.DataFrame, percent: int, wide: int) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs on one list whose sizes and bitmaps allow
+    the similarity (columns rep, n and the bitmap's)."""
+    ids, n = rows["rep"].to_numpy(), rows["n"].to_numpy()
+    bits = rows[SIGNATURE].to_numpy().astype(np.int64).view(np.uint64)
+    left, out = np.arange(len(ids)), []
+    while len(left):
+        todo, left = [left[0]], left[1:]
+        while todo and len(left):
+            i = todo.pop()
+            differ = np.bitwise_count(bits[left] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            small, large = np.minimum(n[left], n[i]), np.maximum(n[left], n[i])
+            allowed = np.where(large <= WIDE, np.floor((small + large) * ((100 - percent) / (100 + percent)) + 1e-9), wide)
+            hit = (100 * small >= percent * large) & (differ <= allowed)
+            out.extend((int(ids[i]), int(ids[j])) for j in left[hit])
+            todo.extend(left[hit].tolist())
+            left = left[~hit]
+    return out
+
+
 def near_duplicates(docs: DataFrame, spark: SparkSession, size: int = 5, percent: int = 80, k: int = SKETCH, hot: int = HOT, block: int = BLOCK, sigmas: float = SIGMAS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
 
@@ -112,30 +157,39 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, size: int = 5, percent
     scratch = Scratch(spark)
     t = percent / 100
     rows = scratch.save(sketches(docs, size, k))
-    classes = scratch.save(rows.where("n > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    classes = scratch.save(rows.where("n > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), *[F.first(c).alias(c) for c in SIGNATURE]))
 
     # sketches of at most t * k values have only complete partners
     o = least_overlap(k, t, sigmas)
     need = F.when(F.col("n") <= F.lit(math.floor(t * k)), F.ceil(F.col("n") * F.lit(percent) / 100)).otherwise(F.lit(o)).cast("int")
-    postings = classes.select("rep", need.alias("need"), F.explode("sketch").alias("v"))
+    postings = classes.select("rep", F.explode("sketch").alias("v"))
     lists = scratch.save(postings.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
-    shared = scratch.save(postings.join(lists, "v"))
-
-    hots = shared.where(F.col("df") > hot)
-    per_doc = scratch.save(hots.groupBy("rep").agg(F.count("*").cast("int").alias("h")))
-    short = shared.where(F.col("df") <= hot).select("v", "rep", "need")
-    other = short.select("v", F.col("rep").alias("rep2"), F.col("need").alias("need2"))
-    pairs = short.join(other, "v").where("rep < rep2").groupBy("rep", "rep2").agg(F.count("*").alias("x"), F.max(F.greatest("need", "need2")).alias("need"))
-    # a pair that lacks overlap even if all hot values of the poorer one are shared is dropped
-    pairs = pairs.join(per_doc, "rep", "left").join(per_doc.select(F.col("rep").alias("rep2"), F.col("h").alias("h2")), "rep2", "left")
-    pairs = pairs.where(F.col("x") >= F.col("need") - F.least(F.coalesce("h", F.lit(0)), F.coalesce("h2", F.lit(0)))).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-
-    # overlap hidden in hot values alone: prefix filter over the rarest of them
-    rich = per_doc.join(classes.select("rep", need.alias("need")), "rep").where("h >= need").select("rep", (F.col("h") - F.col("need") + 1).cast("int").alias("p"))
-    prefix = hots.select("rep", "v", "df").join(rich, "rep").groupBy("rep").agg(F.first("p").alias("p"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs")).select("rep", F.explode(F.slice("vs", F.lit(1), F.col("p"))["v"]).alias("v"))
+    # the rarest of the values shared with others: so many that two overlapping sketches have one of them in common
+    common = postings.join(lists, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    rest = F.size("vs") - F.col("need") + 1
+    signed = classes.select("rep", "n", need.alias("need"), *SIGNATURE)
+    prefix = common.join(signed, "rep").where(rest > 0).select("rep", "n", *SIGNATURE, F.explode(F.slice("vs", F.lit(1), rest)["v"]).alias("v"))
     prefix = scratch.save(prefix)
-    star = prefix.join(scratch.save(prefix.groupBy("v").agg(F.min("rep").alias("low"))), "v").where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
-    families = scratch.save(components(pairs.unionByName(star), scratch))
+    heads = prefix.groupBy("v").agg(F.count("*").alias("m"), F.min("rep").alias("low")).where("m > 1")
+    listed = scratch.save(prefix.join(scratch.save(heads), "v"))
+
+    short = listed.where(F.col("m") <= hot)
+    other = short.select("v", *[F.col(c).alias(c + "2") for c in ("rep", "n", *SIGNATURE)])
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + "2"))) for c in SIGNATURE), F.lit(0))
+    small, large = F.least("n", "n2"), F.greatest("n", "n2")
+    allowed = F.when(large <= WIDE, F.floor((small + large) * F.lit((100 - percent) / (100 + percent)) + 1e-9)).otherwise(F.lit(most_bits(WIDE, t, sigmas)))
+    likely = (small * 100 >= large * percent) & (differ <= allowed)
+    pairs = short.join(other, "v").where((F.col("rep") < F.col("rep2")) & likely).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
+    # a long list: blocks of bounded size, of each a spanning forest of the likely pairs
+    long = listed.where(F.col("m") > hot).withColumn("k", F.ceil(F.col("m") / F.lit(LIST_BLOCK)).cast("int")).withColumn("c", F.pmod(F.xxhash64("rep"), F.col("k").cast("long")).cast("int"))
+    wide = most_bits(WIDE, t, sigmas)
+
+    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups(batches, "__block"):
+            yield pd.DataFrame(span_list(g, percent, wide), columns=["a", "b"], dtype="int64")
+
+    forest = chunk_pairs(long, "v", "c", "k").select("__block", "rep", "n", *SIGNATURE).repartition("__block").sortWithinPartitions("__block").mapInPandas(spans, "a long, b long").distinct()
+    families = scratch.save(components(pairs.unionByName(forest), scratch))
 
     links = scratch.save(_links(docs, families, size, percent, block))
     linked = components(links, scratch)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op3_ann
 from .language import op2_language
 from .licenses import OP9_SQL, op9_licenses
 from .line_dedup import OP8_SQL, op8_line_dedup
@@ -13,10 +14,11 @@ from .mixing import OP4_SQL, op4_mixing
 from .near_dup import op10_near_dup
 from .packing import op7_packing
 from .toxicity import op1_toxicity
+from .url_filter import op6_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_language, op4_mixing, op7_packing, op8_line_dedup, op9_licenses, op10_near_dup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_language, op3_ann, op4_mixing, op6_url_filter, op7_packing, op8_line_dedup, op9_licenses, op10_near_dup)}
 
 
 def oracle_sql() -> dict[str, str]:
