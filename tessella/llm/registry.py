@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op3_ann
+from .embedding_dup import OP5_SQL, op5_embedding_dup
 from .language import op2_language
 from .licenses import OP9_SQL, op9_licenses
 from .line_dedup import OP8_SQL, op8_line_dedup
@@ -18,8 +19,8 @@ from .url_filter import op6_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_language, op3_ann, op4_mixing, op6_url_filter, op7_packing, op8_line_dedup, op9_licenses, op10_near_dup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_language, op3_ann, op4_mixing, op5_embedding_dup, op6_url_filter, op7_packing, op8_line_dedup, op9_licenses, op10_near_dup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op8_line_dedup": OP8_SQL, "op9_licenses": OP9_SQL}
+    return {"op4_mixing": OP4_SQL, "op5_embedding_dup": OP5_SQL, "op8_line_dedup": OP8_SQL, "op9_licenses": OP9_SQL}
