@@ -28,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -277,6 +278,20 @@ def score(docs: DataFrame, spark: SparkSession, lexicon: Lexicon) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, score double, n_matches int, matches array<string>")
 
 
+def drop(docs: DataFrame, spark: SparkSession, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score less than ``threshold``."""
+    shared = spark.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex: Lexicon = shared.value
+        find = lex.matcher()
+        for b in batches:
+            x = [lex.features(fold(t), find) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            yield b.filter(pa.array(lex.score(np.array(x).reshape(-1, 2)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training_labels(labels: DataFrame) -> DataFrame:
     """(doc_id, y) of the labelled rows that aren't held out."""
     return labels.where("toxic in (0, 1) and doc_id is not null").where(crc_mod("doc_id", 3) != 1).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
