@@ -70,6 +70,22 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
+#: Buckets of ids that are broadcast at most.
+ID_BUCKETS = 1 << 18
+
+
+def id_split(df: DataFrame, id_col: str, ids: DataFrame, other: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have an id of ``ids``, rows that surely have none).
+
+    Only the ids' hash buckets are broadcast, ID_BUCKETS at most, so that rows
+    without a partner need no shuffle; the first part still needs its join."""
+    bucket = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(ID_BUCKETS)).cast("int")
+    some = F.broadcast(ids.select(bucket(other).alias("__bucket")).distinct())
+    keyed = df.withColumn("__in", bucket(id_col))
+    on = F.col("__in") == F.col("__bucket")
+    return keyed.join(some, on, "left_semi").drop("__in"), keyed.join(some, on, "left_anti").drop("__in")
+
+
 # ---------------------------------------------------------------- hashing
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, UPPER, Scratch
+from .common import SPACES, UPPER, Scratch, id_split
 
 HASHES, BITS_PER_LINE, MAX_BITS, SLICE_BITS = 4, 16, 1 << 27, 1 << 20
 #: Keys that are broadcast at most; more are joined.
@@ -160,7 +160,9 @@ def drop_lines(docs: DataFrame, spark: SparkSession, min_docs: int = 2, keep_fir
     if keep_first:
         gone = gone.where(~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))))
     gone = scratch.save(gone.groupBy(F.col("doc_id").alias("__gone")).agg(F.collect_set("line").alias("__lines")))
-    out = named.join(gone.hint("merge"), F.col("__id") == F.col("__gone"), "left")
+    some, rest = id_split(named, "__id", gone, "__gone")
+    out = some.join(gone.hint("merge"), F.col("__id") == F.col("__gone"), "left")
+    out = out.unionByName(rest.withColumn("__gone", F.lit(None).cast("long")).withColumn("__lines", F.lit(None).cast("array<int>")))
     parts = F.split("text", "\n", -1)
     kept = F.filter(parts, lambda line, i: ~F.array_contains(F.col("__lines"), i))
     return out.select(

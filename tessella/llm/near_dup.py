@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunk_pairs, components, groups, shingles
+from .common import Scratch, chunk_pairs, components, groups, id_split, shingles
 
 SKETCH, WIDE, SIGMAS, HOT, LIST_BLOCK, BLOCK = 32, 256, 4.7, 64, 1024, 256
 
@@ -168,12 +168,10 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, size: int = 5, percent
     common = postings.join(lists, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     rest = F.size("vs") - F.col("need") + 1
     signed = classes.select("rep", "n", need.alias("need"), *SIGNATURE)
-    prefix = common.join(signed, "rep").where(rest > 0).select("rep", "n", *SIGNATURE, F.explode(F.slice("vs", F.lit(1), rest)["v"]).alias("v"))
-    prefix = scratch.save(prefix)
-    heads = prefix.groupBy("v").agg(F.count("*").alias("m"), F.min("rep").alias("low")).where("m > 1")
-    listed = scratch.save(prefix.join(scratch.save(heads), "v"))
+    prefix = common.join(signed, "rep").where(rest > 0).select("rep", "n", *SIGNATURE, F.explode(F.slice("vs", F.lit(1), rest)).alias("at"))
+    listed = scratch.save(prefix.select("rep", "n", *SIGNATURE, "at.v", "at.df"))
 
-    short = listed.where(F.col("m") <= hot)
+    short = listed.where(F.col("df") <= hot)
     other = short.select("v", *[F.col(c).alias(c + "2") for c in ("rep", "n", *SIGNATURE)])
     differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + "2"))) for c in SIGNATURE), F.lit(0))
     small, large = F.least("n", "n2"), F.greatest("n", "n2")
@@ -181,7 +179,9 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, size: int = 5, percent
     likely = (small * 100 >= large * percent) & (differ <= allowed)
     pairs = short.join(other, "v").where((F.col("rep") < F.col("rep2")) & likely).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
     # a long list: blocks of bounded size, of each a spanning forest of the likely pairs
-    long = listed.where(F.col("m") > hot).withColumn("k", F.ceil(F.col("m") / F.lit(LIST_BLOCK)).cast("int")).withColumn("c", F.pmod(F.xxhash64("rep"), F.col("k").cast("long")).cast("int"))
+    long = listed.where(F.col("df") > hot)
+    lengths = scratch.save(long.groupBy("v").agg(F.ceil(F.count("*") / F.lit(LIST_BLOCK)).cast("int").alias("k")))
+    long = long.join(lengths, "v").withColumn("c", F.pmod(F.xxhash64("rep"), F.col("k").cast("long")).cast("int"))
     wide = most_bits(WIDE, t, sigmas)
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,18 +191,20 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, size: int = 5, percent
     forest = chunk_pairs(long, "v", "c", "k").select("__block", "rep", "n", *SIGNATURE).repartition("__block").sortWithinPartitions("__block").mapInPandas(spans, "a long, b long").distinct()
     families = scratch.save(components(pairs.unionByName(forest), scratch))
 
-    links = scratch.save(_links(docs, families, size, percent, block))
+    links = scratch.save(_links(docs, families, scratch, size, percent, block))
     linked = components(links, scratch)
     comp = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
     comp = scratch.save(comp)
     return rows.join(comp, ["c1", "c2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _links(docs: DataFrame, families: DataFrame, size: int, percent: int, block: int) -> DataFrame:
+def _links(docs: DataFrame, families: DataFrame, scratch: Scratch, size: int, percent: int, block: int) -> DataFrame:
     """Edges (a, b) that span the exact links within each family."""
     chunks = families.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("k"))
     members = families.join(chunks, "component").select(F.col("node").alias("rep"), "component", "k", F.pmod(F.xxhash64("node"), F.col("k").cast("long")).cast("int").alias("c"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep")
+    members = scratch.save(members)
+    some, _ = id_split(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), "rep", members, "rep")
+    texts = some.join(members.hint("merge"), "rep")
 
     def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -229,8 +231,9 @@ def keep_representatives(docs: DataFrame, spark: SparkSession, **options) -> Dat
     """The rows of ``docs`` but for near copies: of each group the document
     with the smallest doc_id stays. Rows with a null doc_id stay."""
     found = near_duplicates(docs.select("doc_id", "text"), spark, **options)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = Scratch(spark).save(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    some, rest = id_split(docs, "doc_id", gone, "__gone")
+    return rest.unionByName(some.join(gone.hint("merge"), some["doc_id"].cast("long") == F.col("__gone"), "left_anti"))
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
