@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
+MODULES = ("aggregates",)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def _load() -> None:
+    for m in MODULES:
+        import_module(f"tessella.plans.queries_{m}")
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+def queries() -> dict:
+    from tessella.plans.catalog import QUERIES
+
+    _load()
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict:
+    from tessella.plans.catalog import ORACLES
+
+    _load()
+    return dict(ORACLES)
