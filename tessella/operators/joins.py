@@ -1,0 +1,157 @@
+"""Joins that answer questions about code: edges, impact, clones, scopes."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from . import graph
+from .windows import jaccard
+
+
+def callers_of(symbols: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """Symbols that call one of that name."""
+    called = symbols.where(F.col("name") == name).select(F.col("id").alias("to_symbol_id"))
+    ids = edges.join(F.broadcast(called), "to_symbol_id").select(F.col("from_symbol_id").alias("id")).distinct()
+    return symbols.join(ids, "id", "left_semi")
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame, extensions: tuple[str, ...]) -> DataFrame:
+    """(from_id, module, to_id): the first candidate path that exists (the
+    module itself, then with each extension), or the least path it ends."""
+    candidates = F.array(F.col("module"), *[F.concat("module", F.lit(x)) for x in extensions])
+    c = imports.select("from_id", "module", F.posexplode(candidates).alias("place", "path"))
+    exact = c.join(files.select(F.col("id").alias("to_id"), "path"), "path").groupBy("from_id", "module").agg(F.min_by("to_id", "place").alias("to_id"))
+    rest = imports.join(exact, ["from_id", "module"], "left_anti")
+    # the base name makes the suffix test an equi-join
+    base = lambda p: F.element_at(F.split(p, "/"), -1)
+    wanted = rest.select("from_id", "module", F.explode(candidates).alias("tail")).withColumn("base", base("tail"))
+    ends = wanted.join(files.select(F.col("id").alias("to_id"), "path", base("path").alias("base")), "base").where(F.col("path").endswith(F.concat(F.lit("/"), F.col("tail"))))
+    suffix = ends.groupBy("from_id", "module").agg(F.min_by("to_id", "path").alias("to_id"))
+    return exact.unionByName(suffix).where("from_id <> to_id")
+
+
+def call_edges(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(from_symbol_id, to_symbol_id): the caller is the scope's symbol in the
+    file, or the file's first function by line; the callee is the first symbol
+    of the last dotted segment, functions before others."""
+    scope = calls.select("id", "file_id", F.element_at(F.split("name", r"\."), -1).alias("callee"), "scope_name")
+    own = symbols.groupBy("file_id", F.col("name").alias("scope_name")).agg(F.min("id").alias("own"))
+    first = symbols.where(F.col("kind").isin("function", "method")).groupBy("file_id").agg(F.min_by("id", F.struct("line", "id")).alias("first"))
+    place = F.when(F.col("kind").isin("function", "method"), 0).otherwise(1)
+    callee = symbols.groupBy(F.col("name").alias("callee")).agg(F.min_by("id", F.struct(place, F.col("id"))).alias("to_symbol_id"))
+    d = scope.join(own, ["file_id", "scope_name"], "left").join(first, "file_id", "left").join(callee, "callee")
+    return d.select(F.coalesce("own", "first").alias("from_symbol_id"), "to_symbol_id").where("from_symbol_id is not null and from_symbol_id <> to_symbol_id").distinct()
+
+
+def references(calls: DataFrame, relations: DataFrame, symbols: DataFrame, name: str) -> DataFrame:
+    """Calls of the name, and the lines of symbols that relate to it, one for each (file, line)."""
+    direct = calls.where(F.col("name") == name).select("file_id", "line")
+    target = symbols.where(F.col("name") == name).select(F.col("id").alias("to_symbol_id"))
+    related = relations.join(F.broadcast(target), "to_symbol_id").join(symbols, F.col("from_symbol_id") == F.col("id")).select("file_id", "line")
+    return direct.unionByName(related).distinct()
+
+
+def change_impact(imports: DataFrame, files: DataFrame, targets: list[int]) -> DataFrame:
+    """direct importers of the targets, and the importers of those; the risk by their number."""
+    t = files.where(F.col("id").isin(*targets)).select("id")
+    direct = imports.where(F.col("to_file_id").isin(*targets) & ~F.col("from_file_id").isin(*targets)).select(F.col("from_file_id").alias("id")).distinct()
+    second = imports.join(direct.withColumnRenamed("id", "to_file_id"), "to_file_id").select(F.col("from_file_id").alias("id")).distinct().join(direct, "id", "left_anti").join(t, "id", "left_anti")
+    both = direct.withColumn("distance", F.lit(1)).unionByName(second.withColumn("distance", F.lit(2)))
+    n = F.count("*").over(Window.partitionBy())
+    return both.withColumn("risk", F.when(n > 20, "high").when(n > 5, "medium").otherwise("low"))
+
+
+def clones(symbols: DataFrame, key: Column) -> DataFrame:
+    """Pairs of a class's first symbol and each other of the same key: as many
+    rows as symbols, from which all pairs follow."""
+    d = symbols.select("id", key.alias("key"))
+    first = d.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return d.join(first, "key").where("id <> first").select("first", F.col("id").alias("other"), "n")
+
+
+def signature_tokens(signature: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(signature), r"[^a-z0-9]+"), lambda t: t != ""))
+
+
+def similar_signatures(symbols: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Pairs of symbols whose signatures' token sets reach the Jaccard
+    threshold. Candidates share a token of a prefix in global order of rarity,
+    as an exact similarity join needs; lengths bound the rest."""
+    d = symbols.select("id", signature_tokens(F.col("signature")).alias("tokens")).where(F.size("tokens") > 0)
+    df = d.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    ordered = d.select("id", F.explode("tokens").alias("t")).join(df, "t").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("tokens"))
+    n = F.size("tokens")
+    prefix = F.slice("tokens", F.lit(1), n - F.ceil(n * threshold).cast("int") + 1)
+    p = ordered.select("id", "tokens", F.explode(prefix).alias("t"))
+    q = p.select(F.col("id").alias("other"), F.col("tokens").alias("tokens2"), "t")
+    pairs = p.join(q, "t").where((F.col("id") < F.col("other")) & (F.least(n, F.size("tokens2")) >= threshold * F.greatest(n, F.size("tokens2")))).drop("t")
+    return pairs.withColumn("similarity", jaccard(F.col("tokens"), F.col("tokens2"))).where(F.col("similarity") >= threshold).select("id", "other", "similarity").distinct()
+
+
+def enclosing(spans: DataFrame, points: DataFrame) -> DataFrame:
+    """(point, span): the smallest span of the file that holds the point's line, not its own.
+
+    spans: (file, span, start, end); points: (file, point, line)."""
+    hit = points.join(spans, "file").where((F.col("start") <= F.col("line")) & (F.col("end") >= F.col("line")) & (F.col("span") != F.col("point")))
+    best = F.min_by("span", F.struct(F.col("end") - F.col("start"), F.col("span")))
+    return hit.groupBy("point").agg(best.alias("span"))
+
+
+def overlap_blocks(blocks: DataFrame, chunks: DataFrame, share: float = 0.8, least: int = 4) -> DataFrame:
+    """(block, chunk, containment): of the chunks that hold ``share`` of a
+    block's distinct trimmed lines (``least`` at least), the first.
+
+    blocks: (block, line); chunks: (chunk, line)."""
+    clean = lambda d, c: d.select(c, F.trim("line").alias("line")).where("line <> ''").distinct()
+    b, c = clean(blocks, "block"), clean(chunks, "chunk")
+    size = b.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    hits = b.join(c, "line").groupBy("block", "chunk").agg(F.count("*").alias("k")).join(size, "block")
+    ok = hits.withColumn("containment", F.col("k") / F.col("n")).where((F.col("containment") >= share) & (F.col("k") >= least) & (F.col("block") != F.col("chunk")))
+    return ok.groupBy("block").agg(F.min(F.struct("chunk", "containment")).alias("x")).select("block", "x.chunk", "x.containment")
+
+
+def forward_chain(forwards: DataFrame, start: DataFrame, hops: int = 16) -> DataFrame:
+    """(start, last, hops): where a chain of forwards leads, cycles cut, at most ``hops`` steps.
+
+    forwards: (old, new), one for each old; start: (start)."""
+    d = graph.save(start.select("start", F.col("start").alias("last"), F.array("start").alias("seen"), F.lit(0).alias("hops"), F.lit(True).alias("live")))
+    for _ in range(hops):
+        step = d.join(forwards, F.col("last") == F.col("old"), "left")
+        go = F.col("live") & F.col("new").isNotNull() & ~F.coalesce(F.array_contains("seen", F.col("new")), F.lit(False))
+        d = graph.save(step.select("start", F.when(go, F.col("new")).otherwise(F.col("last")).alias("last"), F.when(go, F.concat("seen", F.array("new"))).otherwise(F.col("seen")).alias("seen"), (F.col("hops") + go.cast("int")).alias("hops"), go.alias("live")))
+        if d.where("live").isEmpty():
+            break
+    return d.select("start", "last", "hops")
+
+
+def resolve_short(hashes: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(prefix, hash): the exact hash, or the only one that starts with the prefix."""
+    head = 6
+    h = hashes.select("hash", F.substring("hash", 1, head).alias("head")).distinct()
+    hit = prefixes.withColumn("head", F.substring("prefix", 1, head)).join(h, "head").where(F.col("hash").startswith(F.col("prefix")))
+    g = hit.groupBy("prefix").agg(F.count("*").alias("n"), F.min("hash").alias("one"), F.max(F.when(F.col("hash") == F.col("prefix"), F.col("hash"))).alias("exact"))
+    return prefixes.join(g, "prefix", "left").select("prefix", F.coalesce("exact", F.when(F.col("n") == 1, F.col("one"))).alias("hash"))
+
+
+def price(usage: DataFrame, prices: list[tuple[str, float]]) -> DataFrame:
+    """The first price whose prefix starts the model's name, case aside."""
+    low, out = F.lower("model"), F.lit(None).cast("double")
+    for prefix, value in reversed(prices):
+        out = F.when(low.startswith(prefix), value).otherwise(out)
+    return usage.withColumn("price", out)
+
+
+def pair_results(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """Each call with its result, a synthetic one where there is none."""
+    d = calls.join(results, "call_id", "left")
+    return d.withColumn("synthetic", F.col("result").isNull()).withColumn("result", F.coalesce("result", F.lit("[missing]")))
+
+
+def ready_tasks(tasks: DataFrame, needs: DataFrame) -> DataFrame:
+    """Pending tasks all of whose dependencies exist and are completed.
+
+    tasks: (task, status); needs: (task, needs)."""
+    done = tasks.where("status = 'completed'").select(F.col("task").alias("needs"))
+    blocked = needs.join(done, "needs", "left_anti").select("task").distinct()
+    return tasks.where("status = 'pending'").join(blocked, "task", "left_anti")

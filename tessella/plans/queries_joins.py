@@ -1,0 +1,209 @@
+"""Queries over joins and recursive traversals."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import graph as G
+from ..operators import joins as J
+from .catalog import query
+
+
+@query("j2_callers_of", "SELECT DISTINCT s.id, s.name FROM symbols s JOIN symbol_relations e ON e.from_symbol_id = s.id JOIN symbols t ON t.id = e.to_symbol_id WHERE t.name = (SELECT name FROM symbols WHERE id = 50)")
+def _(r):
+    name = r.symbols.where("id = 50").first()["name"]
+    return J.callers_of(r.symbols, r.symbol_relations, name).select("id", "name")
+
+
+_IMPORTS = "imports AS (SELECT id AS from_id, CASE id % 3 WHEN 0 THEN replace(path, '.md', '') WHEN 1 THEN concat('d', (id + 1)::VARCHAR) ELSE path END AS module FROM files)"
+
+
+@query("j4_import_resolution", f"""WITH {_IMPORTS}, c AS (SELECT from_id, module, 0 AS place, module AS path FROM imports UNION ALL SELECT from_id, module, 1, concat(module, '.md') FROM imports),
+exact AS (SELECT from_id, module, arg_min(f.id, place) AS to_id FROM c JOIN files f USING (path) GROUP BY 1, 2),
+suffix AS (SELECT from_id, module, arg_min(f.id, f.path) AS to_id FROM c JOIN files f ON ends_with(f.path, concat('/', c.path)) WHERE (from_id, module) NOT IN (SELECT from_id, module FROM exact) GROUP BY 1, 2)
+SELECT * FROM (SELECT * FROM exact UNION ALL SELECT * FROM suffix) WHERE from_id <> to_id""")
+def _(r):
+    k = F.col("id") % 3
+    module = F.when(k == 0, F.replace("path", F.lit(".md"), F.lit(""))).when(k == 1, F.concat(F.lit("d"), (F.col("id") + 1).cast("string"))).otherwise(F.col("path"))
+    return J.resolve_imports(r.files.select(F.col("id").alias("from_id"), module.alias("module")), r.files, (".md",))
+
+
+@query("j5_alias_sources", "SELECT id, regexp_replace(path, '^src1', '@one') AS aliased FROM files")
+def _(r):
+    return r.files.select("id", F.regexp_replace("path", "^src1", "@one").alias("aliased"))
+
+
+@query("j6_call_edges", """WITH own AS (SELECT file_id, name AS scope_name, min(id) AS own FROM symbols GROUP BY 1, 2), fst AS (SELECT file_id, arg_min(id, {'l': line, 'i': id}) AS first FROM symbols WHERE kind IN ('function', 'method') GROUP BY 1),
+callee AS (SELECT name, arg_min(id, {'p': CASE WHEN kind IN ('function', 'method') THEN 0 ELSE 1 END, 'i': id}) AS to_symbol_id FROM symbols GROUP BY 1)
+SELECT DISTINCT coalesce(own, first) AS from_symbol_id, to_symbol_id FROM calls c JOIN callee USING (name) LEFT JOIN own ON own.file_id = c.file_id AND own.scope_name = c.scope_name LEFT JOIN fst ON fst.file_id = c.file_id WHERE coalesce(own, first) IS NOT NULL AND coalesce(own, first) <> to_symbol_id""")
+def _(r):
+    return J.call_edges(r.calls, r.symbols)
+
+
+@query("j7_definitions", "SELECT DISTINCT name, kind, path, language FROM symbols s JOIN files f ON f.id = s.file_id WHERE kind <> 'variable'")
+def _(r):
+    return r.symbols.where("kind <> 'variable'").join(r.files.select(F.col("id").alias("file_id"), "path", "language"), "file_id").select("name", "kind", "path", "language").distinct()
+
+
+@query("j8_references", """WITH n AS (SELECT name FROM symbols WHERE id = 50) SELECT file_id, line FROM calls WHERE name = (SELECT name FROM n)
+UNION SELECT s.file_id, s.line FROM symbol_relations e JOIN symbols t ON t.id = e.to_symbol_id JOIN symbols s ON s.id = e.from_symbol_id WHERE t.name = (SELECT name FROM n)""")
+def _(r):
+    return J.references(r.calls, r.symbol_relations, r.symbols, r.symbols.where("id = 50").first()["name"])
+
+
+def _seeds(r, ids):
+    return r.spark.createDataFrame([(i,) for i in ids], "seed long")
+
+
+def _closure_sql(table: str, a: str, b: str, seeds: str, depth: int) -> str:
+    return f"""WITH RECURSIVE walk AS (SELECT s AS seed, s AS node, 0 AS depth FROM (VALUES {seeds}) v(s) UNION SELECT seed, e.{b}, depth + 1 FROM walk JOIN {table} e ON e.{a} = node WHERE depth < {depth})
+SELECT seed, node, min(depth) AS depth FROM walk WHERE depth > 0 GROUP BY seed, node"""
+
+
+@query("j9_import_closure", _closure_sql("file_relations", "from_file_id", "to_file_id", "(7), (42)", 6))
+def _(r):
+    return G.closure(r.file_relations, "from_file_id", "to_file_id", _seeds(r, (7, 42)), 6)
+
+
+@query("j10_dependents", _closure_sql("file_relations", "to_file_id", "from_file_id", "(7), (42)", 6))
+def _(r):
+    return G.closure(r.file_relations, "to_file_id", "from_file_id", _seeds(r, (7, 42)), 6)
+
+
+@query("j11_shortest_path", """WITH RECURSIVE walk AS (SELECT 7::BIGINT AS node, [7::BIGINT] AS chain UNION ALL SELECT e.to_file_id, list_append(chain, e.to_file_id) FROM walk JOIN file_relations e ON e.from_file_id = node WHERE NOT list_contains(chain, e.to_file_id) AND len(chain) < 8),
+hit AS (SELECT chain FROM walk WHERE node = 42 ORDER BY len(chain), chain LIMIT 1) SELECT (len(chain) - 1)::INT AS depth, array_to_string(chain, '>') AS path FROM hit""")
+def _(r):
+    return G.shortest_paths(r.file_relations, "from_file_id", "to_file_id", 7, 42, 7)
+
+
+@query("j12_one_hop", "SELECT 'out' AS way, to_file_id AS id FROM file_relations WHERE from_file_id = 7 UNION ALL SELECT 'in', from_file_id FROM file_relations WHERE to_file_id = 7")
+def _(r):
+    e = r.file_relations
+    return e.where("from_file_id = 7").select(F.lit("out").alias("way"), F.col("to_file_id").alias("id")).union(e.where("to_file_id = 7").select(F.lit("in"), "from_file_id"))
+
+
+@query("j13_transitive_callees", _closure_sql("symbol_relations", "from_symbol_id", "to_symbol_id", "(50)", 3))
+def _(r):
+    return G.closure(r.symbol_relations, "from_symbol_id", "to_symbol_id", _seeds(r, (50,)), 3)
+
+
+@query("j14_induced_subgraph", """WITH RECURSIVE down AS (SELECT 7::BIGINT AS node, 0 AS d UNION SELECT e.to_file_id, d + 1 FROM down JOIN file_relations e ON e.from_file_id = node WHERE d < 2),
+up AS (SELECT 7::BIGINT AS node, 0 AS d UNION SELECT e.from_file_id, d + 1 FROM up JOIN file_relations e ON e.to_file_id = node WHERE d < 2), nodes AS (SELECT node FROM down UNION SELECT node FROM up)
+SELECT from_file_id, to_file_id FROM file_relations WHERE from_file_id IN (SELECT node FROM nodes) AND to_file_id IN (SELECT node FROM nodes)""")
+def _(r):
+    return G.induced(r.file_relations, "from_file_id", "to_file_id", _seeds(r, (7,)), 2).select("from_file_id", "to_file_id")
+
+
+@query("j15_call_hierarchy", """WITH l1 AS (SELECT DISTINCT to_symbol_id AS node FROM symbol_relations WHERE from_symbol_id = 50 ORDER BY 1 LIMIT 20), l2 AS (SELECT node AS parent, to_symbol_id AS node FROM l1 JOIN symbol_relations ON from_symbol_id = node QUALIFY row_number() OVER (PARTITION BY l1.node ORDER BY to_symbol_id) <= 20)
+SELECT 1 AS level, 50::BIGINT AS parent, node FROM l1 UNION ALL SELECT 2, parent, node FROM l2""")
+def _(r):
+    e = r.symbol_relations.select(F.col("from_symbol_id").alias("parent"), F.col("to_symbol_id").alias("node")).distinct()
+    e = e.withColumn("k", F.row_number().over(Window.partitionBy("parent").orderBy("node"))).where("k <= 20").drop("k")
+    one = e.where("parent = 50")
+    two = e.join(one.select(F.col("node").alias("parent")), "parent")
+    return one.select(F.lit(1).alias("level"), "parent", "node").unionByName(two.select(F.lit(2).alias("level"), "parent", "node"))
+
+
+@query("j16_file_graph", "SELECT f.id, (SELECT count(*) FROM file_relations WHERE to_file_id = f.id) AS incoming, (SELECT count(*) FROM file_relations WHERE from_file_id = f.id) AS outgoing, (SELECT count(DISTINCT name) FROM symbols WHERE file_id = f.id) AS symbols FROM files f")
+def _(r):
+    per = lambda d, c, n, x="*": d.groupBy(F.col(c).alias("id")).agg((F.count("*") if x == "*" else F.countDistinct(x)).alias(n))
+    d = r.files.select("id").join(per(r.file_relations, "to_file_id", "incoming"), "id", "left").join(per(r.file_relations, "from_file_id", "outgoing"), "id", "left").join(per(r.symbols, "file_id", "symbols", "name"), "id", "left")
+    return d.fillna(0)
+
+
+@query("j17_related_files", """WITH RECURSIVE walk AS (SELECT 7::BIGINT AS node, 0 AS depth UNION SELECT x.b, depth + 1 FROM walk JOIN (SELECT from_file_id AS a, to_file_id AS b FROM file_relations UNION SELECT to_file_id, from_file_id FROM file_relations) x ON x.a = node WHERE depth < 2)
+SELECT node, min(depth) AS depth FROM walk WHERE node <> 7 GROUP BY node""")
+def _(r):
+    e = r.file_relations.select(F.col("from_file_id").alias("a"), F.col("to_file_id").alias("b"))
+    both = e.union(e.select("b", "a")).distinct()
+    return G.closure(both, "a", "b", _seeds(r, (7,)), 2).where("node <> 7").select("node", "depth")
+
+
+@query("j18_change_impact", """WITH direct AS (SELECT DISTINCT from_file_id AS id FROM file_relations WHERE to_file_id IN (7, 8) AND from_file_id NOT IN (7, 8)),
+second AS (SELECT DISTINCT from_file_id AS id FROM file_relations WHERE to_file_id IN (SELECT id FROM direct) AND from_file_id NOT IN (SELECT id FROM direct) AND from_file_id NOT IN (7, 8)),
+u AS (SELECT id, 1 AS distance FROM direct UNION ALL SELECT id, 2 FROM second) SELECT *, CASE WHEN count(*) OVER () > 20 THEN 'high' WHEN count(*) OVER () > 5 THEN 'medium' ELSE 'low' END AS risk FROM u""")
+def _(r):
+    return J.change_impact(r.file_relations, r.files, [7, 8])
+
+
+@query("j19_clones", "WITH k AS (SELECT id, lower(signature) AS k FROM symbols), f AS (SELECT k, min(id) AS first, count(*) AS n FROM k GROUP BY k HAVING count(*) > 1) SELECT first, id AS other, n FROM k JOIN f USING (k) WHERE id <> first")
+def _(r):
+    return J.clones(r.symbols, F.sha2(F.lower("signature"), 256))
+
+
+@query("j20_similar_signatures", """WITH t AS (SELECT id, list_distinct(list_filter(regexp_split_to_array(lower(signature), '[^a-z0-9]+'), lambda w: w <> '')) AS t FROM symbols WHERE id <= 400)
+SELECT a.id, b.id AS other, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) AS similarity FROM t a JOIN t b ON a.id < b.id WHERE similarity >= 0.8""")
+def _(r):
+    return J.similar_signatures(r.symbols.where("id <= 400"))
+
+
+@query("j21_feedback", "SELECT s.id, coalesce(count(c.id), 0) AS boost FROM symbols s LEFT JOIN calls c ON c.name = s.name GROUP BY s.id")
+def _(r):
+    n = r.calls.groupBy("name").agg(F.count("*").alias("boost"))
+    return r.symbols.select("id", "name").join(n, "name", "left").select("id", F.coalesce("boost", F.lit(0)).alias("boost"))
+
+
+@query("j22_snippets", "SELECT s.id, l.n, l.line FROM symbols s JOIN lines l ON l.doc_id = s.file_id AND l.n BETWEEN s.line - 1 AND s.line + 1")
+def _(r):
+    want = r.symbols.select("id", F.col("file_id").alias("doc_id"), F.explode(F.sequence(F.col("line") - 1, F.col("line") + 1)).alias("n"))
+    return want.join(r.lines, ["doc_id", "n"]).select("id", "n", "line")
+
+
+@query("j23_enclosing_scope", """WITH sp AS (SELECT file_id AS file, id AS span, line AS start, line + complexity AS "end" FROM symbols), p AS (SELECT file_id AS file, id AS point, line FROM symbols)
+SELECT point, arg_min(span, {'a': "end" - start, 'b': span}) AS span FROM p JOIN sp USING (file) WHERE start <= line AND "end" >= line AND span <> point GROUP BY point""")
+def _(r):
+    spans = r.symbols.select(F.col("file_id").alias("file"), F.col("id").alias("span"), F.col("line").alias("start"), (F.col("line") + F.col("complexity")).alias("end"))
+    return J.enclosing(spans, r.symbols.select(F.col("file_id").alias("file"), F.col("id").alias("point"), "line"))
+
+
+@query("j24_output_overlap", """WITH c AS (SELECT DISTINCT doc_id, trim(line) AS line FROM lines WHERE trim(line) <> ''), n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY 1 HAVING count(*) >= 4),
+h AS (SELECT a.doc_id AS block, b.doc_id AS chunk, count(*) AS k FROM c a JOIN c b USING (line) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2)
+SELECT block, min(chunk) AS chunk, arg_min(k / n, chunk) AS containment FROM h JOIN n ON n.doc_id = block WHERE k / n >= 0.8 AND k >= 4 GROUP BY block""")
+def _(r):
+    return J.overlap_blocks(r.lines.select(F.col("doc_id").alias("block"), "line"), r.lines.select(F.col("doc_id").alias("chunk"), "line"))
+
+
+@query("j25_forward_chain", """WITH RECURSIVE fw AS (SELECT doc_id AS old, doc_id + 3 AS new FROM documents WHERE doc_id % 5 <> 0), w AS (SELECT doc_id AS start, doc_id AS last, 0 AS hops FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT start, new, hops + 1 FROM w JOIN fw ON old = last WHERE hops < 16)
+SELECT start, max(last) AS last, max(hops) AS hops FROM w GROUP BY start""")
+def _(r):
+    forwards = r.documents.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("old"), (F.col("doc_id") + 3).alias("new"))
+    return J.forward_chain(forwards, r.documents.where("doc_id % 7 = 0").select(F.col("doc_id").alias("start")))
+
+
+@query("j26_short_hash", """WITH p AS (SELECT DISTINCT CASE WHEN id % 2 = 0 THEN substr(hash, 1, 6) ELSE hash END AS prefix FROM files) SELECT prefix, coalesce(max(hash) FILTER (hash = prefix), CASE WHEN count(DISTINCT hash) = 1 THEN min(hash) END) AS hash FROM p LEFT JOIN files ON starts_with(hash, prefix) GROUP BY prefix""")
+def _(r):
+    p = r.files.select(F.when(F.col("id") % 2 == 0, F.substring("hash", 1, 6)).otherwise(F.col("hash")).alias("prefix")).distinct()
+    return J.resolve_short(r.files, p)
+
+
+@query("j27_price_prefix", "SELECT model, count(*) AS n, max(CASE WHEN starts_with(lower(model), '1-') THEN 3.0 WHEN starts_with(lower(model), '2') THEN 2.0 WHEN starts_with(lower(model), '4') THEN 1.0 END)::DOUBLE AS price FROM usage GROUP BY model")
+def _(r):
+    return J.price(r.usage, [("1-", 3.0), ("2", 2.0), ("4", 1.0)]).groupBy("model").agg(F.count("*").alias("n"), F.max("price").alias("price"))
+
+
+@query("j29_paired_results", "SELECT o_orderkey AS call_id, coalesce(min(l_returnflag), '[missing]') AS result, count(l_orderkey) = 0 AS synthetic FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 2 GROUP BY 1")
+def _(r):
+    results = r.lineitem.where("l_linenumber = 2").groupBy(F.col("l_orderkey").alias("call_id")).agg(F.min("l_returnflag").alias("result"))
+    return J.pair_results(r.orders.select(F.col("o_orderkey").alias("call_id")), results)
+
+
+@query("j30_import_reconciliation", "SELECT from_file_id, to_file_id, CASE WHEN to_file_id % 10 = 0 THEN 'broken' ELSE 'valid' END AS status FROM file_relations")
+def _(r):
+    changed = r.files.where("id % 10 = 0 and id < 200").select(F.col("id").alias("to_file_id"), F.lit(True).alias("changed"))
+    return r.file_relations.join(changed, "to_file_id", "left").select("from_file_id", "to_file_id", F.when(F.col("changed"), "broken").otherwise("valid").alias("status"))
+
+
+@query("j31_ready_tasks", """WITH t AS (SELECT o_orderkey AS task, CASE WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'pending' END AS status FROM orders), n AS (SELECT o_orderkey AS task, o_orderkey + 1 AS needs FROM orders WHERE o_orderkey % 3 = 0)
+SELECT task, status FROM t WHERE status = 'pending' AND task NOT IN (SELECT task FROM n WHERE needs NOT IN (SELECT task FROM t WHERE status = 'completed'))""")
+def _(r):
+    t = r.orders.select(F.col("o_orderkey").alias("task"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("pending").alias("status"))
+    return J.ready_tasks(t, r.orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("task"), (F.col("o_orderkey") + 1).alias("needs")))
+
+
+@query("j32_intra_file_graph", "SELECT DISTINCT a.file_id, a.id AS from_id, b.id AS to_id FROM symbols a JOIN symbols b ON a.file_id = b.file_id AND a.id <> b.id JOIN calls c ON c.file_id = a.file_id AND c.name = b.name WHERE a.kind IN ('function', 'method') AND a.line <= c.line AND c.line <= a.line + a.complexity")
+def _(r):
+    f = r.symbols.where(F.col("kind").isin("function", "method")).select("file_id", F.col("id").alias("from_id"), F.col("line").alias("start"), (F.col("line") + F.col("complexity")).alias("end"))
+    t = r.symbols.select("file_id", F.col("id").alias("to_id"), "name")
+    hits = r.calls.select("file_id", "name", "line").join(t, ["file_id", "name"])
+    return hits.join(f, "file_id").where("from_id <> to_id and start <= line and line <= end").select("file_id", "from_id", "to_id").distinct()
