@@ -21,6 +21,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows: texts are long, and a worker
+    holds a batch in several forms at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
+
+
 class Scratch:
     """Tables written below the shared checkpoint folder and read back.
 
@@ -31,6 +39,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        small_batches(spark)
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
             root = _local_root()
@@ -86,6 +95,13 @@ def id_split(df: DataFrame, id_col: str, ids: DataFrame, other: str) -> tuple[Da
     return keyed.join(some, on, "left_semi").drop("__in"), keyed.join(some, on, "left_anti").drop("__in")
 
 
+def plain(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with columns c0, c1, ..., which clash with no working column,
+    and the new name of each old one; ``toDF(*df.columns)`` restores them."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names))
+
+
 # ---------------------------------------------------------------- hashing
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, small_batches
 
 PER_LANG, MAX_LANGS, BUCKETS, DIM, EPOCHS = 1000, 300, 1 << 15, 16, 6
 SEGMENT = 1 << 20
@@ -48,18 +48,12 @@ def has_letter(text: str | None) -> bool:
 def subwords(text: str) -> Iterator[np.ndarray]:
     """Buckets of the text's subwords, a segment at a time; a run that starts
     in one segment is read over its end, so none is lost or counted twice."""
-    if len(text) <= SEGMENT:
-        yield _subwords(f" {text.lower()} ", None)
-        return
-    for at in range(0, len(text), SEGMENT):
-        end = at + SEGMENT
-        lead = " " if at == 0 else text[at - 1]
-        part = text[at:end]
-        tail = text[end : end + 3] if end < len(text) else " "
-        yield _subwords((lead + part + tail).lower(), 1 + SEGMENT)
-
-
-def _subwords(text: str, starts: int | None) -> np.ndarray:
+    text = f" {text.lower()} "
+    for at in range(0, max(1, len(text) - 1), SEGMENT):
+        yield _subwords(text[at : at + SEGMENT + 3], SEGMENT)
+
+
+def _subwords(text: str, starts: int) -> np.ndarray:
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[c]
     c = np.where(letter, c, 0).astype(np.uint64)
@@ -76,8 +70,7 @@ def _subwords(text: str, starts: int | None) -> np.ndarray:
             if n == 2:
                 inner = letter[:-1] | letter[1:]
             b = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32)
-            keep = inner if starts is None else inner & (np.arange(len(h)) < starts)
-            out.append(b[keep])
+            out.append(b[:starts][inner[:starts]])
     return np.concatenate(out) if out else np.empty(0, np.int32)
 
 
@@ -117,6 +110,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def learn(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> Model:
     """A model from rows (doc_id, text, lang), held-out rows left out."""
+    small_batches(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null").select(F.xxhash64("doc_id").alias("h"), "text", "lang")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
     if not counts:
@@ -205,6 +199,7 @@ def _train(bags: pd.DataFrame) -> Model:
 
 def identify(docs: DataFrame, spark: SparkSession, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, rejected for rows (doc_id, text)."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # BUCKETS numbers for each of max_langs languages at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

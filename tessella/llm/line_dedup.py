@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, UPPER, Scratch, id_split
+from .common import SPACES, UPPER, Scratch, id_split, plain
 
 HASHES, BITS_PER_LINE, MAX_BITS, SLICE_BITS = 4, 16, 1 << 27, 1 << 20
 #: Keys that are broadcast at most; more are joined.
@@ -153,9 +153,10 @@ def drop_lines(docs: DataFrame, spark: SparkSession, min_docs: int = 2, keep_fir
     joined with the suspects' lines, and what to drop with the documents."""
     scratch = Scratch(spark)
     at, counted = repeated_keys(docs, spark, scratch, min_docs, max_bits)
-    named = docs.select(F.col("doc_id").cast("long").alias("__id"), *[F.col(f"`{c}`") for c in docs.columns])
+    d, c = plain(docs)
+    named = d.withColumn("__id", F.col(c["doc_id"]).cast("long"))
     if counted.count() <= max_keys:
-        return _drop_broadcast(named, spark, counted, keep_first, docs.columns)
+        return _drop_broadcast(named, c["text"], spark, counted, keep_first).toDF(*docs.columns, "__n_lines", "__n_dropped")
     gone = at.join(counted, "key")
     if keep_first:
         gone = gone.where(~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))))
@@ -163,25 +164,25 @@ def drop_lines(docs: DataFrame, spark: SparkSession, min_docs: int = 2, keep_fir
     some, rest = id_split(named, "__id", gone, "__gone")
     out = some.join(gone.hint("merge"), F.col("__id") == F.col("__gone"), "left")
     out = out.unionByName(rest.withColumn("__gone", F.lit(None).cast("long")).withColumn("__lines", F.lit(None).cast("array<int>")))
-    parts = F.split("text", "\n", -1)
+    parts = F.split(c["text"], "\n", -1)
     kept = F.filter(parts, lambda line, i: ~F.array_contains(F.col("__lines"), i))
-    return out.select(
-        *[F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce(F.size(parts), F.lit(1)).cast("long").alias("__n_lines"),
-        F.when(F.col("__lines").isNull(), F.lit(0)).otherwise(F.size("__lines")).cast("long").alias("__n_dropped"),
-    )
+    text = F.when(F.col("__lines").isNull(), F.col(c["text"])).otherwise(F.array_join(kept, "\n"))
+    n_dropped = F.when(F.col("__lines").isNull(), F.lit(0)).otherwise(F.size("__lines")).cast("long")
+    columns = [text if x == c["text"] else F.col(x) for x in d.columns]
+    return out.select(*columns, F.coalesce(F.size(parts), F.lit(1)).cast("long"), n_dropped).toDF(*docs.columns, "__n_lines", "__n_dropped")
 
 
-def _drop_broadcast(named: DataFrame, spark: SparkSession, counted: DataFrame, keep_first: bool, columns: list[str]) -> DataFrame:
+def _drop_broadcast(named: DataFrame, text_column: str, spark: SparkSession, counted: DataFrame, keep_first: bool) -> DataFrame:
     drop = spark.sparkContext.broadcast({bytes(r["key"]): (r["first"]["doc_id"], r["first"]["line"]) for r in counted.collect()})  # max_keys at most
-    schema = named.drop("__id").schema.add("__n_lines", "long").add("__n_dropped", "long")
+    columns = named.columns[:-1]
+    schema = named.select(*columns).schema.add("__n_lines", "long").add("__n_dropped", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = drop.value
         for b in batches:
-            ids, texts = b.column("__id").to_pylist(), b.column("text").to_pylist()
+            texts = b.column(columns.index(text_column)).to_pylist()
             kept, n, dropped = [], [], []
-            for doc_id, text in zip(ids, texts):
+            for doc_id, text in zip(b.column(len(columns)).to_pylist(), texts):
                 lines = (text or "").split("\n")
                 stay = lines
                 if doc_id is not None and first:
@@ -190,8 +191,8 @@ def _drop_broadcast(named: DataFrame, spark: SparkSession, counted: DataFrame, k
                 kept.append(text if len(stay) == len(lines) else "\n".join(stay))
                 n.append(len(lines))
                 dropped.append(len(lines) - len(stay))
-            arrays = [pa.array(kept, pa.string()) if c == "text" else b.column(b.schema.get_field_index(c)) for c in columns]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=[*columns, "__n_lines", "__n_dropped"])
+            arrays = [pa.array(kept, pa.string()) if x == text_column else b.column(i) for i, x in enumerate(columns)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=schema.names)
 
     return named.mapInArrow(run, schema)
 

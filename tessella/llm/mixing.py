@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, plain
 from .ranks import running_sum
 
 GOLDEN = 0.6180339887498949
@@ -154,6 +154,8 @@ def mixed_documents(docs: DataFrame, spark: SparkSession, **options) -> DataFram
     f = fragments(docs, spark, **options)
     copies = f.where("epoch is not null and start = 0").groupBy("doc_id", "row").agg(F.count("*").cast("int").alias("n")).unionByName(f.where("size = 0").select("doc_id", "row", F.lit(1).alias("n")))
     copies = copies.groupBy(F.col("doc_id").alias("__id")).agg(F.sum("n").cast("int").alias("__n"), F.count("*").cast("int").alias("__rows"))
-    out = docs.join(copies.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__id")))
+    d, c = plain(docs)
+    out = d.join(copies.hint("merge"), F.col(c["doc_id"]).eqNullSafe(F.col("__id")))
     # repeated rows of one doc_id share its repetitions
-    return out.withColumn("__i", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__n") / F.col("__rows")).cast("int")))).select(*[docs[f"`{c}`"] for c in docs.columns])
+    out = out.withColumn("__i", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__n") / F.col("__rows")).cast("int"))))
+    return out.select(*d.columns).toDF(*docs.columns)

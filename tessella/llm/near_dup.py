@@ -21,7 +21,8 @@ there on one representative stands for all its copies.
    returns a spanning forest of the links it found, never all pairs.
 
 Rows with null, empty or blank text have an empty set and link with nothing.
-Repeated rows of a doc_id get a row each. Extra columns are ignored.
+Repeated rows of a doc_id get a row each; if their texts differ, the document
+has the links of all of them. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunk_pairs, components, groups, id_split, shingles
+from .common import Scratch, chunk_pairs, components, groups, id_split, plain, shingles
 
 SKETCH, WIDE, SIGMAS, HOT, LIST_BLOCK, BLOCK = 32, 256, 4.7, 64, 1024, 256
 
@@ -195,7 +196,7 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, size: int = 5, percent
     linked = components(links, scratch)
     comp = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
     comp = scratch.save(comp)
-    return rows.join(comp, ["c1", "c2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(comp, ["c1", "c2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def _links(docs: DataFrame, families: DataFrame, scratch: Scratch, size: int, percent: int, block: int) -> DataFrame:
@@ -232,8 +233,10 @@ def keep_representatives(docs: DataFrame, spark: SparkSession, **options) -> Dat
     with the smallest doc_id stays. Rows with a null doc_id stay."""
     found = near_duplicates(docs.select("doc_id", "text"), spark, **options)
     gone = Scratch(spark).save(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    some, rest = id_split(docs, "doc_id", gone, "__gone")
-    return rest.unionByName(some.join(gone.hint("merge"), some["doc_id"].cast("long") == F.col("__gone"), "left_anti"))
+    d, c = plain(docs)
+    some, rest = id_split(d, c["doc_id"], gone, "__gone")
+    left = some.join(gone.hint("merge"), F.col(c["doc_id"]).cast("long") == F.col("__gone"), "left_anti")
+    return rest.unionByName(left).toDF(*docs.columns)
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, mix64, shingles
+from .common import crc_mod, mix64, shingles, small_batches
 
 MAX_POSITIVE, MAX_NEGATIVE, MAX_TERMS, MAX_EXCEPTIONS = 6000, 12000, 4000, 1000
 PREFIXES = (4, 5, 6, 7)
@@ -187,6 +187,7 @@ class _Neighbours:
 
 def learn(docs: DataFrame, labelled: DataFrame, spark: SparkSession, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, threshold: float = 0.7) -> Lexicon:
     """docs: (doc_id, text); labelled: (doc_id, y), held-out rows left out."""
+    small_batches(spark)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     # the bounds are the numbers of labelled rows a lexicon is fitted on, whatever the input
     ids = [r for y, n in ((1, max_positive), (0, max_negative)) for r in labelled.where(F.col("y") == y).select("doc_id", "y").distinct().orderBy(*order).limit(n).collect()]
@@ -259,6 +260,7 @@ def _fit(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[float, float,
 
 def score(docs: DataFrame, spark: SparkSession, lexicon: Lexicon) -> DataFrame:
     """doc_id, score, n_matches, matches (the entries found, most frequent first, five at most)."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(lexicon)  # at most MAX_TERMS entries and MAX_EXCEPTIONS phrases
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -280,6 +282,7 @@ def score(docs: DataFrame, spark: SparkSession, lexicon: Lexicon) -> DataFrame:
 
 def drop(docs: DataFrame, spark: SparkSession, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score less than ``threshold``."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
