@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, small_batches
 
-PER_LANG, MAX_LANGS, BUCKETS, DIM, EPOCHS = 1000, 300, 1 << 15, 16, 6
+PER_LANG, MAX_LANGS, BUCKETS, DIM, EPOCHS = 400, 300, 1 << 15, 16, 6
 SEGMENT = 1 << 20
 _LETTERS: list[np.ndarray] = []
 
@@ -138,10 +138,10 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS)
                     for part in parts:
                         u, n = np.unique(np.concatenate(list(subwords(part))), return_counts=True)
                         if len(u):
-                            out.append((h, lang, u, n.astype(np.float32)))
+                            out.append((h, lang, u.astype("<u2").tobytes(), n.astype("<f4").tobytes()))
                 yield pd.DataFrame(out, columns=["h", "lang", "bucket", "n"])
 
-    got = sample.select("h", "text", "lang").mapInPandas(bags, "h long, lang string, bucket array<int>, n array<float>").toPandas()
+    got = sample.select("h", "text", "lang").mapInPandas(bags, "h long, lang string, bucket binary, n binary").toPandas()  # a few thousand sparse bags
     return _train(got.sort_values(["h", "lang"], kind="stable").reset_index(drop=True))
 
 
@@ -155,8 +155,8 @@ def _train(bags: pd.DataFrame) -> Model:
     e = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     w = np.zeros((DIM, len(langs)), np.float32)
     bias = np.zeros(len(langs), np.float32)
-    bucket = [np.asarray(b, np.int32) for b in bags["bucket"]]
-    share = [x / x.sum() for x in (np.asarray(n, np.float32) for n in bags["n"])]
+    bucket = [np.frombuffer(b, "<u2").astype(np.int32) for b in bags["bucket"]]
+    share = [x / x.sum() for x in (np.frombuffer(n, "<f4") for n in bags["n"])]
     fit = np.flatnonzero(~tune if (~tune).any() else np.ones(len(y), bool))
     weight = 1 / np.maximum(1, np.bincount(y[fit], minlength=len(langs)))
     weight = weight / (weight @ np.bincount(y[fit], minlength=len(langs))) * len(fit)
