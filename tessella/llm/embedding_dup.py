@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, chunk_pairs, components, groups
 from .vectors import matrix, valid_vectors
 
-CODES, HITS, LEAST, BUCKET, BLOCK, MAX_CODE = 3, 16, 10, 24, 512, 512
+CODES, HITS, LEAST, BUCKET, BLOCK, MAX_CODE = 8, 3, 3, 48, 512, 512
 
 
 class Filters:
@@ -48,7 +48,7 @@ class Filters:
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
         """Each row's filter numbers, sorted."""
         each = [c.decode(unit) for c in self.codes]
-        return [np.concatenate([ids * CODES + i for i, ids in enumerate(row)]) for row in zip(*each)]
+        return [np.sort(np.concatenate([ids * CODES + i for i, ids in enumerate(row)])) for row in zip(*each)]
 
 
 class ProductCode:
@@ -107,7 +107,7 @@ def verify(g: pd.DataFrame, kind: np.dtype, dim: int, cosine: float) -> tuple[np
     """Links of one block of one filter: per row, the linked vectors counted
     here, and a spanning forest of row pairs.
 
-    Columns: f, rep, weight, vec, fs (filters), c (chunk), k (chunks)."""
+    Columns: f, rep, weight, vec, fs (smaller filters), c (chunk), k (chunks)."""
     x = matrix(g["vec"], kind, dim)
     norm = np.sqrt((x * x).sum(1))
     link = (x @ x.T) / (norm[:, None] * norm[None, :]) >= cosine
@@ -124,9 +124,7 @@ def verify(g: pd.DataFrame, kind: np.dtype, dim: int, cosine: float) -> tuple[np
             todo.extend(left[hit].tolist())
             left = left[~hit]
     # a pair counts at the smallest filter it shares
-    fs = [np.asarray(a, np.int64) for a in g["fs"]]
-    f = int(g["f"].iloc[0])
-    lower = [a[a < f] for a in fs]
+    lower = [np.asarray(a, np.int64) for a in g["fs"]]
     flat = np.concatenate(lower)
     if len(flat):
         names, at = np.unique(flat, return_inverse=True)
@@ -163,7 +161,8 @@ def near_duplicates(vectors: DataFrame, spark: SparkSession, cosine: float = 0.9
     decoded = scratch.save(classes.select("rep", "weight", "vec").mapInPandas(decode, "rep long, weight long, vec binary, fs array<long>"))
     ids = decoded.select("rep", F.explode("fs").alias("f"))
     sizes = scratch.save(ids.groupBy("f").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("k"), F.count("*").alias("m")).where("m > 1").drop("m"))
-    rows = decoded.select("rep", "weight", "vec", "fs", F.explode("fs").alias("f")).join(sizes, "f").withColumn("c", F.pmod(F.xxhash64("rep"), F.col("k").cast("long")).cast("int"))
+    # a row takes along only the smaller ones of its filters: they decide whether a pair counts here
+    rows = decoded.select("rep", "weight", "vec", "fs", F.posexplode("fs").alias("at", "f")).withColumn("fs", F.slice("fs", F.lit(1), F.col("at"))).drop("at").join(sizes, "f").withColumn("c", F.pmod(F.xxhash64("rep"), F.col("k").cast("long")).cast("int"))
     dealt = chunk_pairs(rows, "f", "c", "k")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
