@@ -9,9 +9,9 @@ least-squares update.
 
 Every vector is indexed: blocks of about ``block`` vectors, dealt by a hash of
 the id, hold codes and vectors. Queries stand in blocks too. A task takes one
-block of each: table lookups give approximate scores of all, the best
-``rerank`` of each query are scored exactly on the original vectors, and the
-best ``top`` go on. The last step merges a query's partial lists.
+block of each: table lookups give approximate scores of all, the best ``rerank`` of
+each query, and others within three typical errors of the best, are scored
+exactly on the original vectors, and the best ``top`` go on. The last step merges a query's partial lists.
 
 All blocks of vectors meet all blocks of queries, which is what searching a
 stated query set means; a task's memory is bounded by the block sizes.
@@ -147,6 +147,20 @@ def best(scores: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))][:n]
 
 
+def wider(approx: np.ndarray, exact: np.ndarray, k: np.ndarray, top: int) -> np.ndarray:
+    """Positions beside ``k`` whose approximate score could still hide one of
+    the ``top``: it lies within three typical errors (those of the reranked
+    ones) of the top's least exact score. A dense group of near copies is thus
+    scored exactly as a whole."""
+    if len(k) >= len(approx) or len(k) < top:
+        return np.empty(0, np.int64)
+    error = np.sqrt(np.mean((approx[k] - exact) ** 2))
+    least = np.partition(exact, len(exact) - top)[len(exact) - top]
+    may = approx >= least - 3 * error
+    may[k] = False
+    return np.flatnonzero(may)
+
+
 def search(vectors: DataFrame, spark: SparkSession, is_query, top: int = 20, sample: int = SAMPLE, block: int = BLOCK, rerank: int = RERANK, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest of each query row,
     where ``is_query`` is a condition on the column vec_id."""
@@ -188,8 +202,11 @@ def search(vectors: DataFrame, spark: SparkSession, is_query, top: int = 20, sam
                     out = []
                     for i, scores in enumerate(approx):
                         k = best(scores, ids, rerank + 1)
-                        k = k[ids[k] != qid[at + i]]
                         exact = (x[k] * q[at + i]).sum(axis=1)
+                        more = wider(scores, exact, k, top + 1)
+                        if len(more):
+                            k, exact = np.concatenate([k, more]), np.concatenate([exact, (x[more] * q[at + i]).sum(axis=1)])
+                        k, exact = k[ids[k] != qid[at + i]], exact[ids[k] != qid[at + i]]
                         w = best(exact, ids[k], top)
                         out.append(pd.DataFrame({"query_id": qid[at + i], "vec_id": ids[k][w], "score": exact[w]}))
                     yield pd.concat(out)
