@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import positions
+
 SEVERITIES = ("high", "medium", "low")
 
 
@@ -41,10 +43,8 @@ def issue_groups(issues: DataFrame, examples: int = 20) -> DataFrame:
 def ubiquity_penalties(symbols: DataFrame, share: float = 0.05) -> DataFrame:
     """The most frequent names (5 %, one at least) with max(0.2, 1 / (1 + ln(c) / 5))."""
     counts = symbols.groupBy(F.lower("name").alias("name")).agg(F.count("*").alias("c"))
-    top = F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy()) * share))
-    order = Window.orderBy(F.desc("c"), "name")
-    picked = counts.withColumn("top", top).withColumn("r", F.row_number().over(order)).where("r <= top")
-    return picked.select("name", "c", F.greatest(F.lit(0.2), 1 / (1 + F.log("c") / 5)).alias("penalty"))
+    top = max(1, int(counts.count() * share))
+    return counts.orderBy(F.desc("c"), "name").limit(top).select("name", "c", F.greatest(F.lit(0.2), 1 / (1 + F.log("c") / 5)).alias("penalty"))
 
 
 def scope_references(calls: DataFrame, per_file: int = 5) -> DataFrame:
@@ -238,7 +238,7 @@ def confidence_rollup(d: DataFrame, by: str, level: str) -> DataFrame:
 def file_groups(hits: DataFrame, file: str, order: str) -> DataFrame:
     """Hits by file in the order of each file's first hit."""
     g = hits.groupBy(file).agg(F.count("*").alias("hits"), F.min(order).alias("first"))
-    return g.withColumn("position", F.row_number().over(Window.orderBy("first", file)))
+    return positions(g, [F.col("first"), F.col(file)])
 
 
 def dominant_path(d: DataFrame, key: str, share: float = 0.5) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -131,6 +132,6 @@ def candidate_status(d: DataFrame, by: str, confidence: str) -> DataFrame:
 
 def evict(d: DataFrame, size: str, order: str, active: str, most: int = 8000, ratio: float = 1.2) -> DataFrame:
     """Evicted rows, newest first, that stay within ``ratio`` of the active ones and ``most`` in all."""
-    total = d.agg(F.count(F.when(F.col(active), 1)).alias("n"))
-    gone = d.where(~F.col(active)).withColumn("__r", F.row_number().over(Window.orderBy(F.desc(order))))
-    return gone.join(F.broadcast(total)).where((F.col("__r") < ratio * F.col("n")) & (F.col("__r") + F.col("n") <= most)).drop("__r", "n")
+    n = d.agg(F.count(F.when(F.col(active), 1))).first()[0]
+    keep = max(0, min(math.ceil(ratio * n) - 1, most - n))
+    return d.where(~F.col(active)).orderBy(F.desc(order)).limit(keep)

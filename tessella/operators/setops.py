@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import select_set
+from .ranks import positions
 
 
 def combine(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
@@ -21,8 +22,8 @@ def combine(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
         out = a.join(b, "hash", "left_anti")
     else:
         out = a.withColumn("side", F.lit(0)).unionByName(b.join(a, "hash", "left_anti").withColumn("side", F.lit(1)))
-        return out.select("hash", F.row_number().over(Window.orderBy("side", "position", "hash")).alias("position"))
-    return out.select("hash", F.row_number().over(Window.orderBy("position", "hash")).alias("position"))
+        return positions(out.withColumnRenamed("position", "__p"), [F.col("side"), F.col("__p"), F.col("hash")]).select("hash", "position")
+    return positions(out.withColumnRenamed("position", "__p"), [F.col("__p"), F.col("hash")]).select("hash", "position")
 
 
 def parse(text: str) -> tuple[str, str | None, str | None]:
