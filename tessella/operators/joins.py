@@ -106,7 +106,14 @@ def overlap_blocks(blocks: DataFrame, chunks: DataFrame, share: float = 0.8, lea
     clean = lambda d, c: d.select(c, F.trim("line").alias("line")).where("line <> ''").distinct()
     b, c = clean(blocks, "block"), clean(chunks, "chunk")
     size = b.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    hits = b.join(c, "line").groupBy("block", "chunk").agg(F.count("*").alias("k")).join(size, "block")
+    # prefix filter: of a block's lines, a chunk that holds enough of them has one of the rarest
+    df = c.groupBy("line").agg(F.count("*").alias("df"))
+    rare = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("line"))))
+    need = F.greatest(F.ceil(F.col("n") * share - 1e-9), F.lit(least)).cast("int")
+    lines = b.join(size, "block").join(df, "line", "left").groupBy("block", "n").agg(rare.alias("x"))
+    prefix = lines.select("block", "n", F.explode(F.slice("x", F.lit(1), F.col("n").cast("int") - need + 1)).alias("y")).select("block", "n", "y.line")
+    pairs = prefix.join(c, "line").where("block <> chunk").select("block", "chunk", "n").distinct()
+    hits = pairs.join(b, "block").join(c, ["chunk", "line"]).groupBy("block", "chunk", "n").agg(F.count("*").alias("k"))
     ok = hits.withColumn("containment", F.col("k") / F.col("n")).where((F.col("containment") >= share) & (F.col("k") >= least) & (F.col("block") != F.col("chunk")))
     return ok.groupBy("block").agg(F.min(F.struct("chunk", "containment")).alias("x")).select("block", "x.chunk", "x.containment")
 
