@@ -13,12 +13,11 @@ there on one representative stands for all its copies.
    values, kept as an odd bitmap that travels with the postings: the bits that
    differ bound the values that differ (sets of at most ``WIDE``: exactly).
    Short lists are joined with themselves, and pairs that fail don't leave the
-   join. A list of more than ``hot`` classes is dealt to all pairs of its
-   blocks of LIST_BLOCK, and a task returns a spanning forest of its pairs.
+   join. Of a list of more than ``hot`` classes a spanning forest of its likely
+   pairs is made instead (see spanning.py).
 3. Exact Jaccard similarity on full sets verifies within each family, where
-   families are what the pairs left connect. A family larger than
-   ``block`` is dealt to all pairs of its blocks; a task sees two blocks and
-   returns a spanning forest of the links it found, never all pairs.
+   families are what the pairs left connect; of a family, too, a spanning forest
+   of its links is made. All pairs of a large group are never emitted.
 
 Rows with null, empty or blank text have an empty set and link with nothing.
 Repeated rows of a doc_id get a row each; if their texts differ, the document
@@ -35,9 +34,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunk_pairs, components, groups, id_split, plain, shingles
+from .common import Scratch, components, id_split, plain, shingles
+from .spanning import span
 
-SKETCH, WIDE, SIGMAS, HOT, LIST_BLOCK, BLOCK = 32, 256, 4.7, 64, 1024, 256
+SKETCH, WIDE, SIGMAS, HOT, LIST_BLOCK, BLOCK = 32, 256, 4.7, 64, 512, 256
 
 
 def least_overlap(k: int, similarity: float, sigmas: float) -> int:
@@ -93,10 +93,10 @@ def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
 
 
 def verify_family(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Spanning forest of the exact links among the rows (columns rep, set).
+    """Spanning forest of the exact links among the rows (columns node, set).
 
     Breadth first: each document is compared, once, with those not reached yet."""
-    ids = rows["rep"].to_numpy()
+    ids = rows["node"].to_numpy()
     sets = [np.frombuffer(x, np.uint64) for x in rows["set"]]
     sizes = np.array([len(s) for s in sets])
     flat = np.concatenate(sets) if len(sets) else np.empty(0, np.uint64)
@@ -131,8 +131,8 @@ def verify_family(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
 
 def span_list(rows: pd.DataFrame, percent: int, wide: int) -> list[tuple[int, int]]:
     """Spanning forest of the pairs on one list whose sizes and bitmaps allow
-    the similarity (columns rep, n and the bitmap's)."""
-    ids, n = rows["rep"].to_numpy(), rows["n"].to_numpy()
+    the similarity (columns node, n and the bitmap's)."""
+    ids, n = rows["node"].to_numpy(), rows["n"].to_numpy()
     bits = rows[SIGNATURE].to_numpy().astype(np.int64).view(np.uint64)
     left, out = np.arange(len(ids)), []
     while len(left):
@@ -149,7 +149,7 @@ def span_list(rows: pd.DataFrame, percent: int, wide: int) -> list[tuple[int, in
     return out
 
 
-def near_duplicates(docs: DataFrame, spark: SparkSession, size: int = 5, percent: int = 80, k: int = SKETCH, hot: int = HOT, block: int = BLOCK, sigmas: float = SIGMAS) -> DataFrame:
+def near_duplicates(docs: DataFrame, spark: SparkSession, size: int = 5, percent: int = 80, k: int = SKETCH, hot: int = HOT, block: int = BLOCK, list_block: int = LIST_BLOCK, sigmas: float = SIGMAS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
 
     component_id is the smallest doc_id reachable over links of Jaccard
@@ -179,53 +179,29 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, size: int = 5, percent
     allowed = F.when(large <= WIDE, F.floor((small + large) * F.lit((100 - percent) / (100 + percent)) + 1e-9)).otherwise(F.lit(most_bits(WIDE, t, sigmas)))
     likely = (small * 100 >= large * percent) & (differ <= allowed)
     pairs = short.join(other, "v").where((F.col("rep") < F.col("rep2")) & likely).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-    # a long list: blocks of bounded size, of each a spanning forest of the likely pairs
-    long = listed.where(F.col("df") > hot)
-    lengths = scratch.save(long.groupBy("v").agg(F.ceil(F.count("*") / F.lit(LIST_BLOCK)).cast("int").alias("k")))
-    long = long.join(lengths, "v").withColumn("c", F.pmod(F.xxhash64("rep"), F.col("k").cast("long")).cast("int"))
     wide = most_bits(WIDE, t, sigmas)
-
-    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in groups(batches, "__block"):
-            yield pd.DataFrame(span_list(g, percent, wide), columns=["a", "b"], dtype="int64")
-
-    forest = chunk_pairs(long, "v", "c", "k").select("__block", "rep", "n", *SIGNATURE).repartition("__block").sortWithinPartitions("__block").mapInPandas(spans, "a long, b long").distinct()
+    long = listed.where(F.col("df") > hot).select(F.col("v").alias("grp"), F.col("rep").alias("node"), "n", *SIGNATURE)
+    forest = span(long, scratch, list_block, lambda rows: rows, lambda g: span_list(g, percent, wide)).distinct()
     families = scratch.save(components(pairs.unionByName(forest), scratch))
 
-    links = scratch.save(_links(docs, families, scratch, size, percent, block))
+    def with_sets(rows: DataFrame) -> DataFrame:
+        rows = scratch.save(rows)
+        some, _ = id_split(docs.select(F.col("doc_id").cast("long").alias("__id"), "text"), "__id", rows, "node")
+        texts = some.join(rows.hint("merge"), F.col("__id") == F.col("node")).select("node", "__blocks", "text")
+        return texts.mapInPandas(lambda batches: _sets(batches, size), "node long, __blocks array<long>, set binary")
+
+    links = span(families.select(F.col("component").alias("grp"), "node"), scratch, block, with_sets, lambda g: verify_family(g, percent))
     linked = components(links, scratch)
     comp = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
     comp = scratch.save(comp)
     return rows.join(comp, ["c1", "c2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _links(docs: DataFrame, families: DataFrame, scratch: Scratch, size: int, percent: int, block: int) -> DataFrame:
-    """Edges (a, b) that span the exact links within each family."""
-    chunks = families.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("k"))
-    members = families.join(chunks, "component").select(F.col("node").alias("rep"), "component", "k", F.pmod(F.xxhash64("node"), F.col("k").cast("long")).cast("int").alias("c"))
-    members = scratch.save(members)
-    some, _ = id_split(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), "rep", members, "rep")
-    texts = some.join(members.hint("merge"), "rep")
-
-    def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 2000):
-                part = b.iloc[at : at + 2000]
-                yield part[["rep", "component", "k", "c"]].assign(set=[shingles(x, size).tobytes() for x in part["text"]])
-
-    sets = texts.select("rep", "component", "k", "c", "text").mapInPandas(to_sets, "rep long, component long, k int, c int, set binary")
-    dealt = chunk_pairs(sets, "component", "c", "k").select("__block", "rep", "set")
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[tuple[int, int]] = []
-        for g in groups(batches, "__block"):
-            out.extend(verify_family(g, percent))
-            if len(out) > 20000:
-                yield pd.DataFrame(out, columns=["a", "b"])
-                out = []
-        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return dealt.repartition("__block").sortWithinPartitions("__block").mapInPandas(verify, "a long, b long")
+def _sets(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for at in range(0, len(b), 2000):
+            part = b.iloc[at : at + 2000]
+            yield part[["node", "__blocks"]].assign(set=[shingles(x, size).tobytes() for x in part["text"]])
 
 
 def keep_representatives(docs: DataFrame, spark: SparkSession, **options) -> DataFrame:

@@ -78,7 +78,7 @@ def test_near_duplicates_in_blocks_and_hot_lists(spark):
             rows.append((len(rows), " ".join(w)))
     d = spark.createDataFrame(rows, "doc_id long, text string")
     expected = brute_components(brute_sets(rows, 2))
-    for options in ({}, {"hot": 4, "block": 4}, {"hot": 2, "block": 7}):
+    for options in ({}, {"hot": 4, "block": 4, "list_block": 5}, {"hot": 2, "block": 7, "list_block": 3}):
         got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(d, spark, size=2, **options).collect()}
         assert got == expected
 
