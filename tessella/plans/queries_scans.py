@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import windows as W
 from ..sources import scan as S
 from .catalog import query
 
