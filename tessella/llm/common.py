@@ -29,6 +29,10 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
+#: Rows of a small scratch table that one task writes.
+ROWS_A_FILE = 100_000
+
+
 class Scratch:
     """Tables written below the shared checkpoint folder and read back.
 
@@ -46,7 +50,11 @@ class Scratch:
         self.root = f"{root}/tessella-{uuid.uuid4().hex}"
         self.n = 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """Written and read back; of a table known to have at most ``rows``
+        rows, in as few files as that needs."""
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
         path = f"{self.root}/{self.n}"
         self.n += 1
         df.write.parquet(path)
@@ -210,24 +218,53 @@ def chunk_pairs(df: DataFrame, group: str, chunk: str, n_chunks: str) -> DataFra
 # ------------------------------------------------------------- components
 
 
-def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
+#: Edges that one task takes at most; more go through the distributed steps.
+SMALL_EDGES = 200_000
+
+
+def _united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parent: dict[int, int] = {}
+    for b in batches:
+        for x, y in zip(b["a"].tolist(), b["b"].tolist()):
+            for v in (x, y):
+                parent.setdefault(v, v)
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            while parent[y] != y:
+                parent[y] = y = parent[parent[y]]
+            parent[max(x, y)] = min(x, y)
+    out = []
+    for v in parent:
+        root = v
+        while parent[root] != root:
+            root = parent[root]
+        parent[v] = root
+        out.append((v, root))
+    yield pd.DataFrame(out, columns=["node", "component"], dtype="int64")
+
+
+def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", small: int = SMALL_EDGES) -> DataFrame:
     """(node, component): the smallest node reachable over undirected ``edges``.
 
     Alternating large-star and small-star steps, each a grouped minimum and a
     join, until the edges no longer change; nothing is gathered on the driver
-    but a count and a checksum a round. Nodes without edges aren't returned.
+    but a count and a checksum a round. Edges counted as ``small`` or fewer are
+    united by one task instead. Nodes without edges aren't returned.
     """
     x, y = F.col("a"), F.col("b")
     e = edges.select(F.greatest(F.col(a), F.col(b)).alias("a"), F.least(F.col(a), F.col(b)).alias("b")).where(x != y).distinct()
     e = scratch.save(e)
+    n = e.count()  # the steps never make more edges than there were
+    if n <= small:
+        return scratch.save(e.coalesce(1).mapInPandas(_united, "node long, component long"), 2 * n)
     seen = None
     while True:
         both = e.unionByName(e.select(y.alias("a"), x.alias("b")))
-        low = scratch.save(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
-        big = scratch.save(both.where(y > x).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(x != y).distinct())
-        low2 = scratch.save(big.groupBy("a").agg(F.min("b").alias("m")))
+        low = scratch.save(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), 2 * n)
+        big = scratch.save(both.where(y > x).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(x != y).distinct(), n)
+        low2 = scratch.save(big.groupBy("a").agg(F.min("b").alias("m")), n)
         out = big.join(low2, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(x != y)
-        new = scratch.save(out.unionByName(low2.select("a", F.col("m").alias("b"))).distinct())
+        new = scratch.save(out.unionByName(low2.select("a", F.col("m").alias("b"))).distinct(), n)
         scratch.drop(e, low, big, low2)
         e = new
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

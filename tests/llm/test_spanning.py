@@ -39,13 +39,14 @@ def test_span_connects_what_links_connect(spark, block):
     assert {i: got.get(i, i) for i in want} == want
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components_of_a_long_path(spark, small):
     rng = np.random.default_rng(1)
     ids = rng.permutation(200).tolist()
     e = spark.createDataFrame([(a, b) for a, b in zip(ids, ids[1:])] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
-    got = {r.node: r.component for r in components(e, Scratch(spark)).collect()}
+    got = {r.node: r.component for r in components(e, Scratch(spark), small=small).collect()}
     assert got == {**dict.fromkeys(range(200), 0), 500: 500, 501: 500}
-    assert components(e.limit(0), Scratch(spark)).count() == 0
+    assert components(e.limit(0), Scratch(spark), small=small).count() == 0
 
 
 @given(st.lists(st.lists(st.integers(0, 3), max_size=6), max_size=5))
