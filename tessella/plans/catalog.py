@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .relations import Relations, with_relations
 
@@ -12,14 +13,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Registers ``f(relations) -> DataFrame`` under ``name``."""
+def query(name: str, sql: str | None = None, rounded: tuple[str, ...] = ()):
+    """Registers ``f(relations) -> DataFrame`` under ``name``.
+
+    ``rounded`` columns are given to nine places, as the last bits of sums of
+    doubles depend on their order."""
 
     def add(f: Callable[[Relations], DataFrame]) -> Callable[[Relations], DataFrame]:
         assert name not in QUERIES, name
-        QUERIES[name] = lambda spark, sf_dir: f(Relations(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(Relations(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in rounded})
         if sql:
-            ORACLES[name] = with_relations(sql)
+            body = with_relations(sql)
+            ORACLES[name] = f"SELECT * REPLACE ({', '.join(f'round({c}, 9) AS {c}' for c in rounded)}) FROM ({body})" if rounded else body
         return f
 
     return add

@@ -28,7 +28,7 @@ def _(r):
 
 
 @query("a4_ubiquity_penalties", """WITH c AS (SELECT lower(name) AS name, count(*) AS c FROM calls GROUP BY 1)
-SELECT name, c, greatest(0.2, 1 / (1 + ln(c) / 5)) AS penalty FROM (SELECT *, row_number() OVER (ORDER BY c DESC, name) AS r, greatest(1, floor(count(*) OVER () * 0.05)) AS top FROM c) WHERE r <= top""")
+SELECT name, c, greatest(0.2, 1 / (1 + ln(c) / 5)) AS penalty FROM (SELECT *, row_number() OVER (ORDER BY c DESC, name) AS r, greatest(1, floor(count(*) OVER () * 0.05)) AS top FROM c) WHERE r <= top""", rounded=('penalty',))
 def _(r):
     return A.ubiquity_penalties(r.calls)
 
@@ -64,7 +64,7 @@ def _(r):
     return A.language_health(r.files, r.symbols, r.calls, r.code_issues)
 
 
-@query("a9_project_profile", "SELECT language, sum(line_count)::BIGINT AS loc, count(*) AS files, sum(line_count) / sum(sum(line_count)) OVER () AS share FROM files GROUP BY language ORDER BY loc DESC, language LIMIT 10")
+@query("a9_project_profile", "SELECT language, sum(line_count)::BIGINT AS loc, count(*) AS files, sum(line_count) / sum(sum(line_count)) OVER () AS share FROM files GROUP BY language ORDER BY loc DESC, language LIMIT 10", rounded=('share',))
 def _(r):
     return A.project_profile(r.files)
 
@@ -171,7 +171,7 @@ def _(r):
 
 
 @query("a25_token_drift", """WITH p AS (SELECT 100.0 * (l_quantity * 1000 - l_extendedprice) / l_extendedprice AS p FROM lineitem WHERE l_extendedprice > 0),
-s AS (SELECT count(*) AS n, avg(abs(p)) AS mean_abs, avg(p) AS mean, max(abs(p)) AS largest, count(*) FILTER (abs(p) > 10) AS over FROM p) SELECT *, least(1.25, greatest(0.85, 1 / (1 + mean / 100))) AS factor FROM s""")
+s AS (SELECT count(*) AS n, avg(abs(p)) AS mean_abs, avg(p) AS mean, max(abs(p)) AS largest, count(*) FILTER (abs(p) > 10) AS over FROM p) SELECT *, least(1.25, greatest(0.85, 1 / (1 + mean / 100))) AS factor FROM s""", rounded=('mean_abs', 'mean', 'largest', 'factor'))
 def _(r):
     return A.token_drift(r.lineitem.withColumn("actual", F.col("l_quantity") * 1000), "l_extendedprice", "actual")
 

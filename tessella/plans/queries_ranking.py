@@ -22,7 +22,7 @@ scored AS (SELECT doc, {score} AS score FROM tf, df)"""
 _TERMS = ["license", "the", "apache"]
 
 
-@query("ranked_search", f"WITH {_bm25_sql('documents', 'doc_id', {'body': ('text', 1.0), 'origin': ('source', 2.0)}, _TERMS)} SELECT doc, score FROM scored WHERE score > 0 ORDER BY score DESC, doc LIMIT 100")
+@query("ranked_search", f"WITH {_bm25_sql('documents', 'doc_id', {'body': ('text', 1.0), 'origin': ('source', 2.0)}, _TERMS)} SELECT doc, score FROM scored WHERE score > 0 ORDER BY score DESC, doc LIMIT 100", rounded=('score',))
 def _(r):
     return R.bm25(r.documents, "doc_id", {"body": "text", "origin": "source"}, {"body": 1.0, "origin": 2.0}, _TERMS).orderBy(F.desc("score"), "doc").limit(100)
 
@@ -36,7 +36,7 @@ def _symbol_scores(r):
 
 
 @query("j1_enriched_hits", f"""WITH {_bm25_sql('symbols', 'id', _SYMBOL_FIELDS, ['steel', 'blue'])}, imp AS (SELECT to_file_id AS id, count(*) AS n FROM file_relations GROUP BY 1)
-SELECT s.id, s.name, path, -score - 0.1 * (1 + 0.1 * coalesce(n, 0)) - 0.01 * rank AS rank_score FROM scored JOIN symbols s ON s.id = doc JOIN files f ON f.id = s.file_id LEFT JOIN imp ON imp.id = f.id WHERE score > 0""")
+SELECT s.id, s.name, path, -score - 0.1 * (1 + 0.1 * coalesce(n, 0)) - 0.01 * rank AS rank_score FROM scored JOIN symbols s ON s.id = doc JOIN files f ON f.id = s.file_id LEFT JOIN imp ON imp.id = f.id WHERE score > 0""", rounded=('rank_score',))
 def _(r):
     from ..operators.aggregates import migration_importance
 
@@ -52,7 +52,7 @@ def _(r):
 
 
 @query("t1_rerank", """SELECT s.id, least(1.0, 0.4 * CASE WHEN contains(name, '_') THEN 1.5 ELSE 1 END * CASE kind WHEN 'function' THEN 1.5 WHEN 'method' THEN 1.5 WHEN 'class' THEN 1.4 ELSE CASE WHEN contains(name, '_') THEN 1.1 WHEN length(name) < 4 THEN 0.5 ELSE 0.7 END END
-* CASE WHEN kind IN ('function', 'method') THEN 1.2 ELSE 1 END)::DOUBLE AS relevance FROM symbols s JOIN files f ON f.id = s.file_id""")
+* CASE WHEN kind IN ('function', 'method') THEN 1.2 ELSE 1 END)::DOUBLE AS relevance FROM symbols s JOIN files f ON f.id = s.file_id""", rounded=('relevance',))
 def _(r):
     d = r.symbols.join(r.files.select(F.col("id").alias("file_id"), "path"), "file_id").withColumn("relevance", F.lit(0.4))
     return R.rerank(d, "parse headers", "semantic_intent").select("id", "relevance")
@@ -62,7 +62,7 @@ _TWO_STAGE = f"""{_bm25_sql('symbols', 'id', _SYMBOL_FIELDS, ['steel', 'blue'])}
 n AS (SELECT id, CASE WHEN max(score) OVER () = min(score) OVER () THEN 1 ELSE 1 - (-score - min(-score) OVER ()) / (max(-score) OVER () - min(-score) OVER ()) END AS relevance FROM hits)"""
 
 
-@query("t2_search_entry", f"WITH {_TWO_STAGE} SELECT id, relevance FROM n ORDER BY relevance DESC, id LIMIT 50")
+@query("t2_search_entry", f"WITH {_TWO_STAGE} SELECT id, relevance FROM n ORDER BY relevance DESC, id LIMIT 50", rounded=('relevance',))
 def _(r):
     hits = _symbol_scores(r).orderBy(F.desc("score"), "doc").limit(150).select(F.col("doc").alias("id"), (-F.col("score")).alias("raw"))
     return W.min_max(hits, "raw").select("id", "relevance").orderBy(F.desc("relevance"), "id").limit(50)
@@ -76,7 +76,7 @@ def _top_k(r, k):
     return R.vector_top_k(r.embeddings, "vec_id", "embedding", [float(x) for x in q], k)
 
 
-@query("t3_vector_top_k", _TOPK)
+@query("t3_vector_top_k", _TOPK, rounded=('score',))
 def _(r):
     return _top_k(r, 20)
 

@@ -157,7 +157,7 @@ def _(r):
     return r.symbols.select("id", X.embed("signature").alias("embedding"))
 
 
-@query("x35_cosine", "SELECT a.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+@query("x35_cosine", "SELECT a.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1", rounded=('cosine',))
 def _(r):
     from ..operators.ranking import cosine
 

@@ -17,7 +17,7 @@ def _ranked(r):
 
 @query("w1_reciprocal_rank_fusion", """WITH a AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part),
 b AS (SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS rank FROM part)
-SELECT p_partkey, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT * FROM a WHERE rank <= 200 UNION ALL SELECT * FROM b WHERE rank <= 200) GROUP BY 1""")
+SELECT p_partkey, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT * FROM a WHERE rank <= 200 UNION ALL SELECT * FROM b WHERE rank <= 200) GROUP BY 1""", rounded=('score',))
 def _(r):
     return W.reciprocal_rank_fusion(_ranked(r), "p_partkey", "rank")
 
@@ -44,7 +44,7 @@ def _(r):
     return W.capped(r.symbols.select("id", "file_id", "kind"), F.col("kind") == "variable", ["id"], 2, ("file_id",))
 
 
-@query("w6_min_max", "SELECT p_partkey, CASE WHEN max(p_retailprice) OVER w = min(p_retailprice) OVER w THEN 1 ELSE 1 - (p_retailprice - min(p_retailprice) OVER w) / (max(p_retailprice) OVER w - min(p_retailprice) OVER w) END AS relevance FROM part WINDOW w AS (PARTITION BY p_size)")
+@query("w6_min_max", "SELECT p_partkey, CASE WHEN max(p_retailprice) OVER w = min(p_retailprice) OVER w THEN 1 ELSE 1 - (p_retailprice - min(p_retailprice) OVER w) / (max(p_retailprice) OVER w - min(p_retailprice) OVER w) END AS relevance FROM part WINDOW w AS (PARTITION BY p_size)", rounded=('relevance',))
 def _(r):
     return W.min_max(r.part, "p_retailprice", ("p_size",)).select("p_partkey", "relevance")
 
@@ -196,7 +196,7 @@ def _(r):
     return W.prefix_hits(r.rounds, ["conv_id"], "turn", "text", 2).select("conv_id", "turn", "hit")
 
 
-@query("w26_counter_increase", "SELECT user_id, coalesce(sum(up), 0.0)::DOUBLE AS increase FROM (SELECT user_id, greatest(0.0, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS up, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v FROM events) GROUP BY user_id")
+@query("w26_counter_increase", "SELECT user_id, coalesce(sum(up), 0.0)::DOUBLE AS increase FROM (SELECT user_id, greatest(0.0, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS up, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v FROM events) GROUP BY user_id", rounded=('increase',))
 def _(r):
     return W.counter_increase(r.events, ["user_id"], ["ts", "event_id"], "value")
 
