@@ -12,7 +12,7 @@ from .language import op2_language
 from .licenses import OP9_SQL, op9_licenses
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .mixing import OP4_SQL, op4_mixing
-from .near_dup import op10_near_dup
+from .near_dup import OP10_SQL, op10_near_dup
 from .packing import op7_packing
 from .toxicity import op1_toxicity
 from .url_filter import op6_url_filter
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op5_embedding_dup": OP5_SQL, "op8_line_dedup": OP8_SQL, "op9_licenses": OP9_SQL}
+    return {"op4_mixing": OP4_SQL, "op5_embedding_dup": OP5_SQL, "op8_line_dedup": OP8_SQL, "op9_licenses": OP9_SQL, "op10_near_dup": OP10_SQL}
