@@ -8,10 +8,13 @@ decoded from its parts' scores, best first, without a look at the others.
 
 The number of filters follows the number of vectors, so that a filter holds
 about BUCKET of them; the cap's height gives a vector about ``hits`` filters of
-each of CODES independent codes, and one that reaches fewer takes its best
-``least``. Two vectors of cosine 0.9
-have several filters in common but for a chance well under one in a thousand,
-closer ones more.
+each of several independent codes, and one that reaches fewer takes its best
+``least``. More filters make higher caps, in which a close pair meets less
+often, so the number of codes follows the number of vectors: on pairs drawn at
+exactly the threshold it is measured how often one code brings them together,
+and codes are added (CODES at least) until the chance that none does is MISS at
+most, whatever the number of vectors. Closer pairs are missed less. Rotations
+are drawn at random, so the chance is the same for any pair of that cosine.
 
 Equal vectors are one class first. Vectors that share a filter are verified in
 double precision in blocks: a filter with more than BLOCK classes is dealt to
@@ -37,18 +40,48 @@ from .common import Scratch, chunk_pairs, components, groups
 from .vectors import matrix, valid_vectors
 
 CODES, HITS, LEAST, BUCKET, BLOCK, MAX_CODE = 8, 3, 3, 48, 512, 512
+#: The chance, at most, that a pair at exactly the threshold shares no filter; pairs drawn for each code to measure it.
+MISS, PROBES = 1e-4, 500
 
 
-class Filters:
-    """CODES independent product codes for ``n`` vectors of ``dim`` dimensions."""
+def pairs_at(cosine: float, m: int, dim: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """``m`` random pairs of unit vectors at exactly that cosine."""
+    x, z = rng.normal(size=(2, m, dim))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    if dim == 1:
+        return x, x
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.sqrt((z * z).sum(1, keepdims=True))
+    return x, cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * z
+
 
-    def __init__(self, n: int, dim: int, hits: int = HITS, least: int = LEAST):
-        self.codes = [ProductCode(n, dim, hits, least, 11 + i) for i in range(CODES)]
+class Filters:
+    """Independent product codes for ``n`` vectors of ``dim`` dimensions: as many
+    as a pair at ``cosine`` needs to share a filter but for a chance of ``miss``."""
+
+    def __init__(self, n: int, dim: int, hits: int = HITS, least: int = LEAST, cosine: float = 0.9, miss: float = MISS):
+        self.codes: list[ProductCode] = []
+        rng, apart, drawn = np.random.default_rng(7), 0, 0
+        while True:
+            code = ProductCode(n, dim, hits, least, 11 + len(self.codes))
+            self.codes.append(code)
+            x, y = pairs_at(cosine, PROBES, dim, rng)
+            apart += sum(np.intersect1d(a, b).size == 0 for a, b in zip(code.decode(x), code.decode(y)))
+            drawn += PROBES
+            if len(self.codes) < CODES:
+                continue
+            if apart == drawn:
+                raise ValueError(f"no filters bring vectors of cosine {cosine} together")
+            # codes are independent, and the product of their chances is at most this power of the mean
+            share = apart / drawn
+            share += 3 * math.sqrt(share * (1 - share) / drawn)
+            if share ** len(self.codes) <= miss:
+                break
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
         """Each row's filter numbers, sorted."""
         each = [c.decode(unit) for c in self.codes]
-        return [np.sort(np.concatenate([ids * CODES + i for i, ids in enumerate(row)])) for row in zip(*each)]
+        return [np.sort(np.concatenate([ids * len(each) + i for i, ids in enumerate(row)])) for row in zip(*each)]
 
 
 class ProductCode:
@@ -149,7 +182,7 @@ def near_duplicates(vectors: DataFrame, spark: SparkSession, cosine: float = 0.9
     v = scratch.save(v.groupBy("vec_id").agg(F.min("vec").alias("vec")).withColumn("key", F.md5("vec")))
     classes = scratch.save(v.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("vec").alias("vec")))
     n = classes.count()
-    filters = spark.sparkContext.broadcast(Filters(n, dim, hits) if n else None)  # the code: parts x MAX_CODE words
+    filters = spark.sparkContext.broadcast(Filters(n, dim, hits, cosine=cosine) if n else None)  # each code: parts x MAX_CODE words
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -104,6 +104,15 @@ def test_filters_meet_close_pairs():
     assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(f.decode(x), far)]) < 0.3
 
 
+@pytest.mark.parametrize("n", [10**6, 10**8])
+def test_filters_meet_pairs_at_the_threshold_of_any_table(n):
+    f = embedding_dup.Filters(n, 64)
+    x, y = embedding_dup.pairs_at(0.9, 4000, 64, np.random.default_rng(9))
+    assert np.allclose((x * y).sum(1), 0.9)
+    missed = sum(np.intersect1d(a, b).size == 0 for a, b in zip(f.decode(x), f.decode(y)))
+    assert missed <= 4  # 0.4 expected at most; with eight codes about 100 at 10**8
+
+
 URLS = [
     ("http://Blog.Example.COM/en/1?x", "blog.example.com", "/en/1", "com/en/", "block"),
     ("https://example.com/en/77", "example.com", "/en/77", "example.com/en/7", "allow"),
