@@ -2,10 +2,16 @@
 
 Native: DataFrame functions only.
 
-Blocks are the lines of a text, templates short license notices; a line is
-found if it holds a template's word set to ``threshold`` (containment: words
-shared over words of the template). The join is the usual exact one for that
-measure:
+Blocks are the lines of a text and, for notices wrapped over lines, overlapping
+runs of words of its paragraphs (lines up to one without a word); templates are
+short license notices. A block is found if it holds a template's word set to
+``threshold`` (containment: words shared over words of the template) and all of
+its ``DECIDING`` words; in a run they must stand in a row of as many words as
+the template has with one foreign word in five. A run is twice as long as the
+longest such row, and the next one starts at its middle, so every row lies in
+one of them. Only texts that hold a template's deciding words, and one of as
+many others as it can't be without, are cut into runs. The join is the usual
+exact one for that measure:
 
 * tokens are ordered by their frequency over all blocks, rarest first;
 * prefix filter: of a template of n tokens that needs o shared ones, one of
@@ -27,6 +33,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +56,16 @@ TEMPLATES = (
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
     ("all-rights-reserved", "All rights reserved"),
 )
+#: Words of a notice that tell it from those of other licenses; it isn't found without them.
+DECIDING = {
+    "Released under the MIT License": ("mit",),
+    "Licensed under the Apache License Version 2.0": ("apache",),
+    "This work is licensed under the GNU General Public License version 3": ("general",),
+    "This program is free software you can redistribute it and or modify it under the terms of the GNU General Public License": ("general",),
+    "Licensed under CC BY NC 4.0": ("cc", "by", "nc"),
+    "Licensed under a Creative Commons Attribution 4.0 International License": ("attribution",),
+    "This Source Code Form is subject to the terms of the Mozilla Public License": ("mozilla",),
+}
 THRESHOLD = 0.8
 _OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -81,28 +99,64 @@ def _tokens(text: str) -> list[str]:
     return sorted(set("".join(c if c.isalnum() else " " for c in text.lower()).split()))
 
 
+def _span(text: str) -> int:
+    """Words in a row that a wrapped notice may take."""
+    return math.ceil(len(text.split()) / THRESHOLD)
+
+
+def _runs(docs: DataFrame, known: Column, templates: Sequence[tuple[str, str]], needs: Sequence[int]) -> DataFrame:
+    """(row, block, n, ws, run): overlapping runs of words of the paragraphs with
+    several lines, if they hold enough words of some template. Block is -1 for
+    the first paragraph, -2 for the second."""
+    span = max((_span(x) for _, x in templates), default=1)
+    text, some = lower_ascii(F.col("text")), F.lit(False)
+    for (_, x), need in zip(templates, needs):
+        tokens, must = _tokens(x), DECIDING.get(x, ())
+        # a text without any of these words, or not with all deciding ones, can't reach the template
+        least = [F.col("text").contains(w) for w in sorted(tokens, key=lambda w: (-len(w), w))[: len(tokens) - need + 1]]
+        some = some | reduce(and_, [F.col("text").contains(w) for w in must], reduce(or_, least))
+    d = docs.where(F.col("text").contains("\n")).select("row", text.alias("text")).where(some)
+    bare = F.regexp_replace("text", _OTHER.replace(r"\x00-", r"\x00-\x09\x0B-"), " ")
+    paragraphs = F.split(F.regexp_replace(bare, " *\n *", "\n"), "\n\n+")
+    d = d.select("row", F.posexplode(paragraphs).alias("at", "text")).withColumn("text", F.trim("text", F.lit(" \n"))).where(F.col("text").contains("\n"))
+    d = d.select("row", (-1 - F.col("at")).alias("block"), F.split("text", "[ \n]+").alias("ws"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("ws") - span, F.lit(1)), F.lit(span))
+    d = d.select("row", "block", F.explode(F.transform(starts, lambda i: F.slice(F.col("ws"), i, F.lit(2 * span)))).alias("run"))
+    enough = lambda ws: reduce(or_, [F.size(F.array_intersect(ws, F.array(*map(F.lit, _tokens(x))))) >= need for (_, x), need in zip(templates, needs)])
+    d = d.where(F.exists(F.array(F.array_intersect("run", known)), enough))
+    return d.select("row", "block", F.size(F.array_distinct("run")).alias("n"), F.array_intersect("run", known).alias("ws"), "run")
+
+
 def matches(docs: DataFrame, spark: SparkSession, scratch: Scratch, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(row, block, template, label, containment): every text block that
-    reaches the containment threshold. ``docs``: (row, text)."""
+    reaches the containment threshold. Blocks from 0 are lines, below 0
+    paragraphs. ``docs``: (row, text)."""
     universe = sorted({t for _, x in templates for t in _tokens(x)})
     lines = docs.where("text is not null").select("row", F.posexplode(F.split("text", "\n", -1)).alias("block", "line"))
     lowered = lines.select("row", "block", F.concat(F.lit(" "), F.regexp_replace(lower_ascii(F.col("line")), _OTHER, " "), F.lit(" ")).alias("line"))
     known = F.array(*[F.lit(t) for t in universe])
     # of a block only the templates' words count, and its number of distinct words
+    sets = [_tokens(x) for _, x in templates]
+    needs = [max(1, math.ceil(round(threshold * len(x), 9))) for x in sets]
     blocks = lowered.select("row", "block", F.array_distinct(F.split(F.trim("line"), " ")).alias("ws")).select("row", "block", F.size("ws").alias("n"), F.array_intersect("ws", known).alias("ws")).where(F.size("ws") > 0)
+    blocks = blocks.withColumn("run", F.lit(None).cast("array<string>")).unionByName(_runs(docs, known, templates, needs))
     blocks = scratch.save(blocks)
     df = {r["w"]: r["n"] for r in blocks.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}  # the templates' words only
     rows = []
     for t, (label, text) in enumerate(templates):
-        order = sorted(_tokens(text), key=lambda w: (df.get(w, 0), w))
-        need = max(1, math.ceil(round(threshold * len(order), 9)))
+        order = sorted(sets[t], key=lambda w: (df.get(w, 0), w))
+        need, must = needs[t], list(DECIDING.get(text, ()))
         for place, w in enumerate(order[: len(order) - need + 1]):
-            rows.append((w, place, t, label, order, len(order), need))
-    index = spark.createDataFrame(rows, "w string, place int, template int, label string, tokens array<string>, size int, need int")
+            rows.append((w, place, t, label, order, len(order), need, must, _span(text)))
+    index = spark.createDataFrame(rows, "w string, place int, template int, label string, tokens array<string>, size int, need int, must array<string>, span int")
     prefix = F.array(*[F.lit(w) for w in sorted({r[0] for r in rows})])
-    probe = blocks.where(F.arrays_overlap("ws", prefix)).select("row", "block", "n", "ws", F.explode(F.array_intersect("ws", prefix)).alias("w"))
+    probe = blocks.where(F.arrays_overlap("ws", prefix)).select("row", "block", "n", "ws", "run", F.explode(F.array_intersect("ws", prefix)).alias("w"))
     found = probe.join(F.broadcast(index), "w").where((F.col("n") >= F.col("need")) & (F.col("size") - F.col("place") >= F.col("need")))
-    found = found.withColumn("shared", F.size(F.array_intersect("ws", "tokens"))).where("shared >= need")
+    shared = lambda ws: F.when(F.size(F.array_except("must", ws)) == 0, F.size(F.array_intersect(ws, "tokens"))).otherwise(0)
+    found = found.where(shared(F.col("ws")) >= F.col("need"))
+    # in a run the words must stand within the template's span
+    rows_of = F.transform(F.sequence(F.lit(1), F.size("run")), lambda i: shared(F.slice(F.col("run"), i, F.col("span"))))
+    found = found.withColumn("shared", F.when(F.col("run").isNull(), shared(F.col("ws"))).otherwise(F.array_max(rows_of))).where("shared >= need")
     return found.groupBy("row", "block", "template").agg(F.first("label").alias("label"), F.max(F.col("shared") / F.col("size")).alias("containment"))
 
 

@@ -224,6 +224,26 @@ def test_licenses(spark, hostile):
     assert labels == {1: "all-rights-reserved", 2: "apache", 3: ""}
 
 
+WRAPPED = {
+    1: "Copyright (c) 2020 A. Person\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+    2: " * Redistribution and use in source and binary forms, with or without\r\n * modification, are permitted provided that the following conditions are\r\n * met:\r\n",
+    3: "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General\n# Public License as published by the Free Software Foundation",
+    4: "\n".join([f"w{i} " * 9 for i in range(300)] + ["All", "rights", "reserved"] + [f"v{i} " * 9 for i in range(300)]),
+    5: "Licensed under CC BY 4.0",
+    6: "Released under the BSD License",
+    7: "Licensed under the Artistic License Version 2.0",
+    8: "All of it\n\nrights\n\nreserved",
+    9: "all " + "w " * 200 + "\nrights " + "w " * 200 + "\nreserved",
+    10: "Licensed under\nCC BY-NC 4.0",
+    11: "Licensed under the Apache License, Version 2.0.\nkommen mit der",
+}
+
+
+def test_licenses_wrapped_over_lines_and_deciding_words(spark):
+    labels = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(list(WRAPPED.items()), "doc_id long, text string"), spark).collect()}
+    assert labels == {1: "mit", 2: "bsd", 3: "gpl", 4: "all-rights-reserved", 5: "", 6: "", 7: "", 8: "", 9: "", 10: "cc-by-nc", 11: "apache"}
+
+
 def test_fold_and_exceptions():
     assert toxicity.fold("1d10t, ÏDIOT іdіоt!") == " idiot idiot idiot "
     assert toxicity.fold(None) == " " and toxicity.fold("") == " "
