@@ -13,11 +13,13 @@ A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` and lower-cased A-Z.
    occurrence (smallest doc_id, then line number).
 3. Up to ``max_keys`` confirmed keys are broadcast and the texts are cut where
    they lie. More are joined with the suspects, and what is dropped is gathered
-   by document, as line numbers, and joined with the texts.
+   by doc_id and hash of the text, as line numbers, and joined with the texts:
+   rows of one id with different texts lose their own lines only.
 
 A fuller filter makes more suspects, never another result. A null or empty
 text is one empty line; an empty key is never dropped. Rows of the same doc_id
-count as one document. Extra columns are ignored.
+count as one document. Rows without a doc_id count for no key and keep all their
+lines. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -112,9 +114,9 @@ def twice_filter(docs: DataFrame, bits: int) -> np.ndarray:
 
 
 def repeated_keys(docs: DataFrame, spark: SparkSession, scratch: Scratch, min_docs: int = 2, max_bits: int = MAX_BITS) -> tuple[DataFrame, DataFrame]:
-    """The suspects' lines (doc_id, line, key) and, of their keys, those in
+    """The suspects' lines (doc_id, row: hash of the text, line, key) and, of their keys, those in
     ``min_docs`` documents or more (key, docs, first: doc_id and line)."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row"))
     lines = d.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
     bits = filter_bits(int(lines), max_bits)
     twice = spark.sparkContext.broadcast(twice_filter(d, bits))
@@ -134,9 +136,9 @@ def repeated_keys(docs: DataFrame, spark: SparkSession, scratch: Scratch, min_do
                 ids = np.repeat(part["doc_id"].to_numpy(dtype="float64" if part["doc_id"].hasnans else "int64"), n)
                 w = [i for i in np.flatnonzero(hit) if flat[i]]
                 if w:
-                    yield pd.DataFrame({"doc_id": ids[w].astype("int64"), "line": line[w].astype("int32"), "key": [hashlib.sha256(flat[i]).digest() for i in w]})
+                    yield pd.DataFrame({"doc_id": ids[w].astype("int64"), "row": np.repeat(part["row"].to_numpy(), n)[w], "line": line[w].astype("int32"), "key": [hashlib.sha256(flat[i]).digest() for i in w]})
 
-    at = scratch.save(d.where("doc_id is not null").mapInPandas(suspects, "doc_id long, line int, key binary"))
+    at = scratch.save(d.where("doc_id is not null").mapInPandas(suspects, "doc_id long, row long, line int, key binary"))
     # a document counts once a key, however often it has the line
     by_key = at.groupBy("key", "doc_id").agg(F.min("line").alias("line")).groupBy("key")
     counted = scratch.save(by_key.agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "line")).alias("first")).where(F.col("docs") >= min_docs))
@@ -155,15 +157,16 @@ def drop_lines(docs: DataFrame, spark: SparkSession, min_docs: int = 2, keep_fir
     at, counted = repeated_keys(docs, spark, scratch, min_docs, max_bits)
     d, c = plain(docs)
     named = d.withColumn("__id", F.col(c["doc_id"]).cast("long"))
+    texts = F.xxhash64(c["text"])
     if counted.count() <= max_keys:
         return _drop_broadcast(named, c["text"], spark, counted, keep_first).toDF(*docs.columns, "__n_lines", "__n_dropped")
     gone = at.join(counted, "key")
     if keep_first:
         gone = gone.where(~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))))
-    gone = scratch.save(gone.groupBy(F.col("doc_id").alias("__gone")).agg(F.collect_set("line").alias("__lines")))
+    gone = scratch.save(gone.groupBy(F.col("doc_id").alias("__gone"), F.col("row").alias("__row")).agg(F.collect_set("line").alias("__lines")))
     some, rest = id_split(named, "__id", gone, "__gone")
-    out = some.join(gone.hint("merge"), F.col("__id") == F.col("__gone"), "left")
-    out = out.unionByName(rest.withColumn("__gone", F.lit(None).cast("long")).withColumn("__lines", F.lit(None).cast("array<int>")))
+    out = some.join(gone.hint("merge"), (F.col("__id") == F.col("__gone")) & (texts == F.col("__row")), "left")
+    out = out.unionByName(rest.withColumn("__gone", F.lit(None).cast("long")).withColumn("__row", F.lit(None).cast("long")).withColumn("__lines", F.lit(None).cast("array<int>")))
     parts = F.split(c["text"], "\n", -1)
     kept = F.filter(parts, lambda line, i: ~F.array_contains(F.col("__lines"), i))
     text = F.when(F.col("__lines").isNull(), F.col(c["text"])).otherwise(F.array_join(kept, "\n"))

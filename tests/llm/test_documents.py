@@ -122,6 +122,13 @@ def test_line_dedup_keeps_the_first(spark, max_keys):
     assert got == {1: "a\nX ", 2: "b", 3: "y"}
 
 
+@pytest.mark.parametrize("max_keys", [0, 1000])
+def test_line_dedup_of_rows_that_share_an_id(spark, max_keys):
+    rows = [(1, "a\nb\nx"), (1, "x\nc\nonly here"), (2, "x"), (1, "a\nb\nx")]
+    out = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), spark, max_keys=max_keys)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a\nb", 3, 1), (1, "a\nb", 3, 1), (1, "c\nonly here", 3, 1), (2, "", 1, 1)]
+
+
 def test_twice_filter_misses_nothing(spark, hostile):
     bits = line_dedup.filter_bits(10)
     packed = line_dedup.twice_filter(hostile.select("text"), bits)
