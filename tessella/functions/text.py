@@ -13,7 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -272,15 +273,39 @@ def toon_json(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+WORD = r"[A-Za-z_/.]{6,}"
+
+
 def dictionary(texts: list[str], least: int = 3, most: int = 32) -> dict[str, str]:
     """Short codes for the words that save most when replaced."""
     from collections import Counter
 
-    words = Counter(w for t in texts for w in re.findall(r"[A-Za-z_/.]{6,}", t))
+    words = Counter(w for t in texts for w in re.findall(WORD, t))
     gain = sorted(((n - 1) * (len(w) - 2) - len(w), w) for w, n in words.items() if n >= least)
     return {f"~{i}": w for i, (g, w) in enumerate(sorted(gain, key=lambda x: (-x[0], x[1]))[:most]) if g > 0}
 
 
+def dictionary_of(texts: DataFrame, column: str, least: int = 3, most: int = 32) -> dict[str, str]:
+    """``dictionary`` of a whole column; ``most`` words at most reach the driver."""
+    words = texts.select(F.explode(F.regexp_extract_all(column, F.lit(f"({WORD})"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    gain = words.where(F.col("n") >= least).select("w", ((F.col("n") - 1) * (F.length("w") - 2) - F.length("w")).alias("g")).where("g > 0")
+    return {f"~{i}": r["w"] for i, r in enumerate(gain.orderBy(F.desc("g"), "w").limit(most).collect())}
+
+
+def dictionary_round_trip(texts: DataFrame, column: str) -> DataFrame:
+    """(same, coded, plain) of every text: whether it decodes to itself, and both lengths."""
+    codes = dictionary_of(texts, column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            plain = b.column(0).to_pylist()
+            coded = [encode_dictionary(t, codes) for t in plain]
+            same = [decode_dictionary(c, codes) == t for c, t in zip(coded, plain)]
+            yield pa.RecordBatch.from_arrays([pa.array(same, pa.bool_()), pa.array(list(map(len, coded)), pa.int64()), pa.array(list(map(len, plain)), pa.int64())], names=["same", "coded", "plain"])
+
+    return texts.select(column).mapInArrow(run, "same boolean, coded long, plain long")
+
+
 def encode_dictionary(text: str, codes: dict[str, str]) -> str:
     for code, word in sorted(codes.items(), key=lambda x: -len(x[1])):
         text = text.replace(word, code + ";")

@@ -97,6 +97,27 @@ def test_content_hash_of_nulls(spark):
     assert got[0] == "811c9dc5050c5d1f" and got[1] is None and len(set(got)) == 4
 
 
+def test_dictionary_of_a_column_encodes_every_text(spark):
+    texts = [f"signature_{i % 3}(parameter, parameter) {i}" for i in range(120)]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert X.dictionary_of(d, "t") == X.dictionary(texts)
+    rows = X.dictionary_round_trip(d, "t").collect()
+    assert len(rows) == 120 and all(r.same and r.coded < r.plain for r in rows)
+
+
+def test_dictionary_query_reads_every_signature(spark):
+    from tessella import registry
+
+    seen = X.dictionary_round_trip
+    counts = []
+    X.dictionary_round_trip = lambda d, c: counts.append(d.count()) or seen(d, c)
+    try:
+        registry.queries()["x29_dictionary"](spark, "/root/testdata/sf0.001").collect()
+    finally:
+        X.dictionary_round_trip = seen
+    assert counts == [spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()]
+
+
 def test_dedent_and_comments(spark):
     d = spark.createDataFrame([("  a\n\n    b\n  c",), (None,), ("",)], "t string")
     assert [r[0] for r in d.select(X.dedent(F.col("t"))).collect()] == ["a\n\n  b\nc", None, ""]
