@@ -106,9 +106,8 @@ def _(r):
 
 @query("x19_dedent", "SELECT doc_id, text AS dedented FROM documents WHERE NOT regexp_matches(text, '[ \\t]\\n|\\n[ \\t]|^[ \\t]|[ \\t]$')")
 def _(r):
-    d = r.documents.where(~F.col("text").rlike(r"[ \t]\n|\n[ \t]|^[ \t]|[ \t]$"))
     indented = F.concat(F.lit("  "), F.replace("text", F.lit("\n"), F.lit("\n  ")))
-    return d.select("doc_id", X.dedent(indented).alias("dedented"))
+    return r.documents.select("doc_id", X.dedent(indented).alias("dedented"))
 
 
 @query("x19_no_comments", "SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (trim(line) <> '' AND NOT regexp_matches(trim(line), '^(//|#|/\\*|\\*)')), '') AS kept FROM lines GROUP BY doc_id")

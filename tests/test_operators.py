@@ -97,6 +97,21 @@ def test_content_hash_of_nulls(spark):
     assert got[0] == "811c9dc5050c5d1f" and got[1] is None and len(set(got)) == 4
 
 
+def test_dedent_query_has_every_document(spark, tmp_path):
+    from tessella import registry
+
+    texts = ["a\n  b\nc", "  a\n    b", "\ta\n\tb", "a  \nb\t", " \na", "a\n\n b", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def brute(text):
+        lines = text.split("\n")
+        cut = min((len(x) - len(x.lstrip(" ")) for x in lines if x.strip(" ")), default=0)
+        return "\n".join(x[cut:] if x.strip(" ") else "" for x in lines)
+
+    got = {r.doc_id: r.dedented for r in registry.queries()["x19_dedent"](spark, str(tmp_path)).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
+
+
 def test_dictionary_of_a_column_encodes_every_text(spark):
     texts = [f"signature_{i % 3}(parameter, parameter) {i}" for i in range(120)]
     d = spark.createDataFrame([(t,) for t in texts], "t string")
