@@ -3,6 +3,8 @@ grouped batches and connected components."""
 
 from __future__ import annotations
 
+import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,7 +40,8 @@ class Scratch:
 
     Writing cuts the lineage: a lost executor costs at most the step in hand.
     The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (a local session) is a temporary folder made.
+    unset in a local session is a temporary folder made, and on a cluster a
+    folder that the driver alone can see is refused.
     """
 
     def __init__(self, spark: SparkSession):
@@ -46,9 +49,13 @@ class Scratch:
         small_batches(spark)
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             root = _local_root()
         self.root = f"{root}/tessella-{uuid.uuid4().hex}"
         self.n = 0
+        self.live: set[str] = set()
+        _OPEN.append(self)
 
     def save(self, df: DataFrame, rows: int | None = None) -> DataFrame:
         """Written and read back; of a table known to have at most ``rows``
@@ -58,15 +65,48 @@ class Scratch:
         path = f"{self.root}/{self.n}"
         self.n += 1
         df.write.parquet(path)
+        self.live.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
+    def _delete(self, path: str) -> None:
+        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+        self.live.discard(path)
+
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(t._scratch_path)
+
+    def release(self, out: DataFrame) -> DataFrame:
+        """``out``, without the tables that its plan doesn't read any more."""
+        if self.live:
+            used = {m.group(1) for f in out.inputFiles() if (m := re.search(r"(/tessella-[0-9a-f]{32}/\d+)/", f))}
+            for path in [p for p in self.live if not any(p.endswith(u) for u in used)]:
+                self._delete(path)
+        return out
+
+    def close(self) -> None:
+        """Deletes all of its tables."""
+        if self.live:
+            self._delete(self.root)
+            self.live.clear()
+
+
+#: The scratch folders in use, so that a pipeline can delete those of a stage whose result is written.
+_OPEN: list[Scratch] = []
+
+
+def opened_since(n: int) -> list[Scratch]:
+    """Takes the scratch folders opened after the first ``n`` off the list."""
+    new = _OPEN[n:]
+    del _OPEN[n:]
+    return new
+
+
+def n_open() -> int:
+    return len(_OPEN)
 
 
 _ROOTS: list[str] = []
@@ -87,20 +127,42 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
-#: Buckets of ids that are broadcast at most.
-ID_BUCKETS = 1 << 18
+#: Bits of an id filter: for each id, of one slice (a row of the broadcast table), and at most (32 MB).
+BITS_PER_ID, SLICE_BITS, MAX_FILTER_BITS = 16, 1 << 20, 1 << 28
+
+
+def id_filter(ids: DataFrame, other: str, slices: int) -> DataFrame:
+    """(__at, __words): a Bloom filter of the ids in ``slices`` slices; an id
+    has two bits in one slice."""
+    one = ids.select(*_bits(other, slices)).select("__slice", F.explode(F.array("__p", "__q")).alias("p"))
+    one = one.select("__slice", F.expr("p div 64").alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("m"))
+    a_slice = SLICE_BITS // 64
+    every = ids.sparkSession.range(slices * a_slice).select(F.expr(f"id div {a_slice}").alias("__slice"), F.expr(f"id % {a_slice}").alias("w"), F.lit(0).cast("long").alias("m"))
+    words = one.unionByName(every).groupBy("__slice", "w").agg(F.bit_or("m").alias("m"))
+    return words.groupBy(F.col("__slice").alias("__at")).agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "m"))), lambda x: x["m"]).alias("__words"))
+
+
+def _bits(id_col: str, slices: int) -> list[Column]:
+    h = F.xxhash64(F.col(id_col).cast("long"))
+    part = lambda c, n: c.bitwiseAND(F.lit(n - 1).cast("long"))
+    return [part(h, slices).alias("__slice"), part(F.shiftrightunsigned(h, 20), SLICE_BITS).alias("__p"), part(F.shiftrightunsigned(h, 42), SLICE_BITS).alias("__q")]
 
 
-def id_split(df: DataFrame, id_col: str, ids: DataFrame, other: str) -> tuple[DataFrame, DataFrame]:
+def id_split(df: DataFrame, id_col: str, ids: DataFrame, other: str, scratch: Scratch, max_bits: int = MAX_FILTER_BITS) -> tuple[DataFrame, DataFrame]:
     """(rows that may have an id of ``ids``, rows that surely have none).
 
-    Only the ids' hash buckets are broadcast, ID_BUCKETS at most, so that rows
-    without a partner need no shuffle; the first part still needs its join."""
-    bucket = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(ID_BUCKETS)).cast("int")
-    some = F.broadcast(ids.select(bucket(other).alias("__bucket")).distinct())
-    keyed = df.withColumn("__in", bucket(id_col))
-    on = F.col("__in") == F.col("__bucket")
-    return keyed.join(some, on, "left_semi").drop("__in"), keyed.join(some, on, "left_anti").drop("__in")
+    Only a Bloom filter of the ids is broadcast, so that rows without a partner
+    need no shuffle; the first part still needs its join. The filter follows
+    the number of ids, BITS_PER_ID bits each, up to ``max_bits``: from there on
+    (16 million ids) more other rows pass, but none of these is lost."""
+    bits = min(max(1, ids.count()) * BITS_PER_ID, max_bits)
+    slices = 1 << max(0, math.ceil(math.log2(bits / SLICE_BITS)))
+    some = F.broadcast(scratch.save(id_filter(ids, other, slices), slices))
+    keyed = df.select("*", *_bits(id_col, slices))
+    bit = lambda p: F.getbit(F.get("__words", F.expr(f"cast({p} div 64 as int)")), F.expr(f"cast({p} % 64 as int)")) == 1
+    on = (F.col("__slice") == F.col("__at")) & bit("__p") & bit("__q")
+    own = ("__slice", "__p", "__q")
+    return keyed.join(some, on, "left_semi").drop(*own), keyed.join(some, on, "left_anti").drop(*own)
 
 
 def plain(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:

@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, size: int = 5, percent
 
     def with_sets(rows: DataFrame) -> DataFrame:
         rows = scratch.save(rows)
-        some, _ = id_split(docs.select(F.col("doc_id").cast("long").alias("__id"), "text"), "__id", rows, "node")
+        some, _ = id_split(docs.select(F.col("doc_id").cast("long").alias("__id"), "text"), "__id", rows, "node", scratch)
         texts = some.join(rows.hint("merge"), F.col("__id") == F.col("node")).select("node", "__blocks", "text")
         return texts.mapInPandas(lambda batches: _sets(batches, size), "node long, __blocks array<long>, set binary")
 
@@ -208,9 +208,10 @@ def keep_representatives(docs: DataFrame, spark: SparkSession, **options) -> Dat
     """The rows of ``docs`` but for near copies: of each group the document
     with the smallest doc_id stays. Rows with a null doc_id stay."""
     found = near_duplicates(docs.select("doc_id", "text"), spark, **options)
-    gone = Scratch(spark).save(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    scratch = Scratch(spark)
+    gone = scratch.save(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
     d, c = plain(docs)
-    some, rest = id_split(d, c["doc_id"], gone, "__gone")
+    some, rest = id_split(d, c["doc_id"], gone, "__gone", scratch)
     left = some.join(gone.hint("merge"), F.col(c["doc_id"]).cast("long") == F.col("__gone"), "left_anti")
     return rest.unionByName(left).toDF(*docs.columns)
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import language, licenses, line_dedup, mixing, near_dup, packing, registry, toxicity
-from tessella.llm.common import shingles, word_hashes
+from tessella.llm.common import Scratch, id_split, shingles, word_hashes
 
 SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -101,12 +101,12 @@ def brute_lines(rows, least):
     out = []
     for doc_id, text in rows:
         lines = (text or "").split("\n")
-        kept = [x for x in lines if doc_id is None or len(docs.get(key(x), ())) < least]
+        kept = [x for x in lines if len(docs.get(key(x), ())) < least]
         out.append((doc_id, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("options", [{}, {"max_keys": 0}, {"max_keys": 0, "max_bits": 1 << 20}])
+@pytest.mark.parametrize("options", [{}, {"max_keys": 0}, {"max_keys": 0, "most_ranges": 0}])
 @pytest.mark.parametrize("least", [2, 10])
 def test_line_dedup(spark, hostile, least, options):
     out = line_dedup.drop_lines(hostile, spark, min_docs=least, **options)
@@ -130,10 +130,43 @@ def test_line_dedup_of_rows_that_share_an_id(spark, max_keys):
 
 
 def test_twice_filter_misses_nothing(spark, hostile):
-    bits = line_dedup.filter_bits(10)
-    packed = line_dedup.twice_filter(hostile.select("text"), bits)
-    p = line_dedup.positions(line_dedup.key_hashes([b"copy of a common line"]), bits)
-    assert ((packed[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).all()
+    filters, sizes = line_dedup.twice_filters(hostile.select("text"), 0, Scratch(spark))
+    packed = np.frombuffer(zlib.decompress(filters.first()["twice"]), np.uint8)
+    assert line_dedup.holds(packed, line_dedup.key_hashes([b"copy of a common line"])).all()
+    assert sizes.first()["n"] == sum(len([k for k in line_dedup.keys(r.text) if k]) for r in hostile.collect())
+
+
+def test_filters_do_not_fill_up(spark):
+    """Small ranges stand for many lines: their number follows the lines."""
+    assert [line_dedup.range_bits(n, 1 << 12) for n in (0, 256, 257, 10**10)] == [0, 0, 1, 26]
+    rows = [(i, "\n".join([f"line {i} {k}" for k in range(60)] + ["hot line"] * 3 + [f"pair {i // 2}"])) for i in range(400)] + [(None, "hot line\nmine")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    lines = sum(len(t.split("\n")) for _, t in rows)
+    assert 1 << line_dedup.range_bits(lines, 1 << 12) >= lines * 16 / (1 << 12)
+    found = {}
+    for ways in ({"most_ranges": 1 << 20}, {"most_ranges": 0}, {"most_ranges": 0, "part": 1}):
+        at = line_dedup.suspects(d, spark, Scratch(spark), size=1 << 12, **ways)
+        found[str(ways)] = sorted(((r.doc_id, r.line, bytes(r.key)) for r in at.collect()), key=str)
+    first, *rest = found.values()
+    assert all(f == first for f in rest)
+    repeated = 400 * 4 + 1
+    assert repeated <= len(first) < repeated + 0.05 * (lines - repeated)
+    for options in ({"most_ranges": 0}, {"most_ranges": 0, "max_keys": 0, "part": 1}):
+        out = line_dedup.drop_lines(d, spark, **options)
+        got = {r.doc_id: (r["text"], r["__n_dropped"]) for r in out.collect()}
+        assert got[None] == ("mine", 1) and got[7] == ("\n".join(f"line 7 {k}" for k in range(60)), 4)
+
+
+@pytest.mark.parametrize("max_bits", [1 << 20, 1 << 22])
+def test_id_split_loses_none(spark, max_bits):
+    docs = spark.range(50_000).selectExpr("case when id % 1000 = 7 then null else id * 7919 end AS id", "id AS __slice2")
+    ids = spark.range(30_000, 80_000).selectExpr("id * 7919 AS other")
+    some, rest = id_split(docs, "id", ids, "other", Scratch(spark), max_bits)
+    inside = "id is not null and id >= 30000 * 7919"
+    assert some.where(inside).count() == 20_000 - 20 and rest.where(inside).count() == 0
+    assert some.count() + rest.count() == 50_000
+    if max_bits > 1 << 20:
+        assert some.count() < 20_000 * 1.1
 
 
 def test_packing(spark, hostile):
