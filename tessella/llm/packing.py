@@ -30,6 +30,11 @@ CAPACITY, END = 1024, 2
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Texts of these characters only are sure to be split alike by both libraries.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\u00a1-\u024f\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u2010-\u2027\u4e00-\u9fa5]*")
+#: Runs of white space on which the faster library's pattern engine overflows its stack are far longer than this.
+_LONG_RUN = re.compile(r"\s{4096}")
+#: Characters after which a long text is cut, at the next place where any tokenisation starts anew.
+SEGMENT = 1 << 20
+_CUT = re.compile(r"[A-Za-z0-9](?= [A-Za-z0-9])")
 
 
 class Encoder:
@@ -37,7 +42,8 @@ class Encoder:
 
     The ranks file holds the same vocabulary for a faster library; it serves
     texts on which both agree. Texts with other characters, with the spelling
-    of the special token or with very long runs go to the tokenizer itself."""
+    of the special token or with very long runs of white space go to the
+    tokenizer itself. Long texts are encoded in segments."""
 
     def __init__(self, tokenizer: str, ranks: str | None):
         import base64
@@ -55,12 +61,21 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast is not None and "<|endoftext|>" not in text and _PLAIN.fullmatch(text):
-            try:
-                return self.fast.encode_ordinary(text)
-            except Exception as e:  # its pattern engine gives up on very long runs
-                if "regex" not in str(e).lower() and "backtrack" not in str(e).lower():
-                    raise
+        if len(text) <= SEGMENT:
+            return self._segment(text)
+        out: list[int] = []
+        at = 0
+        while at < len(text):
+            # a token never holds a letter or digit and the space after it
+            cut = _CUT.search(text, at + SEGMENT)
+            end = cut.end() if cut else len(text)
+            out.extend(self._segment(text[at:end]))
+            at = end
+        return out
+
+    def _segment(self, text: str) -> list[int]:
+        if self.fast is not None and "<|endoftext|>" not in text and _PLAIN.fullmatch(text) and not _LONG_RUN.search(text):
+            return self.fast.encode_ordinary(text)
         return self.slow.encode(text, add_special_tokens=False).ids
 
 
@@ -132,16 +147,28 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return runs
 
 
+#: Pieces of one length that one task ranks, about.
+RANKED_TOGETHER = 50_000
+
+
 def pack(docs: DataFrame, spark: SparkSession, capacity: int = CAPACITY, **options) -> DataFrame:
-    """The pieces of ``docs`` with sequence_id and offset."""
+    """The pieces of ``docs`` with sequence_id and offset.
+
+    A piece of ``capacity`` tokens is a sequence of its own, numbered from -1
+    down without a rank; the planned sequences are numbered from 0."""
     scratch = Scratch(spark)
     p = scratch.save(pieces(docs, capacity, **options))
     counts = {r["length"]: r["n"] for r in p.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    counts.pop(capacity, None)
+    full = p.where(F.col("length") == capacity).select(*p.columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     runs = spark.createDataFrame(plan(counts, capacity) or [], "at_length long, lo long, hi long, first_sequence long, offset long")
-    ranked = running_sum(p.withColumn("__one", F.lit(1).cast("long")), ["length"], F.pmod(F.xxhash64("doc_id", "piece"), F.lit(512)), ["doc_id", "piece", "ids_crc32"], "__one", "__rank").drop("__one")
+    buckets = max(1, -(-max(counts.values(), default=1) // RANKED_TOGETHER))
+    some = p.where(F.col("length") < capacity).withColumn("__one", F.lit(1).cast("long"))
+    ranked = running_sum(some, ["length"], F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)), ["doc_id", "piece", "ids_crc32"], "__one", "__rank").drop("__one")
     # the plan's rows follow the number of lengths, not of documents
     placed = ranked.join(F.broadcast(runs), (F.col("length") == F.col("at_length")) & (F.col("__rank") >= F.col("lo")) & (F.col("__rank") < F.col("hi")))
-    return placed.select(*p.columns, (F.col("first_sequence") + F.col("__rank") - F.col("lo")).alias("sequence_id"), "offset")
+    placed = placed.select(*p.columns, (F.col("first_sequence") + F.col("__rank") - F.col("lo")).alias("sequence_id"), "offset")
+    return scratch.release(full.unionByName(placed))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,6 +223,24 @@ def test_encoder_agrees_with_the_tokenizer():
         assert e(text) == e.slow.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("unit", [" ", "\n", "\t", "a", "1", "!", "a b\n", "word 12 it's, "])
+def test_encoder_on_a_million_characters(unit):
+    import public_tokenizers
+
+    e = packing.Encoder(public_tokenizers.path(packing.TOKENIZER), public_tokenizers.path(packing.RANKS))
+    text = "x " + unit * (1_500_000 // len(unit)) + "\ny"
+    assert e(text) == e.slow.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "some words here "])
+def test_encoder_on_ten_million_characters(unit):
+    import public_tokenizers
+
+    e = packing.Encoder(public_tokenizers.path(packing.TOKENIZER), public_tokenizers.path(packing.RANKS))
+    n = len(e(unit * (10_000_000 // len(unit))))
+    assert n == {" ": 10_000_000, "\n": 5_000_000}.get(unit, n) and n > 1_800_000
+
+
 def test_mixing_targets_and_pieces(spark, hostile):
     f = mixing.fragments(hostile, spark, block_words=50)
     rows = f.collect()
