@@ -1,17 +1,20 @@
 """Toxicity by a weighted lexicon (operator 1).
 
 Text is folded first: lower case, accents and homoglyphs to their Latin
-letter, digits that stand for letters to those, other signs to one space. The
-lexicon's entries are whole words and word beginnings; an Aho-Corasick
-automaton finds them, at each word the longest. A match inside an exception
-phrase doesn't count. The weights' sum, alone and by length, gives the score.
+letter, digits and signs that stand for letters to those, other signs to one
+space. The lexicon's entries are whole words and word beginnings; an
+Aho-Corasick automaton finds them, at each word the longest. A match inside an
+exception phrase doesn't count. The score comes from the matches' weight a word
+of the text, and from the most weight that WINDOW characters in a row hold: a
+long text gains nothing by its length.
 
 Learned from labelled rows that aren't held out: at most ``max_positive`` toxic
 and ``max_negative`` clean ones, those with the smallest hashes of their ids.
-Entries are the words and beginnings that log-odds set apart, weighted by
-them; exception phrases are pairs of neighbouring words, one of them an entry,
-that the clean rows hold and the toxic ones hardly do. The score's two
-coefficients are fitted on a third of those rows that the lexicon hasn't seen.
+Entries (MAX_TERMS at most) are the words and beginnings that log-odds set
+apart, weighted by them; exception phrases (MAX_EXCEPTIONS at most) are pairs of
+neighbouring words, one of them an entry, that the clean rows hold and the toxic
+ones hardly do. The score's two coefficients are fitted on a third of those rows
+that the lexicon hasn't seen.
 
 Null and empty texts score as text without matches. Without labels of both
 kinds the lexicon is empty and all rows score 0. Repeated rows score alike.
@@ -32,17 +35,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, mix64, shingles, small_batches
+from .common import Scratch, crc_mod, mix64, shingles, small_batches
 
 MAX_POSITIVE, MAX_NEGATIVE, MAX_TERMS, MAX_EXCEPTIONS = 6000, 12000, 4000, 1000
 PREFIXES = (4, 5, 6, 7)
+#: Characters of folded text in which matches are seen together.
+WINDOW = 400
 #: Letters that look like Latin ones, by Unicode code point order.
 HOMOGLYPHS = str.maketrans(
-    "αβγεηικνορτυχωабгезикморстухіјѕһԁԛԝɑɡɩʀꓲℓ",
-    "abyenikvoptuxwa6resukmopctyxijshdqwagirll",
+    "αβγεηικνορτυχωабвгезикмнопрстухьіјѕһԁԛԝɑɡɩʀꓲℓ",
+    "abyenikvoptuxwabbresukmhonpctyxbijshdqwagirll",
 )
-#: Digits and signs written for letters.
-DIGITS = str.maketrans("0134578@$", "oieastbas")
+#: Digits and signs written for letters; the last two only within a word.
+DIGITS = str.maketrans("0123456789@$", "oizeasgtbgas")
+_INNER = re.compile(r"(?<=[A-Za-z0-9])[!|](?=[A-Za-z0-9])")
 _OTHER = {i: " " for i in range(128) if not chr(i).isalnum()}
 _ASCII = {**{ord(a): a.lower() for a in map(chr, range(65, 91))}, **_OTHER, **DIGITS}
 _NON_ASCII = re.compile(r"[^\x00-\x7f]+")
@@ -67,6 +73,8 @@ def fold(text: str | None) -> str:
         return " "
     if not text.isascii():
         text = _NON_ASCII.sub(_fold_run, text)
+    if "!" in text or "|" in text:
+        text = _INNER.sub("i", text)
     return f" {' '.join(text.translate(_ASCII).split())} "
 
 
@@ -100,16 +108,33 @@ class Lexicon:
                     spared.append((at, end))
                 elif best.get(at, 0) < n:
                     best[at] = n
-            if spared:
-                best = {at: n for at, n in best.items() if not any(s <= at < e for s, e in spared)}
-            return [(at, text[at : at + n]) for at, n in best.items()]
+            if not spared:
+                return [(at, text[at : at + n]) for at, n in sorted(best.items())]
+            # both in order of their places; what starts before the furthest end of a phrase is inside one
+            out, reach = [], -1
+            phrases = iter(sorted(spared))
+            phrase = next(phrases, None)
+            for at, n in sorted(best.items()):
+                while phrase is not None and phrase[0] <= at:
+                    reach = max(reach, phrase[1])
+                    phrase = next(phrases, None)
+                if at >= reach:
+                    out.append((at, text[at : at + n]))
+            return out
 
         return match
 
-    def features(self, text: str, match) -> tuple[float, float]:
-        """Weight a word (by length) and weight, both damped."""
-        total = sum(self.weights[t] for _, t in match(text))
-        return math.sqrt(total / max(1, text.count(" ") - 1)), math.log1p(total)
+    def features(self, text: str, found: list[tuple[int, str]]) -> tuple[float, float]:
+        """Weight a word (by length), and the most weight in a window, both damped."""
+        weights = [self.weights[t] for _, t in found]
+        most = inside = first = 0
+        for (at, _), w in zip(found, weights):
+            inside += w
+            while found[first][0] < at - WINDOW:
+                inside -= weights[first]
+                first += 1
+            most = max(most, inside)
+        return math.sqrt(sum(weights) / max(1, text.count(" ") - 1)), math.log1p(most)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         a, b, c = self.scale
@@ -126,14 +151,14 @@ def _terms(text: str) -> set[str]:
 
 
 def _count(df: DataFrame, schema: str, of) -> DataFrame:
-    """Documents by term and label: ``of(text)`` gives a document's terms."""
+    """Documents by term and label: ``of(text)`` gives the terms of a folded text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c: tuple[Counter, Counter] = (Counter(), Counter())
         flush = lambda: pd.DataFrame([(t, int(c[1][t]), int(c[0][t])) for t in c[0].keys() | c[1].keys()], columns=["term", "pos", "neg"])
         for b in batches:
             for text, y in zip(b["text"], b["y"]):
-                c[y].update(of(fold(text)))
+                c[y].update(of(text))
                 if len(c[0]) + len(c[1]) > 500_000:
                     yield flush()
                     c[0].clear(), c[1].clear()
@@ -185,27 +210,16 @@ class _Neighbours:
         return out
 
 
-def learn(docs: DataFrame, labelled: DataFrame, spark: SparkSession, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, threshold: float = 0.7) -> Lexicon:
-    """docs: (doc_id, text); labelled: (doc_id, y), held-out rows left out."""
-    small_batches(spark)
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    # the bounds are the numbers of labelled rows a lexicon is fitted on, whatever the input
-    ids = [r for y, n in ((1, max_positive), (0, max_negative)) for r in labelled.where(F.col("y") == y).select("doc_id", "y").distinct().orderBy(*order).limit(n).collect()]
-    if len({r["y"] for r in ids}) < 2:
-        return Lexicon({})
-    chosen = spark.createDataFrame([(r["doc_id"], r["y"]) for r in ids], "id long, y int")
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "text", "y", (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(3)) == 0).alias("tune"))
-    copies = _copies(rows.where("y = 1"))
-    rows = rows.where(~F.col("id").isin(copies)) if copies else rows
-    fit = rows.where("not tune")
-    size = {r["y"]: r["n"] for r in fit.groupBy("y").agg(F.count("*").alias("n")).collect()}
+def _lexicon(rows: DataFrame) -> Lexicon:
+    """The entries and exception phrases of rows (text, y), a bounded number."""
+    size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pos, neg = size.get(1, 0), size.get(0, 0)
     if not pos or not neg:
         return Lexicon({})
     least = max(3, math.ceil(pos / 80))
-    seen = _count(fit.where("y = 1"), "term string, pos long, neg long", _terms).where(F.col("pos") >= least).orderBy(F.desc("pos"), "term").limit(20 * MAX_TERMS).collect()
+    seen = _count(rows.where("y = 1"), "term string, pos long, neg long", _terms).where(F.col("pos") >= least).orderBy(F.desc("pos"), "term").limit(20 * MAX_TERMS).collect()
     candidates = {r["term"]: r["pos"] for r in seen}
-    against = {r["term"]: r["neg"] for r in _count(fit.where("y = 0"), "term string, pos long, neg long", lambda t: _terms(t) & candidates.keys()).collect()}  # the candidates only
+    against = {r["term"]: r["neg"] for r in _count(rows.where("y = 0"), "term string, pos long, neg long", lambda t: _terms(t) & candidates.keys()).collect()}  # the candidates only
     odds = lambda n, of: math.log((n + 0.5) / (of - n + 0.5))
     strong = {}
     for t, n in candidates.items():
@@ -216,20 +230,48 @@ def learn(docs: DataFrame, labelled: DataFrame, spark: SparkSession, max_positiv
     # an entry that a shorter beginning finds as surely adds nothing
     kept = {t: w for t, w in strong.items() if not any(t.startswith(p) and strong[p] >= w for n in PREFIXES if (p := t[: n + 1]) != t and p in strong)}
     lex = Lexicon(dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:MAX_TERMS]))
+    if lex.weights:
+        spared = _count(rows, "term string, pos long, neg long", _Neighbours(lex)).where((F.col("neg") >= max(3, neg // 2000)) & (F.col("neg") / neg > 3 * F.col("pos") / pos)).orderBy(F.desc("neg"), "term").limit(MAX_EXCEPTIONS).collect()
+        lex.exceptions = [r["term"] for r in spared]
+    return lex
+
+
+def learn(docs: DataFrame, labelled: DataFrame, spark: SparkSession, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, threshold: float = 0.7) -> Lexicon:
+    """docs: (doc_id, text); labelled: (doc_id, y), held-out rows left out."""
+    small_batches(spark)
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    # the bounds are the numbers of labelled rows a lexicon is fitted on, whatever the input
+    ids = [r for y, n in ((1, max_positive), (0, max_negative)) for r in labelled.where(F.col("y") == y).select("doc_id", "y").distinct().orderBy(*order).limit(n).collect()]
+    if len({r["y"] for r in ids}) < 2:
+        return Lexicon({})
+    chosen = spark.createDataFrame([(r["doc_id"], r["y"]) for r in ids], "id long, y int")
+    scratch = Scratch(spark)
+    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "text", "y", (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(3)) == 0).alias("tune"))
+
+    def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(text=[fold(t) for t in b["text"]])
+
+    rows = scratch.save(rows.mapInPandas(folded, rows.schema))  # the only pass over all documents
+    copies = _copies(rows.where("y = 1"))
+    rows = rows.join(F.broadcast(spark.createDataFrame([(x,) for x in copies], "copy long")), F.col("id") == F.col("copy"), "left_anti")
+    lex = _lexicon(rows.where("not tune"))
     if not lex.weights:
+        scratch.close()
         return lex
 
-    spared = _count(fit, "term string, pos long, neg long", _Neighbours(lex)).where((F.col("neg") >= max(3, neg // 2000)) & (F.col("neg") / neg > 3 * F.col("pos") / pos)).orderBy(F.desc("neg"), "term").limit(MAX_EXCEPTIONS).collect()
-    lex.exceptions = [r["term"] for r in spared]
-
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find = lex.matcher()
         for b in batches:
-            x = [lex.features(fold(t), find) for t in b["text"]]
+            x = [lex.features(t, find(t)) for t in b["text"]]
             yield pd.DataFrame({"y": b["y"], "a": [p[0] for p in x], "b": [p[1] for p in x]})
 
     tuned = rows.where("tune").select("text", "y").mapInPandas(features, "y int, a double, b double").toPandas()
-    lex.scale = _fit(tuned[["a", "b"]].to_numpy(), tuned["y"].to_numpy(), threshold)
+    scale = _fit(tuned[["a", "b"]].to_numpy(), tuned["y"].to_numpy(), threshold)
+    # the score is fitted; the lexicon may now have the rows that it was fitted on
+    lex = _lexicon(rows)
+    lex.scale = scale
+    scratch.close()
     return lex
 
 
@@ -271,8 +313,7 @@ def score(docs: DataFrame, spark: SparkSession, lexicon: Lexicon) -> DataFrame:
             for text in b["text"]:
                 t = fold(text)
                 found = find(t)
-                total = sum(lex.weights[m] for _, m in found)
-                x.append((math.sqrt(total / max(1, t.count(" ") - 1)), math.log1p(total)))
+                x.append(lex.features(t, found))
                 n.append(len(found))
                 top.append([m.strip() for m, _ in Counter(m for _, m in found).most_common(5)])
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": lex.score(np.array(x)) if x else [], "n_matches": n, "matches": top})
@@ -289,7 +330,7 @@ def drop(docs: DataFrame, spark: SparkSession, lexicon: Lexicon, threshold: floa
         lex: Lexicon = shared.value
         find = lex.matcher()
         for b in batches:
-            x = [lex.features(fold(t), find) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            x = [lex.features(t, find(t)) for t in map(fold, b.column(b.schema.get_field_index("text")).to_pylist())]
             yield b.filter(pa.array(lex.score(np.array(x).reshape(-1, 2)) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -310,6 +310,41 @@ def test_fold_and_exceptions():
     assert [t for _, t in match(toxicity.fold("trash can trash lowering"))] == [" trash ", " lowe"]
 
 
+def test_fold_signs_and_homoglyphs():
+    assert toxicity.fold("\u0412\u0410\u041d\u041d b!t sh|p 6a9 2oo wow! a|") == " bahh bit ship gag zoo wow a "
+
+
+def naive_matches(lex, text):
+    """Every place against every entry and phrase."""
+    best = {}
+    for term in lex.weights:
+        for at in range(len(text)):
+            if text.startswith(term, at) and len(term) > len(best.get(at, "")):
+                best[at] = term
+    spared = [(at, at + len(p) + 1) for p in lex.exceptions for at in range(len(text)) if text.startswith(f" {p} ", at)]
+    return [(at, t) for at, t in sorted(best.items()) if not any(s <= at < e for s, e in spared)]
+
+
+def test_matches_and_scores_against_a_naive_matcher():
+    rng = np.random.default_rng(4)
+    words = ["ab", "abc", "abcd", "bcd", "cab", "dab", "abab", "x"]
+    for _ in range(200):
+        lex = toxicity.Lexicon({(f" {w} " if rng.integers(2) else f" {w}"): float(rng.integers(1, 5)) for w in rng.choice(words, 4)}, [" ".join(rng.choice(words, 2)) for _ in range(3)], (1.0, 1.0, -3.0))
+        text = toxicity.fold(" ".join(rng.choice(words, 150)))
+        found = lex.matcher()(text)
+        assert found == naive_matches(lex, text)
+        weights = [lex.weights[t] for _, t in found]
+        most = max([sum(w for (b, _), w in zip(found, weights) if at - toxicity.WINDOW <= b <= at) for at, _ in found], default=0)
+        a, b = lex.features(text, found)
+        assert a == pytest.approx(np.sqrt(sum(weights) / 150)) and b == pytest.approx(np.log1p(most))
+    long = toxicity.fold("ab abc x " * 100_000)  # many matches, many phrases
+    lex = toxicity.Lexicon({" ab": 1.0}, ["ab abc"])
+    assert lex.matcher()(long) == []
+    clean, much = toxicity.Lexicon({" bad ": 2.0}, [], (1.0, 1.0, -2.0)), " good" * 2000 + " "
+    short, twice = clean.features(" bad" + much, clean.matcher()(" bad" + much)), clean.features(" bad" + much + "bad" + much, clean.matcher()(" bad" + much + "bad" + much))
+    assert twice[1] == short[1] and twice[0] <= short[0]
+
+
 def test_toxicity_separates(spark):
     rng = np.random.default_rng(2)
     vocabulary = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(400)]
@@ -353,6 +388,42 @@ def test_language(spark, hostile):
     assert all(r.lang_pred == ("en" if r.doc_id % 2 else "de") for r in right)
 
 
+@pytest.mark.parametrize("n", [3, 40])
+def test_language_scores_are_those_of_averaged_embeddings(n):
+    """Few languages use the folded table, many the embeddings themselves."""
+    rng = np.random.default_rng(n)
+    m = language.Model([f"l{i:02}" for i in range(n)], rng.normal(size=(language.BUCKETS, language.DIM)).astype(np.float32), rng.normal(size=(language.DIM, n)).astype(np.float32), rng.normal(size=n), 1.7)
+    texts = ["Some words of a text", "été déjà vu", "x", "12 34", None, "", "long " * 60_000]
+    langs, scores = m.predict(texts)
+    for text, lang, score in zip(texts, langs, scores):
+        grams = []
+        padded = f" {text.lower()} " if text else ""
+        spaced = "".join(c if c.isalpha() else "\0" for c in padded)
+        for k in (2, 3, 4):
+            for i in range(len(spaced) - k + 1):
+                g = spaced[i : i + k]
+                if "\0" not in g[1:-1] and g.strip("\0"):
+                    h = 0
+                    for j, c in enumerate(g):
+                        h = (h * 0x100000001B3 + (0 if c == "\0" else ord(c)) + (j + 1 if j else 0)) % 2**64
+                    grams.append((h * 0x9E3779B97F4A7C15 % 2**64) >> (64 - 15))
+        if not any(c.isalpha() for c in text or ""):
+            assert (lang, score) == ("und", 0)
+            continue
+        z = np.mean([m.embedding[b].astype(float) for b in grams], axis=0) @ m.weights + m.bias
+        p = np.exp(z / 1.7 - max(z / 1.7))
+        assert lang == m.langs[int(z.argmax())] and score == pytest.approx((p / p.sum()).max(), rel=1e-3)
+
+
+def test_language_training_is_bounded(spark):
+    rows = [(i, ("wort" if i % 50 else "mot") + f" l{i % 50} " * (40_000 if i < 5 else 30), f"l{i % 50}") for i in range(1000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(d, max_rows=100)
+    assert len(model.langs) == 50 and not model.folded
+    for text in (rows[3][1], "x" * 10**6, "a b", ""):
+        assert all(len(p) <= language.PIECE for p in language.pieces_of(text, np.random.default_rng(0)))
+
+
 def test_language_segments_add_up(monkeypatch):
     text = "Grüße aus der Stadt, und noch mehr Wörter hier " * 40
     whole = np.sort(np.concatenate(list(language.subwords(text))))
