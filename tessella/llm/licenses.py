@@ -9,20 +9,20 @@ short license notices. A block is found if it holds a template's word set to
 its ``DECIDING`` words; in a run they must stand in a row of as many words as
 the template has with one foreign word in five. A run is twice as long as the
 longest such row, and the next one starts at its middle, so every row lies in
-one of them. Only texts that hold a template's deciding words, and one of as
-many others as it can't be without, are cut into runs. The join is the usual
-exact one for that measure:
-
-* tokens are ordered by their frequency over all blocks, rarest first;
-* prefix filter: of a template of n tokens that needs o shared ones, one of
-  its n - o + 1 rarest must be in the block;
+one of them. The join is the usual exact one for that measure:
+
+* the templates' words are ordered by the number of documents that hold them
+  (as part of a word, which is counted without taking texts apart), rarest
+  first; any order gives the same result;
+* prefix filter: of a template of n words that needs o shared ones, one of its
+  n - o + 1 rarest must be in the block. It is asked of the whole text first,
+  then of the block, and only blocks that pass are taken apart;
 * length filter: a block with fewer than o distinct words can't reach o;
-* positional filter: the first shared token, at place p in the template's
+* positional filter: the first shared word, at place p in the template's
   order, leaves at most n - p shared ones;
 * verification counts the shared words exactly.
 
-Templates are a fixed, short table, and so is what is broadcast. Only blocks
-with a prefix token are ever taken apart.
+Templates are a fixed, short table, and so is what is broadcast.
 
 Beside it, ``BASE`` phrases are found wherever their words stand consecutively.
 Null and empty texts have no words, no labels and the score 0. Repeated rows
@@ -77,8 +77,7 @@ def words(text: Column) -> Column:
 
 def n_words(text: Column) -> Column:
     """Their number, without an array of them."""
-    bare = F.trim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), _OTHER, " "))
-    return F.when(bare == "", F.lit(0)).otherwise(F.length(bare) - F.length(F.replace(bare, F.lit(" "))) + 1).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
 
 
 def phrase_places(ws: Column, phrase: str) -> Column:
@@ -104,80 +103,108 @@ def _span(text: str) -> int:
     return math.ceil(len(text.split()) / THRESHOLD)
 
 
-def _runs(docs: DataFrame, known: Column, templates: Sequence[tuple[str, str]], needs: Sequence[int]) -> DataFrame:
-    """(row, block, n, ws, run): overlapping runs of words of the paragraphs with
-    several lines, if they hold enough words of some template. Block is -1 for
+class Notice:
+    """A template with its words, rarest first, and what a block needs of them."""
+
+    def __init__(self, label: str, text: str, threshold: float):
+        self.label, self.text = label, text
+        self.words = _tokens(text)
+        self.need = max(1, math.ceil(round(threshold * len(self.words), 9)))
+        self.must = list(DECIDING.get(text, ()))
+        self.span = _span(text)
+
+    def order(self, df: dict[str, int]) -> None:
+        self.words.sort(key=lambda w: (df[w], w))
+        self.prefix = self.words[: len(self.words) - self.need + 1]
+
+    def may(self, text: Column) -> Column:
+        """Whether a lower-cased text holds the deciding words and one of the prefix, if only as parts of words."""
+        return reduce(and_, [text.contains(w) for w in self.must], reduce(or_, [text.contains(w) for w in self.prefix]))
+
+
+def _any(notices: Sequence[Notice], text: Column) -> Column:
+    # the most selective first: evaluation stops at what decides
+    return reduce(or_, [n.may(text) for n in notices], F.lit(False))
+
+
+def _blank(text: Column, but: str = "") -> Column:
+    """The text with every other character than those of words, and ``but``, as spaces."""
+    return F.regexp_replace(text, _OTHER.replace(r"\x00-", r"\x00-\x09\x0B-") if but else _OTHER, " ")
+
+
+def _lines(texts: DataFrame, notices: Sequence[Notice]) -> DataFrame:
+    """(id, text_hash, block, ws, run): the lines that pass the prefix filter."""
+    d = texts.select("id", "text_hash", F.posexplode(F.split("low", "\n", -1)).alias("block", "line")).where(_any(notices, F.col("line")))
+    d = d.select("id", "text_hash", "block", F.array_distinct(F.split(F.trim(_blank(F.col("line"))), " ")).alias("ws"))
+    return d.withColumn("run", F.lit(None).cast("array<string>"))
+
+
+def _runs(texts: DataFrame, notices: Sequence[Notice]) -> DataFrame:
+    """(id, text_hash, block, ws, run): overlapping runs of words of the
+    paragraphs with several lines that pass the prefix filter. Block is -1 for
     the first paragraph, -2 for the second."""
-    span = max((_span(x) for _, x in templates), default=1)
-    text, some = lower_ascii(F.col("text")), F.lit(False)
-    for (_, x), need in zip(templates, needs):
-        tokens, must = _tokens(x), DECIDING.get(x, ())
-        # a text without any of these words, or not with all deciding ones, can't reach the template
-        least = [F.col("text").contains(w) for w in sorted(tokens, key=lambda w: (-len(w), w))[: len(tokens) - need + 1]]
-        some = some | reduce(and_, [F.col("text").contains(w) for w in must], reduce(or_, least))
-    d = docs.where(F.col("text").contains("\n")).select("row", text.alias("text")).where(some)
-    bare = F.regexp_replace("text", _OTHER.replace(r"\x00-", r"\x00-\x09\x0B-"), " ")
-    paragraphs = F.split(F.regexp_replace(bare, " *\n *", "\n"), "\n\n+")
-    d = d.select("row", F.posexplode(paragraphs).alias("at", "text")).withColumn("text", F.trim("text", F.lit(" \n"))).where(F.col("text").contains("\n"))
-    d = d.select("row", (-1 - F.col("at")).alias("block"), F.split("text", "[ \n]+").alias("ws"))
+    span = max((n.span for n in notices), default=1)
+    paragraphs = F.split(F.regexp_replace(_blank(F.col("low"), "\n"), " *\n *", "\n"), "\n\n+")
+    d = texts.where(F.col("low").contains("\n")).select("id", "text_hash", F.posexplode(paragraphs).alias("at", "text"))
+    d = d.withColumn("text", F.trim("text", F.lit(" \n"))).where(F.col("text").contains("\n") & _any(notices, F.col("text")))
+    d = d.select("id", "text_hash", (-1 - F.col("at")).alias("block"), F.split("text", "[ \n]+").alias("ws"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("ws") - span, F.lit(1)), F.lit(span))
-    d = d.select("row", "block", F.explode(F.transform(starts, lambda i: F.slice(F.col("ws"), i, F.lit(2 * span)))).alias("run"))
-    enough = lambda ws: reduce(or_, [F.size(F.array_intersect(ws, F.array(*map(F.lit, _tokens(x))))) >= need for (_, x), need in zip(templates, needs)])
-    d = d.where(F.exists(F.array(F.array_intersect("run", known)), enough))
-    return d.select("row", "block", F.size(F.array_distinct("run")).alias("n"), F.array_intersect("run", known).alias("ws"), "run")
+    d = d.select("id", "text_hash", "block", F.explode(F.transform(starts, lambda i: F.slice(F.col("ws"), i, F.lit(2 * span)))).alias("run"))
+    return d.select("id", "text_hash", "block", F.array_distinct("run").alias("ws"), "run")
+
+
+def document_frequencies(docs: DataFrame, words: Sequence[str]) -> dict[str, int]:
+    """Documents that hold each word, if only as part of another: one pass, one row of counts."""
+    low = docs.select(F.lower("text").alias("low")).where("low is not null")
+    row = low.agg(*[F.coalesce(F.sum(F.col("low").contains(w).cast("long")), F.lit(0)) for w in words]).first()
+    return dict(zip(words, row))
 
 
 def matches(docs: DataFrame, spark: SparkSession, scratch: Scratch, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(row, block, template, label, containment): every text block that
-    reaches the containment threshold. Blocks from 0 are lines, below 0
-    paragraphs. ``docs``: (row, text)."""
-    universe = sorted({t for _, x in templates for t in _tokens(x)})
-    lines = docs.where("text is not null").select("row", F.posexplode(F.split("text", "\n", -1)).alias("block", "line"))
-    lowered = lines.select("row", "block", F.concat(F.lit(" "), F.regexp_replace(lower_ascii(F.col("line")), _OTHER, " "), F.lit(" ")).alias("line"))
-    known = F.array(*[F.lit(t) for t in universe])
-    # of a block only the templates' words count, and its number of distinct words
-    sets = [_tokens(x) for _, x in templates]
-    needs = [max(1, math.ceil(round(threshold * len(x), 9))) for x in sets]
-    blocks = lowered.select("row", "block", F.array_distinct(F.split(F.trim("line"), " ")).alias("ws")).select("row", "block", F.size("ws").alias("n"), F.array_intersect("ws", known).alias("ws")).where(F.size("ws") > 0)
-    blocks = blocks.withColumn("run", F.lit(None).cast("array<string>")).unionByName(_runs(docs, known, templates, needs))
-    blocks = scratch.save(blocks)
-    df = {r["w"]: r["n"] for r in blocks.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}  # the templates' words only
-    rows = []
-    for t, (label, text) in enumerate(templates):
-        order = sorted(sets[t], key=lambda w: (df.get(w, 0), w))
-        need, must = needs[t], list(DECIDING.get(text, ()))
-        for place, w in enumerate(order[: len(order) - need + 1]):
-            rows.append((w, place, t, label, order, len(order), need, must, _span(text)))
+    """(id, text_hash, block, template, label, containment): every text block
+    that reaches the containment threshold. Blocks from 0 are lines, below 0
+    paragraphs. ``docs``: (id, text_hash, text)."""
+    notices = [Notice(label, text, threshold) for label, text in templates]
+    df = document_frequencies(docs, sorted({w for n in notices for w in n.words}))
+    for n in notices:
+        n.order(df)
+    ordered = sorted(notices, key=lambda n: min((df[w] for w in n.must), default=sum(df[w] for w in n.prefix)), reverse=True)
+    rows = [(w, place, t, n.label, n.words, len(n.words), n.need, n.must, n.span) for t, n in enumerate(notices) for place, w in enumerate(n.prefix)]
     index = spark.createDataFrame(rows, "w string, place int, template int, label string, tokens array<string>, size int, need int, must array<string>, span int")
     prefix = F.array(*[F.lit(w) for w in sorted({r[0] for r in rows})])
-    probe = blocks.where(F.arrays_overlap("ws", prefix)).select("row", "block", "n", "ws", "run", F.explode(F.array_intersect("ws", prefix)).alias("w"))
-    found = probe.join(F.broadcast(index), "w").where((F.col("n") >= F.col("need")) & (F.col("size") - F.col("place") >= F.col("need")))
+    # lower() finds whatever the contract's lower-casing finds; what passes is lower-cased exactly
+    texts = docs.where(_any(ordered, F.lower("text"))).select("id", "text_hash", lower_ascii(F.col("text")).alias("low"))
+    texts = scratch.save(texts)
+    blocks = _lines(texts, ordered).unionByName(_runs(texts, ordered))
+    probe = blocks.select("*", F.explode(F.array_intersect("ws", prefix)).alias("w"))
+    found = probe.join(F.broadcast(index), "w").where((F.size("ws") >= F.col("need")) & (F.col("size") - F.col("place") >= F.col("need")))
     shared = lambda ws: F.when(F.size(F.array_except("must", ws)) == 0, F.size(F.array_intersect(ws, "tokens"))).otherwise(0)
     found = found.where(shared(F.col("ws")) >= F.col("need"))
     # in a run the words must stand within the template's span
     rows_of = F.transform(F.sequence(F.lit(1), F.size("run")), lambda i: shared(F.slice(F.col("run"), i, F.col("span"))))
     found = found.withColumn("shared", F.when(F.col("run").isNull(), shared(F.col("ws"))).otherwise(F.array_max(rows_of))).where("shared >= need")
-    return found.groupBy("row", "block", "template").agg(F.first("label").alias("label"), F.max(F.col("shared") / F.col("size")).alias("containment"))
+    return found.groupBy("id", "text_hash", "block", "template").agg(F.first("label").alias("label"), F.max(F.col("shared") / F.col("size")).alias("containment"))
 
 
 def scan(docs: DataFrame, spark: SparkSession, **options) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_words,
     n_base, first_word, last_word, base_labels, labels, score."""
     scratch = Scratch(spark)
-    # rows of equal id and text get the same answer, so they may share one key
-    d = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    found = scratch.save(matches(d.select("row", "text"), spark, scratch, **options))
-    found = found.groupBy(F.col("row").alias("__row")).agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
-    low = lower_ascii(F.coalesce("text", F.lit("")))
-    ws = F.when(low.contains("license"), words(F.col("text"))).otherwise(F.array().cast("array<string>"))
-    base = d.select("doc_id", "row", n_words(F.col("text")).alias("n_words"), ws.alias("ws"))
-    base = base.select("doc_id", "row", "n_words", *[F.when(F.size("ws") > 0, phrase_places(F.col("ws"), p)).otherwise(F.array().cast("array<int>")).alias(label) for p, label in BASE.items()])
+    # rows of equal id and text get the same answer, so they may share one key: the id and 128 bits of the text
+    d = docs.select("doc_id", F.col("doc_id").alias("id"), "text", F.md5(F.col("text").cast("binary")).alias("text_hash"))
+    found = matches(d.select("id", "text_hash", "text"), spark, scratch, **options)
+    found = found.groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
+    low = F.lower("text")
+    some = reduce(or_, [reduce(and_, [low.contains(w) for w in p.split(" ")]) for p in BASE])
+    ws = F.when(some, words(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    base = d.select("doc_id", "id", "text_hash", n_words(F.col("text")).alias("n_words"), ws.alias("ws"))
+    base = base.select("doc_id", "id", "text_hash", "n_words", *[F.when(F.size("ws") > 0, phrase_places(F.col("ws"), p)).otherwise(F.array().cast("array<int>")).alias(label) for p, label in BASE.items()])
     places = F.concat(*[F.col(x) for x in BASE.values()])
     labels = F.array_compact(F.array(*[F.when(F.size(x) > 0, F.lit(x)) for x in BASE.values()]))
-    base = base.select("doc_id", "row", "n_words", places.alias("places"), F.array_sort(labels).alias("base"))
-    out = scratch.save(base).join(found, F.col("row") == F.col("__row"), "left")
+    base = base.select("doc_id", "id", "text_hash", "n_words", places.alias("places"), F.array_sort(labels).alias("base"))
+    out = scratch.save(base).join(scratch.save(found), F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
     both = F.array_sort(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))
-    return out.select(
+    out = out.select(
         "doc_id",
         "n_words",
         F.size("places").cast("long").alias("n_base"),
@@ -187,6 +214,7 @@ def scan(docs: DataFrame, spark: SparkSession, **options) -> DataFrame:
         F.array_join(both, ",").alias("labels"),
         F.greatest(F.coalesce("containment", F.lit(0.0)), F.when(F.size("places") > 0, 1.0).otherwise(0.0)).alias("score"),
     )
+    return scratch.release(out)
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
