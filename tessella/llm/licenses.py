@@ -222,18 +222,29 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op9_sql() -> str:
-    template_rows = ", ".join(f"({t}, '{label}', '{w}', {len(_tokens(text))}, {max(1, math.ceil(round(THRESHOLD * len(_tokens(text)), 9)))})" for t, (label, text) in enumerate(TEMPLATES) for w in _tokens(text))
+    notices = [Notice(label, text, THRESHOLD) for label, text in TEMPLATES]
+    template_rows = ", ".join(f"({t}, '{n.label}', '{w}', {len(n.words)}, {n.need}, {w in n.must}, {len(n.must)}, {n.span})" for t, n in enumerate(notices) for w in n.words)
     phrase_rows = ", ".join(f"('{p}', '{label}')" for p, label in BASE.items())
+    enough = "HAVING count(*) >= any_value(need) AND count(*) FILTER (deciding) = any_value(n_deciding)"
     return rf"""
 WITH low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 ws AS (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
-templates(template, label, word, size, need) AS (VALUES {template_rows}),
+templates(template, label, word, size, need, deciding, n_deciding, span) AS (VALUES {template_rows}),
 phrases(phrase, label) AS (VALUES {phrase_rows}),
 lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS block FROM (SELECT doc_id, string_split(t, chr(10)) AS l FROM low)),
 tokens AS (SELECT DISTINCT doc_id, block, unnest(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM lines),
 hits AS (SELECT doc_id, block, template, any_value(label) AS label, count(*) / any_value(size) AS containment
-  FROM tokens JOIN templates USING (word) GROUP BY doc_id, block, template HAVING count(*) >= any_value(need)),
-found AS (SELECT doc_id, list(DISTINCT label) AS found, max(containment) AS containment FROM hits GROUP BY doc_id),
+  FROM tokens JOIN templates USING (word) GROUP BY doc_id, block, template {enough}),
+split AS (SELECT doc_id, string_split_regex(regexp_replace(regexp_replace(t, '[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n\n+') AS ps FROM low),
+paragraphs AS (SELECT doc_id, block, string_split_regex(p, '[ \n]+') AS w
+  FROM (SELECT doc_id, unnest(range(len(ps))) AS block, trim(unnest(ps), ' ' || chr(10)) AS p FROM split) WHERE contains(p, chr(10))),
+wrapped AS (SELECT doc_id, block, template, any_value(span) AS span
+  FROM (SELECT doc_id, block, unnest(list_distinct(w)) AS word FROM paragraphs) JOIN templates USING (word) GROUP BY doc_id, block, template {enough}),
+in_a_row AS (SELECT doc_id, block, template, i, unnest(list_distinct(w[i + 1 : i + span])) AS word
+  FROM (SELECT doc_id, block, template, span, w, unnest(range(len(w))) AS i FROM wrapped JOIN paragraphs USING (doc_id, block))),
+run_hits AS (SELECT doc_id, block, template, any_value(label) AS label, count(*) / any_value(size) AS containment
+  FROM in_a_row JOIN templates USING (template, word) GROUP BY doc_id, block, template, i {enough}),
+found AS (SELECT doc_id, list(DISTINCT label) AS found, max(containment) AS containment FROM (FROM hits UNION ALL FROM run_hits) GROUP BY doc_id),
 starts AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM ws WHERE list_contains(w, 'license')),
 places AS (SELECT doc_id, i, label FROM starts JOIN phrases ON array_to_string(w[i + 1 : i + len(string_split(phrase, ' '))], ' ') = phrase),
 base AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS b, list(DISTINCT label) AS labels FROM places GROUP BY doc_id)

@@ -302,6 +302,33 @@ def test_licenses_wrapped_over_lines_and_deciding_words(spark):
     assert labels == {1: "mit", 2: "bsd", 3: "gpl", 4: "all-rights-reserved", 5: "", 6: "", 7: "", 8: "", 9: "", 10: "cc-by-nc", 11: "apache"}
 
 
+def test_licenses_against_sql(spark, hostile):
+    """The SQL takes every row of words by itself, where the operator takes overlapping runs."""
+    import duckdb
+
+    rng = np.random.default_rng(6)
+    notices = [text for _, text in licenses.TEMPLATES]
+    rows = list(WRAPPED.items())
+    for i in range(300):
+        words = notices[i % len(notices)].split()
+        for _ in range(rng.integers(0, 5)):
+            words.insert(int(rng.integers(0, len(words) + 1)), "foreign")
+        if i % 3 == 0:
+            del words[int(rng.integers(0, len(words)))]
+        around = [f"w{k}" for k in rng.integers(0, 50, int(rng.integers(0, 90)))]
+        at = int(rng.integers(0, len(around) + 1))
+        parts = around[:at] + words + around[at:]
+        rows.append((100 + i, "".join(w + str(rng.choice([" ", " ", " ", "\n", ", ", "\n\n" if i % 7 == 0 else "\n# "])) for w in parts)))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = con.execute(licenses.OP9_SQL)
+    names = [x[0] for x in got.description]
+    want = {r[0]: dict(zip(names, r)) for r in got.fetchall()}
+    out = {r.doc_id: r.asDict() for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), spark).collect()}
+    assert out == want and len({r["labels"] for r in out.values()}) > 8
+
+
 def test_fold_and_exceptions():
     assert toxicity.fold("1d10t, ÏDIOT іdіоt!") == " idiot idiot idiot "
     assert toxicity.fold(None) == " " and toxicity.fold("") == " "
