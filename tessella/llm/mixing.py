@@ -9,10 +9,10 @@ Native: DataFrame functions only.
   through the sources' cumulative targets it names the slot's source. Slots
   are ranked within their source. A source that got no slot gets one at the
   end of the schedule.
-* Blocks: a source's documents stand in the order of their ids' MD5; that stream is
-  repeated ``epochs`` times and its first ``target`` words are cut into as many
-  equal blocks as the source has slots. The slot of rank r takes block r, so
-  each source's words come to its target but for less than one word.
+* Blocks: a source's documents stand in the order of an MD5 of id and text; that
+  stream is repeated ``epochs`` times and its first ``target`` words are cut into
+  as many equal blocks as the source has slots. The slot of rank r takes block
+  r, so each source's words come to its target but for less than one word.
 
 Reruns agree: every order is one of the rows' own values. Null text has size 0; a
 document without words is kept with nothing taken; the null source is a
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, plain
+from .common import Scratch, id_split, plain
 from .ranks import running_sum
 
 GOLDEN = 0.6180339887498949
@@ -76,16 +76,20 @@ def schedule(spark: SparkSession, sources: DataFrame, block_words: int = BLOCK_W
     return ranked
 
 
-def fragments(docs: DataFrame, spark: SparkSession, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def _order(doc_id: Column, text: Column) -> Column:
+    """What a source's documents are shuffled by."""
+    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), digest).cast("binary"))
+
+
+def fragments(docs: DataFrame, spark: SparkSession, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row for each piece of a document in the mix, and one, with null
     slot, for each document that the mix leaves out.
 
     docs: doc_id, source, text. Returns doc_id, source, size, source_size,
-    target, row (identifies the input row), slot, epoch, start and length (in
-    words of the document)."""
-    scratch = Scratch(spark)
-    d = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
-    d = scratch.save(d)
+    target, row (identifies the input row, with its order ``h``), slot, epoch,
+    start and length (in words of the document)."""
+    d = scratch.save(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _order(F.col("doc_id"), F.col("text")).alias("h")))
     sources = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs)
     sources = scratch.save(sources.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").cast("binary").asc_nulls_last())).cast("long")))
     # the shuffled stream: where each document starts in its source; ties of repeated rows fall either way, alike
@@ -111,20 +115,53 @@ def fragments(docs: DataFrame, spark: SparkSession, weights: tuple[int, ...] = W
     return mixed.unionByName(rest)
 
 
+def mixed_documents(docs: DataFrame, spark: SparkSession, **options) -> DataFrame:
+    """``docs`` in the mix, a row for each repetition of a document, in the
+    order of the schedule: each partition holds a run of slots, sorted.
+
+    Texts stay whole. Of the repetition that a source's target cuts through, the
+    document is taken if half of it or more lies within, so a source's words
+    come to its target but for half a document. A document without words is
+    kept once. Rows that agree in doc_id, source and text are one document with
+    their repetitions together; its other columns are those of one of them."""
+    scratch = Scratch(spark)
+    f = fragments(docs, spark, scratch, **options)
+    of = [F.col("row.h").alias("__h"), F.col("source").alias("__source")]
+    # a repetition's slot is that of its first word
+    taken = f.where("epoch is not null").groupBy("row", "source", "size", "epoch").agg(F.min("slot").alias("__slot"), F.sum("length").alias("words")).where("2 * words >= size")
+    wordless = f.where("size = 0").select(*of, F.lit(None).cast("long").alias("__slot"))
+    takes = scratch.save(taken.select(*of, "__slot").unionByName(wordless).withColumn("__key", F.xxhash64("__h", "__source")))
+    repeated = scratch.save(f.select("row", *of).distinct().groupBy("__h", "__source").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("__h", "__source").alias("__again")))
+    d, c = plain(docs)
+    keyed = d.withColumn("__h2", _order(F.col(c["doc_id"]), F.col(c["text"]))).withColumn("__row", F.xxhash64("__h2", c["source"]))
+    some, rest = id_split(keyed, "__row", repeated, "__again", scratch)
+    one = rest.unionByName(some.dropDuplicates(["__h2", c["source"]]))
+    on = (F.col("__row") == F.col("__key")) & (F.col("__h2") == F.col("__h")) & F.col(c["source"]).eqNullSafe(F.col("__source"))
+    out = one.join(takes.hint("merge"), on)
+    # runs of slots, some for each partition of a shuffle; documents without words anywhere
+    last = takes.agg(F.max("__slot")).first()[0] or 0
+    runs = min(last + 1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    out = out.withColumn("__slot", F.coalesce("__slot", F.pmod("__row", F.lit(last + 1)))).withColumn("__run", F.expr(f"__slot * {runs} div {last + 1}"))
+    out = out.repartition("__run").sortWithinPartitions("__run", "__slot", "__h2")
+    return scratch.release(out.select(*d.columns).toDF(*docs.columns))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """first_slot and n_slots: where in the schedule a document's words go first, and in how many pieces."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    f = fragments(docs, spark)
-    empty = f.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    taken = f.where("size > 0").groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")], F.coalesce(F.sum("length"), F.lit(0)).alias("taken"))
-    return taken.select("doc_id", "size", "source_size", "target", "taken").unionByName(empty)
+    f = fragments(docs, spark, scratch := Scratch(spark))
+    own = ("doc_id", "size", "source_size", "target")
+    empty = f.where("size = 0").select(*own, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"), F.lit(0).cast("long").alias("n_slots"))
+    taken = f.where("size > 0").groupBy("row").agg(*[F.first(c).alias(c) for c in own], F.coalesce(F.sum("length"), F.lit(0)).alias("taken"), F.min("slot").alias("first_slot"), F.count("slot").alias("n_slots"))
+    return scratch.release(taken.drop("row").unionByName(empty))
 
 
 OP4_SQL = """
 WITH sized AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h,
     coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size FROM documents),
 sources AS (
-  SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS cap,
+  SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS cap, row_number() OVER (ORDER BY source NULLS LAST) AS sid,
     CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
   FROM sized GROUP BY source),
 levels AS (
@@ -133,29 +170,33 @@ levels AS (
     / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv
   FROM sources),
 targets AS (
-  SELECT source, source_size, CASE WHEN lv >= cap / weight THEN cap::DOUBLE
+  SELECT source, sid, source_size, CASE WHEN lv >= cap / weight THEN cap::DOUBLE
     ELSE least((SELECT arg_min(lv, cap / weight) FROM levels WHERE lv < cap / weight) * weight, cap::DOUBLE) END AS target
   FROM levels),
+live AS (
+  SELECT sid, floor(target)::BIGINT AS planned, (SELECT sum(target) FROM targets) AS total, sum(target) OVER (ORDER BY sid) AS upto, target
+  FROM targets WHERE target >= 1),
+grid AS (SELECT unnest(range(greatest(1, round(any_value(total) / 2048))::BIGINT)) AS slot FROM live HAVING count(*) > 0),
+points AS (SELECT slot, (slot + 1) * 0.6180339887498949::DOUBLE % 1.0::DOUBLE AS u FROM grid),
+hit AS (SELECT slot, (SELECT min(sid) FROM live WHERE u < upto / total OR sid = (SELECT max(sid) FROM live)) AS sid FROM points),
+slots AS (
+  SELECT slot, sid, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank
+  FROM (FROM hit UNION ALL
+    SELECT (SELECT count(*) FROM grid) + row_number() OVER (ORDER BY sid) - 1 AS slot, sid FROM live WHERE sid NOT IN (SELECT sid FROM hit))),
+counts AS (SELECT sid, count(*) AS slots FROM slots GROUP BY sid),
 placed AS (
-  SELECT s.*, t.source_size, t.target, sum(size) OVER (PARTITION BY s.source ORDER BY h, size
+  SELECT s.*, t.sid, t.source_size, t.target, planned, slots, sum(size) OVER (PARTITION BY s.source ORDER BY h, size
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT - size AS pos
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size::BIGINT AS size, source_size, target,
-  (least(greatest(floor(target) - pos, 0), size) + least(greatest(floor(target) - source_size - pos, 0), size)
-   + least(greatest(floor(target) - 2 * source_size - pos, 0), size))::BIGINT AS taken
-FROM placed
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN live USING (sid) LEFT JOIN counts USING (sid)),
+epochs AS (
+  SELECT *, unnest([0, 1, 2]) * source_size + pos AS a FROM placed),
+pieces AS (
+  SELECT *, least(a + size, planned) AS b FROM epochs),
+taken AS (
+  SELECT doc_id, h, sid, pos, size, source_size, target,
+    coalesce(sum(b - a) FILTER (a < b), 0)::BIGINT AS taken, min(a * slots // planned) FILTER (a < b) AS rank,
+    coalesce(sum((b - 1) * slots // planned - a * slots // planned + 1) FILTER (a < b), 0)::BIGINT AS n_slots
+  FROM pieces WHERE size > 0 GROUP BY ALL)
+SELECT doc_id, size::BIGINT AS size, source_size, target, taken, slot AS first_slot, n_slots FROM taken LEFT JOIN slots USING (sid, rank)
+UNION ALL SELECT doc_id, 0, source_size, target, 0, NULL, 0 FROM placed WHERE size = 0
 """
-
-
-def mixed_documents(docs: DataFrame, spark: SparkSession, **options) -> DataFrame:
-    """``docs`` in the mix: a row for each repetition of a document that starts
-    within its source's words; documents that aren't reached go. A document
-    without words is kept once."""
-    f = fragments(docs, spark, **options)
-    copies = f.where("epoch is not null and start = 0").groupBy("doc_id", "row").agg(F.count("*").cast("int").alias("n")).unionByName(f.where("size = 0").select("doc_id", "row", F.lit(1).alias("n")))
-    copies = copies.groupBy(F.col("doc_id").alias("__id")).agg(F.sum("n").cast("int").alias("__n"), F.count("*").cast("int").alias("__rows"))
-    d, c = plain(docs)
-    out = d.join(copies.hint("merge"), F.col(c["doc_id"]).eqNullSafe(F.col("__id")))
-    # repeated rows of one doc_id share its repetitions
-    out = out.withColumn("__i", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__n") / F.col("__rows")).cast("int"))))
-    return out.select(*d.columns).toDF(*docs.columns)

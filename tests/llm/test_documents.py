@@ -242,7 +242,7 @@ def test_encoder_on_ten_million_characters(unit):
 
 
 def test_mixing_targets_and_pieces(spark, hostile):
-    f = mixing.fragments(hostile, spark, block_words=50)
+    f = mixing.fragments(hostile, spark, Scratch(spark), block_words=50)
     rows = f.collect()
     taken, sizes, target = {}, {}, {}
     for r in rows:
@@ -258,7 +258,7 @@ def test_mixing_targets_and_pieces(spark, hostile):
         assert abs(taken[s] - target[s]) < 1 and target[s] <= 3 * sizes[s] + 1e-9
     slots = [r.slot for r in rows if r.slot is not None]
     assert min(slots) >= 0
-    again = mixing.fragments(hostile, spark, block_words=50)
+    again = mixing.fragments(hostile, spark, Scratch(spark), block_words=50)
     key = lambda d: sorted(map(str, d.select("doc_id", "slot", "epoch", "start", "length").collect()))
     assert key(f) == key(again)
 
@@ -271,6 +271,46 @@ def test_mixed_documents(spark, hostile, empty):
     assert mixing.mixed_documents(empty, spark).count() == 0
 
 
+@pytest.mark.parametrize("shape", ["given", "many", "repeated"])
+def test_mixed_documents_come_to_their_targets(spark, shape):
+    rng = np.random.default_rng(8)
+    if shape == "given":
+        rows = [(1, "a", "w " * 10), (1, "a", "w " * 10), (2, "b", "v " * 22)]
+    elif shape == "many":
+        rows = [(i, f"s{rng.integers(5) ** 2}", "w " * int(rng.integers(0, 120))) for i in range(800)]
+    else:
+        rows = [(7, "a", "w " * 30)] * 200 + [(None, "b", f"x{i} " * 9) for i in range(100)] + [(i, None, f"y{i} " * 40) for i in range(60)]
+    d = spark.createDataFrame([(*r, "e") for r in rows], "doc_id long, source string, text string, lang string").repartition(4)
+    out = mixing.mixed_documents(d, spark)
+    got, target, longest, copies = {}, {}, {}, {}
+    for r in out.collect():
+        got[r.source] = got.get(r.source, 0) + len(r.text.split())
+        copies[r] = copies.get(r, 0) + 1
+    for r in mixing.fragments(d, spark, Scratch(spark)).collect():
+        target[r.source] = r.target
+    for r in rows:
+        longest[r[1]] = max(longest.get(r[1], 0), len(r[2].split()))
+    for s, t in target.items():
+        assert abs(got.get(s, 0) - t) <= longest[s] / 2 + 1
+    n = {}
+    for r in rows:
+        n[r] = n.get(r, 0) + 1
+    assert all(k <= 3 * n[(r.doc_id, r.source, r.text)] for r, k in copies.items())
+    if shape == "given":
+        assert got == {"a": 30, "b": 22}
+
+
+def test_mix_is_written_in_the_order_of_the_schedule(spark):
+    rows = [(i, f"s{i % 3}", "w " * (20 + i % 50)) for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    options = {"epochs": 1, "block_words": 100}
+    first = {r.doc_id: r.slot for r in mixing.fragments(d, spark, Scratch(spark), **options).where("epoch = 0").groupBy("doc_id").agg(F.min("slot").alias("slot")).collect()}
+    runs = {}
+    for r in mixing.mixed_documents(d, spark, **options).withColumn("p", F.spark_partition_id()).collect():
+        runs.setdefault(r.p, []).append(first[r.doc_id])
+    assert sum(map(len, runs.values())) > 300 and all(run == sorted(run) for run in runs.values())
+
+
 def test_licenses(spark, hostile):
     got = {r.doc_id: r for r in licenses.scan(hostile, spark).collect()}
     r = got[11]

@@ -3,7 +3,9 @@
 import re
 
 import corpus_pipeline
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from tests.llm.test_documents import brute_components, brute_sets
 
@@ -45,17 +47,51 @@ def test_stages(spark, corpus, tmp_path):
     want = {}
     for r in had:
         lines = (r.text or "").split("\n")
-        stay = [x for i, x in enumerate(lines) if r.doc_id is None or not key(x) or len(first[key(x)]) < 2 or (min(first[key(x)]) == r.doc_id and first[key(x)][r.doc_id] == i)]
+        stay = [x for i, x in enumerate(lines) if not key(x) or len(ids := first.get(key(x), {})) < 2 or (min(ids) == r.doc_id and ids[r.doc_id] == i)]
         if len(stay) == len(lines) or re.search(r"[^\x20\x09-\x0D]", "\n".join(stay)):
             want[r.doc_id] = "\n".join(stay)
     assert {r.doc_id: r.text or "" for r in kept} == want
     had, kept = before["near_dedup"]
     comp = brute_components(brute_sets([(r.doc_id, r.text) for r in had], 5))
-    assert {r.doc_id for r in kept} == {i for i, c in comp.items() if i == c} | {None}
+    assert {r.doc_id for r in kept} == {i for i, c in comp.items() if i == c} | {r.doc_id for r in had if r.doc_id is None}
     had, kept = before["mixing"]
-    assert {r.doc_id for r in kept} <= {r.doc_id for r in had}
+    words = lambda text: len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    size, got, longest = {}, {}, {}
+    for r in had:
+        size[r.source] = size.get(r.source, 0) + words(r.text)
+        longest[r.source] = max(longest.get(r.source, 0), words(r.text))
+    for r in kept:
+        got[r.source] = got.get(r.source, 0) + words(r.text)
+    target = brute_targets(size)
+    assert all(abs(got.get(s, 0) - target[s]) <= longest[s] / 2 + 1 for s in size)
+    assert {r.doc_id for r in kept} <= {r.doc_id for r in had} and {r.doc_id for r in had if not words(r.text)} <= {r.doc_id for r in kept}
     had, packed = before["packing"]
-    assert {r.doc_id for r in packed} == {r.doc_id for r in had}
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    count = lambda rows: {i: n for i, n in rows.items() if n}
+    tokens, placed, full = {}, {}, {}
+    for r in had:
+        tokens[r.doc_id] = tokens.get(r.doc_id, 0) + len(tok.encode(r.text or "", add_special_tokens=False).ids) + 1
+    for r in packed:
+        placed[r.doc_id] = placed.get(r.doc_id, 0) + r.length
+        full.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert count(placed) == count(tokens)
+    assert all(sum(n for _, n in parts) <= 1024 and sorted(parts)[0][0] == 0 for parts in full.values())
+    assert len(full) <= 1.1 * sum(tokens.values()) / 1024 + 1
+
+
+def brute_targets(size):
+    """The shares of the total by weight, none above three times its source."""
+    order = sorted(size, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, left, open_ = {}, float(sum(size.values())), set(order)
+    while open_:
+        share = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if share * weight[s] >= 3 * size[s]}
+        for s in over or open_:
+            target[s] = 3.0 * size[s] if over else share * weight[s]
+        left -= sum(target[s] for s in over)
+        open_ -= over or open_
+    return target
 
 
 def test_run_on_empty_tables(spark, empty, tmp_path):
