@@ -7,13 +7,15 @@ Stages, each over all that the one before kept:
    stays; a document left without text goes, others stay with less text.
 3. near dedup: of each group of near copies (five-word shingles, Jaccard
    similarity 0.8 or more) one document stays.
-4. mixing: a document is repeated, or goes, as its source's target asks.
+4. mixing: a document is repeated, or goes, as its source's target asks; the mix
+   is written in the order of the schedule.
 5. packing: pieces of at most 1024 tokens, with their sequences.
 
 All but the last return the columns of documents. Nulls: a null text scores as
 empty, has no lines to drop, no near copy and no words; documents without
 words pass every stage. A null doc_id is never a near copy, and its lines are
-never dropped. Repeated rows of one doc_id stay repeated until the mix.
+never a first occurrence. Repeated rows of one doc_id stay repeated until the
+mix, where they are one document with their repetitions together.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import line_dedup, mixing, near_dup, packing, toxicity
-from tessella.llm.common import Scratch
+from tessella.llm.common import Scratch, n_open, opened_since
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,10 +69,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another; what a stage has written for itself or its
+    successor is deleted when the next result stands."""
     scratch = Scratch(spark)
+    before = None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        open_now = n_open()
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = scratch.save(docs)
+            for used in opened_since(open_now):
+                used.close()
+            if before is not None:
+                scratch.drop(before)
+            before = docs
     return docs
