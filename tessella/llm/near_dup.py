@@ -4,17 +4,18 @@ One hash function orders all shingles; a document's sketch is its ``k``
 smallest shingle hashes. Documents with the same set are one class, and from
 there on one representative stands for all its copies.
 
-1. Similar sets have a least overlap of their sketches: of complete sketches
-   (sets of at most ``k``) that bound is exact, of others it lies ``sigmas``
-   standard deviations below the mean. So each class is put on the inverted
-   lists of its rarest retained values only, as many as two sketches with that
-   overlap can't both avoid; values that no other class retains need no list.
-2. On each list, pairs are estimated by the union of their ``WIDE`` smallest
-   values, kept as an odd bitmap that travels with the postings: the bits that
-   differ bound the values that differ (sets of at most ``WIDE``: exactly).
-   Short lists are joined with themselves, and pairs that fail don't leave the
-   join. Of a list of more than ``hot`` classes a spanning forest of its likely
-   pairs is made instead (see spanning.py).
+1. The k smallest values of two sets' union all lie in their sketches, and of
+   these as many are shared as a draw of k from the union has shared ones. So
+   similar sets have a least overlap, exact for complete sketches (sets of at
+   most k), and else but for a chance of ``miss``. Each class is put on the
+   inverted lists of its rarest retained values only, as many as two sketches
+   with that overlap can't both avoid; values that no other class retains need
+   no list.
+2. On each list, pairs are estimated by their union sketch: of the WIDE smallest
+   values of both, those shared; pairs with fewer than similar sets have (but
+   for a chance of ``miss``) go. Short lists are joined with themselves, and
+   pairs that fail don't leave the join. Of a list of more than ``hot`` classes
+   a spanning forest of its likely pairs is made instead (see spanning.py).
 3. Exact Jaccard similarity on full sets verifies within each family, where
    families are what the pairs left connect; of a family, too, a spanning forest
    of its links is made. All pairs of a large group are never emitted.
@@ -31,46 +32,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, id_split, plain, shingles
 from .spanning import span
 
-SKETCH, WIDE, SIGMAS, HOT, LIST_BLOCK, BLOCK = 32, 256, 4.7, 64, 512, 256
+SKETCH, WIDE, MISS, HOT, LIST_BLOCK, BLOCK = 32, 64, 1e-9, 64, 512, 256
 
 
-def least_overlap(k: int, similarity: float, sigmas: float) -> int:
-    """Values that the bottom-k sketches of two sets of at least this Jaccard
-    similarity share, but for a chance of ``sigmas`` standard deviations."""
-    return max(1, math.floor(k * similarity - sigmas * math.sqrt(k * similarity * (1 - similarity))))
+def least_overlap(k: int, similarity: float, miss: float) -> int:
+    """Shared values among the ``k`` smallest of the union of two sets of at
+    least this Jaccard similarity, but for a chance of ``miss`` at most.
 
-
-SIGNATURE = [f"s{i}" for i in range(8)]
-_BITS = 64 * len(SIGNATURE)
-
-
-def signature(hashes: np.ndarray, k: int) -> np.ndarray:
-    """The bottom-``k`` sketch as an odd bitmap: the values' bits, by XOR.
-
-    Two bitmaps differ in no more bits than their sketches in values."""
-    bits = np.bincount((hashes[:k] & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).view("<i8")
-
-
-def most_bits(k: int, similarity: float, sigmas: float) -> int:
-    """Bits in which the odd bitmaps of bottom-``k`` sketches of sets of at
-    least this similarity differ, but for a chance of ``sigmas`` deviations."""
-    differ = 2 * k * (1 - similarity)
-    mean = _BITS / 2 * (1 - math.exp(-2 * differ / _BITS))
-    from_sample = math.exp(-2 * differ / _BITS) * 2 * math.sqrt(k * similarity * (1 - similarity))
-    own = math.sqrt(_BITS / 4 * (1 - math.exp(-4 * differ / _BITS)))
-    return math.ceil(mean + sigmas * math.hypot(from_sample, own))
+    They are a draw without replacement, whose tail is below the binomial one."""
+    below = 0.0
+    for o in range(k + 1):
+        below += math.comb(k, o) * similarity**o * (1 - similarity) ** (k - o)
+        if below > miss:
+            return max(1, o)
+    return k
 
 
 def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
     """doc_id, n (set size), c1, c2 (128-bit class digest), sketch (k smallest)
-    and the bitmap of the WIDE smallest."""
+    and wide (upper 31 bits of the WIDE smallest)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -78,7 +64,7 @@ def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
         for b in batches:
             for at in range(0, len(b), 2000):
                 part = b.iloc[at : at + 2000]
-                n, c1, c2, sk, bits = [], [], [], [], []
+                n, c1, c2, sk, wide = [], [], [], [], []
                 for text in part["text"]:
                     s = shingles(text, size)
                     d = xxhash.xxh3_128_digest(s.tobytes())
@@ -86,10 +72,20 @@ def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
                     c1.append(int.from_bytes(d[:8], "little", signed=True))
                     c2.append(int.from_bytes(d[8:], "little", signed=True))
                     sk.append(s[:k].view(np.int64))
-                    bits.append(signature(s, WIDE))
-                yield pd.DataFrame({"doc_id": part["doc_id"], "n": n, "c1": c1, "c2": c2, "sketch": sk, **{c: [x[i] for x in bits] for i, c in enumerate(SIGNATURE)}})
+                    wide.append((s[:WIDE] >> np.uint64(33)).astype(np.int32))
+                yield pd.DataFrame({"doc_id": part["doc_id"], "n": n, "c1": c1, "c2": c2, "sketch": sk, "wide": wide})
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n long, c1 long, c2 long, sketch array<long>, wide array<int>")
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n long, c1 long, c2 long, sketch array<long>, " + ", ".join(f"{c} long" for c in SIGNATURE))
+
+def likely(n: str, wide: str, n2: str, wide2: str, percent: int, least: int) -> Column:
+    """The union sketch's estimate: whether two sets may be as similar as asked."""
+    a, b, x, y = F.col(n), F.col(n2), F.col(wide), F.col(wide2)
+    shared = F.array_intersect(x, y)
+    last = F.get(F.sort_array(F.array_union(x, y)), F.lit(WIDE - 1))  # of the union's WIDE smallest
+    complete = (F.size(shared) * (100 + percent)) >= (a + b) * percent
+    estimate = (F.size(shared) >= least) & (F.coalesce(F.size(F.filter(shared, lambda v: v <= last)), F.lit(0)) >= least)
+    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & F.when(F.greatest(a, b) <= WIDE, complete).otherwise(estimate)
 
 
 def verify_family(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
@@ -129,27 +125,49 @@ def verify_family(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def span_list(rows: pd.DataFrame, percent: int, wide: int) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs on one list whose sizes and bitmaps allow
-    the similarity (columns node, n and the bitmap's)."""
+def union_shared(x: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Shared values among the WIDE smallest of the union of ``x`` and each row."""
+    both = np.sort(np.concatenate([others, np.broadcast_to(x, others.shape)], axis=1), axis=1)
+    again = both[:, 1:] == both[:, :-1]
+    rank = np.arange(1, both.shape[1]) + 1 - np.cumsum(again, axis=1)  # of the second's value among the distinct ones
+    return (again & (rank <= x.shape[0]) & (both[:, 1:] != _NONE)).sum(axis=1)
+
+
+_NONE = np.iinfo(np.int32).max
+
+
+def span_list(rows: pd.DataFrame, percent: int, least: int) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs on one list whose sizes and union sketches
+    allow the similarity (columns node, n, wide)."""
     ids, n = rows["node"].to_numpy(), rows["n"].to_numpy()
-    bits = rows[SIGNATURE].to_numpy().astype(np.int64).view(np.uint64)
+    wide = np.full((len(ids), WIDE), _NONE, np.int32)
+    for row, w in zip(wide, rows["wide"]):
+        row[: len(w)] = w
+    values, codes = np.unique(wide, return_inverse=True)
+    codes = codes.reshape(wide.shape)
+    mark = np.zeros(len(values), bool)
     left, out = np.arange(len(ids)), []
     while len(left):
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             i = todo.pop()
-            differ = np.bitwise_count(bits[left] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            mark[codes[i]] = True
+            mark[values == _NONE] = False
+            shared = mark[codes[left]].sum(axis=1)
+            mark[codes[i]] = False
             small, large = np.minimum(n[left], n[i]), np.maximum(n[left], n[i])
-            allowed = np.where(large <= WIDE, np.floor((small + large) * ((100 - percent) / (100 + percent)) + 1e-9), wide)
-            hit = (100 * small >= percent * large) & (differ <= allowed)
+            hit = 100 * small >= percent * large
+            complete = large <= WIDE
+            hit &= np.where(complete, shared * (100 + percent) >= (small + large) * percent, shared >= least)
+            guess = np.flatnonzero(hit & ~complete)
+            hit[guess] = union_shared(wide[i], wide[left[guess]]) >= least
             out.extend((int(ids[i]), int(ids[j])) for j in left[hit])
             todo.extend(left[hit].tolist())
             left = left[~hit]
     return out
 
 
-def near_duplicates(docs: DataFrame, spark: SparkSession, size: int = 5, percent: int = 80, k: int = SKETCH, hot: int = HOT, block: int = BLOCK, list_block: int = LIST_BLOCK, sigmas: float = SIGMAS) -> DataFrame:
+def near_duplicates(docs: DataFrame, spark: SparkSession, size: int = 5, percent: int = 80, k: int = SKETCH, hot: int = HOT, block: int = BLOCK, list_block: int = LIST_BLOCK, miss: float = MISS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
 
     component_id is the smallest doc_id reachable over links of Jaccard
@@ -158,30 +176,25 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, size: int = 5, percent
     scratch = Scratch(spark)
     t = percent / 100
     rows = scratch.save(sketches(docs, size, k))
-    classes = scratch.save(rows.where("n > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), *[F.first(c).alias(c) for c in SIGNATURE]))
+    classes = scratch.save(rows.where("n > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")))
 
     # sketches of at most t * k values have only complete partners
-    o = least_overlap(k, t, sigmas)
+    o, least = least_overlap(k, t, miss), least_overlap(WIDE, t, miss)
     need = F.when(F.col("n") <= F.lit(math.floor(t * k)), F.ceil(F.col("n") * F.lit(percent) / 100)).otherwise(F.lit(o)).cast("int")
     postings = classes.select("rep", F.explode("sketch").alias("v"))
     lists = scratch.save(postings.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
     # the rarest of the values shared with others: so many that two overlapping sketches have one of them in common
     common = postings.join(lists, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     rest = F.size("vs") - F.col("need") + 1
-    signed = classes.select("rep", "n", need.alias("need"), *SIGNATURE)
-    prefix = common.join(signed, "rep").where(rest > 0).select("rep", "n", *SIGNATURE, F.explode(F.slice("vs", F.lit(1), rest)).alias("at"))
-    listed = scratch.save(prefix.select("rep", "n", *SIGNATURE, "at.v", "at.df"))
-
-    short = listed.where(F.col("df") <= hot)
-    other = short.select("v", *[F.col(c).alias(c + "2") for c in ("rep", "n", *SIGNATURE)])
-    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + "2"))) for c in SIGNATURE), F.lit(0))
-    small, large = F.least("n", "n2"), F.greatest("n", "n2")
-    allowed = F.when(large <= WIDE, F.floor((small + large) * F.lit((100 - percent) / (100 + percent)) + 1e-9)).otherwise(F.lit(most_bits(WIDE, t, sigmas)))
-    likely = (small * 100 >= large * percent) & (differ <= allowed)
-    pairs = short.join(other, "v").where((F.col("rep") < F.col("rep2")) & likely).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-    wide = most_bits(WIDE, t, sigmas)
-    long = listed.where(F.col("df") > hot).select(F.col("v").alias("grp"), F.col("rep").alias("node"), "n", *SIGNATURE)
-    forest = span(long, scratch, list_block, lambda rows: rows, lambda g: span_list(g, percent, wide)).distinct()
+    asked = classes.select("rep", "n", need.alias("need"), "wide")
+    prefix = common.join(asked, "rep").where(rest > 0).select("rep", "n", "wide", F.explode(F.slice("vs", F.lit(1), rest)).alias("at"))
+    listed = scratch.save(prefix.select("rep", "n", "wide", "at.v", "at.df"))
+
+    short = listed.where(F.col("df") <= hot).drop("df")
+    other = short.select("v", *[F.col(c).alias(c + "2") for c in ("rep", "n", "wide")])
+    pairs = short.join(other, "v").where((F.col("rep") < F.col("rep2")) & likely("n", "wide", "n2", "wide2", percent, least)).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
+    long = listed.where(F.col("df") > hot).select(F.col("v").alias("grp"), F.col("rep").alias("node"), "n", "wide")
+    forest = span(long, scratch, list_block, lambda rows: rows, lambda g: span_list(g, percent, least)).distinct()
     families = scratch.save(components(pairs.unionByName(forest), scratch))
 
     def with_sets(rows: DataFrame) -> DataFrame:
@@ -194,7 +207,7 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, size: int = 5, percent
     linked = components(links, scratch)
     comp = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
     comp = scratch.save(comp)
-    return rows.join(comp, ["c1", "c2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return scratch.release(rows.join(comp, ["c1", "c2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")))
 
 
 def _sets(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
@@ -213,7 +226,7 @@ def keep_representatives(docs: DataFrame, spark: SparkSession, **options) -> Dat
     d, c = plain(docs)
     some, rest = id_split(d, c["doc_id"], gone, "__gone", scratch)
     left = some.join(gone.hint("merge"), F.col(c["doc_id"]).cast("long") == F.col("__gone"), "left_anti")
-    return rest.unionByName(left).toDF(*docs.columns)
+    return scratch.release(rest.unionByName(left).toDF(*docs.columns))
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
