@@ -13,9 +13,11 @@ there on one representative stands for all its copies.
    no list.
 2. On each list, pairs are estimated by their union sketch: of the WIDE smallest
    values of both, those shared; pairs with fewer than similar sets have (but
-   for a chance of ``miss``) go. Short lists are joined with themselves, and
-   pairs that fail don't leave the join. Of a list of more than ``hot`` classes
-   a spanning forest of its likely pairs is made instead (see spanning.py).
+   for a chance of ``miss``) go. The sketches' odd bitmaps are looked at first:
+   they differ in no more bits than the sketches in values. Of a short list all
+   pairs are estimated where it lies, and only those left leave the task; of a
+   list of more than ``hot`` classes a spanning forest of its likely pairs is
+   made instead (see spanning.py).
 3. Exact Jaccard similarity on full sets verifies within each family, where
    families are what the pairs left connect; of a family, too, a spanning forest
    of its links is made. All pairs of a large group are never emitted.
@@ -32,13 +34,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, id_split, plain, shingles
 from .spanning import span
 
-SKETCH, WIDE, MISS, HOT, LIST_BLOCK, BLOCK = 32, 64, 1e-9, 64, 512, 256
+#: Of 32 values two similar sets share 13 but for a chance of one in a million (less the more similar they are), so a
+#: class needs 20 lists at most and can leave out its 12 longest. Fewer values would need fewer lists, but long ones too.
+SKETCH, WIDE, MISS, HOT, LIST_BLOCK, BLOCK = 32, 64, 1e-6, 64, 512, 256
 
 
 def least_overlap(k: int, similarity: float, miss: float) -> int:
@@ -72,20 +76,10 @@ def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
                     c1.append(int.from_bytes(d[:8], "little", signed=True))
                     c2.append(int.from_bytes(d[8:], "little", signed=True))
                     sk.append(s[:k].view(np.int64))
-                    wide.append((s[:WIDE] >> np.uint64(33)).astype(np.int32))
+                    wide.append((s[:WIDE] >> np.uint64(33)).astype("<i4").tobytes())
                 yield pd.DataFrame({"doc_id": part["doc_id"], "n": n, "c1": c1, "c2": c2, "sketch": sk, "wide": wide})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n long, c1 long, c2 long, sketch array<long>, wide array<int>")
-
-
-def likely(n: str, wide: str, n2: str, wide2: str, percent: int, least: int) -> Column:
-    """The union sketch's estimate: whether two sets may be as similar as asked."""
-    a, b, x, y = F.col(n), F.col(n2), F.col(wide), F.col(wide2)
-    shared = F.array_intersect(x, y)
-    last = F.get(F.sort_array(F.array_union(x, y)), F.lit(WIDE - 1))  # of the union's WIDE smallest
-    complete = (F.size(shared) * (100 + percent)) >= (a + b) * percent
-    estimate = (F.size(shared) >= least) & (F.coalesce(F.size(F.filter(shared, lambda v: v <= last)), F.lit(0)) >= least)
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & F.when(F.greatest(a, b) <= WIDE, complete).otherwise(estimate)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n long, c1 long, c2 long, sketch array<long>, wide binary")
 
 
 def verify_family(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
@@ -125,42 +119,81 @@ def verify_family(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def union_shared(x: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Shared values among the WIDE smallest of the union of ``x`` and each row."""
-    both = np.sort(np.concatenate([others, np.broadcast_to(x, others.shape)], axis=1), axis=1)
-    again = both[:, 1:] == both[:, :-1]
-    rank = np.arange(1, both.shape[1]) + 1 - np.cumsum(again, axis=1)  # of the second's value among the distinct ones
-    return (again & (rank <= x.shape[0]) & (both[:, 1:] != _NONE)).sum(axis=1)
-
-
 _NONE = np.iinfo(np.int32).max
+_BITS = 512
+
+
+class Union:
+    """The union sketches of pairs of rows (columns n, wide)."""
+
+    def __init__(self, rows: pd.DataFrame, percent: int, least: int):
+        self.percent, self.least = percent, least
+        self.n = rows["n"].to_numpy()
+        self.wide = np.full((len(rows), WIDE), _NONE, np.int32)
+        for row, w in zip(self.wide, rows["wide"]):
+            row[: len(w) // 4] = np.frombuffer(w, "<i4")
+        odd = np.zeros((len(rows), _BITS), np.uint8)
+        own, at = np.nonzero(self.wide != _NONE)
+        np.add.at(odd, (own, self.wide[own, at] & (_BITS - 1)), 1)
+        self.bits = np.packbits(odd & 1, axis=1).view(np.uint64)
+
+    def likely(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the sets of each pair (row numbers) may be as similar as asked."""
+        small, large = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
+        complete = large <= WIDE
+        # of sketches that share s of their values the others differ
+        least = np.where(complete, -(-(small + large) * self.percent // (100 + self.percent)), self.least)
+        most = np.minimum(small, WIDE) + np.minimum(large, WIDE) - 2 * least
+        ok = 100 * small >= self.percent * large
+        differ = np.bitwise_count(self.bits[i[ok]] ^ self.bits[j[ok]]).sum(axis=1, dtype=np.int64)
+        ok[ok] = differ <= most[ok]
+        some = np.flatnonzero(ok)
+        for at in range(0, len(some), 4096):
+            part = some[at : at + 4096]
+            both = np.sort(np.concatenate([self.wide[i[part]], self.wide[j[part]]], axis=1), axis=1)
+            again = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != _NONE)
+            # the rank of each shared value among the distinct ones of the union
+            rank = np.arange(2, both.shape[1] + 1) - np.cumsum(again, axis=1)
+            shared = np.where(complete[part], again.sum(axis=1), (again & (rank <= WIDE)).sum(axis=1))
+            ok[part] = shared >= least[part]
+        return ok
+
+
+def short_lists(batches: Iterator[pd.DataFrame], percent: int, least: int) -> Iterator[pd.DataFrame]:
+    """The likely pairs of each list (columns v, rep, n, wide; sorted by v), over batch borders."""
+
+    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+        v, ids, union = rows["v"].to_numpy(), rows["rep"].to_numpy(), Union(rows, percent, least)
+        found = []
+        for apart in range(1, len(rows)):
+            i = np.flatnonzero(v[apart:] == v[:-apart])
+            if not len(i):
+                break
+            i = i[union.likely(i, i + apart)]
+            found.append(np.sort(np.stack([ids[i], ids[i + apart]]), axis=0))
+        out = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.int64)
+        return pd.DataFrame({"a": out[0], "b": out[1]})
+
+    rest = None
+    for b in batches:
+        rows = b if rest is None else pd.concat([rest, b], ignore_index=True)
+        last = rows["v"].to_numpy() == rows["v"].iloc[-1] if len(rows) else np.zeros(0, bool)
+        rest = rows[last].reset_index(drop=True)
+        if not last.all():
+            yield pairs(rows[~last].reset_index(drop=True))
+    if rest is not None and len(rest):
+        yield pairs(rest)
 
 
 def span_list(rows: pd.DataFrame, percent: int, least: int) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs on one list whose sizes and union sketches
-    allow the similarity (columns node, n, wide)."""
-    ids, n = rows["node"].to_numpy(), rows["n"].to_numpy()
-    wide = np.full((len(ids), WIDE), _NONE, np.int32)
-    for row, w in zip(wide, rows["wide"]):
-        row[: len(w)] = w
-    values, codes = np.unique(wide, return_inverse=True)
-    codes = codes.reshape(wide.shape)
-    mark = np.zeros(len(values), bool)
+    """Spanning forest of the likely pairs on one list (columns node, n, wide)."""
+    ids, union = rows["node"].to_numpy(), Union(rows, percent, least)
     left, out = np.arange(len(ids)), []
     while len(left):
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             i = todo.pop()
-            mark[codes[i]] = True
-            mark[values == _NONE] = False
-            shared = mark[codes[left]].sum(axis=1)
-            mark[codes[i]] = False
-            small, large = np.minimum(n[left], n[i]), np.maximum(n[left], n[i])
-            hit = 100 * small >= percent * large
-            complete = large <= WIDE
-            hit &= np.where(complete, shared * (100 + percent) >= (small + large) * percent, shared >= least)
-            guess = np.flatnonzero(hit & ~complete)
-            hit[guess] = union_shared(wide[i], wide[left[guess]]) >= least
+            hit = union.likely(np.full(len(left), i), left)
             out.extend((int(ids[i]), int(ids[j])) for j in left[hit])
             todo.extend(left[hit].tolist())
             left = left[~hit]
@@ -190,9 +223,9 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, size: int = 5, percent
     prefix = common.join(asked, "rep").where(rest > 0).select("rep", "n", "wide", F.explode(F.slice("vs", F.lit(1), rest)).alias("at"))
     listed = scratch.save(prefix.select("rep", "n", "wide", "at.v", "at.df"))
 
-    short = listed.where(F.col("df") <= hot).drop("df")
-    other = short.select("v", *[F.col(c).alias(c + "2") for c in ("rep", "n", "wide")])
-    pairs = short.join(other, "v").where((F.col("rep") < F.col("rep2")) & likely("n", "wide", "n2", "wide2", percent, least)).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
+    short = listed.where(F.col("df") <= hot).select("v", "rep", "n", "wide")
+    dealt = short.repartition("v").sortWithinPartitions("v")
+    pairs = dealt.mapInPandas(lambda batches: short_lists(batches, percent, least), "a long, b long").distinct()
     long = listed.where(F.col("df") > hot).select(F.col("v").alias("grp"), F.col("rep").alias("node"), "n", "wide")
     forest = span(long, scratch, list_block, lambda rows: rows, lambda g: span_list(g, percent, least)).distinct()
     families = scratch.save(components(pairs.unionByName(forest), scratch))

@@ -83,32 +83,31 @@ def test_near_duplicates_in_blocks_and_hot_lists(spark):
         assert got == expected
 
 
-def test_union_sketch_estimates(spark):
-    """The numpy and the SQL form against the definition."""
+def test_union_sketch_estimates():
     rng = np.random.default_rng(3)
     universe = np.sort(rng.choice(2**31 - 1, 5000, replace=False)).astype(np.int32)
-    rows = []
-    for i in range(300):
+    least = near_dup.least_overlap(near_dup.WIDE, 0.8, 1e-9)
+    seen = set()
+    for _ in range(400):
         own = rng.random(5000) < rng.choice([0.002, 0.012, 0.03, 0.2])
         other = own ^ (rng.random(5000) < rng.choice([0.0, 0.001, 0.01]))
         a, b = universe[own], universe[other]
-        rows.append((i, len(a), a[: near_dup.WIDE].tolist(), len(b), b[: near_dup.WIDE].tolist(), set(a.tolist()), set(b.tolist())))
-    least = near_dup.least_overlap(near_dup.WIDE, 0.8, 1e-9)
-    d = spark.createDataFrame([r[:5] for r in rows], "i long, n long, wide array<int>, n2 long, wide2 array<int>")
-    sql = {r.i: r.ok for r in d.select("i", near_dup.likely("n", "wide", "n2", "wide2", 80, least).alias("ok")).collect()}
-    seen = set()
-    for i, n, wide, n2, wide2, a, b in rows:
+        rows = near_dup.pd.DataFrame({"v": [5, 5], "rep": [2, 1], "node": [2, 1], "n": [len(a), len(b)], "wide": [x[: near_dup.WIDE].astype("<i4").tobytes() for x in (a, b)]})
+        a, b = set(a.tolist()), set(b.tolist())
         union = sorted(a | b)[: near_dup.WIDE]
         shared = len([v for v in union if v in a and v in b])
-        size = 100 * min(n, n2) >= 80 * max(n, n2)
-        want = size and (100 * len(a & b) >= 80 * len(a | b) if max(n, n2) <= near_dup.WIDE else shared >= least)
-        assert sql[i] == want
-        g = near_dup.pd.DataFrame({"node": [1, 2], "n": [n, n2], "wide": [wide, wide2]})
-        assert bool(near_dup.span_list(g, 80, least)) == want
+        sizes = 100 * min(len(a), len(b)) >= 80 * max(len(a), len(b))
+        complete = max(len(a), len(b)) <= near_dup.WIDE
+        want = sizes and (100 * len(a & b) >= 80 * len(a | b) if complete else shared >= least)
+        assert bool(near_dup.span_list(rows, 80, least)) == want
+        alone = rows.assign(v=[6, 7])
+        got = near_dup.pd.concat(near_dup.short_lists(iter([rows.iloc[:1], near_dup.pd.concat([rows.iloc[1:], alone])]), 80, least))
+        assert got.to_numpy().tolist() == ([[1, 2]] if want else [])
         similar = bool(a | b) and 100 * len(a & b) >= 80 * len(a | b)
         assert want or not similar
-        seen.add((want, similar, max(n, n2) <= near_dup.WIDE))
+        seen.add((want, similar, complete))
     assert len(seen) >= 4
+    assert (near_dup.least_overlap(16, 0.8, 1e-9), near_dup.least_overlap(16, 0.1, 1e-9), near_dup.least_overlap(4, 1.0, 1e-9)) == (2, 1, 4)
 
 
 def test_keep_representatives(spark, hostile, empty):
