@@ -12,7 +12,7 @@ from .windows import jaccard
 def callers_of(symbols: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """Symbols that call one of that name."""
     called = symbols.where(F.col("name") == name).select(F.col("id").alias("to_symbol_id"))
-    ids = edges.join(F.broadcast(called), "to_symbol_id").select(F.col("from_symbol_id").alias("id")).distinct()
+    ids = edges.join(called, "to_symbol_id").select(F.col("from_symbol_id").alias("id")).distinct()
     return symbols.join(ids, "id", "left_semi")
 
 
@@ -48,7 +48,7 @@ def references(calls: DataFrame, relations: DataFrame, symbols: DataFrame, name:
     """Calls of the name, and the lines of symbols that relate to it, one for each (file, line)."""
     direct = calls.where(F.col("name") == name).select("file_id", "line")
     target = symbols.where(F.col("name") == name).select(F.col("id").alias("to_symbol_id"))
-    related = relations.join(F.broadcast(target), "to_symbol_id").join(symbols, F.col("from_symbol_id") == F.col("id")).select("file_id", "line")
+    related = relations.join(target, "to_symbol_id").join(symbols, F.col("from_symbol_id") == F.col("id")).select("file_id", "line")
     return direct.unionByName(related).distinct()
 
 

@@ -75,7 +75,7 @@ def related_files(imports: DataFrame, files: DataFrame, file_id: int, cap: int =
     tag = lambda d, c, i, n: d.select(F.col(c).alias("id"), F.lit(i).alias("__p"), F.lit(n).alias("tag"))
     folder = F.regexp_replace("path", "/[^/]*$", "")
     own = files.where(F.col("id") == file_id).select(folder.alias("__dir"))
-    siblings = files.withColumn("__dir", folder).join(F.broadcast(own), "__dir").where(F.col("id") != file_id)
+    siblings = files.withColumn("__dir", folder).join(own, "__dir").where(F.col("id") != file_id)
     d = tag(imports.where(F.col("from_file_id") == file_id), "to_file_id", 0, "IMPORTS").unionByName(tag(imports.where(F.col("to_file_id") == file_id), "from_file_id", 1, "IMPORTED_BY")).unionByName(tag(siblings, "id", 2, "SIBLING"))
     first = d.groupBy("id").agg(F.min(F.struct("__p", "tag")).alias("x")).select("id", "x.__p", "x.tag")
     return first.join(files.select("id", "path"), "id").orderBy("__p", "path").limit(cap).select("id", "path", "tag")

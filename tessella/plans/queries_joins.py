@@ -132,10 +132,10 @@ def _(r):
     return J.clones(r.symbols, F.sha2(F.lower("signature"), 256))
 
 
-@query("j20_similar_signatures", """WITH t AS (SELECT id, list_distinct(list_filter(regexp_split_to_array(lower(signature), '[^a-z0-9]+'), lambda w: w <> '')) AS t FROM symbols WHERE id <= 400)
+@query("j20_similar_signatures", """WITH t AS (SELECT id, list_distinct(list_filter(regexp_split_to_array(lower(signature), '[^a-z0-9]+'), lambda w: w <> '')) AS t FROM symbols)
 SELECT a.id, b.id AS other, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) AS similarity FROM t a JOIN t b ON a.id < b.id WHERE similarity >= 0.8""")
 def _(r):
-    return J.similar_signatures(r.symbols.where("id <= 400"))
+    return J.similar_signatures(r.symbols)
 
 
 @query("j21_feedback", "SELECT s.id, coalesce(count(c.id), 0) AS boost FROM symbols s LEFT JOIN calls c ON c.name = s.name GROUP BY s.id")
@@ -164,11 +164,11 @@ def _(r):
     return J.overlap_blocks(r.lines.select(F.col("doc_id").alias("block"), "line"), r.lines.select(F.col("doc_id").alias("chunk"), "line"))
 
 
-@query("j25_forward_chain", """WITH RECURSIVE fw AS (SELECT doc_id AS old, doc_id + 3 AS new FROM documents WHERE doc_id % 5 <> 0), w AS (SELECT doc_id AS start, doc_id AS last, 0 AS hops FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT start, new, hops + 1 FROM w JOIN fw ON old = last WHERE hops < 16)
+@query("j25_forward_chain", """WITH RECURSIVE fw AS (SELECT doc_id AS old, doc_id + 3 AS new FROM documents WHERE doc_id % 5 <> 0), w AS (SELECT doc_id AS start, doc_id AS last, 0 AS hops FROM documents UNION ALL SELECT start, new, hops + 1 FROM w JOIN fw ON old = last WHERE hops < 16)
 SELECT start, max(last) AS last, max(hops) AS hops FROM w GROUP BY start""")
 def _(r):
     forwards = r.documents.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("old"), (F.col("doc_id") + 3).alias("new"))
-    return J.forward_chain(forwards, r.documents.where("doc_id % 7 = 0").select(F.col("doc_id").alias("start")))
+    return J.forward_chain(forwards, r.documents.select(F.col("doc_id").alias("start")))
 
 
 @query("j26_short_hash", """WITH p AS (SELECT DISTINCT CASE WHEN id % 2 = 0 THEN substr(hash, 1, 6) ELSE hash END AS prefix FROM files) SELECT prefix, coalesce(max(hash) FILTER (hash = prefix), CASE WHEN count(DISTINCT hash) = 1 THEN min(hash) END) AS hash FROM p LEFT JOIN files ON starts_with(hash, prefix) GROUP BY prefix""")

@@ -20,9 +20,9 @@ def _(r):
     return M.line_edits(r.lines, _edits(r))
 
 
-@query("m2_wrap_symbols", "SELECT doc_id, n, CASE WHEN trim(line) = '' THEN line ELSE concat('  ', line) END AS line FROM lines WHERE n <= 3")
+@query("m2_wrap_symbols", "SELECT doc_id, n, CASE WHEN trim(line) = '' THEN line ELSE concat('  ', line) END AS line FROM lines")
 def _(r):
-    return r.lines.where("n <= 3").select("doc_id", "n", M.wrap_lines(F.col("line"), "  ").alias("line"))
+    return r.lines.select("doc_id", "n", M.wrap_lines(F.col("line"), "  ").alias("line"))
 
 
 @query("m3_fuzzy_place", "SELECT doc_id, min(n) AS n, false AS trimmed FROM (SELECT a.doc_id, b.n FROM lines a JOIN lines b ON b.doc_id = a.doc_id AND b.line = a.line WHERE a.n = 2 AND b.n <= 2) GROUP BY doc_id")

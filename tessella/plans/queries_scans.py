@@ -8,9 +8,11 @@ from ..sources import scan as S
 from .catalog import query
 
 
-@query("s2_ignored_paths", "SELECT id, id % 4 = 0 OR id % 4 = 1 AS ignored FROM files")
+@query("s2_ignored_paths", "SELECT id, id % 7 < 6 AS ignored FROM files")
 def _(r):
-    p = F.when(F.col("id") % 4 == 0, F.concat(F.lit("a/node_modules/"), "path")).when(F.col("id") % 4 == 1, F.concat(F.lit(".cache/"), "path")).otherwise(F.col("path"))
+    p = F.col("path")
+    for i, folder in enumerate(("a/node_modules/", ".cache/", "obj/", "x/bin/y/", "coverage/", "a/venv/")):
+        p = F.when(F.col("id") % 7 == i, F.concat(F.lit(folder), "path")).otherwise(p)
     return r.files.select("id", S.ignored(p).alias("ignored"))
 
 

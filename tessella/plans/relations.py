@@ -40,7 +40,7 @@ SQL = {
         doc_id % 5 = 0 AS pinned, doc_id % 3 = 0 AS edited, doc_id % 7 = 0 AS compacted, doc_id AS last_accessed FROM documents""",
     "calls": """SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey % 200 AS file_id, replace(p_name, ' ', '_') AS name,
         CAST(l_quantity AS INT) AS line, CASE WHEN l_linenumber = 1 THEN NULL ELSE concat('scope_', CAST(l_suppkey % 20 AS VARCHAR)) END AS scope_name
-        FROM lineitem JOIN part ON (l_partkey * 3 + l_linenumber) % (SELECT count(*) FROM part) + 1 = p_partkey WHERE l_quantity <= 10""",
+        FROM lineitem JOIN part ON (l_partkey * 3 + l_linenumber) % (SELECT count(*) FROM part) + 1 = p_partkey""",
 }
 
 
@@ -104,7 +104,7 @@ class Relations:
 
     @cached_property
     def calls(self) -> DataFrame:
-        items, part = self.lineitem.where("l_quantity <= 10"), self.part
+        items, part = self.lineitem, self.part
         callee = (F.col("l_partkey") * 3 + F.col("l_linenumber")) % part.count() + 1
         scope = F.when(F.col("l_linenumber") != 1, F.concat(F.lit("scope_"), (F.col("l_suppkey") % 20).cast("string")))
         return items.join(part.select("p_partkey", "p_name"), callee == F.col("p_partkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") % 200).alias("file_id"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"), F.col("l_quantity").cast("int").alias("line"), scope.alias("scope_name"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Directories never scanned.
-SKIP_DIRS = (".git", "node_modules", "target", "dist", "build", "__pycache__", ".venv", "vendor")
+SKIP_DIRS = ("node_modules", "target", "dist", "build", "vendor", "__pycache__", ".git", "obj", "bin", ".next", ".nuxt", "coverage", ".tox", "venv", ".venv", ".turbo", ".parcel-cache", ".cache")
 
 
 def read_tree(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -130,14 +130,14 @@ def detect(files: DataFrame, rules: DataFrame) -> DataFrame:
 
     rules: (rule, pattern, language, severity, category), a short catalog."""
     lines = numbered_lines(files.select("path", "content")).join(files.select("path", "language"), "path")
-    hit = lines.join(F.broadcast(rules), "language").where("line rlike pattern")
+    hit = lines.join(rules, "language").where("line rlike pattern")
     severity = F.when(F.col("severity").isin("critical", "high"), "high").when(F.col("severity") == "medium", "medium").otherwise("low")
     return hit.select("path", F.col("n").alias("line"), "rule", severity.alias("severity"), "category")
 
 
 def focus(rules: DataFrame, matrix: DataFrame) -> DataFrame:
     """The rules whose (category, severity) the matrix allows."""
-    return rules.join(F.broadcast(matrix), ["category", "severity"], "left_semi")
+    return rules.join(matrix, ["category", "severity"], "left_semi")
 
 
 def raw_search(lines: DataFrame, text: str, regex: bool = False, case: bool = False, most: int = 500) -> DataFrame:
