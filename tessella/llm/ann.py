@@ -165,7 +165,13 @@ def search(vectors: DataFrame, spark: SparkSession, is_query, top: int = 20, sam
     """query_id, rank, vec_id, score: the ``top`` nearest of each query row,
     where ``is_query`` is a condition on the column vec_id."""
     scratch = Scratch(spark)
-    v, kind, dim = valid_vectors(vectors, vec_id, embedding)
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for v, kind, dim in valid_vectors(vectors, vec_id, embedding):
+        out = out.unionByName(_search(v, kind, dim, spark, scratch, is_query, top, sample, block, rerank))
+    return scratch.release(out)
+
+
+def _search(v: DataFrame, kind: np.dtype, dim: int, spark: SparkSession, scratch: Scratch, is_query, top: int, sample: int, block: int, rerank: int) -> DataFrame:
     v = scratch.save(v.groupBy("vec_id").agg(F.min("vec").alias("vec")))
     n, nq = v.agg(F.count("*"), F.sum(is_query.cast("long"))).first()
     schema = "query_id long, rank int, vec_id long, score double"

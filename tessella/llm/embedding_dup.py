@@ -178,7 +178,15 @@ def verify(g: pd.DataFrame, kind: np.dtype, dim: int, cosine: float) -> tuple[np
 def near_duplicates(vectors: DataFrame, spark: SparkSession, cosine: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding", hits: int = HITS, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id of each row."""
     scratch = Scratch(spark)
-    v, kind, dim = valid_vectors(vectors, vec_id, embedding)
+    by_id = spark.createDataFrame([], "__id long, n_links long, component_id long")
+    for v, kind, dim in valid_vectors(vectors, vec_id, embedding):
+        by_id = by_id.unionByName(_near_duplicates(v, kind, dim, spark, scratch, cosine, hits, block))
+    out = vectors.select(F.col(vec_id).cast("long").alias("vec_id")).join(by_id, F.col("vec_id") == F.col("__id"), "left")
+    return scratch.release(out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")))
+
+
+def _near_duplicates(v: DataFrame, kind: np.dtype, dim: int, spark: SparkSession, scratch: Scratch, cosine: float, hits: int, block: int) -> DataFrame:
+    """(__id, n_links, component_id) of the vectors of one dimension."""
     v = scratch.save(v.groupBy("vec_id").agg(F.min("vec").alias("vec")).withColumn("key", F.md5("vec")))
     classes = scratch.save(v.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("vec").alias("vec")))
     n = classes.count()
@@ -211,9 +219,7 @@ def near_duplicates(vectors: DataFrame, spark: SparkSession, cosine: float = 0.9
     linked = components(found.where("edge").select("a", "b"), scratch).withColumnRenamed("node", "rep")
     answer = classes.select("key", "rep", "weight").join(links, "rep", "left").join(linked, "rep", "left")
     answer = scratch.save(answer.select(F.col("key").alias("__key"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
-    by_id = v.join(answer, F.col("key") == F.col("__key")).select(F.col("vec_id").alias("__id"), "n_links", "component_id")
-    out = vectors.select(F.col(vec_id).cast("long").alias("vec_id")).join(by_id, F.col("vec_id") == F.col("__id"), "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return v.join(answer, F.col("key") == F.col("__key")).select(F.col("vec_id").alias("__id"), "n_links", "component_id")
 
 
 def op5_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

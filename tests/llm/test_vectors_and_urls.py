@@ -90,6 +90,56 @@ def test_embedding_duplicates(spark, options):
     assert got[None].n_links == 0 and got[None].component_id is None
 
 
+def test_vectors_of_every_length(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 2.0, 3.0]), (4, [1.0, 2.0, 3.0]), (20, [3.0, 2.0, 1.0]), (5, [7.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dup.near_duplicates(d, spark).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (0, 2), 3: (1, 3), 4: (1, 3), 20: (0, 20), 5: (0, 5)}
+    found = sorted(tuple(r) for r in ann.search(d, spark, F.col("vec_id") % 20 == 0).collect())
+    assert found == [(0, 1, 1, 1.0), (0, 2, 2, 0.0), (20, 1, 3, 10.0), (20, 2, 4, 10.0)]
+
+
+def test_verdicts_are_those_of_the_two_models(spark):
+    """The models and their smoothing written out, against the operator's verdicts."""
+    import math
+
+    rng = np.random.default_rng(2)
+    word = lambda a, n: "".join(rng.choice(list(a), n))
+    urls = [f"http://{word('abc', 3)}.com/en/{word('xyz', 4)}" for _ in range(60)] + [f"http://{word('abd', 3)}.net/de/{word('xyw', 4)}" for _ in range(60)] + [f"http://{word('abcd', 4)}.io/{word('wxyz', 5)}" for _ in range(60)]
+    d = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    rows = url_filter.judge(d, spark).collect()
+    ruled = spark.createDataFrame([(r.host + r.path, r.verdict) for r in rows if r.rule], "text string, verdict string")
+    model = url_filter.train(ruled)
+
+    def counts(m):
+        return lambda ctx: m.after.get(ctx, {})
+
+    def loglik(m, text):
+        s, total = "\x02" * url_filter.ORDER + text + "\x03", 0.0
+        for i in range(url_filter.ORDER, len(s)):
+            def p(n):
+                if n < 0:
+                    return 1 / 1000
+                after = counts(m)(s[i - n : i])
+                if not after:
+                    return p(n - 1)
+                return (after.get(s[i], 0) + len(after) * p(n - 1)) / (sum(after.values()) + len(after))
+
+            total += math.log(p(url_filter.ORDER))
+        return total / (len(text) + 1)
+
+    judged = [r for r in rows if not r.rule]
+    assert len(judged) == 60
+    for r in judged:
+        s = loglik(model.accepted, r.host + r.path) - loglik(model.rejected, r.host + r.path) - model.threshold
+        assert r.score == pytest.approx(s, abs=1e-9) and r.verdict == ("allow" if s >= 0 else "block")
+    assert sum(model.accepted.after[""].values()) == sum(len(u) + 1 for i, u in enumerate(sorted_texts(spark, ruled, "allow")) if i % 5)
+
+
+def sorted_texts(spark, judged, verdict):
+    return [r.text for r in judged.where(F.col("verdict") == verdict).select("text").distinct().orderBy(F.xxhash64("text"), "text").collect()]
+
+
 def test_filters_meet_close_pairs():
     rng = np.random.default_rng(5)
     f = embedding_dup.Filters(20000, 64)
