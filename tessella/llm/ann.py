@@ -147,6 +147,14 @@ def best(scores: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))][:n]
 
 
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products in double precision, summed in order of the components as SQL does."""
+    out = np.zeros(len(x))
+    for c, w in zip(x.T, q):
+        out += c * w
+    return out
+
+
 def wider(approx: np.ndarray, exact: np.ndarray, k: np.ndarray, top: int) -> np.ndarray:
     """Positions beside ``k`` whose approximate score could still hide one of
     the ``top``: it lies within three typical errors (those of the reranked
@@ -208,10 +216,10 @@ def _search(v: DataFrame, kind: np.dtype, dim: int, spark: SparkSession, scratch
                     out = []
                     for i, scores in enumerate(approx):
                         k = best(scores, ids, rerank + 1)
-                        exact = (x[k] * q[at + i]).sum(axis=1)
+                        exact = products(x[k], q[at + i])
                         more = wider(scores, exact, k, top + 1)
                         if len(more):
-                            k, exact = np.concatenate([k, more]), np.concatenate([exact, (x[more] * q[at + i]).sum(axis=1)])
+                            k, exact = np.concatenate([k, more]), np.concatenate([exact, products(x[more], q[at + i])])
                         k, exact = k[ids[k] != qid[at + i]], exact[ids[k] != qid[at + i]]
                         w = best(exact, ids[k], top)
                         out.append(pd.DataFrame({"query_id": qid[at + i], "vec_id": ids[k][w], "score": exact[w]}))
@@ -222,5 +230,16 @@ def _search(v: DataFrame, kind: np.dtype, dim: int, spark: SparkSession, scratch
     return merged.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
 
 
+OP3_SQL = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+found AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x) AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.x) = len(v.x) WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM found) WHERE rank <= 20
+"""
+
+
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), spark, F.col("vec_id") % 20 == 0)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .ann import op3_ann
+from .ann import OP3_SQL, op3_ann
 from .embedding_dup import OP5_SQL, op5_embedding_dup
 from .language import op2_language
 from .licenses import OP9_SQL, op9_licenses
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op5_embedding_dup": OP5_SQL, "op8_line_dedup": OP8_SQL, "op9_licenses": OP9_SQL, "op10_near_dup": OP10_SQL}
+    return {"op3_ann": OP3_SQL, "op4_mixing": OP4_SQL, "op5_embedding_dup": OP5_SQL, "op8_line_dedup": OP8_SQL, "op9_licenses": OP9_SQL, "op10_near_dup": OP10_SQL}
