@@ -216,7 +216,7 @@ def stale(current: DataFrame, stored: DataFrame) -> DataFrame:
 
 def select_set(memory: DataFrame, selector: str, now: int, minutes: int = 5) -> DataFrame:
     """Chunks that a set selector means: all, edited, pinned, dormant, stale,
-    latest:N, file:GLOB, type:T."""
+    latest:N, file:GLOB, type:T (of chunks that have a type)."""
     kind, _, arg = selector.partition(":")
     if kind == "latest":
         return memory.orderBy(F.desc("last_accessed"), "hash").limit(int(arg or 1))
@@ -227,6 +227,7 @@ def select_set(memory: DataFrame, selector: str, now: int, minutes: int = 5) ->
         "dormant": lambda: F.col("compacted"),
         "stale": lambda: (F.lit(now) - F.col("last_accessed") > minutes) & ~F.col("pinned") & ~F.col("compacted"),
         "file": lambda: F.col("source").rlike(glob(arg)) if set(arg) & set("*?") else F.col("source").contains(arg),
+        "type": lambda: F.col("type") == arg,
     }
     return memory.where(tests[kind]()) if kind in tests else memory.where(F.lit(False))
 

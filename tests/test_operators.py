@@ -247,3 +247,10 @@ def test_empty_inputs(spark):
     assert aggregates.severity_counts(none).first()["total"] == 0 and filters.issues_page(none).count() == 0
     docs = spark.createDataFrame([], "doc long, t string")
     assert ranking.bm25(docs, "doc", {"t": "t"}, {"t": 1.0}, ["x"]).count() == 0
+
+
+def test_set_selector_by_type(spark):
+    from tessella.operators import filters
+
+    memory = spark.createDataFrame([("a", "file"), ("b", "search"), ("c", None)], "hash string, type string")
+    assert [r.hash for r in filters.select_set(memory, "type:search", 0).collect()] == ["b"]
