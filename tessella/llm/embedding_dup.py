@@ -109,30 +109,41 @@ class ProductCode:
         return [x[:, s:e] @ w.T for s, e, w in zip(self.edges, self.edges[1:], self.words)]
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
+        """Each row's filters, all rows at once: a choice of words grows part by
+        part, best words first, as long as the best of the parts to come could
+        still lift it over the height. Rows with fewer than ``least`` filters go
+        round again with a lower height and keep their best ``least``."""
+        if not len(unit):
+            return []
         scores = self.scores(unit)
         orders = [np.argsort(-s, axis=1, kind="stable") for s in scores]
         sorts = [np.take_along_axis(s, o, 1) for s, o in zip(scores, orders)]
         best = np.stack([s[:, 0] for s in sorts])  # parts x rows
         rest = np.concatenate([np.cumsum(best[::-1], axis=0)[::-1][1:], np.zeros((1, len(unit)))])
-        out = []
-        for i in range(len(unit)):
-            height = self.height
-            while True:
-                sums, ids = np.zeros(1), np.zeros(1, np.int64)
-                for p in range(self.parts):
-                    s = sorts[p][i]
-                    # words, best first, as long as the best of the other parts could still reach the height
-                    n = np.searchsorted(-s, -(height - rest[p, i] - sums), side="right")
-                    total = int(n.sum())
-                    at = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-                    sums = np.repeat(sums, n) + s[at]
-                    ids = np.repeat(ids, n) * self.code + orders[p][i][at]
-                if len(ids) >= min(self.least, self.code**self.parts):
-                    break
-                height -= 0.02
-            if height < self.height:  # fewer than `least` at the common height
-                ids = ids[np.lexsort((ids, -sums))][: self.least]
-            out.append(ids)
+        # one ascending array a part: rows lie further apart than any two scores
+        apart = 4.0 * max(1.0, max(float(np.abs(s).max()) for s in scores)) * self.parts
+        lines = [(np.arange(len(unit))[:, None] * apart - s).ravel() for s in sorts]
+        enough = min(self.least, self.code**self.parts)
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(unit)
+        todo, height = np.arange(len(unit)), self.height
+        while len(todo):
+            row, sums, ids = todo, np.zeros(len(todo)), np.zeros(len(todo), np.int64)
+            for p in range(self.parts):
+                # clipped, so that a choice stays within its own row's scores
+                need = np.clip(height - rest[p, row] - sums, -apart / 2, apart / 2)
+                n = np.searchsorted(lines[p], row * apart - need, side="right") - row * self.code
+                at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                row, sums, ids = np.repeat(row, n), np.repeat(sums, n), np.repeat(ids, n)
+                sums, ids = sums + sorts[p][row, at], ids * self.code + orders[p][row, at]
+            if height < self.height:
+                order = np.lexsort((ids, -sums, row))
+                row, ids = row[order], ids[order]
+            ends = np.searchsorted(row, todo, side="right")
+            starts = np.searchsorted(row, todo, side="left")
+            for i, s, e in zip(todo, starts, ends):
+                if e - s >= enough:
+                    out[i] = ids[s:e] if height >= self.height else ids[s : min(e, s + self.least)]
+            todo, height = todo[ends - starts < enough], height - 0.02
         return out
 
 

@@ -90,6 +90,23 @@ def test_embedding_duplicates(spark, options):
     assert got[None].n_links == 0 and got[None].component_id is None
 
 
+@pytest.mark.parametrize("n, dim", [(500, 12), (40000, 16), (3, 1)])
+def test_decoding_finds_the_filters_that_a_look_at_all_finds(n, dim):
+    code = embedding_dup.ProductCode(n, dim, 3, 3, 5)
+    x = np.random.default_rng(4).normal(size=(60, dim))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    for i, found in enumerate(code.decode(x)):
+        sums = np.zeros(1)
+        for s in code.scores(x):
+            sums = (sums[:, None] + s[i][None, :]).ravel()
+        height = code.height
+        while (sums >= height).sum() < min(code.least, len(sums)):
+            height -= 0.02
+        most = len(sums) if height == code.height else code.least
+        assert sorted(found) == sorted(np.lexsort((np.arange(len(sums)), -sums))[: min(most, (sums >= height).sum())])
+    assert code.decode(x[:0]) == []
+
+
 def test_vectors_of_every_length(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 2.0, 3.0]), (4, [1.0, 2.0, 3.0]), (20, [3.0, 2.0, 1.0]), (5, [7.0])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
