@@ -7,14 +7,19 @@ each (four bits); they are fitted, under that loss, on at most ``sample``
 vectors by alternating assignment (coordinate descent over subspaces) and a
 least-squares update.
 
-Every vector is indexed: blocks of about ``block`` vectors, dealt by a hash of
-the id, hold codes and vectors. Queries stand in blocks too. A task takes one
-block of each: table lookups give approximate scores of all, the best ``rerank`` of
+Every vector is indexed: its code stands beside it in one of the blocks that ids
+are dealt to by hash. Queries stand in groups likewise. A tile is one block and
+one group: table lookups give approximate scores of all, the best ``rerank`` of
 each query, and others within three typical errors of the best, are scored
-exactly on the original vectors, and the best ``top`` go on. The last step merges a query's partial lists.
+exactly on the original vectors, and the best ``top`` go on. Ranks over a
+query's finds, pruned before they are shuffled, are the answer.
 
-All blocks of vectors meet all blocks of queries, which is what searching a
-stated query set means; a task's memory is bounded by the block sizes.
+All blocks meet all groups, which is what searching a stated query set means.
+Both hold MOST vectors and BLOCK_BYTES at most, however many there are, and
+small tables still make a block for each core; so a vector is copied once for each 65,536
+queries (of 64 dimensions), and a query once for each 65,536 vectors. Tiles are
+dealt to partitions by number, PARTITIONS at most, and a task takes its tiles
+one after another.
 
 Vectors that take no part (see vectors.py) are neither searched nor found. Ties
 go to the smaller id; repeated rows of an id count once (its smallest bytes).
@@ -27,13 +32,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, groups
 from .vectors import matrix, valid_vectors
 
-SUBDIM, CENTRES, SAMPLE, BLOCK, QUERIES, RERANK, THRESHOLD = 2, 16, 8192, 8192, 1024, 256, 0.2
+SUBDIM, CENTRES, SAMPLE, RERANK, THRESHOLD = 2, 16, 8192, 256, 0.2
+#: Vectors of a block or a group of queries, and their bytes in double precision, at most; vectors scanned at a time; partitions.
+MOST, BLOCK_BYTES, STRIDE, PARTITIONS = 65536, 1 << 25, 8192, 20000
 
 
 def parallel_weight(dim: int, threshold: float = THRESHOLD) -> float:
@@ -133,7 +140,8 @@ def scan(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
     out = np.zeros((nq, len(codes)), np.float32)
     for s in range(both.shape[1]):
         pair = (tables[:, 2 * s, :, None] + tables[:, 2 * s + 1, None, :]).reshape(nq, CENTRES * CENTRES)
-        out += pair[:, both[:, s]]
+        for at in range(0, len(codes), STRIDE):
+            out[:, at : at + STRIDE] += pair[:, both[at : at + STRIDE, s]]
     return out
 
 
@@ -169,65 +177,76 @@ def wider(approx: np.ndarray, exact: np.ndarray, k: np.ndarray, top: int) -> np.
     return np.flatnonzero(may)
 
 
-def search(vectors: DataFrame, spark: SparkSession, is_query, top: int = 20, sample: int = SAMPLE, block: int = BLOCK, rerank: int = RERANK, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, spark: SparkSession, is_query, top: int = 20, sample: int = SAMPLE, block: int | None = None, group: int | None = None, rerank: int = RERANK, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest of each query row,
-    where ``is_query`` is a condition on the column vec_id."""
+    where ``is_query`` is a condition on the column vec_id. ``block`` and
+    ``group`` set how many vectors and queries a tile holds."""
     scratch = Scratch(spark)
     out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     for v, kind, dim in valid_vectors(vectors, vec_id, embedding):
-        out = out.unionByName(_search(v, kind, dim, spark, scratch, is_query, top, sample, block, rerank))
+        out = out.unionByName(_search(v, kind, dim, spark, scratch, is_query, top, sample, block, group, rerank))
     return scratch.release(out)
 
 
-def _search(v: DataFrame, kind: np.dtype, dim: int, spark: SparkSession, scratch: Scratch, is_query, top: int, sample: int, block: int, rerank: int) -> DataFrame:
+def match(g: pd.DataFrame, book: Codebook, kind: np.dtype, dim: int, top: int, rerank: int) -> Iterator[pd.DataFrame]:
+    """The ``top`` finds of each query of one tile; rows without a code are queries."""
+    asked = g["code"].isna().to_numpy()
+    if asked.all() or not asked.any():
+        return
+    rows, queries = g[~asked], g[asked]
+    ids, x = rows["vec_id"].to_numpy(), matrix(rows["vec"], kind, dim)
+    codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
+    qid, q = queries["vec_id"].to_numpy(), matrix(queries["vec"], kind, dim)
+    for at in range(0, len(q), 64):
+        out = []
+        for i, scores in enumerate(scan(book.tables(q[at : at + 64]), codes)):
+            k = best(scores, ids, rerank + 1)
+            exact = products(x[k], q[at + i])
+            more = wider(scores, exact, k, top + 1)
+            if len(more):
+                k, exact = np.concatenate([k, more]), np.concatenate([exact, products(x[more], q[at + i])])
+            k, exact = k[ids[k] != qid[at + i]], exact[ids[k] != qid[at + i]]
+            w = best(exact, ids[k], top)
+            out.append(pd.DataFrame({"query_id": qid[at + i], "vec_id": ids[k][w], "score": exact[w]}))
+        yield pd.concat(out)
+
+
+def _search(v: DataFrame, kind: np.dtype, dim: int, spark: SparkSession, scratch: Scratch, is_query, top: int, sample: int, block: int | None, group: int | None, rerank: int) -> DataFrame:
     v = scratch.save(v.groupBy("vec_id").agg(F.min("vec").alias("vec")))
     n, nq = v.agg(F.count("*"), F.sum(is_query.cast("long"))).first()
-    schema = "query_id long, rank int, vec_id long, score double"
     if not n or not nq:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # the codebook is fitted on a bounded sample; every vector is indexed
     book = Codebook(matrix(v.orderBy(F.xxhash64("vec_id")).limit(sample).select("vec").toPandas()["vec"], kind, dim))
     shared = spark.sparkContext.broadcast(book)
-    n_blocks, n_queries = math.ceil(n / block), math.ceil(nq / QUERIES)
+    most = min(MOST, max(1, BLOCK_BYTES // (8 * dim)))
+    blocks = math.ceil(n / (block or most))
+    if block is None:
+        blocks = max(blocks, min(spark.sparkContext.defaultParallelism, math.ceil(n / STRIDE)))
+    asked = math.ceil(nq / (group or most))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             codes = shared.value.encode(matrix(b["vec"], kind, dim))
             yield b.assign(code=[c.tobytes() for c in codes])
 
-    coded = v.withColumn("b", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)).cast("int")).mapInPandas(pack, "vec_id long, vec binary, b int, code binary")
-    queries = v.where(is_query).withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(n_queries)).cast("int"))
-    # a row a block, of bounded size, and each block of vectors once for each block of queries
-    blocks = coded.groupBy("b").agg(F.collect_list(F.struct("vec_id", "vec", "code")).alias("rows"))
-    asked = queries.groupBy("q").agg(F.collect_list(F.struct("vec_id", "vec")).alias("asked"))
-    pairs = scratch.save(blocks).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))).join(scratch.save(asked), "q")
-
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        book: Codebook = shared.value
-        for batch in batches:
-            for rows, asked in zip(batch["rows"], batch["asked"]):
-                rows, asked = pd.DataFrame(list(rows)), pd.DataFrame(list(asked))
-                ids, x = rows["vec_id"].to_numpy(), matrix(rows["vec"], kind, dim)
-                codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
-                qid, q = asked["vec_id"].to_numpy(), matrix(asked["vec"], kind, dim)
-                tables = book.tables(q)
-                for at in range(0, len(q), 64):
-                    approx = scan(tables[at : at + 64], codes)
-                    out = []
-                    for i, scores in enumerate(approx):
-                        k = best(scores, ids, rerank + 1)
-                        exact = products(x[k], q[at + i])
-                        more = wider(scores, exact, k, top + 1)
-                        if len(more):
-                            k, exact = np.concatenate([k, more]), np.concatenate([exact, products(x[more], q[at + i])])
-                        k, exact = k[ids[k] != qid[at + i]], exact[ids[k] != qid[at + i]]
-                        w = best(exact, ids[k], top)
-                        out.append(pd.DataFrame({"query_id": qid[at + i], "vec_id": ids[k][w], "score": exact[w]}))
-                    yield pd.concat(out)
-
-    found = pairs.select("rows", "asked").repartition(n_blocks * n_queries).mapInPandas(match, "query_id long, vec_id long, score double")
-    merged = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score"))), 1, top).alias("best"))
-    return merged.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
+    dealt = lambda seed, k: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(k))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    # a code is made once and written, not once for each copy
+    coded = scratch.save(v.mapInPandas(pack, "vec_id long, vec binary, code binary"))
+    coded = coded.withColumn("b", dealt(1, blocks)).withColumn("q", every(asked))
+    queries = v.where(is_query).withColumn("code", F.lit(None).cast("binary")).withColumn("q", dealt(2, asked)).withColumn("b", every(blocks))
+    rows = coded.unionByName(queries).select("vec_id", "vec", "code", (F.col("b") * asked + F.col("q")).alias("tile"))
+    parts = min(blocks * asked, PARTITIONS)
+    tiles = rows.repartitionById(parts, (F.col("tile") % parts).cast("int")).sortWithinPartitions("tile")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups(batches, "tile"):
+            yield from match(g, shared.value, kind, dim, top, rerank)
+
+    found = tiles.mapInPandas(run, "query_id long, vec_id long, score double")
+    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
 OP3_SQL = """

@@ -26,11 +26,12 @@ def table(spark, x, extra=()):
 BAD = [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [1.0] * 15 + [None]), (1004, [float("inf")] * 16), (1005, [1.0] * 3), (None, [1.0] * 16), (1020, [])]
 
 
-def test_search_finds_the_nearest(spark):
+@pytest.mark.parametrize("options", [{}, {"block": 150}, {"block": 90, "group": 7}, {"block": 1}])
+def test_search_finds_the_nearest(spark, options):
     x = vectors()
     d = table(spark, x, BAD)
     got = {}
-    for r in ann.search(d, spark, F.col("vec_id") % 20 == 0, block=150).collect():
+    for r in ann.search(d, spark, F.col("vec_id") % 20 == 0, **options).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     x = x.astype(np.float64)
     hits = total = 0
