@@ -195,17 +195,56 @@ def symbol_range(symbols: DataFrame, name: str) -> DataFrame:
     return symbols.where(F.lower("name") == name.lower()).orderBy(F.when(F.col("name") == name, 0).otherwise(1), kind, "line", "id").limit(1)
 
 
-def companions(files: DataFrame, path: str) -> DataFrame:
-    """Tests, styles and siblings of a file, by its stem and directory."""
-    folder, _, base = path.rpartition("/")
-    stem = base.rsplit(".", 1)[0]
-    name = F.element_at(F.split("path", "/"), -1)
-    tests = F.lit(False)
-    for mark in (f"{stem}.test.", f"{stem}.spec.", f"{stem}_test.", f"test_{stem}."):
-        tests = tests | name.startswith(mark)
-    style = name.isin(*[f"{stem}.{x}" for x in ("css", "scss", "less", "module.css")])
-    sibling = (F.expr("regexp_replace(path, '/[^/]*$', '')") == folder) & (F.col("path") != path)
-    return files.select("path", F.when(tests, "test").when(style, "style").when(sibling, "sibling").alias("relation")).where("relation is not null")
+def symbols_in_file(symbols: DataFrame, files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The line range of each wanted (path, name): in the file of that path, or
+    the first by id whose path ends so, the exact name before one equal but for
+    case, the lowest line. Names are never matched in part, and a symbol without
+    an end ends on its line."""
+    slashes = lambda c: F.replace(c, F.lit("\\"), F.lit("/"))
+    asked = wanted.select("path", "name", slashes(F.col("path")).alias("__path"))
+    # paths meet on their last segment, which an end of a path has in common with it unless the end cuts it
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    have = files.select(F.col("id").alias("__file"), slashes(F.col("path")).alias("__have"))
+    near = asked.select("path", "__path").distinct().withColumn("__last", last(F.col("__path"))).join(have.withColumn("__last", last(F.col("__have"))), "__last")
+    near = near.where(F.col("__have").endswith(F.col("__path")))
+    place = near.groupBy("path").agg(F.min_by("__file", F.struct((F.col("__have") != F.col("__path")).cast("int"), "__file")).alias("file_id"))
+    found = symbols.select("file_id", F.lower("name").alias("__low"), F.struct("name", "kind", "line", "id", F.coalesce("end_line", "line").alias("end_line")).alias("s"))
+    d = asked.join(place, "path").withColumn("__low", F.lower("name")).join(found, ["file_id", "__low"])
+    best = F.min_by("s", F.struct((F.col("s.name") != F.col("name")).cast("int"), F.col("s.line"), F.col("s.id"))).alias("s")
+    return d.groupBy("path", "name").agg(best).select("path", F.col("name").alias("wanted"), "s.name", "s.kind", F.col("s.line").alias("line"), "s.end_line")
+
+
+def symbol_candidates(symbols: DataFrame, files: DataFrame, name: str, kind: str | None = None, min_lines: int | None = None, extensions: tuple[str, ...] = ()) -> DataFrame:
+    """All symbols of exactly that name with their place in the order: those
+    with ``min_lines`` first, then the longest if it is given; else those of the
+    kind first; then the longest, the lowest line, the smallest id. Only files
+    with one of the extensions count, if there are any."""
+    d = symbols.where(F.col("name") == name).join(files.select(F.col("id").alias("file_id"), "path"), "file_id")
+    if extensions:
+        d = d.where(F.regexp_extract("path", r"\.([^./]*)$", 1).isin(*extensions))
+    end = F.coalesce("end_line", "line")
+    span = end - F.col("line")
+    order = [F.when(span + 1 >= min_lines, 0).otherwise(1), F.desc("span")] if min_lines is not None else []
+    order += [F.when(F.col("kind") == kind, 0).otherwise(1)] if kind is not None else []
+    return d.select("id", "path", "name", "kind", "line", end.alias("end_line"), span.alias("span")).orderBy(*order, F.desc("span"), "line", "id")
+
+
+def companions(files: DataFrame, path: str, most: int = 5) -> DataFrame:
+    """Tests, styles and siblings of a file, by its stem, extension and
+    directory; at most ``most`` paths for each of the six places of tests, in
+    order of path. A path has the first relation that fits."""
+    folder, _, base = path.replace("\\", "/").rpartition("/")
+    stem, _, ext = base.rpartition(".") if "." in base else (base, "", "")
+    p = F.col("path")
+    ends = (f"/{stem}.test.{ext}", f"/{stem}.spec.{ext}", f"/__tests__/{stem}.{ext}", f"/tests/{stem}.{ext}", f"/{stem}_test.{ext}")
+    places = [p.endswith(e) for e in ends] + [p.startswith("tests/") & p.endswith(f"{stem}.{ext}")]
+    others = files.select("path").where(p != path)
+    tests = others.select("path", F.explode(F.array_compact(F.array(*[F.when(t, i) for i, t in enumerate(places)]))).alias("place"))
+    tests = tests.withColumn("k", F.row_number().over(Window.partitionBy("place").orderBy("path"))).where(F.col("k") <= most).select("path", F.lit("test").alias("relation"))
+    style = p.isin(*[f"{folder}/{stem}.{x}" for x in ("css", "scss", "module.css", "module.scss")])
+    sibling = F.expr("regexp_replace(path, '/[^/]*$', '')") == folder
+    rest = others.select("path", F.when(style, "style").when(sibling, "sibling").alias("relation")).where("relation is not null")
+    return tests.unionByName(rest).groupBy("path").agg(F.min_by("relation", F.when(F.col("relation") == "test", 0).otherwise(1)).alias("relation"))
 
 
 def stale(current: DataFrame, stored: DataFrame) -> DataFrame:
@@ -214,24 +253,75 @@ def stale(current: DataFrame, stored: DataFrame) -> DataFrame:
     return d.select("path", (~F.col("hash").eqNullSafe(F.col("__stored"))).alias("stale"))
 
 
-def select_set(memory: DataFrame, selector: str, now: int, minutes: int = 5) -> DataFrame:
+def _source_like(source: Column, pattern: str, name_too: bool) -> Column:
+    """Case aside: ``*`` stands for anything, over segments too, in a pattern for
+    the whole source, or for its last segment where the pattern names no
+    directory; without ``*``, a part of the source."""
+    low, text = F.lower(source), pattern.lower()
+    if "*" not in text:
+        return low.contains(text)
+    whole = "(?s)^" + ".*".join(re.escape(x) for x in text.split("*")) + "$"
+    test = low.rlike(whole)
+    return test | F.element_at(F.split(low, r"[/\\]"), -1).rlike(whole) if name_too and not set(text) & set("/\\") else test
+
+
+def select_set(memory: DataFrame, selector: str, now: int, minutes: int = 5, workspaces: dict[str, str] | None = None) -> DataFrame:
     """Chunks that a set selector means: all, edited, pinned, dormant, stale,
-    latest:N, file:GLOB, type:T (of chunks that have a type)."""
+    dematerialized, latest:N, file:PATTERN, type:T, subtask:ID and workspace:NAME.
+
+    ``type``, ``subtasks`` (array) and ``visibility`` are columns of memory that
+    only their selectors need; ``workspaces`` holds paths by lower-case name, of
+    which ``.`` means everything. Unknown selectors and workspaces mean nothing."""
     kind, _, arg = selector.partition(":")
     if kind == "latest":
         return memory.orderBy(F.desc("last_accessed"), "hash").limit(int(arg or 1))
+
+    def workspace() -> Column:
+        path = (workspaces or {}).get(arg.lower())
+        if path is None or path == ".":
+            return F.lit(path is not None)
+        source, path = F.lower(F.replace("source", F.lit("\\"), F.lit("/"))), path.replace("\\", "/").lower()
+        return (source == path) | source.startswith(path.rstrip("/") + "/")
+
     tests = {
         "all": lambda: F.lit(True),
         "edited": lambda: F.col("edited"),
         "pinned": lambda: F.col("pinned"),
         "dormant": lambda: F.col("compacted"),
+        "dematerialized": lambda: F.col("visibility") == "referenced",
         "stale": lambda: (F.lit(now) - F.col("last_accessed") > minutes) & ~F.col("pinned") & ~F.col("compacted"),
-        "file": lambda: F.col("source").rlike(glob(arg)) if set(arg) & set("*?") else F.col("source").contains(arg),
+        "file": lambda: _source_like(F.col("source"), arg, True),
         "type": lambda: F.col("type") == arg,
+        "subtask": lambda: F.array_contains("subtasks", arg),
+        "workspace": workspace,
     }
     return memory.where(tests[kind]()) if kind in tests else memory.where(F.lit(False))
 
 
+def select_refs(refs: DataFrame, selector: str, turn: int, stale_turns: int = 5) -> DataFrame:
+    """Refs (hash, source, type, visibility, pinned, seen_at_turn) that a selector
+    means where only visibility is known: evicted ones never; edited ones are
+    results, dormant ones archived, dematerialized ones referenced, stale ones
+    unpinned and not seen for ``stale_turns``. A source without ``*`` is meant
+    whole. Selectors that need other state mean nothing."""
+    kind, _, arg = selector.partition(":")
+    live = refs.where("visibility <> 'evicted'")
+    if kind == "latest":
+        return live.orderBy(F.desc("seen_at_turn"), "hash").limit(max(0, int(arg or 1)))
+    source = F.lower(F.replace("source", F.lit("\\"), F.lit("/")))
+    tests = {
+        "all": lambda: F.lit(True),
+        "file": lambda: _source_like(F.col("source"), arg, False) if "*" in arg else source == arg.replace("\\", "/").lower(),
+        "type": lambda: F.col("type") == arg,
+        "edited": lambda: F.col("type") == "result",
+        "pinned": lambda: F.col("pinned"),
+        "stale": lambda: ~F.col("pinned") & (F.col("seen_at_turn") <= turn - stale_turns),
+        "dormant": lambda: F.col("visibility") == "archived",
+        "dematerialized": lambda: F.col("visibility") == "referenced",
+    }
+    return live.where(tests[kind]()) if kind in tests else live.where(F.lit(False))
+
+
 def line_test(line: Column, text: str) -> Column:
     """``has(x)``, ``!has(x)``, ``len>n``, ``len<n``, ``depth>n``, ``depth<n`` of a line."""
     m = re.fullmatch(r"(!?)has\((.*)\)", text)

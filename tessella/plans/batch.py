@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, filters, graph, joins, ranking, setops
@@ -19,6 +19,8 @@ from .relations import Relations
 
 MAX_STEPS = 100
 MUTATING = re.compile(r"^(change|session\.(pin|unpin|stage|unstage|compact|unload|drop)|annotate)\b")
+# Operations that a swarm's agents may not use.
+SWARM_BLOCKED = ("session.plan", "session.advance")
 
 
 @dataclass
@@ -57,20 +59,54 @@ def holds(c: dict | None, s: State) -> bool:
         case "step_error_class_in":
             return of(arg["step"]).error_class in arg["classes"]
         case "ref_exists":
-            return any(arg in r for x in s.steps.values() for r in x.refs)
+            return any(arg.removeprefix("h:") in r for x in s.steps.values() for r in x.refs)
         case "all_steps_ok":
-            return all(of(i).ok for i in arg) if arg else all(x.ok for x in s.steps.values())
+            return all(of(i).ok for i in arg)
         case "or":
             return any(holds(x, s) for x in arg)
         case "not":
             return not holds(arg, s)
         case "array_has_index":
-            return len(of(arg["step"]).refs) > arg["index"]
+            return len(of(arg["step"]).refs) > arg["index"] >= 0
     return True
 
 
-def allowed(op: str, readonly: bool = False) -> bool:
-    return not (readonly and MUTATING.match(op))
+def condition(c: dict | None) -> Column:
+    """The same over a log of many plans: an aggregate over the rows (id, ok,
+    refs, error) of one plan's steps, to be grouped by plan."""
+    (form, arg), *_ = (c or {"": None}).items()
+    some = lambda test: F.coalesce(F.bool_or(test), F.lit(False))
+    match form:
+        case "step_ok":
+            return some((F.col("id") == arg) & F.col("ok"))
+        case "step_has_refs" | "array_nonempty":
+            return some((F.col("id") == arg) & (F.size("refs") > 0))
+        case "step_error_class_in":
+            return some((F.col("id") == arg["step"]) & F.col("error").isin(*arg["classes"]))
+        case "ref_exists":
+            return some(F.exists("refs", lambda r: r.contains(arg.removeprefix("h:"))))
+        case "all_steps_ok":
+            return reduce(lambda a, b: a & b, [condition({"step_ok": i}) for i in arg], F.lit(True))
+        case "or":
+            return reduce(lambda a, b: a | b, [condition(x) for x in arg], F.lit(False))
+        case "not":
+            return ~condition(arg)
+        case "array_has_index":
+            return some((F.col("id") == arg["step"]) & (F.size("refs") > arg["index"])) if arg["index"] >= 0 else F.lit(False)
+    return F.lit(True)
+
+
+def allowed(op: str, readonly: bool = False, swarm: bool = False) -> bool:
+    return not (readonly and MUTATING.match(op) or swarm and op in SWARM_BLOCKED)
+
+
+def gate(op: Column, index: Column, readonly: bool = False, swarm: bool = False, max_steps: int = MAX_STEPS) -> Column:
+    """Whether a step of a log may run: by its operation, and by its index from
+    0 against ``max_steps``, which is held between 1 and MAX_STEPS."""
+    out = index < min(max(max_steps, 1), MAX_STEPS)
+    if readonly:
+        out = out & ~op.rlike(MUTATING.pattern)
+    return out & ~op.isin(*SWARM_BLOCKED) if swarm else out
 
 
 def _symbols(r: Relations, kind: str | None = None, text: str | None = None, files: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import filters as P
@@ -89,10 +90,16 @@ def _(r):
     return r.files.select("id", P.is_test_path(p).alias("is_test"))
 
 
-@query("f16_query_pattern", "SELECT * FROM (VALUES ('getUser', 'exact_symbol'), ('auth_token', 'exact_symbol'), ('auth token', 'compound_with_generic'), ('async', 'common_keyword'), ('parse headers', 'semantic_intent'), ('parser', 'generic')) t(q, pattern)")
+_ASKED = """q AS (SELECT id, CASE id % 6 WHEN 0 THEN name WHEN 1 THEN replace(name, '_', ' ') WHEN 2 THEN concat(split_part(name, '_', 1), ' token') WHEN 3 THEN concat('Async  ', split_part(name, '_', 1)) WHEN 4 THEN split_part(name, '_', 1) ELSE concat(split_part(name, '_', 1), 'By', upper(split_part(name, '_', 2))) END AS q FROM symbols),
+t AS (SELECT *, list_filter(regexp_split_to_array(lower(q), '\\s+'), lambda w: w <> '') AS t FROM q)"""
+
+
+@query("f16_query_pattern", f"""WITH {_ASKED} SELECT id, q, CASE WHEN contains(q, '_') OR regexp_matches(q, '\\p{{Ll}}.*\\p{{Lu}}') THEN 'exact_symbol' WHEN len(t) > 1 AND list_has_any(t, {P.GENERIC_TERMS}) THEN 'compound_with_generic'
+WHEN list_has_any(t, {P.KEYWORDS}) THEN 'common_keyword' WHEN len(t) > 1 THEN 'semantic_intent' ELSE 'generic' END AS pattern FROM t""")
 def _(r):
-    d = r.spark.createDataFrame([(q,) for q in ("getUser", "auth_token", "auth token", "async", "parse headers", "parser")], "q string")
-    return d.select("q", P.query_pattern(F.col("q")).alias("pattern"))
+    k, part = F.col("id") % 6, lambda i: F.split_part("name", F.lit("_"), F.lit(i))
+    q = F.when(k == 0, F.col("name")).when(k == 1, F.replace("name", F.lit("_"), F.lit(" "))).when(k == 2, F.concat(part(1), F.lit(" token"))).when(k == 3, F.concat(F.lit("Async  "), part(1))).when(k == 4, part(1)).otherwise(F.concat(part(1), F.lit("By"), F.upper(part(2))))
+    return r.symbols.select("id", q.alias("q")).withColumn("pattern", P.query_pattern(F.col("q")))
 
 
 @query("f17_reexport_only", "SELECT doc_id, bool_and(trim(line) = '' OR regexp_matches(line, '^(Released|All|Licensed)')) AS only FROM lines GROUP BY doc_id")
@@ -121,14 +128,41 @@ def _(r):
     return P.symbol_range(r.symbols, r.symbols.orderBy("id").limit(1).first()["name"]).select("id", "name", "kind", "line")
 
 
+@query("f20_symbols_in_file", """WITH w AS (SELECT s.id, f.path AS full, substr(f.path, instr(f.path, '/') + 1) AS path, CASE WHEN s.id % 3 = 0 THEN upper(s.name) ELSE s.name END AS name FROM symbols s JOIN files f ON f.id = s.file_id WHERE s.id % 2 = 0),
+p AS (SELECT path, (SELECT min(id) FROM files f WHERE ends_with(f.path, u.path)) AS file_id FROM (SELECT DISTINCT path FROM w) u),
+c AS (SELECT DISTINCT w.path, w.name AS wanted, s.name, s.kind, s.line, s.line + s.complexity AS end_line, s.id FROM (SELECT DISTINCT path, name FROM w) w JOIN p USING (path) JOIN symbols s ON s.file_id = p.file_id AND lower(s.name) = lower(w.name))
+SELECT path, wanted, name, kind, line, end_line FROM c QUALIFY row_number() OVER (PARTITION BY path, wanted ORDER BY name <> wanted, line, id) = 1""")
+def _(r):
+    paths = r.files.select(F.col("id").alias("file_id"), F.regexp_replace("path", "^[^/]*/", "").alias("path"))
+    wanted = r.symbols.where("id % 2 = 0").join(paths, "file_id").select("path", F.when(F.col("id") % 3 == 0, F.upper("name")).otherwise(F.col("name")).alias("name")).distinct()
+    return P.symbols_in_file(r.symbols.withColumn("end_line", F.col("line") + F.col("complexity")), r.files, wanted)
+
+
+@query("f20_symbol_candidates", """WITH one AS (SELECT name FROM symbols ORDER BY id LIMIT 1), c AS (SELECT s.id, path, s.name, s.kind, s.line, s.line + s.complexity AS end_line, s.complexity AS span FROM symbols s JOIN files f ON f.id = s.file_id WHERE s.name = (SELECT name FROM one) AND ends_with(path, '.md'))
+SELECT *, row_number() OVER (ORDER BY span + 1 < 12, span DESC, kind <> 'method', line, id) AS place FROM c""")
+def _(r):
+    name = r.symbols.orderBy("id").limit(1).first()["name"]
+    d = P.symbol_candidates(r.symbols.withColumn("end_line", F.col("line") + F.col("complexity")), r.files, name, "method", 12, ("md",))
+    order = [F.col("span") + 1 < 12, F.desc("span"), F.col("kind") != "method", "line", "id"]
+    return d.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy(*order)).cast("long"))
+
+
 @query("f21_names_in_file", "SELECT DISTINCT name FROM symbols WHERE file_id = 11")
 def _(r):
     return r.symbols.where("file_id = 11").select("name").distinct()
 
 
-@query("f22_companions", "WITH one AS (SELECT path FROM files ORDER BY id LIMIT 1) SELECT path, 'sibling' AS relation FROM files WHERE regexp_replace(path, '/[^/]*$', '') = (SELECT regexp_replace(path, '/[^/]*$', '') FROM one) AND path <> (SELECT path FROM one)")
+@query("f22_companions", """WITH one AS (SELECT regexp_replace(path, '^.*/|[.]md$', '', 'g') AS stem, regexp_replace(path, '/[^/]*$', '') AS folder, path FROM files ORDER BY id LIMIT 1),
+near AS (SELECT f.path FROM files f, one WHERE regexp_replace(f.path, '/[^/]*$', '') = folder AND f.path <> one.path),
+made AS (SELECT concat('p', i, '/', stem, '.test.md') AS path, 'test' AS relation, i FROM one, range(5) t(i) UNION ALL SELECT concat('tests/any/', stem, '.md'), 'test', 0 FROM one UNION ALL SELECT concat(folder, '/', stem, '.module.css'), 'style', 0 FROM one)
+SELECT path, 'sibling' AS relation FROM near UNION ALL SELECT path, relation FROM made""")
 def _(r):
-    return P.companions(r.files, r.files.orderBy("id").limit(1).first()["path"])
+    path = r.files.orderBy("id").limit(1).first()["path"]
+    folder, _, base = path.rpartition("/")
+    stem = base.removesuffix(".md")
+    # more tests of one kind than are taken, a test below tests/, a style
+    made = [f"p{i}/{stem}.test.md" for i in range(8)] + [f"tests/any/{stem}.md", f"{folder}/{stem}.module.css"]
+    return P.companions(r.files.select("path").union(r.spark.createDataFrame([(x,) for x in made], "path string")), path)
 
 
 @query("f23_staleness", "SELECT path, id % 4 = 0 OR id % 9 = 0 AS stale FROM files")
@@ -137,21 +171,37 @@ def _(r):
     return P.stale(r.files, stored)
 
 
-_SETS = {"edited": "edited", "pinned": "pinned", "dormant": "compacted", "stale": "1000 - last_accessed > 5 AND NOT pinned AND NOT compacted", "file": "contains(source, 'src1')"}
+_SETS = {"edited": "edited", "pinned": "pinned", "dormant": "compacted", "stale": "1000 - last_accessed > 5 AND NOT pinned AND NOT compacted", "file:SRC1": "contains(source, 'src1')", "file:*1.en": "ends_with(source, '1.en')", "type:raw": "last_accessed % 3 = 1", "subtask:t2": "last_accessed % 4 = 2", "subtask:t9": "true", "dematerialized": "last_accessed % 5 = 2", "workspace:One": "starts_with(source, 'src1/')", "workspace:all": "true", "workspace:none": "false", "search:x": "false"}
+_CHUNK = {"type": ("smart", "raw", "result"), "visibility": ("materialized", "archived", "referenced", "evicted", "materialized")}
 
 
-@query("f24_set_selectors", " UNION ALL ".join([f"SELECT '{k}' AS selector, count(*) AS n FROM memory WHERE {v}" for k, v in _SETS.items()] + ["SELECT 'latest', 25"]))
-def _(r):
+def _chunks(r):
+    pick = lambda c: F.element_at(F.array(*map(F.lit, _CHUNK[c])), (F.col("last_accessed") % len(_CHUNK[c]) + 1).cast("int")).alias(c)
+    subtasks = F.array(F.concat(F.lit("t"), (F.col("last_accessed") % 4).cast("string")), F.lit("t9")).alias("subtasks")
+    return r.memory.select("*", pick("type"), pick("visibility"), subtasks)
+
+
+def _counts(parts):
     out = None
-    for name, arg in (("edited", "edited"), ("pinned", "pinned"), ("dormant", "dormant"), ("stale", "stale"), ("file", "file:src1"), ("latest", "latest:25")):
-        one = P.select_set(r.memory, arg, 1000).agg(F.count("*").alias("n")).select(F.lit(name).alias("selector"), "n")
+    for name, d in parts:
+        one = d.agg(F.count("*").alias("n")).select(F.lit(name).alias("selector"), "n")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@query("f25_ref_selectors", "SELECT hash, source FROM memory WHERE regexp_matches(source, '^src1/[^/]*[.]en$')")
+@query("f24_set_selectors", " UNION ALL ".join([f"SELECT '{k}' AS selector, count(*) AS n FROM memory WHERE {v}" for k, v in _SETS.items()] + ["SELECT 'latest:25', 25"]))
 def _(r):
-    return P.select_set(r.memory, "file:src1/*.en", 0).select("hash", "source")
+    spaces = {"one": "src1", "all": "."}
+    return _counts((s, P.select_set(_chunks(r), s, 1000, workspaces=spaces)) for s in (*_SETS, "latest:25"))
+
+
+_REFS = {"all": "true", "edited": "last_accessed % 3 = 2", "pinned": "pinned", "stale": "NOT pinned AND last_accessed % 20 <= 10", "dormant": "last_accessed % 5 = 1", "dematerialized": "last_accessed % 5 = 2", "type:raw": "last_accessed % 3 = 1", "file:SRC1/*.en": "regexp_matches(source, '^src1/.*[.]en$')", "file:src1": "false", "subtask:t2": "false", "workspace:one": "false"}
+
+
+@query("f25_ref_selectors", " UNION ALL ".join([f"SELECT '{k}' AS selector, count(*) AS n FROM memory WHERE last_accessed % 5 <> 3 AND {v}" for k, v in _REFS.items()] + ["SELECT 'latest:25', 25"]))
+def _(r):
+    refs = _chunks(r).withColumn("seen_at_turn", F.col("last_accessed") % 20)
+    return _counts((s, P.select_refs(refs, s, 15)) for s in (*_REFS, "latest:25"))
 
 
 @query("f26_glob_scope", "SELECT id FROM files WHERE regexp_matches(path, '^src1[^/]/en/.*[.]md$')")
@@ -181,10 +231,16 @@ def _(r):
     return r.rounds.where("role <> 'system' and conv_id % 3 <> 0").select("conv_id", "turn")
 
 
-@query("f33_method_pattern", "SELECT * FROM (VALUES ('getName', 'method', 'getter'), ('get_x', 'function', 'getter'), ('gets', 'function', NULL), ('setName', 'method', 'setter'), ('onClick', 'method', 'handler'), ('handle_it', 'function', 'handler'), ('init', 'method', 'constructor'), ('x', 'constructor', 'constructor')) t(name, kind, pattern)")
+_PREFIXES = ("get_", "gets", "set", "onB", "handle_", "", "getX")
+
+
+@query("f33_method_pattern", f"""WITH n AS (SELECT id, id % 7 AS k, CASE WHEN id % 11 = 0 THEN 'constructor' ELSE kind END AS kind, concat({list(_PREFIXES)}[id % 7 + 1], CASE WHEN id % 7 = 2 THEN upper(name) ELSE name END) AS name FROM symbols)
+SELECT id, name, CASE WHEN kind = 'constructor' THEN 'constructor' WHEN k IN (0, 6) THEN 'getter' WHEN k = 2 THEN 'setter' WHEN k IN (3, 4) THEN 'handler' END AS pattern FROM n""")
 def _(r):
-    d = r.spark.createDataFrame([("getName", "method"), ("get_x", "function"), ("gets", "function"), ("setName", "method"), ("onClick", "method"), ("handle_it", "function"), ("init", "method"), ("x", "constructor")], "name string, kind string")
-    return d.withColumn("pattern", P.method_pattern(F.col("name"), F.col("kind")))
+    k = F.col("id") % 7
+    name = F.concat(F.element_at(F.array(*map(F.lit, _PREFIXES)), (k + 1).cast("int")), F.when(k == 2, F.upper("name")).otherwise(F.col("name")))
+    d = r.symbols.select("id", name.alias("name"), F.when(F.col("id") % 11 == 0, "constructor").otherwise(F.col("kind")).alias("kind"))
+    return d.select("id", "name", P.method_pattern(F.col("name"), F.col("kind")).alias("pattern"))
 
 
 @query("f34_phase_classifier", "SELECT event_id, CASE event_type WHEN 'click' THEN 'search' WHEN 'view' THEN 'read' WHEN 'purchase' THEN 'edit' WHEN 'signup' THEN 'consolidate' ELSE 'verify' END AS phase FROM events")

@@ -120,16 +120,28 @@ def _(r):
     return r.spark.read.parquet(out)
 
 
-@query("f28_step_conditions", "SELECT * FROM (VALUES ('step_ok', true), ('not', false), ('or', true), ('has_refs', true), ('unknown', true), ('ref_exists', true), ('has_index', false)) t(name, holds)")
+_LOG = "log AS (SELECT conv_id, turn, length(text) % 3 <> 0 AS ok, CASE WHEN role = 'assistant' THEN substr(sha256(text), 1, 8) END AS ref, CASE WHEN turn % 4 = 1 THEN 'io' ELSE 'none' END AS error FROM rounds)"
+
+
+@query("f28_step_conditions", f"""WITH {_LOG}, a AS (SELECT conv_id, coalesce(bool_or(turn = 0 AND ok), false) AS ok0, coalesce(bool_or(turn = 1 AND ok), false) AS ok1, coalesce(bool_or(turn = 1 AND ref IS NOT NULL), false) AS refs1, bool_or(turn = 1 AND error = 'io') AS io1, coalesce(bool_or(contains(ref, 'ab')), false) AS ab FROM log GROUP BY conv_id)
+SELECT conv_id, ok1 AS step_ok, NOT ok1 AS "not", ok0 OR ok1 AS "or", ok0 AND ok1 AS "all", true AS none_of, refs1 AS has_refs, io1 AS error_in, ab AS ref_exists, refs1 AS first_ref, false AS second_ref, true AS unknown FROM a""")
 def _(r):
-    state = batch.State({"a": batch.Result(True, ["h:aabb11"]), "b": batch.Result(False, [], "io")})
-    cases = {"step_ok": {"step_ok": "a"}, "not": {"not": {"step_ok": "a"}}, "or": {"or": [{"step_ok": "b"}, {"step_ok": "a"}]}, "has_refs": {"step_has_refs": "a"}, "unknown": {"whatever": 1}, "ref_exists": {"ref_exists": "aabb"}, "has_index": {"array_has_index": {"step": "a", "index": 3}}}
-    return r.spark.createDataFrame([(n, batch.holds(c, state)) for n, c in cases.items()], "name string, holds boolean")
+    ref = F.when(F.col("role") == "assistant", F.substring(F.sha2("text", 256), 1, 8))
+    log = r.rounds.select("conv_id", F.concat(F.lit("s"), F.col("turn").cast("string")).alias("id"), (F.length("text") % 3 != 0).alias("ok"), F.array_compact(F.array(ref)).alias("refs"), F.when(F.col("turn") % 4 == 1, "io").otherwise("none").alias("error"))
+    one, ref_at = {"step_ok": "s1"}, lambda i: {"array_has_index": {"step": "s1", "index": i}}
+    cases = {"step_ok": one, "not": {"not": one}, "or": {"or": [{"step_ok": "s0"}, one]}, "all": {"all_steps_ok": ["s0", "s1"]}, "none_of": {"all_steps_ok": []}, "has_refs": {"step_has_refs": "s1"}, "error_in": {"step_error_class_in": {"step": "s1", "classes": ["io", "net"]}}, "ref_exists": {"ref_exists": "h:ab"}, "first_ref": ref_at(0), "second_ref": ref_at(1), "unknown": {"whatever": 1}}
+    return log.groupBy("conv_id").agg(*[batch.condition(c).alias(n) for n, c in cases.items()])
+
+
+_OPS = ("search.code", "change.edit", "session.plan", "session.pin", "read.lines", "annotate.note", "session.advance")
 
 
-@query("f29_policy_gates", "SELECT * FROM (VALUES ('search.code', true), ('change.edit', false), ('read.lines', true)) t(op, allowed)")
+@query("f29_policy_gates", f"""WITH o AS (SELECT conv_id, turn, {list(_OPS)}[turn % 7 + 1] AS op FROM rounds)
+SELECT conv_id, turn, op, turn < 4 AND op NOT IN ('change.edit', 'session.pin', 'annotate.note') AS readonly, turn < 100 AND op NOT IN ('session.plan', 'session.advance') AS swarm, turn < 1 AS one FROM o""")
 def _(r):
-    return r.spark.createDataFrame([(op, batch.allowed(op, readonly=True)) for op in ("search.code", "change.edit", "read.lines")], "op string, allowed boolean")
+    d = r.rounds.select("conv_id", "turn", F.element_at(F.array(*map(F.lit, _OPS)), (F.col("turn") % 7 + 1).cast("int")).alias("op"))
+    gate = lambda **options: batch.gate(F.col("op"), F.col("turn"), **options)
+    return d.select("conv_id", "turn", "op", gate(readonly=True, max_steps=4).alias("readonly"), gate(swarm=True, max_steps=500).alias("swarm"), gate(max_steps=-3).alias("one"))
 
 
 @query("j28_dataflow", "SELECT s.id, s.name FROM symbols s WHERE kind = 'class' AND file_id IN (SELECT id FROM files WHERE contains(path, 'src1')) ORDER BY s.id LIMIT 40")
