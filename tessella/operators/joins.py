@@ -162,3 +162,42 @@ def ready_tasks(tasks: DataFrame, needs: DataFrame) -> DataFrame:
     done = tasks.where("status = 'completed'").select(F.col("task").alias("needs"))
     blocked = needs.join(done, "needs", "left_anti").select("task").distinct()
     return tasks.where("status = 'pending'").join(blocked, "task", "left_anti")
+
+
+def call_hierarchy(relations: DataFrame, symbols: DataFrame, files: DataFrame, calls: DataFrame, start: DataFrame, depth: int = 3, callers: bool = True, per: int = 20) -> DataFrame:
+    """(level, parent, node, confidence): who calls whom, level by level from the
+    symbols of ``start`` (node), ``per`` a parent.
+
+    Recorded relations count 1. A symbol without any is looked up by name among
+    the calls: its callers are the symbols that such a call's scope names in the
+    call's file, its callees those that the calls in its own scope name; 0.7 in
+    its own language, else 0.3. Only ``depth`` ends a cycle."""
+    known = symbols.select(F.col("id").alias("node"), "name", "file_id").join(files.select(F.col("id").alias("file_id"), "language"), "file_id")
+    a, b = ("to_symbol_id", "from_symbol_id") if callers else ("from_symbol_id", "to_symbol_id")
+    edges = relations.where("type = 'CALLS'").select(F.col(a).alias("parent"), F.col(b).alias("node")).distinct().join(known.select("node"), "node", "left_semi")
+    last = lambda c: F.substring_index(c, ".", -1)
+    made = calls.where("scope_name is not null").select(F.col("file_id").alias("at"), F.col("name").alias("callee"), "scope_name").distinct()
+    first = Window.partitionBy("parent").orderBy(F.desc("confidence"), "node")
+    frontier, out = start.select(F.col("node").alias("parent")).distinct(), None
+    for level in range(1, depth + 1):
+        own = known.select(F.col("node").alias("parent"), F.col("name").alias("own"), F.col("file_id").alias("home"), F.col("language").alias("tongue"))
+        alone = frontier.join(edges, "parent", "left_anti").join(own, "parent")
+        if callers:
+            hit = alone.join(made, last(F.col("own")) == last(F.col("callee"))).where((F.col("callee") == F.col("own")) | F.col("callee").endswith(F.concat(F.lit("."), "own")))
+            hit = hit.join(known, (F.col("file_id") == F.col("at")) & (F.col("name") == F.col("scope_name")))
+        else:
+            hit = alone.join(made, (F.col("at") == F.col("home")) & (F.col("scope_name") == F.col("own"))).join(known, F.col("name") == last(F.col("callee")))
+        named = hit.select("parent", "node", F.when(F.col("language") == F.col("tongue"), 0.7).otherwise(0.3).alias("confidence")).distinct()
+        step = frontier.join(edges, "parent").select("parent", "node", F.lit(1.0).alias("confidence")).unionByName(named)
+        step = graph.save(step.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per).select(F.lit(level).alias("level"), "parent", "node", "confidence"))
+        out = step if out is None else out.unionByName(step)
+        frontier = step.select(F.col("node").alias("parent")).distinct()
+    return out
+
+
+def related_files(relations: DataFrame, seeds: DataFrame, depth: int, per: int = 20, deepest: int = 8) -> DataFrame:
+    """(seed, node, depth): files that relations lead to, at their least depth,
+    following the first ``per`` of each file, ``deepest`` levels at most."""
+    e = relations.select("from_file_id", "to_file_id").distinct()
+    e = e.withColumn("k", F.row_number().over(Window.partitionBy("from_file_id").orderBy("to_file_id"))).where(F.col("k") <= per)
+    return graph.closure(e, "from_file_id", "to_file_id", seeds, min(depth, deepest))

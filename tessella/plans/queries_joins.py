@@ -95,14 +95,31 @@ def _(r):
     return G.induced(r.file_relations, "from_file_id", "to_file_id", _seeds(r, (7,)), 2).select("from_file_id", "to_file_id")
 
 
-@query("j15_call_hierarchy", """WITH l1 AS (SELECT DISTINCT to_symbol_id AS node FROM symbol_relations WHERE from_symbol_id = 50 ORDER BY 1 LIMIT 20), l2 AS (SELECT node AS parent, to_symbol_id AS node FROM l1 JOIN symbol_relations ON from_symbol_id = node QUALIFY row_number() OVER (PARTITION BY l1.node ORDER BY to_symbol_id) <= 20)
-SELECT 1 AS level, 50::BIGINT AS parent, node FROM l1 UNION ALL SELECT 2, parent, node FROM l2""")
+# relations that leave some symbols without any, and calls whose scope is a symbol of their file
+_HIERARCHY = """r AS (SELECT DISTINCT from_symbol_id, to_symbol_id FROM symbol_relations WHERE from_symbol_id % 3 = 0 AND to_symbol_id % 2 = 0),
+w AS (SELECT s.id, s.name, s.file_id, f.language FROM symbols s JOIN files f ON f.id = s.file_id),
+k AS (SELECT DISTINCT c.file_id, c.name, scope FROM calls c JOIN (SELECT file_id, min(name) AS scope FROM symbols GROUP BY file_id) USING (file_id))"""
+_LEVELS = """x AS (SELECT * FROM (SELECT parent, node, 1.0 AS confidence FROM e UNION ALL SELECT * FROM f) QUALIFY row_number() OVER (PARTITION BY parent ORDER BY confidence DESC, node) <= 20), l1 AS (SELECT * FROM x WHERE parent = {start})
+SELECT 1 AS level, parent, node, confidence::DOUBLE AS confidence FROM l1 UNION ALL SELECT 2, parent, node, confidence::DOUBLE FROM x WHERE parent IN (SELECT node FROM l1)"""
+
+
+def _hierarchy(r):
+    scope = r.symbols.groupBy("file_id").agg(F.min("name").alias("scope_name"))
+    return r.symbol_relations.where("from_symbol_id % 3 = 0 and to_symbol_id % 2 = 0"), r.symbols, r.files, r.calls.drop("scope_name").join(scope, "file_id")
+
+
+@query("j15_call_hierarchy", f"""WITH {_HIERARCHY}, e AS (SELECT to_symbol_id AS parent, from_symbol_id AS node FROM r WHERE from_symbol_id IN (SELECT id FROM w)),
+f AS (SELECT DISTINCT t.id AS parent, s.id AS node, CASE WHEN t.language = s.language THEN 0.7 ELSE 0.3 END AS confidence FROM w t JOIN k ON k.name = t.name JOIN w s ON s.file_id = k.file_id AND s.name = k.scope WHERE t.id NOT IN (SELECT parent FROM e)),
+{_LEVELS.format(start=50)}""")
+def _(r):
+    return J.call_hierarchy(*_hierarchy(r), start=r.spark.createDataFrame([(50,)], "node long"), depth=2, callers=True)
+
+
+@query("j15_callees", f"""WITH {_HIERARCHY}, e AS (SELECT from_symbol_id AS parent, to_symbol_id AS node FROM r WHERE to_symbol_id IN (SELECT id FROM w)),
+f AS (SELECT DISTINCT t.id AS parent, s.id AS node, CASE WHEN t.language = s.language THEN 0.7 ELSE 0.3 END AS confidence FROM w t JOIN k ON k.file_id = t.file_id AND k.scope = t.name JOIN w s ON s.name = k.name WHERE t.id NOT IN (SELECT parent FROM e)),
+{_LEVELS.format(start=51)}""")
 def _(r):
-    e = r.symbol_relations.select(F.col("from_symbol_id").alias("parent"), F.col("to_symbol_id").alias("node")).distinct()
-    e = e.withColumn("k", F.row_number().over(Window.partitionBy("parent").orderBy("node"))).where("k <= 20").drop("k")
-    one = e.where("parent = 50")
-    two = e.join(one.select(F.col("node").alias("parent")), "parent")
-    return one.select(F.lit(1).alias("level"), "parent", "node").unionByName(two.select(F.lit(2).alias("level"), "parent", "node"))
+    return J.call_hierarchy(*_hierarchy(r), start=r.spark.createDataFrame([(51,)], "node long"), depth=2, callers=False)
 
 
 @query("j16_file_graph", "SELECT f.id, (SELECT count(*) FROM file_relations WHERE to_file_id = f.id) AS incoming, (SELECT count(*) FROM file_relations WHERE from_file_id = f.id) AS outgoing, (SELECT count(DISTINCT name) FROM symbols WHERE file_id = f.id) AS symbols FROM files f")
@@ -112,12 +129,11 @@ def _(r):
     return d.fillna(0)
 
 
-@query("j17_related_files", """WITH RECURSIVE walk AS (SELECT 7::BIGINT AS node, 0 AS depth UNION SELECT x.b, depth + 1 FROM walk JOIN (SELECT from_file_id AS a, to_file_id AS b FROM file_relations UNION SELECT to_file_id, from_file_id FROM file_relations) x ON x.a = node WHERE depth < 2)
+@query("j17_related_files", """WITH RECURSIVE e AS (SELECT from_file_id AS a, to_file_id AS b FROM file_relations QUALIFY row_number() OVER (PARTITION BY from_file_id ORDER BY to_file_id) <= 20),
+walk AS (SELECT 7::BIGINT AS node, 0 AS depth UNION SELECT b, depth + 1 FROM walk JOIN e ON a = node WHERE depth < 3)
 SELECT node, min(depth) AS depth FROM walk WHERE node <> 7 GROUP BY node""")
 def _(r):
-    e = r.file_relations.select(F.col("from_file_id").alias("a"), F.col("to_file_id").alias("b"))
-    both = e.union(e.select("b", "a")).distinct()
-    return G.closure(both, "a", "b", _seeds(r, (7,)), 2).where("node <> 7").select("node", "depth")
+    return J.related_files(r.file_relations, _seeds(r, (7,)), 3).where("node <> 7").select("node", "depth")
 
 
 @query("j18_change_impact", """WITH direct AS (SELECT DISTINCT from_file_id AS id FROM file_relations WHERE to_file_id IN (7, 8) AND from_file_id NOT IN (7, 8)),

@@ -47,10 +47,14 @@ def _(r):
     return r.customer.select("c_custkey", X.edit_hint(w, ["BUILDING", "AUTOMOBILE", "MACHINERY", "HOUSEHOLD", "FURNITURE"]).alias("hint"))
 
 
-@query("x7_concept_expansion", "SELECT * FROM (VALUES ('user auth flow', 'auth authenticate authentication login logout session token jwt'), ('xyz_unknown', 'xyz_unknown'), ('Rout', 'route router routing navigate navigation path url')) t(concept, terms)")
+_CONCEPT = "CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN concat(upper(p_name), ' auth flow') WHEN 2 THEN substr(p_name, 1, 3) ELSE concat(p_name, ' cache') END"
+
+
+@query("x7_concept_expansion", f"WITH c AS (SELECT p_partkey, {_CONCEPT} AS concept FROM part) SELECT p_partkey, concept, CASE {' '.join(f"""WHEN contains(lower(concept), '{k}') OR contains('{k}', lower(concept)) THEN '{v}'""" for k, v in X.CONCEPTS.items())} ELSE concept END AS terms FROM c")
 def _(r):
-    d = r.spark.createDataFrame([("user auth flow",), ("xyz_unknown",), ("Rout",)], "concept string")
-    return d.select("concept", X.expand_concept(F.col("concept")).alias("terms"))
+    k, name = F.col("p_partkey") % 4, F.col("p_name")
+    c = F.when(k == 0, name).when(k == 1, F.concat(F.upper(name), F.lit(" auth flow"))).when(k == 2, F.substring(name, 1, 3)).otherwise(F.concat(name, F.lit(" cache")))
+    return r.part.select("p_partkey", c.alias("concept")).withColumn("terms", X.expand_concept(F.col("concept")))
 
 
 _FNV = "list_reduce(list_prepend({seed}::UBIGINT, list_transform(string_split(p_name, ''), lambda c: unicode(c)::UBIGINT)), lambda h, c: (xor(h, c) * {prime}::UBIGINT) % 4294967296::UBIGINT)"
@@ -73,10 +77,14 @@ def _(r):
     return r.lines.where(X.in_ranges(F.col("n"), "2-3,5,40-"))
 
 
-@query("x12_hash_refs", "SELECT * FROM (VALUES ('h:aabb1122..ccdd3344', 'diff', 'aabb1122', 'ccdd3344', NULL), ('h:aabb1122:15-22', 'hash', 'aabb1122', NULL, '15-22'), ('h:@edited', 'set', '@edited', NULL, NULL), ('h:$last-2', 'recency', '$last-2', NULL, NULL), ('h:bb:notes', 'blackboard', 'bb:notes', NULL, NULL), ('nothing', NULL, NULL, NULL, NULL)) t(ref, kind, a, b, modifier)")
+@query("x12_hash_refs", """WITH m AS (SELECT hash AS h, last_accessed AS n FROM memory)
+SELECT n, CASE n % 6 WHEN 0 THEN 'diff' WHEN 1 THEN 'hash' WHEN 2 THEN 'hash' WHEN 3 THEN 'recency' WHEN 4 THEN 'blackboard' END AS kind, CASE n % 6 WHEN 0 THEN substr(h, 1, 8) WHEN 1 THEN h WHEN 2 THEN substr(h, 1, 6) WHEN 3 THEN concat('$last-', n) WHEN 4 THEN concat('bb:b', n) END AS a,
+CASE WHEN n % 6 = 0 THEN substr(h, 9, 8) END AS b, CASE WHEN n % 6 = 1 THEN concat('1-', n) END AS modifier FROM m""")
 def _(r):
-    d = r.spark.createDataFrame([(x,) for x in ("h:aabb1122..ccdd3344", "h:aabb1122:15-22", "h:@edited", "h:$last-2", "h:bb:notes", "nothing")], "ref string")
-    return d.select("ref", X.hash_ref(F.col("ref")).alias("x")).select("ref", "x.*")
+    h, n = F.col("hash"), F.col("last_accessed").cast("string")
+    k = F.col("last_accessed") % 6
+    ref = F.when(k == 0, F.concat(F.lit("h:"), F.substring(h, 1, 8), F.lit(".."), F.substring(h, 9, 8))).when(k == 1, F.concat(F.lit("h:"), h, F.lit(":1-"), n)).when(k == 2, F.concat(F.lit("h:"), F.substring(h, 1, 6))).when(k == 3, F.concat(F.lit("h:$last-"), n)).when(k == 4, F.concat(F.lit("h:bb:b"), n)).otherwise(F.concat(F.lit("no ref "), h))
+    return r.memory.select(F.col("last_accessed").alias("n"), X.hash_ref(ref).alias("x")).select("n", "x.*")
 
 
 @query("x13_snippets", "SELECT a.doc_id, a.n, string_agg(b.line, chr(10) ORDER BY b.n) AS snippet FROM lines a JOIN lines b ON b.doc_id = a.doc_id AND b.n BETWEEN a.n - 1 AND a.n + 1 WHERE contains(a.line, 'MIT License') GROUP BY 1, 2")
@@ -193,10 +201,13 @@ def _(r):
     return r.documents.select("doc_id", X.hydration_mode(F.col("n_chars").cast("double"), F.col("doc_id") % 900 + 1).alias("mode"))
 
 
-@query("x41_failure_class", "SELECT * FROM (VALUES ('Unexpected token }', 'syntax'), ('Type A is not assignable to B', 'type'), ('Cannot find module x', 'import'), ('assertion failed', 'test'), ('ENOENT: no file', 'environment'), ('else', 'unknown')) t(message, class)")
+_MESSAGES = {"Unexpected token }": "syntax", "Type A is not assignable to B": "type", "Cannot find module x": "import", "assertion failed": "test", "ENOENT: no file": "environment", "else": "unknown"}
+
+
+@query("x41_failure_class", f"SELECT event_id, {list(_MESSAGES.values())}[event_id % 6 + 1] AS class FROM events")
 def _(r):
-    d = r.spark.createDataFrame([(m,) for m in ("Unexpected token }", "Type A is not assignable to B", "Cannot find module x", "assertion failed", "ENOENT: no file", "else")], "message string")
-    return d.select("message", X.failure_class(F.col("message")).alias("class"))
+    message = F.element_at(F.array(*map(F.lit, _MESSAGES)), (F.col("event_id") % 6 + 1).cast("int"))
+    return r.events.select("event_id", X.failure_class(F.concat(F.lit("#"), F.col("event_id").cast("string"), F.lit(": "), message)).alias("class"))
 
 
 @query("x42_fingerprint", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN concat('search.code?limit=', o_orderkey % 5, '&status=', o_orderstatus) END AS fingerprint FROM orders")
