@@ -141,12 +141,59 @@ def resolve_short(hashes: DataFrame, prefixes: DataFrame) -> DataFrame:
     return prefixes.join(g, "prefix", "left").select("prefix", F.coalesce("exact", F.when(F.col("n") == 1, F.col("one"))).alias("hash"))
 
 
-def price(usage: DataFrame, prices: list[tuple[str, float]]) -> DataFrame:
-    """The first price whose prefix starts the model's name, case aside."""
-    low, out = F.lower("model"), F.lit(None).cast("double")
-    for prefix, value in reversed(prices):
-        out = F.when(low.startswith(prefix), value).otherwise(out)
-    return usage.withColumn("price", out)
+# What a cached input token costs of an ordinary one.
+ANTHROPIC_CACHE_READ, ANTHROPIC_CACHE_WRITE, OPENAI_CACHED, GOOGLE_CACHED = 0.1, 1.25, 0.1, 0.25
+
+
+def price(usage: DataFrame, prices: list[dict]) -> DataFrame:
+    """Usage rows with input_cost, output_cost and total_cost in cents.
+
+    prices: provider, prefix, input, output a million tokens and, if it differs,
+    cached_input; the first of the row's provider whose prefix starts the
+    model's name, case aside, holds. One provider counts cached tokens beside
+    the input, at rates of their own; for the others they are a part of it.
+    Rows without a price or with a negative count cost nothing."""
+    low, found = F.lower("model"), F.lit(None)
+    for p in reversed(prices):
+        cached = p.get("cached_input")
+        row = F.struct(F.lit(float(p["input"])).alias("input"), F.lit(float(p["output"])).alias("output"), F.lit(None if cached is None else float(cached)).cast("double").alias("cached"))
+        found = F.when((F.col("provider") == p["provider"]) & low.startswith(p["prefix"]), row).otherwise(found)
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    counts = [n(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")]
+    given, written, read, made = [c.cast("double") / 1e6 for c in counts]
+    at, who = F.col("__price"), F.col("provider")
+    rest = F.greatest(F.lit(0.0), given - read)
+    cost = F.when(who == "anthropic", given * at["input"] + read * at["input"] * ANTHROPIC_CACHE_READ + made * at["input"] * ANTHROPIC_CACHE_WRITE)
+    cost = cost.when(who == "openai", rest * at["input"] + read * F.coalesce(at["cached"], at["input"] * OPENAI_CACHED))
+    cost = cost.when(who.isin("google", "vertex"), rest * at["input"] + read * at["input"] * GOOGLE_CACHED).otherwise(given * at["input"])
+    right = F.least(*counts) >= 0
+    d = usage.withColumn("__price", found)
+    d = d.withColumn("input_cost", F.coalesce(F.when(right, cost), F.lit(0.0))).withColumn("output_cost", F.coalesce(F.when(right, written * at["output"]), F.lit(0.0)))
+    return d.withColumn("total_cost", F.col("input_cost") + F.col("output_cost")).drop("__price")
+
+
+def reconcile_imports(imports: DataFrame, changed: DataFrame) -> DataFrame:
+    """imports (file, import_path) with ``broken``: whether a changed path
+    without its extension ends in the import, also without extension and a
+    leading ``./``, or the other way round.
+
+    Ends meet by equality: each text is dealt out as its own ends, once per
+    character, so no pair is looked at that doesn't match."""
+    bare = lambda c: F.regexp_replace(c, r"\.[^.]+$", "")
+    ends = lambda c: F.explode(F.transform(F.sequence(F.lit(0), F.length(c)), lambda i: F.substring(c, i + 1, F.length(c))))
+    stems = changed.select(bare(F.col("path")).alias("stem")).distinct()
+    asked = imports.withColumn("__base", bare(F.regexp_replace("import_path", r"^\./", "")))
+    bases = asked.select("__base").distinct()
+    longer = bases.join(stems.select(ends(F.col("stem")).alias("__base")).distinct(), "__base", "left_semi")
+    shorter = bases.select("__base", ends(F.col("__base")).alias("stem")).join(stems, "stem", "left_semi").select("__base")
+    hit = longer.union(shorter).distinct().withColumn("__hit", F.lit(True))
+    return asked.join(hit, "__base", "left").select(*imports.columns, F.coalesce("__hit", F.lit(False)).alias("broken"))
+
+
+def reconcile_exports(exports: DataFrame, changed: DataFrame) -> DataFrame:
+    """exports (file, ..) with ``still_defined``: the file hasn't changed."""
+    c = changed.select(F.col("path").alias("file")).distinct().withColumn("__hit", F.lit(True))
+    return exports.join(c, "file", "left").select(*exports.columns, F.col("__hit").isNull().alias("still_defined"))
 
 
 def pair_results(calls: DataFrame, results: DataFrame) -> DataFrame:

@@ -17,9 +17,13 @@ def _(r):
     return r.symbols.select("id", F.size(E.embedding("deterministic-32")(F.col("signature"))).cast("long").alias("dim"))
 
 
-@query("d3_operation_registry", "SELECT * FROM (VALUES ('search.symbol', true), ('analyze.deps', true), ('system.exec', false)) t(op, known)")
+_REGISTRY = ("search.symbol", "analyze.deps", "system.exec", "session.stats", "read.lines", "nothing")
+
+
+@query("d3_operation_registry", f"SELECT event_id, op, op NOT IN ('system.exec', 'nothing') AS known FROM (SELECT event_id, {list(_REGISTRY)}[event_id % 6 + 1] AS op FROM events)")
 def _(r):
-    return r.spark.createDataFrame([(op, op in batch.OPERATIONS) for op in ("search.symbol", "analyze.deps", "system.exec")], "op string, known boolean")
+    op = F.element_at(F.array(*map(F.lit, _REGISTRY)), (F.col("event_id") % 6 + 1).cast("int"))
+    return r.events.select("event_id", op.alias("op")).withColumn("known", F.col("op").isin(*batch.OPERATIONS))
 
 
 @query("d4_pattern_plugins", "SELECT doc_id, n FROM lines WHERE regexp_matches(line, 'All rights reserved')")
@@ -75,10 +79,15 @@ def _(r):
     return E.Cached(lambda: r.symbols.select("id"), 60).get().agg(F.count("*").alias("n"))
 
 
-@query("r15_stream_chunks", "SELECT * FROM (VALUES (1, 'text', 'hi', NULL), (1, 'tool', 'search', NULL), (2, 'usage', NULL, 7)) t(chunk, kind, text, tokens)")
+@query("r15_stream_chunks", """SELECT event_id AS chunk, 'text' AS kind, event_type AS text, NULL::BIGINT AS tokens FROM events WHERE event_id % 3 <> 2 UNION ALL SELECT event_id, 'tool', concat('run_', user_id), NULL FROM events WHERE event_id % 3 = 1
+UNION ALL SELECT event_id, 'usage', NULL, user_id FROM events WHERE event_id % 3 = 2""")
 def _(r):
-    d = r.spark.createDataFrame([(1, 'data: {"text": "hi"}\n\ndata: {"tool": "search"}\n'), (2, 'data: {"usage": {"tokens": 7}}\ndata: [DONE]')], "chunk int, body string")
-    return E.stream_events(d)
+    """A text event, a text and a tool event, or usage and the end, in turn."""
+    who, k = F.col("user_id").cast("string"), F.col("event_id") % 3
+    text = F.concat(F.lit('data: {"text": "'), "event_type", F.lit('"}\n'))
+    tool = F.concat(text, F.lit('\n: a comment\ndata: {"tool": "run_'), who, F.lit('"}\n'))
+    usage = F.concat(F.lit('data: {"usage": {"tokens": '), who, F.lit("}}\ndata: [DONE]"))
+    return E.stream_events(r.events.select(F.col("event_id").alias("chunk"), F.when(k == 0, text).when(k == 1, tool).otherwise(usage).alias("body")))
 
 
 @query("m7_lint_rows", "SELECT file_id, count(*) FILTER (severity = 'high') AS errors, count(*) FILTER (severity = 'medium') AS warnings FROM code_issues WHERE NOT suppressed GROUP BY file_id")

@@ -193,9 +193,14 @@ def _(r):
     return J.resolve_short(r.files, p)
 
 
-@query("j27_price_prefix", "SELECT model, count(*) AS n, max(CASE WHEN starts_with(lower(model), '1-') THEN 3.0 WHEN starts_with(lower(model), '2') THEN 2.0 WHEN starts_with(lower(model), '4') THEN 1.0 END)::DOUBLE AS price FROM usage GROUP BY model")
+@query("j27_price_prefix", """WITH u AS (SELECT *, cache_read_tokens * 2 AS cached, output_tokens // 2 AS made, CASE WHEN starts_with(lower(model), '1-') THEN 3.0 WHEN starts_with(lower(model), '2') AND provider <> 'google' THEN 2.0 WHEN starts_with(lower(model), '4') THEN 1.0 END::DOUBLE AS p FROM usage),
+c AS (SELECT *, input_tokens / 1e6::DOUBLE AS i, cached / 1e6::DOUBLE AS r, made / 1e6::DOUBLE AS w FROM u)
+SELECT ts, provider, model, input_tokens, round(coalesce(CASE provider WHEN 'anthropic' THEN i * p + r * p * 0.1::DOUBLE + w * p * 1.25::DOUBLE WHEN 'openai' THEN greatest(0, i - r) * p + r * CASE WHEN p = 3 THEN 0.5::DOUBLE ELSE p * 0.1::DOUBLE END ELSE greatest(0, i - r) * p + r * p * 0.25::DOUBLE END, 0), 9) AS input_cost, round(coalesce(output_tokens / 1e6::DOUBLE * p * 5, 0), 9) AS output_cost FROM c""")
 def _(r):
-    return J.price(r.usage, [("1-", 3.0), ("2", 2.0), ("4", 1.0)]).groupBy("model").agg(F.count("*").alias("n"), F.max("price").alias("price"))
+    d = r.usage.withColumn("cache_read_tokens", F.col("cache_read_tokens") * 2).withColumn("cache_write_tokens", F.floor(F.col("output_tokens") / 2))
+    prices = [{"provider": p, "prefix": x, "input": c, "output": c * 5} for p in ("anthropic", "openai", "google") for x, c in (("1-", 3.0), ("2", 2.0), ("4", 1.0)) if (p, x) != ("google", "2")]
+    prices[3]["cached_input"] = 0.5
+    return J.price(d, prices).select("ts", "provider", "model", "input_tokens", F.round("input_cost", 9).alias("input_cost"), F.round("output_cost", 9).alias("output_cost"))
 
 
 @query("j29_paired_results", "SELECT o_orderkey AS call_id, coalesce(min(l_returnflag), '[missing]') AS result, count(l_orderkey) = 0 AS synthetic FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 2 GROUP BY 1")
@@ -204,10 +209,26 @@ def _(r):
     return J.pair_results(r.orders.select(F.col("o_orderkey").alias("call_id")), results)
 
 
-@query("j30_import_reconciliation", "SELECT from_file_id, to_file_id, CASE WHEN to_file_id % 10 = 0 THEN 'broken' ELSE 'valid' END AS status FROM file_relations")
+_CHANGED = """i AS (SELECT id, path AS file, CASE id % 3 WHEN 0 THEN concat('./', regexp_replace(path, '^[^/]*/', '')) WHEN 1 THEN concat('pkg/', path) ELSE concat('./x/', id, '.ts') END AS import_path FROM files),
+c AS (SELECT path, regexp_replace(path, '[.][^.]+$', '') AS stem FROM files WHERE id % 10 = 0 OR id % 14 = 1)"""
+
+
+def _reconciled(r):
+    k, path = F.col("id") % 3, F.col("path")
+    imports = F.when(k == 0, F.concat(F.lit("./"), F.regexp_replace(path, "^[^/]*/", ""))).when(k == 1, F.concat(F.lit("pkg/"), path)).otherwise(F.concat(F.lit("./x/"), F.col("id").cast("string"), F.lit(".ts")))
+    return r.files.select("id", path.alias("file"), imports.alias("import_path")), r.files.where("id % 10 = 0 or id % 14 = 1").select("path")
+
+
+@query("j30_import_reconciliation", f"""WITH {_CHANGED}, b AS (SELECT *, regexp_replace(regexp_replace(import_path, '^[.]/', ''), '[.][^.]+$', '') AS base FROM i)
+SELECT id, file, import_path, EXISTS (SELECT 1 FROM c WHERE ends_with(stem, base) OR ends_with(base, stem)) AS broken FROM b""")
+def _(r):
+    return J.reconcile_imports(*_reconciled(r))
+
+
+@query("j30_export_reconciliation", f"WITH {_CHANGED} SELECT id, file, file NOT IN (SELECT path FROM c) AS still_defined FROM i")
 def _(r):
-    changed = r.files.where("id % 10 = 0 and id < 200").select(F.col("id").alias("to_file_id"), F.lit(True).alias("changed"))
-    return r.file_relations.join(changed, "to_file_id", "left").select("from_file_id", "to_file_id", F.when(F.col("changed"), "broken").otherwise("valid").alias("status"))
+    imports, changed = _reconciled(r)
+    return J.reconcile_exports(imports.select("id", "file"), changed)
 
 
 @query("j31_ready_tasks", """WITH t AS (SELECT o_orderkey AS task, CASE WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'pending' END AS status FROM orders), n AS (SELECT o_orderkey AS task, o_orderkey + 1 AS needs FROM orders WHERE o_orderkey % 3 = 0)
