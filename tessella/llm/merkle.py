@@ -104,10 +104,14 @@ class Tree:
         up = above.select(F.col("g").alias("__g"), F.lit(0).cast("long").alias("__i"), F.col("path").alias("__up"))
         for b in reversed(self.steps):
             joined = b.join(up, F.col("g").eqNullSafe(F.col("__g")) & (F.col("block") == F.col("__i")))
-            each = joined.select("g", "preimages", "__up", F.posexplode("members").alias("__j", "__m"))
-            shifted = lambda k: F.call_function("shiftright", F.col("__j"), k)
-            own = F.transform("preimages", lambda p, k: F.struct(shifted(k).bitwiseAND(F.lit(1)).alias("slot"), F.get(p, shifted(k + 1)).alias("preimage")))
-            found = each.select("g", F.col("__m")["i"].alias("i"), F.col("__m")["digest"].alias("digest"), F.col("__m")["extra"].alias("extra"), F.concat(own, F.col("__up")).cast(_PATH).alias("path"))
+
+            def own(j: Column) -> Column:
+                right = lambda k: F.call_function("shiftright", j, k)
+                return F.transform("preimages", lambda p, k: F.struct(right(k).bitwiseAND(F.lit(1)).alias("slot"), F.get(p, right(k + 1)).alias("preimage")))
+
+            # a block's rows are made at once, so that its preimages aren't copied for every member
+            each = F.transform("members", lambda m, j: F.struct(m["i"].alias("i"), m["digest"].alias("digest"), m["extra"].alias("extra"), F.concat(own(j), F.col("__up")).cast(_PATH).alias("path")))
+            found = joined.select("g", F.inline(each))
             up = found.select(F.col("g").alias("__g"), F.col("i").alias("__i"), F.col("path").alias("__up"))
         return found
 
