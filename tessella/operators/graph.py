@@ -10,15 +10,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 
 
-def save(df: DataFrame) -> DataFrame:
-    """The rows written below the session's checkpoint folder and read back."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new place below the session's checkpoint folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
@@ -26,9 +25,14 @@ def save(df: DataFrame) -> DataFrame:
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="tessella-graph-"))
         root = _LOCAL[0]
-    path = f"{root}/graph-{uuid.uuid4().hex}"
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def save(df: DataFrame) -> DataFrame:
+    """The rows written below the session's checkpoint folder and read back."""
+    path = folder(df.sparkSession, "graph")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def closure(edges: DataFrame, a: str, b: str, seeds: DataFrame, depth: int, seed: str = "seed") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import filters as P
+from .graph import save
 
 K1, B = 1.2, 0.75
 
@@ -33,11 +34,12 @@ def bm25(docs: DataFrame, doc: str, fields: dict[str, str], weights: dict[str, f
         any_word = reduce(lambda a, b: a | b, [F.lower(F.col(t)).contains(w) for t in fields.values() for w in terms])
         d = docs.where(any_word)
     words = lambda t: F.filter(F.split(F.lower(F.coalesce(F.col(t), F.lit(""))), r"[^a-z0-9\p{L}]+"), lambda w: w != "")
-    stats = docs.agg(F.count("*").alias("n_docs"), *[F.avg(F.size(words(t))).alias(f"avg_{f}") for f, t in fields.items()])
+    stats = docs.agg(F.count("*").alias("n_docs"), *[F.avg(F.regexp_count(F.lower(F.coalesce(F.col(t), F.lit(""))), F.lit(r"[a-z0-9\p{L}]+"))).alias(f"avg_{f}") for f, t in fields.items()])
     p = d.select(F.col(doc).alias("doc"), *[words(t).alias(f) for f, t in fields.items()])
     tf = lambda f, w: F.size(F.filter(F.col(f), lambda x: x == w))
     weighted = lambda w: sum((weights[f] * tf(f, w) / (1 - B + B * F.size(f) / F.col(f"avg_{f}")) for f in fields), F.lit(0.0))
-    scored = p.join(F.broadcast(stats)).select("doc", "n_docs", *[weighted(w).alias(f"t{i}") for i, w in enumerate(terms)])
+    # numbers only, read twice: written, so that texts are taken apart once
+    scored = save(p.join(F.broadcast(stats)).select("doc", "n_docs", *[weighted(w).alias(f"t{i}") for i, w in enumerate(terms)]))
     df = scored.agg(*[F.count(F.when(F.col(f"t{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))])
     both = scored.join(F.broadcast(df))
     idf = lambda i: F.log((F.col("n_docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5) + 1)
