@@ -46,19 +46,22 @@ def block_ends(lines: DataFrame, by: str = "path") -> DataFrame:
     change = F.length("line") - F.length(F.replace("line", F.lit("{"))) - (F.length("line") - F.length(F.replace("line", F.lit("}"))))
     w = Window.partitionBy(by).orderBy("n")
     d = lines.withColumn("after", F.sum(change).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("after") - change)
-    opens = d.where(F.col("line").contains("{") & (F.col("after") > F.col("before"))).select(by, F.col("n").alias("line"), F.col("before").alias("depth"))
-    closes = d.where(F.col("line").contains("}")).select(by, F.col("n").alias("end"), F.col("after").alias("depth_after"))
-    hit = opens.join(closes, by).where((F.col("end") > F.col("line")) & (F.col("depth_after") <= F.col("depth")))
-    return hit.groupBy(by, "line").agg(F.min("end").alias("end"))
+    opens = d.where(F.col("line").contains("{") & (F.col("after") > F.col("before"))).select(by, "n", F.col("before").alias("depth"), F.lit(True).alias("open"))
+    # a line that closes several blocks reaches each of their depths; the next to reach a block's depth closes it
+    closes = d.where(F.col("after") < F.col("before")).select(by, "n", F.explode(F.sequence("after", F.col("before") - 1)).alias("depth"), F.lit(False).alias("open"))
+    ahead = Window.partitionBy(by, "depth").orderBy("n").rowsBetween(1, Window.unboundedFollowing)
+    found = opens.unionByName(closes).withColumn("end", F.min(F.when(~F.col("open"), F.col("n"))).over(ahead))
+    return found.where(F.col("open") & F.col("end").isNotNull()).select(by, F.col("n").alias("line"), "end")
 
 
 def dependencies(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     """(path, name, needs): symbols of the same file that a symbol's lines call.
 
     symbols: (path, name, line, end); calls: (path, line, name)."""
-    inside = calls.select("path", F.col("line").alias("at"), F.col("name").alias("needs")).join(symbols, "path").where((F.col("at") >= F.col("line")) & (F.col("at") <= F.col("end")))
     known = symbols.select("path", F.col("name").alias("needs")).distinct()
-    return inside.where("needs <> name").select("path", "name", "needs").distinct().join(known, ["path", "needs"], "left_semi")
+    called = calls.select("path", F.col("line").alias("at"), F.col("name").alias("needs")).distinct().join(known, ["path", "needs"], "left_semi")
+    inside = called.join(symbols, "path").where((F.col("at") >= F.col("line")) & (F.col("at") <= F.col("end")))
+    return inside.where("needs <> name").select("path", "name", "needs").distinct()
 
 
 def relocate(lines: DataFrame, wanted: DataFrame, by: str = "doc_id", near: int = 10) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
+from .intervals import innermost
 from .windows import jaccard
 
 
@@ -93,9 +94,9 @@ def enclosing(spans: DataFrame, points: DataFrame) -> DataFrame:
     """(point, span): the smallest span of the file that holds the point's line, not its own.
 
     spans: (file, span, start, end); points: (file, point, line)."""
-    hit = points.join(spans, "file").where((F.col("start") <= F.col("line")) & (F.col("end") >= F.col("line")) & (F.col("span") != F.col("point")))
-    best = F.min_by("span", F.struct(F.col("end") - F.col("start"), F.col("span")))
-    return hit.groupBy("point").agg(best.alias("span"))
+    s = spans.select("file", "span", "start", "end", F.col("span").cast("string").alias("label"))
+    p = points.select("file", "point", "line", F.col("point").cast("string").alias("label"))
+    return innermost(s, p, "file").select("point", "span")
 
 
 def overlap_blocks(blocks: DataFrame, chunks: DataFrame, share: float = 0.8, least: int = 4) -> DataFrame:

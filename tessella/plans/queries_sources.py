@@ -85,11 +85,11 @@ def _(r):
     return H.block_ends(S.numbered_lines(_sources(r)))
 
 
-@query("x24_dependencies", "SELECT * FROM (VALUES ('f', 'a', 'b')) t(path, name, needs)")
+@query("x24_dependencies", """SELECT DISTINCT s.file_id AS path, s.name, c.name AS needs FROM symbols s JOIN calls c ON c.file_id = s.file_id AND c.line BETWEEN s.line AND s.line + s.complexity
+WHERE c.name <> s.name AND EXISTS (SELECT 1 FROM symbols k WHERE k.file_id = s.file_id AND k.name = c.name)""")
 def _(r):
-    s = r.spark.createDataFrame([("f", "a", 1, 5), ("f", "b", 6, 9), ("g", "c", 1, 3)], "path string, name string, line int, end int")
-    c = r.spark.createDataFrame([("f", 2, "b"), ("f", 3, "print"), ("f", 7, "b"), ("g", 2, "b")], "path string, line int, name string")
-    return H.dependencies(s, c)
+    s = r.symbols.select(F.col("file_id").alias("path"), "name", "line", (F.col("line") + F.col("complexity")).alias("end"))
+    return H.dependencies(s, r.calls.select(F.col("file_id").alias("path"), "line", "name"))
 
 
 @query("x27_relocation", "WITH w AS (SELECT doc_id, line AS text, n FROM lines QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) = 1), c AS (SELECT w.doc_id, min(abs(l.n - w.n)) AS away FROM w JOIN lines l ON l.doc_id = w.doc_id AND l.line = w.text GROUP BY 1) SELECT doc_id, 'exact' AS how FROM c WHERE away = 0")

@@ -9,15 +9,19 @@ from pyspark.sql import functions as F
 SKIP_DIRS = ("node_modules", "target", "dist", "build", "vendor", "__pycache__", ".git", "obj", "bin", ".next", ".nuxt", "coverage", ".tox", "venv", ".venv", ".turbo", ".parcel-cache", ".cache")
 
 
-def read_tree(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+def read_tree(spark: SparkSession, root: str, pattern: str = "*", rules: tuple[DataFrame, ...] = ()) -> DataFrame:
     """(path, content, hash) of the files below a folder that aren't ignored.
 
-    Listing, filtering by name and reading are Spark's own file source."""
+    Listing, filtering by name and reading are Spark's own file source. It lists
+    no names that begin with a dot, so ignore files come as tables of ``rules``
+    (``ignore.compile_rules``), a table a kind of ignore file."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     base = root.rstrip("/")
     path = F.regexp_replace("path", "^.*?" + base.replace("\\", "\\\\").replace(".", r"\.") + "/", "")
     d = d.select(path.alias("path"), F.col("content").cast("string").alias("content"), F.substring(F.sha2("content", 256), 1, 16).alias("hash"))
-    return d.where(~ignored(F.col("path")))
+    from .ignore import walk
+
+    return walk(d, *rules)
 
 
 def ignored(path: Column, skip: tuple[str, ...] = SKIP_DIRS) -> Column:
