@@ -122,7 +122,7 @@ def content_hash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def estimate_tokens(text: Column) -> Column:
     """Characters over 2.5 to 5, by code density and white space; CJK 1.5 each; 1 at least, 0 for none."""
-    count = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
     n = F.length(text).cast("double")
     code, space, lines = count(r"[{}\[\]();]"), count(r"[ \t\r\n]"), count(r"\n") + 1
     cjk = count(r"[\u3000-\u303f\u3400-\u4dbf\u4e00-\u9fff]")
@@ -165,11 +165,11 @@ def headings(line: Column) -> Column:
 
 
 def dedent(text: Column) -> Column:
-    """Without the indent all lines have that aren't blank."""
-    lines = F.split(text, "\n", -1)
-    indents = F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.length(x) - F.length(F.ltrim(x)))
-    cut = F.coalesce(F.array_min(indents), F.lit(0))
-    return F.array_join(F.transform(lines, lambda x: F.when(F.trim(x) == "", F.lit("")).otherwise(F.substring(x, cut + 1, F.length(x)))), "\n")
+    """Without the indent all lines have that aren't blank; blank lines are emptied."""
+    bare = F.regexp_replace(text, r"(?dm)^ +$", "")
+    cut = F.coalesce(F.array_min(F.transform(F.regexp_extract_all(bare, F.lit(r"(?dm)^( *)[^ \n]"), F.lit(1)), F.length)), F.lit(0))
+    indent = F.concat(F.lit("(?dm)^ {"), cut.cast("string"), F.lit("}"))
+    return F.when(cut > 0, F.regexp_replace(bare, indent, F.lit(""))).otherwise(bare)
 
 
 def no_comments(text: Column) -> Column:

@@ -112,7 +112,9 @@ def _(r):
     return W.context_lines(r.lines, F.col("line").contains("reserved"), "doc_id", "n", 1).select("doc_id", "n", "is_hit")
 
 
-@query("x19_dedent", "SELECT doc_id, text AS dedented FROM documents WHERE NOT regexp_matches(text, '[ \\t]\\n|\\n[ \\t]|^[ \\t]|[ \\t]$')")
+@query("x19_dedent", """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+m AS (SELECT doc_id, ls, coalesce(list_min(list_transform(list_filter(ls, lambda x: trim(x) <> ''), lambda x: length(x) - length(ltrim(x)))), 0) AS k FROM l)
+SELECT doc_id, array_to_string(list_transform(ls, lambda x: CASE WHEN trim(x) = '' THEN '' ELSE substr(x, k + 1) END), chr(10)) AS dedented FROM m""")
 def _(r):
     indented = F.concat(F.lit("  "), F.replace("text", F.lit("\n"), F.lit("\n  ")))
     return r.documents.select("doc_id", X.dedent(indented).alias("dedented"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import compression as C
 from ..functions import shapes as H
 from ..functions import text as X
 from ..sources import scan as S
@@ -105,6 +106,14 @@ def _(r):
     return X.dictionary_round_trip(d, "signature").agg(F.coalesce(F.bool_and("same"), F.lit(True)).alias("same"), F.coalesce(F.sum("coded") <= F.sum("plain"), F.lit(True)).alias("smaller"))
 
 
+@query("x29_payloads", """WITH p AS (SELECT file_id, id, row_number() OVER (PARTITION BY file_id ORDER BY id) - 1 AS pos, name, kind, line, CASE WHEN kind = 'class' THEN NULL ELSE signature END AS signature FROM symbols)
+SELECT file_id, pos // 200 AS page, '[' || string_agg('{name:' || name || ',kind:' || kind || ',line:' || line || CASE WHEN signature IS NULL THEN '' ELSE ',signature:"' || signature || '"' END || '}', ',' ORDER BY id) || ']' AS text FROM p GROUP BY ALL""")
+def _(r):
+    pos = F.row_number().over(Window.partitionBy("file_id").orderBy("id")) - 1
+    rows = r.symbols.select("file_id", "id", "name", "kind", "line", F.when(F.col("kind") != "class", F.col("signature")).alias("signature"), pos.alias("pos"))
+    return C.restore(C.compress(rows, "file_id", "pos", ["name", "kind", "line", "signature"]), "file_id")
+
+
 @query("x30_plan_lines", "SELECT id, name FROM symbols WHERE kind = 'class' ORDER BY id LIMIT 5")
 def _(r):
     plan = batch.parse_lines("# classes\ns search.symbol kind:class\nt limit by:id n:5 in:rows=s if:s")
