@@ -2,14 +2,15 @@
 
 Native: DataFrame functions only.
 
-Blocks are the lines of a text and, for notices wrapped over lines, overlapping
-runs of words of its paragraphs (lines up to one without a word); templates are
-short license notices. A block is found if it holds a template's word set to
-``threshold`` (containment: words shared over words of the template) and all of
-its ``DECIDING`` words; in a run they must stand in a row of as many words as
-the template has with one foreign word in five. A run is twice as long as the
-longest such row, and the next one starts at its middle, so every row lies in
-one of them. The join is the usual exact one for that measure:
+Blocks are overlapping runs of words of the lines of a text and, for notices
+wrapped over lines, of its paragraphs (lines up to one without a word); templates
+are short license notices. A block is found if a row of as many words as the
+template has with one foreign word in five holds the template's word set to
+``threshold`` (containment: words shared over words of the template), all of its
+``DECIDING`` words and none of its ``FOREIGN`` ones, those of a stricter license.
+A run is twice as long as the longest such row, and the next one starts at its
+middle, so every row lies in one of them. The join is the usual exact one for
+that measure:
 
 * the templates' words are ordered by the number of documents that hold them
   (as part of a word, which is counted without taking texts apart), rarest
@@ -66,6 +67,13 @@ DECIDING = {
     "Licensed under a Creative Commons Attribution 4.0 International License": ("attribution",),
     "This Source Code Form is subject to the terms of the Mozilla Public License": ("mozilla",),
 }
+#: Words of a stricter license of the same family: a row with one of them isn't that notice.
+FOREIGN = {
+    "Licensed under CC BY NC 4.0": ("nd", "noderivatives", "noderivs", "sa", "sharealike"),
+    "Licensed under a Creative Commons Attribution 4.0 International License": ("nc", "noncommercial", "commercial", "nd", "noderivatives", "noderivs", "derivatives", "sa", "sharealike"),
+    "This work is licensed under the GNU General Public License version 3": ("lesser", "affero"),
+    "This program is free software you can redistribute it and or modify it under the terms of the GNU General Public License": ("lesser", "affero"),
+}
 THRESHOLD = 0.8
 _OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -110,7 +118,7 @@ class Notice:
         self.label, self.text = label, text
         self.words = _tokens(text)
         self.need = max(1, math.ceil(round(threshold * len(self.words), 9)))
-        self.must = list(DECIDING.get(text, ()))
+        self.must, self.ban = list(DECIDING.get(text, ())), list(FOREIGN.get(text, ()))
         self.span = _span(text)
 
     def order(self, df: dict[str, int]) -> None:
@@ -132,25 +140,27 @@ def _blank(text: Column, but: str = "") -> Column:
     return F.regexp_replace(text, _OTHER.replace(r"\x00-", r"\x00-\x09\x0B-") if but else _OTHER, " ")
 
 
+def _cut(d: DataFrame, span: int) -> DataFrame:
+    """(id, text_hash, block, ws, run) of blocks with their words in order."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size("ws") - span, F.lit(1)), F.lit(span))
+    d = d.select("id", "text_hash", "block", F.explode(F.transform(starts, lambda i: F.slice(F.col("ws"), i, F.lit(2 * span)))).alias("run"))
+    return d.select("id", "text_hash", "block", F.array_distinct("run").alias("ws"), "run")
+
+
 def _lines(texts: DataFrame, notices: Sequence[Notice]) -> DataFrame:
-    """(id, text_hash, block, ws, run): the lines that pass the prefix filter."""
+    """(id, text_hash, block, ws): the words of the lines that pass the prefix filter."""
     d = texts.select("id", "text_hash", F.posexplode(F.split("low", "\n", -1)).alias("block", "line")).where(_any(notices, F.col("line")))
-    d = d.select("id", "text_hash", "block", F.array_distinct(F.split(F.trim(_blank(F.col("line"))), " ")).alias("ws"))
-    return d.withColumn("run", F.lit(None).cast("array<string>"))
+    return d.select("id", "text_hash", "block", F.split(F.trim(_blank(F.col("line"))), " +").alias("ws"))
 
 
-def _runs(texts: DataFrame, notices: Sequence[Notice]) -> DataFrame:
-    """(id, text_hash, block, ws, run): overlapping runs of words of the
-    paragraphs with several lines that pass the prefix filter. Block is -1 for
-    the first paragraph, -2 for the second."""
-    span = max((n.span for n in notices), default=1)
+def _paragraphs(texts: DataFrame, notices: Sequence[Notice]) -> DataFrame:
+    """(id, text_hash, block, ws): the words of the paragraphs with several
+    lines that pass the prefix filter. Block is -1 for the first paragraph, -2
+    for the second."""
     paragraphs = F.split(F.regexp_replace(_blank(F.col("low"), "\n"), " *\n *", "\n"), "\n\n+")
     d = texts.where(F.col("low").contains("\n")).select("id", "text_hash", F.posexplode(paragraphs).alias("at", "text"))
     d = d.withColumn("text", F.trim("text", F.lit(" \n"))).where(F.col("text").contains("\n") & _any(notices, F.col("text")))
-    d = d.select("id", "text_hash", (-1 - F.col("at")).alias("block"), F.split("text", "[ \n]+").alias("ws"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("ws") - span, F.lit(1)), F.lit(span))
-    d = d.select("id", "text_hash", "block", F.explode(F.transform(starts, lambda i: F.slice(F.col("ws"), i, F.lit(2 * span)))).alias("run"))
-    return d.select("id", "text_hash", "block", F.array_distinct("run").alias("ws"), "run")
+    return d.select("id", "text_hash", (-1 - F.col("at")).alias("block"), F.split("text", "[ \n]+").alias("ws"))
 
 
 def document_frequencies(docs: DataFrame, words: Sequence[str]) -> dict[str, int]:
@@ -169,20 +179,21 @@ def matches(docs: DataFrame, spark: SparkSession, scratch: Scratch, templates: S
     for n in notices:
         n.order(df)
     ordered = sorted(notices, key=lambda n: min((df[w] for w in n.must), default=sum(df[w] for w in n.prefix)), reverse=True)
-    rows = [(w, place, t, n.label, n.words, len(n.words), n.need, n.must, n.span) for t, n in enumerate(notices) for place, w in enumerate(n.prefix)]
-    index = spark.createDataFrame(rows, "w string, place int, template int, label string, tokens array<string>, size int, need int, must array<string>, span int")
+    rows = [(w, place, t, n.label, n.words, len(n.words), n.need, n.must, n.ban, n.span) for t, n in enumerate(notices) for place, w in enumerate(n.prefix)]
+    index = spark.createDataFrame(rows, "w string, place int, template int, label string, tokens array<string>, size int, need int, must array<string>, ban array<string>, span int")
     prefix = F.array(*[F.lit(w) for w in sorted({r[0] for r in rows})])
     # lower() finds whatever the contract's lower-casing finds; what passes is lower-cased exactly
     texts = docs.where(_any(ordered, F.lower("text"))).select("id", "text_hash", lower_ascii(F.col("text")).alias("low"))
     texts = scratch.save(texts)
-    blocks = _lines(texts, ordered).unionByName(_runs(texts, ordered))
+    blocks = _cut(_lines(texts, ordered).unionByName(_paragraphs(texts, ordered)), max((n.span for n in notices), default=1))
     probe = blocks.select("*", F.explode(F.array_intersect("ws", prefix)).alias("w"))
     found = probe.join(F.broadcast(index), "w").where((F.size("ws") >= F.col("need")) & (F.col("size") - F.col("place") >= F.col("need")))
     shared = lambda ws: F.when(F.size(F.array_except("must", ws)) == 0, F.size(F.array_intersect(ws, "tokens"))).otherwise(0)
     found = found.where(shared(F.col("ws")) >= F.col("need"))
-    # in a run the words must stand within the template's span
-    rows_of = F.transform(F.sequence(F.lit(1), F.size("run")), lambda i: shared(F.slice(F.col("run"), i, F.col("span"))))
-    found = found.withColumn("shared", F.when(F.col("run").isNull(), shared(F.col("ws"))).otherwise(F.array_max(rows_of))).where("shared >= need")
+    # the words must stand in a row of the template's span, without foreign ones
+    in_a_row = lambda ws: F.when(F.arrays_overlap("ban", ws), 0).otherwise(shared(ws))
+    rows_of = F.transform(F.sequence(F.lit(1), F.size("run")), lambda i: in_a_row(F.slice(F.col("run"), i, F.col("span"))))
+    found = found.withColumn("shared", F.array_max(rows_of)).where("shared >= need")
     return found.groupBy("id", "text_hash", "block", "template").agg(F.first("label").alias("label"), F.max(F.col("shared") / F.col("size")).alias("containment"))
 
 
@@ -225,26 +236,25 @@ def _op9_sql() -> str:
     notices = [Notice(label, text, THRESHOLD) for label, text in TEMPLATES]
     template_rows = ", ".join(f"({t}, '{n.label}', '{w}', {len(n.words)}, {n.need}, {w in n.must}, {len(n.must)}, {n.span})" for t, n in enumerate(notices) for w in n.words)
     phrase_rows = ", ".join(f"('{p}', '{label}')" for p, label in BASE.items())
+    bans = ", ".join(f"({t}, {n.ban}::VARCHAR[])" for t, n in enumerate(notices))
     enough = "HAVING count(*) >= any_value(need) AND count(*) FILTER (deciding) = any_value(n_deciding)"
     return rf"""
 WITH low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 ws AS (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
 templates(template, label, word, size, need, deciding, n_deciding, span) AS (VALUES {template_rows}),
 phrases(phrase, label) AS (VALUES {phrase_rows}),
-lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS block FROM (SELECT doc_id, string_split(t, chr(10)) AS l FROM low)),
-tokens AS (SELECT DISTINCT doc_id, block, unnest(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM lines),
-hits AS (SELECT doc_id, block, template, any_value(label) AS label, count(*) / any_value(size) AS containment
-  FROM tokens JOIN templates USING (word) GROUP BY doc_id, block, template {enough}),
+bans(template, ban) AS (VALUES {bans}),
 split AS (SELECT doc_id, string_split_regex(regexp_replace(regexp_replace(t, '[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n\n+') AS ps FROM low),
-paragraphs AS (SELECT doc_id, block, string_split_regex(p, '[ \n]+') AS w
-  FROM (SELECT doc_id, unnest(range(len(ps))) AS block, trim(unnest(ps), ' ' || chr(10)) AS p FROM split) WHERE contains(p, chr(10))),
+paragraphs AS (SELECT doc_id, -1 - block AS block, string_split_regex(p, '[ \n]+') AS w
+  FROM (SELECT doc_id, unnest(range(len(ps))) AS block, trim(unnest(ps), ' ' || chr(10)) AS p FROM split) WHERE contains(p, chr(10))
+  UNION ALL SELECT doc_id, block, regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS block FROM (SELECT doc_id, string_split(t, chr(10)) AS l FROM low))),
 wrapped AS (SELECT doc_id, block, template, any_value(span) AS span
   FROM (SELECT doc_id, block, unnest(list_distinct(w)) AS word FROM paragraphs) JOIN templates USING (word) GROUP BY doc_id, block, template {enough}),
 in_a_row AS (SELECT doc_id, block, template, i, unnest(list_distinct(w[i + 1 : i + span])) AS word
-  FROM (SELECT doc_id, block, template, span, w, unnest(range(len(w))) AS i FROM wrapped JOIN paragraphs USING (doc_id, block))),
+  FROM (SELECT doc_id, block, template, span, w, unnest(range(len(w))) AS i FROM wrapped JOIN paragraphs USING (doc_id, block)) JOIN bans USING (template) WHERE NOT list_has_any(w[i + 1 : i + span], ban)),
 run_hits AS (SELECT doc_id, block, template, any_value(label) AS label, count(*) / any_value(size) AS containment
   FROM in_a_row JOIN templates USING (template, word) GROUP BY doc_id, block, template, i {enough}),
-found AS (SELECT doc_id, list(DISTINCT label) AS found, max(containment) AS containment FROM (FROM hits UNION ALL FROM run_hits) GROUP BY doc_id),
+found AS (SELECT doc_id, list(DISTINCT label) AS found, max(containment) AS containment FROM run_hits GROUP BY doc_id),
 starts AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM ws WHERE list_contains(w, 'license')),
 places AS (SELECT doc_id, i, label FROM starts JOIN phrases ON array_to_string(w[i + 1 : i + len(string_split(phrase, ' '))], ' ') = phrase),
 base AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS b, list(DISTINCT label) AS labels FROM places GROUP BY doc_id)

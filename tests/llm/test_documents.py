@@ -361,12 +361,18 @@ WRAPPED = {
     9: "all " + "w " * 200 + "\nrights " + "w " * 200 + "\nreserved",
     10: "Licensed under\nCC BY-NC 4.0",
     11: "Licensed under the Apache License, Version 2.0.\nkommen mit der",
+    12: "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    13: "x\nLicensed under a Creative Commons\nAttribution-NoDerivatives 4.0 International License",
+    14: "All files reserved by rights holders of the town",
+    15: " ".join(f"w{i} {w}" for i, w in enumerate("licensed under the apache license version 2 0".split() * 300)) + " " + "filler " * 15000,
+    16: "y " * 500 + "Licensed under a Creative Commons Attribution 4.0 International License " + "z " * 500,
+    17: "This work is licensed under the GNU Lesser General Public License version 3",
 }
 
 
 def test_licenses_wrapped_over_lines_and_deciding_words(spark):
     labels = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(list(WRAPPED.items()), "doc_id long, text string"), spark).collect()}
-    assert labels == {1: "mit", 2: "bsd", 3: "gpl", 4: "all-rights-reserved", 5: "", 6: "", 7: "", 8: "", 9: "", 10: "cc-by-nc", 11: "apache"}
+    assert labels == {1: "mit", 2: "bsd", 3: "gpl", 4: "all-rights-reserved", 5: "", 6: "", 7: "", 8: "", 9: "", 10: "cc-by-nc", 11: "apache", 12: "", 13: "", 14: "", 15: "", 16: "cc-by", 17: "gpl"}
 
 
 def test_licenses_against_sql(spark, hostile):
