@@ -7,7 +7,8 @@ and a filter is a choice of one codeword a part. So a vector's filters are
 decoded from its parts' scores, best first, without a look at the others.
 
 The number of filters follows the number of vectors, so that a filter holds
-about BUCKET of them; the cap's height gives a vector about ``hits`` filters of
+about BUCKET of them (vectors of few dimensions have fewer filters, as more would
+be one and the same); the cap's height gives a vector about ``hits`` filters of
 each of several independent codes, and one that reaches fewer takes its best
 ``least``. More filters make higher caps, in which a close pair meets less
 often, so the number of codes follows the number of vectors: on pairs drawn at
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, chunk_pairs, components, groups
 from .vectors import matrix, valid_vectors
 
-CODES, HITS, LEAST, BUCKET, BLOCK, MAX_CODE = 8, 3, 3, 48, 512, 512
+CODES, HITS, LEAST, BUCKET, BLOCK, MAX_CODE, SHORT = 8, 3, 3, 48, 512, 512, 8
 #: The chance, at most, that a pair at exactly the threshold shares no filter; pairs drawn for each code to measure it.
 MISS, PROBES = 1e-4, 500
 
@@ -63,7 +64,7 @@ class Filters:
         self.codes: list[ProductCode] = []
         rng, apart, drawn = np.random.default_rng(7), 0, 0
         while True:
-            code = ProductCode(n, dim, hits, least, 11 + len(self.codes))
+            code = ProductCode(n, dim, hits, least, 11 + len(self.codes), cosine=cosine)
             self.codes.append(code)
             x, y = pairs_at(cosine, PROBES, dim, rng)
             apart += sum(np.intersect1d(a, b).size == 0 for a, b in zip(code.decode(x), code.decode(y)))
@@ -84,23 +85,38 @@ class Filters:
         return [np.sort(np.concatenate([ids * len(each) + i for i, ids in enumerate(row)])) for row in zip(*each)]
 
 
+def cap_share(cosine: float, dim: int) -> float:
+    """The share of all directions that lie within that cosine of a given one."""
+    if dim == 1:
+        return 0.5
+    angle = (np.arange(20000) + 0.5) * (math.pi / 20000)
+    weight = np.sin(angle) ** (dim - 2)
+    return float(weight[angle <= math.acos(cosine)].sum() / weight.sum())
+
+
 class ProductCode:
-    def __init__(self, n: int, dim: int, hits: int, least: int, seed: int, bucket: int = BUCKET):
+    """One code. In few dimensions no more filters are of use than cover all
+    directions with caps as wide as ``cosine``, ``hits`` times over, and below
+    SHORT dimensions there is one part, as parts of a dimension or two have
+    hardly any directions to choose from."""
+
+    def __init__(self, n: int, dim: int, hits: int, least: int, seed: int, bucket: int = BUCKET, cosine: float = 0.9):
         self.hits, self.least = hits, least
-        want = max(64, math.ceil(n * hits / bucket))
-        self.parts = min(dim, max(2, math.ceil(math.log(want) / math.log(MAX_CODE))))
-        self.code = max(2, math.ceil(want ** (1 / self.parts)))
+        share = cap_share(cosine, dim)
+        want = min(max(64, math.ceil(n * hits / bucket)), math.ceil(hits / share) if share * 1e15 > 1 else 10**15)
+        self.parts = 1 if dim < SHORT else max(2, math.ceil(math.log(want) / math.log(MAX_CODE)))
+        self.code = 2 if dim == 1 else max(2, math.ceil(want ** (1 / self.parts)))
         rng = np.random.default_rng(seed)
         self.rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
         self.edges = np.linspace(0, dim, self.parts + 1).astype(int)
         self.words = []
         for s, e in zip(self.edges, self.edges[1:]):
-            w = rng.normal(size=(self.code, e - s))
+            w = rng.normal(size=(self.code, e - s)) if dim > 1 else np.array([[1.0], [-1.0]])
             self.words.append(w / np.sqrt((w**2).sum(1, keepdims=True)))
         # the height that random unit vectors exceed with `hits` filters on average
         probe = rng.normal(size=(200, dim))
         scores = self.scores(probe / np.sqrt((probe**2).sum(1, keepdims=True)))
-        share = self.hits / self.code**self.parts
+        share = min(0.5, self.hits / self.code**self.parts)
         sums = np.sort(sum(s[:, rng.integers(0, self.code, 20000)] for s in scores).ravel())
         self.height = float(sums[min(len(sums) - 1, int(len(sums) * (1 - share)))])
 

@@ -221,3 +221,39 @@ def test_queries_on_empty_tables(spark, tmp_path, name):
     table(spark, vectors(1)).limit(0).write.parquet(f"{tmp_path}/embeddings.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert registry.queries()[name](spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("dim", [1, 2, 3, 5, 8])
+def test_vectors_of_few_dimensions_have_few_filters(dim):
+    import time
+
+    rng = np.random.default_rng(dim)
+    for n in (10_000, 1_000_000):
+        began = time.time()
+        f = embedding_dup.Filters(n, dim)
+        assert time.time() - began < 10
+        x = rng.normal(size=(500, dim))
+        held = [len(i) for i in f.decode(x / np.sqrt((x * x).sum(1, keepdims=True)))]
+        assert np.mean(held) < 100 and min(held) > 0
+        a, b = embedding_dup.pairs_at(0.9, 2000, dim, rng)
+        assert sum(np.intersect1d(p, q).size == 0 for p, q in zip(f.decode(a), f.decode(b))) <= 1
+
+
+def test_share_of_a_cap():
+    assert embedding_dup.cap_share(0.9, 1) == 0.5
+    assert abs(embedding_dup.cap_share(0.9, 2) - np.arccos(0.9) / np.pi) < 1e-3
+    assert abs(embedding_dup.cap_share(0.9, 3) - 0.05) < 1e-3
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(200_000, 5))
+    assert abs(embedding_dup.cap_share(0.9, 5) - (x[:, 0] / np.sqrt((x * x).sum(1)) >= 0.9).mean()) < 2e-3
+
+
+@pytest.mark.parametrize("dim", [1, 2, 3])
+def test_links_of_short_vectors(spark, dim):
+    rng = np.random.default_rng(10 + dim)
+    x = np.concatenate([rng.normal(size=(300, dim)), np.zeros((1, dim))])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dup.near_duplicates(d, spark).collect()}
+    u = x[:300] / np.sqrt((x[:300] ** 2).sum(1, keepdims=True))
+    link = u @ u.T >= 0.9
+    assert [got[i].n_links for i in range(300)] == (link.sum(1) - 1).tolist() and got[300].n_links == 0
