@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("aggregates", "windows", "filters", "ranking", "joins", "setops", "scalars", "scans", "mutations", "machines", "sources", "extensions", "textindex", "extraction", "imports")
+MODULES = ("aggregates", "windows", "filters", "ranking", "joins", "setops", "scalars", "scans", "mutations", "machines", "sources", "extensions", "textindex", "extraction", "imports", "edits")
 
 
 def _load() -> None:

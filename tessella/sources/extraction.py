@@ -164,6 +164,33 @@ def line_facts(text: str) -> tuple[list[str], list[bool], list[int], list[int]]:
     return lines, comment, end, first
 
 
+_BRACKETS = re.compile(_TOKEN.pattern.removesuffix(r"|[{}]") + r"|[()\[\]{}]", re.S)
+
+
+def net_braces(lines: list[str]) -> int:
+    """Opening less closing brackets of all kinds, strings and comments left out."""
+    return sum((m[0] in "([{") - (m[0] in ")]}") for m in _BRACKETS.finditer("\n".join(lines)))
+
+
+def outer_blocks(lines: list[str]) -> list[tuple[int, int]]:
+    """(first, last) line of each pair of braces that is in no other and goes over
+    several lines; one that isn't closed goes to the end."""
+    text = "\n".join(lines)
+    out, depth, first, row, at = [], 0, 0, 0, 0
+    for m in _TOKEN.finditer(text):
+        row, at = row + text.count("\n", at, m.start()), m.start()
+        if m[0] == "{":
+            first = row if depth == 0 else first
+            depth += 1
+        elif m[0] == "}" and depth:
+            depth -= 1
+            if depth == 0 and row > first:
+                out.append((first, row))
+    if depth and len(lines) > first + 1:
+        out.append((first, len(lines) - 1))
+    return out
+
+
 def file_lines(files: DataFrame) -> DataFrame:
     """(path, language, n, line, comment, end, first), lines numbered from 1."""
     kinds = [files.schema["path"].dataType.simpleString()]
