@@ -33,7 +33,7 @@ each get a row. Extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_, or_
 
@@ -135,6 +135,11 @@ def _any(notices: Sequence[Notice], text: Column) -> Column:
     return reduce(or_, [n.may(text) for n in notices], F.lit(False))
 
 
+def _of_lower(text: Column, test: Callable[[Column], Column]) -> Column:
+    """A test of the lower-cased text, which is made once (a plain condition would make it for each of its parts)."""
+    return F.exists(F.array(F.lower(text)), lambda low: F.coalesce(test(low), F.lit(False)))
+
+
 def _blank(text: Column, but: str = "") -> Column:
     """The text with every other character than those of words, and ``but``, as spaces."""
     return F.regexp_replace(text, _OTHER.replace(r"\x00-", r"\x00-\x09\x0B-") if but else _OTHER, " ")
@@ -183,7 +188,7 @@ def matches(docs: DataFrame, spark: SparkSession, scratch: Scratch, templates: S
     index = spark.createDataFrame(rows, "w string, place int, template int, label string, tokens array<string>, size int, need int, must array<string>, ban array<string>, span int")
     prefix = F.array(*[F.lit(w) for w in sorted({r[0] for r in rows})])
     # lower() finds whatever the contract's lower-casing finds; what passes is lower-cased exactly
-    texts = docs.where(_any(ordered, F.lower("text"))).select("id", "text_hash", lower_ascii(F.col("text")).alias("low"))
+    texts = docs.where(_of_lower(F.col("text"), lambda low: _any(ordered, low))).select("id", "text_hash", lower_ascii(F.col("text")).alias("low"))
     texts = scratch.save(texts)
     blocks = _cut(_lines(texts, ordered).unionByName(_paragraphs(texts, ordered)), max((n.span for n in notices), default=1))
     probe = blocks.select("*", F.explode(F.array_intersect("ws", prefix)).alias("w"))
@@ -205,8 +210,8 @@ def scan(docs: DataFrame, spark: SparkSession, **options) -> DataFrame:
     d = docs.select("doc_id", F.col("doc_id").alias("id"), "text", F.md5(F.col("text").cast("binary")).alias("text_hash"))
     found = matches(d.select("id", "text_hash", "text"), spark, scratch, **options)
     found = found.groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
-    low = F.lower("text")
-    some = reduce(or_, [reduce(and_, [low.contains(w) for w in p.split(" ")]) for p in BASE])
+    shared = set.intersection(*(set(p.split(" ")) for p in BASE))  # words of every phrase, asked first
+    some = _of_lower(F.col("text"), lambda low: reduce(and_, [low.contains(w) for w in sorted(shared)] + [reduce(or_, [reduce(and_, [low.contains(w) for w in p.split(" ")]) for p in BASE])]))
     ws = F.when(some, words(F.col("text"))).otherwise(F.array().cast("array<string>"))
     base = d.select("doc_id", "id", "text_hash", n_words(F.col("text")).alias("n_words"), ws.alias("ws"))
     base = base.select("doc_id", "id", "text_hash", "n_words", *[F.when(F.size("ws") > 0, phrase_places(F.col("ws"), p)).otherwise(F.array().cast("array<int>")).alias(label) for p, label in BASE.items()])
