@@ -84,8 +84,9 @@ def words(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    """Their number, without an array of them."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+    """Their number, without an array of them. The class names what a word has:
+    as the complement of what it hasn't, the same test takes many times as long."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[a-z0-9A-Z\x{80}-\x{10FFFF}]+")), F.lit(0)).cast("long")
 
 
 def phrase_places(ws: Column, phrase: str) -> Column:
