@@ -53,6 +53,22 @@ def references(calls: DataFrame, relations: DataFrame, symbols: DataFrame, name:
     return direct.unionByName(related).distinct()
 
 
+def usage(calls: DataFrame, relations: DataFrame, symbols: DataFrame, name: str, most: int = 500, most_like: int = 50) -> DataFrame:
+    """(file_id, line): where a name is used. Calls of it; of the symbols that
+    relate to it the calls in their scope, the first ``most``; and where there is
+    none of either, symbols of another name whose signature holds it (of three
+    characters or more), the first ``most_like``."""
+    direct = calls.where(F.col("name") == name).select("file_id", "line").distinct()
+    target = symbols.where(F.col("name") == name).select(F.col("id").alias("to_symbol_id"))
+    scopes = relations.where("type = 'CALLS'").join(target, "to_symbol_id").join(symbols.select(F.col("id").alias("from_symbol_id"), "file_id", F.col("name").alias("scope_name")), "from_symbol_id").select("file_id", "scope_name").distinct()
+    related = calls.join(scopes, ["file_id", "scope_name"]).select("file_id", "line").distinct().orderBy("file_id", "line").limit(most)
+    found = direct.unionByName(related).distinct()
+    if len(name) < 3 or not found.isEmpty():
+        return found
+    like = symbols.where(F.lower("signature").contains(name.lower()) & (F.col("name") != name))
+    return like.select("file_id", "line").distinct().orderBy("file_id", "line").limit(most_like)
+
+
 def change_impact(imports: DataFrame, files: DataFrame, targets: list[int]) -> DataFrame:
     """direct importers of the targets, and the importers of those; the risk by their number."""
     t = files.where(F.col("id").isin(*targets)).select("id")
@@ -178,19 +194,34 @@ def reconcile_imports(imports: DataFrame, changed: DataFrame) -> DataFrame:
     without its extension ends in the import, also without extension and a
     leading ``./``, or the other way round.
 
-    Ends meet by equality: each text is dealt out as its own ends, once per
-    character, so no pair is looked at that doesn't match."""
+    Ends meet by equality at slashes (``ending``), so no pair is looked at that
+    differs after one."""
     bare = lambda c: F.regexp_replace(c, r"\.[^.]+$", "")
-    ends = lambda c: F.explode(F.transform(F.sequence(F.lit(0), F.length(c)), lambda i: F.substring(c, i + 1, F.length(c))))
-    stems = changed.select(bare(F.col("path")).alias("stem")).distinct()
+    stems = changed.select(bare(F.col("path")).alias("t")).distinct()
     asked = imports.withColumn("__base", bare(F.regexp_replace("import_path", r"^\./", "")))
-    bases = asked.select("__base").distinct()
-    longer = bases.join(stems.select(ends(F.col("stem")).alias("__base")).distinct(), "__base", "left_semi")
-    shorter = bases.select("__base", ends(F.col("__base")).alias("stem")).join(stems, "stem", "left_semi").select("__base")
+    bases = asked.select(F.col("__base").alias("t")).distinct()
+    longer, shorter = ending(stems, bases).select(F.col("end").alias("__base")), ending(bases, stems).select(F.col("t").alias("__base"))
     hit = longer.union(shorter).distinct().withColumn("__hit", F.lit(True))
     return asked.join(hit, "__base", "left").select(*imports.columns, F.coalesce("__hit", F.lit(False)).alias("broken"))
 
 
+def ending(texts: DataFrame, ends: DataFrame) -> DataFrame:
+    """(t, end): which of ``ends`` (t) the texts (t) end in.
+
+    An end with a slash meets a text by what follows the first one, and the name
+    before it is compared; one without meets the ends of the last names."""
+    name, tail = (lambda c, p: F.regexp_extract(c, p, 1)), r"(?s)^[^/]*(/.*)$"
+    t, e = F.col("t"), F.col("end")
+    slashes = F.filter(F.sequence(F.lit(1), F.length("t")), lambda i: F.substring(t, i, F.lit(1)) == "/")
+    cut = texts.select("t", F.explode(slashes).alias("i")).select("t", F.expr("substring(t, i, length(t))").alias("tail"), F.substring_index(F.expr("substring(t, 1, i - 1)"), "/", -1).alias("name"))
+    e_rows = ends.select(F.col("t").alias("end")).distinct()
+    with_slash = e_rows.where(e.contains("/")).select("end", name(e, tail).alias("tail"), F.substring_index("end", "/", 1).alias("head"))
+    first = cut.join(with_slash, "tail").where(F.endswith("name", F.col("head"))).select("t", "end")
+    last = F.substring_index("t", "/", -1)
+    each = texts.select("t", F.explode(F.transform(F.sequence(F.lit(1), F.length(last) + 1), lambda i: F.substring(last, i, F.length(last)))).alias("end"))
+    return first.unionByName(each.join(e_rows.where(~e.contains("/")), "end").select("t", "end")).distinct()
+
+
 def reconcile_exports(exports: DataFrame, changed: DataFrame) -> DataFrame:
     """exports (file, ..) with ``still_defined``: the file hasn't changed."""
     c = changed.select(F.col("path").alias("file")).distinct().withColumn("__hit", F.lit(True))

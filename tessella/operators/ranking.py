@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import filters as P
 from .graph import save
+from .ranks import positions
 
 K1, B = 1.2, 0.75
 
@@ -89,11 +90,11 @@ def rerank(hits: DataFrame, text: str, pattern: str) -> DataFrame:
 
 def tiers(hits: DataFrame, relevance: str, order: list, cap: int = 5) -> DataFrame:
     """high above 0.8 (``cap`` at most), medium from 0.5 (with what overflows, ``cap``), the rest low."""
-    d = hits.withColumn("__r", F.row_number().over(Window.orderBy(*order)))
-    d = d.withColumn("__high", (F.col(relevance) > 0.8) & (F.col("__r") <= cap))
-    d = d.withColumn("__m", F.sum(F.when(~F.col("__high") & (F.col(relevance) >= 0.5), 1).otherwise(0)).over(Window.orderBy("__r")))
-    tier = F.when(F.col("__high"), "high").when((F.col(relevance) >= 0.5) & (F.col("__m") <= cap), "medium").otherwise("low")
-    return d.withColumn("tier", tier).drop("__r", "__high", "__m")
+    d = positions(hits, order, "__r").withColumn("__high", (F.col(relevance) > 0.8) & (F.col("__r") <= cap))
+    # the place of the last medium one: what stands in the order before the ``cap``-th is enough to know
+    last = d.where(~F.col("__high") & (F.col(relevance) >= 0.5)).orderBy("__r").limit(cap).agg(F.max("__r").alias("__last"))
+    tier = F.when(F.col("__high"), "high").when((F.col(relevance) >= 0.5) & (F.col("__r") <= F.col("__last")), "medium").otherwise("low")
+    return d.join(F.broadcast(last)).withColumn("tier", tier).drop("__r", "__high", "__last")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -104,11 +104,16 @@ def rebase(regions: DataFrame, deltas: DataFrame, by: list[str]) -> DataFrame:
     end before they start, or start before line 1, drop.
 
     deltas: (by, at, delta, inclusive)."""
-    joined = regions.join(deltas, by, "left")
-    moves = lambda edge: F.sum(F.when((F.col("at") < F.col(edge)) | (F.col("inclusive") & (F.col("at") == F.col(edge))), F.col("delta")).otherwise(0))
-    out = joined.groupBy(*regions.columns).agg(moves("start").alias("ds"), moves("end").alias("de"))
-    out = out.withColumn("new_start", F.col("start") + F.col("ds")).withColumn("new_end", F.col("end") + F.col("de"))
-    return out.where("new_start >= 1 and new_end >= new_start").drop("ds", "de")
+    # one sweep a group: deltas that count at their own line stand before the ends there, others after
+    ends = regions.select(*by, "start").unionByName(regions.select(*by, F.col("end").alias("start"))).distinct().select(*by, F.col("start").alias("__at"), F.lit(1).alias("__k"), F.lit(0).cast("long").alias("__d"))
+    moves = deltas.select(*by, F.col("at").alias("__at"), F.when(F.col("inclusive"), 0).otherwise(2).alias("__k"), F.col("delta").cast("long").alias("__d"))
+    run = Window.partitionBy(*by).orderBy("__at", "__k").rowsBetween(Window.unboundedPreceding, 0)
+    found = ends.unionByName(moves).withColumn("__d", F.sum("__d").over(run)).where("__k = 1")
+    out = regions
+    for edge in ("start", "end"):
+        moved = found.select(*by, F.col("__at").alias(edge), F.col("__d").alias(f"__{edge}"))
+        out = out.join(moved, [*by, edge], "left").withColumn(f"new_{edge}", F.col(edge) + F.coalesce(f"__{edge}", F.lit(0))).drop(f"__{edge}")
+    return out.select(*regions.columns, "new_start", "new_end").where("new_start >= 1 and new_end >= new_start")
 
 
 def ditto(d: DataFrame, by: list[str], order: list, cols: list[str]) -> DataFrame:

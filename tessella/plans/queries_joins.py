@@ -52,6 +52,25 @@ def _(r):
     return J.references(r.calls, r.symbol_relations, r.symbols, r.symbols.where("id = 50").first()["name"])
 
 
+_SCOPED = "scoped AS (SELECT c.file_id, c.line, c.name, s.name AS scope_name FROM calls c JOIN symbols s ON s.id = c.file_id)"
+
+
+def _scoped(r):
+    return r.calls.select("file_id", "line", "name").join(r.symbols.select(F.col("id").alias("file_id"), F.col("name").alias("scope_name")), "file_id")
+
+
+@query("j8_usage", f"""WITH {_SCOPED}, n AS (SELECT name FROM symbols WHERE id = 50),
+rel AS (SELECT DISTINCT c.file_id, c.line FROM symbol_relations e JOIN symbols t ON t.id = e.to_symbol_id JOIN symbols s ON s.id = e.from_symbol_id JOIN scoped c ON c.file_id = s.file_id AND c.scope_name = s.name WHERE t.name = (SELECT name FROM n) AND e.type = 'CALLS' ORDER BY 1, 2 LIMIT 500)
+SELECT file_id, line FROM scoped WHERE name = (SELECT name FROM n) UNION SELECT * FROM rel""")
+def _(r):
+    return J.usage(_scoped(r), r.symbol_relations, r.symbols, r.symbols.where("id = 50").first()["name"])
+
+
+@query("j8_signature_fallback", "SELECT DISTINCT file_id, line FROM symbols WHERE contains(lower(signature), 'economy') AND name <> 'economy' ORDER BY 1, 2 LIMIT 50")
+def _(r):
+    return J.usage(_scoped(r), r.symbol_relations, r.symbols, "economy")
+
+
 def _seeds(r, ids):
     return r.spark.createDataFrame([(i,) for i in ids], "seed long")
 

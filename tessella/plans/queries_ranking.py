@@ -135,8 +135,9 @@ def _(r):
 def _(r):
     from pyspark.sql import Window
 
-    w = Window.orderBy(F.when(F.col("pinned"), 0).otherwise(1), "last_accessed")
-    return r.memory.select("source", F.row_number().over(w).alias("position")).orderBy("position").limit(100)
+    order = [F.when(F.col("pinned"), 0).otherwise(1), F.col("last_accessed")]
+    first = r.memory.orderBy(*order).limit(100)
+    return first.select("source", F.row_number().over(Window.orderBy(*order)).alias("position"))
 
 
 @query("t14_ready_admission", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 4")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.ranks import positions
 from ..operators import windows as W
 from .catalog import query
 
@@ -18,7 +19,9 @@ def _(r):
 @query("x2_signature_similarity", """WITH t AS (SELECT id, signature AS a, lag(signature) OVER (ORDER BY id) AS b FROM symbols), k AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(a), '[^a-z0-9_]+'), lambda w: w <> '')) AS ta,
 list_distinct(list_filter(regexp_split_to_array(lower(b), '[^a-z0-9_]+'), lambda w: w <> '')) AS tb FROM t WHERE b IS NOT NULL) SELECT id, least(1.0, len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) + 0.1)::DOUBLE AS similarity FROM k""")
 def _(r):
-    d = r.symbols.select("id", "signature", F.lag("signature").over(Window.orderBy("id")).alias("b")).where("b is not null")
+    d = positions(r.symbols.select("id", "signature"), [F.col("id")])
+    before = d.select((F.col("position") + 1).alias("position"), F.col("signature").alias("b"))
+    d = d.join(before, "position").where("b is not null")
     return d.select("id", X.signature_similarity(F.col("signature"), F.col("b")).alias("similarity"))
 
 

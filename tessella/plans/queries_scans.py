@@ -104,12 +104,28 @@ def _(r):
     return S.export_sarif(r.code_issues).groupBy(F.get_json_object("json", "$.level").alias("level")).agg(F.count("*").alias("n"))
 
 
-@query("s25_export_json", "SELECT id, severity FROM code_issues WHERE id < 500")
+@query("s25_export_json", "SELECT id, severity FROM code_issues")
 def _(r):
-    d = S.export_json(r.code_issues.where("id < 500"))
+    d = S.export_json(r.code_issues)
     return d.select(F.from_json("json", "id long, severity string").alias("x")).select("x.*")
 
 
+_REPORT = "best AS (SELECT i.*, coalesce(path, 'unknown') AS path FROM code_issues i LEFT JOIN files f ON f.id = i.file_id WHERE category = 'security' ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, i.id LIMIT 50)"
+
+
+@query("s25_export_report", f"WITH {_REPORT} SELECT id, path, severity FROM best")
+def _(r):
+    rows, _ = S.export_report(r.code_issues, r.files, category="security")
+    return rows.select(F.from_json("json", "id long, file string, severity string").alias("x")).select("x.id", F.col("x.file").alias("path"), "x.severity")
+
+
+@query("s25_export_summary", f"WITH {_REPORT} SELECT count(*) AS total, count(*) FILTER (severity = 'high') AS high, (SELECT count(*) FROM best WHERE category = 'security') AS security FROM best")
+def _(r):
+    _, summary = S.export_report(r.code_issues, r.files, category="security")
+    x = F.from_json("json", "total long, by_category map<string, long>, by_severity map<string, long>")
+    return summary.select(x.alias("x")).select("x.total", F.col("x.by_severity")["high"].alias("high"), F.col("x.by_category")["security"].alias("security"))
+
+
 @query("s26_federated", "WITH a AS (SELECT p_partkey AS id, p_retailprice AS score, 'parts' AS workspace FROM part ORDER BY 2 DESC, 1 LIMIT 20), b AS (SELECT c_custkey, c_acctbal / 5, 'customers' FROM customer ORDER BY 2 DESC, 1 LIMIT 20) SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b) ORDER BY score DESC, id, workspace LIMIT 30")
 def _(r):
     a = r.part.select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score"))

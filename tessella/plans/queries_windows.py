@@ -10,9 +10,11 @@ from .catalog import query
 
 
 def _ranked(r):
-    by = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "p_partkey"))
-    a, b = r.part.select("p_partkey", by("p_retailprice").alias("rank")), r.part.select("p_partkey", by("p_size").alias("rank"))
-    return a.where("rank <= 200").unionByName(b.where("rank <= 200"))
+    def best(c: str):
+        order = [F.desc(c), F.col("p_partkey")]
+        return r.part.orderBy(*order).limit(200).select("p_partkey", F.row_number().over(Window.orderBy(*order)).alias("rank"))
+
+    return best("p_retailprice").unionByName(best("p_size"))
 
 
 @query("w1_reciprocal_rank_fusion", """WITH a AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part),

@@ -159,6 +159,22 @@ def export_json(issues: DataFrame) -> DataFrame:
     return issues.select(F.to_json(F.struct(*issues.columns)).alias("json"))
 
 
+def export_report(issues: DataFrame, files: DataFrame, category: str | None = None, severity: str | None = None, limit: int | None = 50) -> tuple[DataFrame, DataFrame]:
+    """(rows, summary), both of one column ``json``: the issues of a category and
+    severity with their files, the gravest first and ``limit`` at most (none
+    for a file sink), and one row with their number in all and by both."""
+    rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
+    d = issues
+    for c, v in (("category", category), ("severity", severity)):
+        d = d.where(F.col(c) == v) if v else d
+    d = d.orderBy(rank, "id").limit(limit) if limit is not None else d
+    d = d.join(files.select(F.col("id").alias("file_id"), F.col("path").alias("file")), "file_id", "left").withColumn("file", F.coalesce("file", F.lit("unknown")))
+    count = lambda c: F.map_from_entries(F.collect_list(F.struct(c, "n")))
+    by = lambda c: d.groupBy(c).agg(F.count("*").alias("n")).where(F.col(c).isNotNull()).agg(count(c).alias(f"by_{c}"))
+    summary = d.agg(F.count("*").alias("total")).join(F.broadcast(by("category"))).join(F.broadcast(by("severity")))  # a row each
+    return d.select(F.to_json(F.struct(*[c for c in d.columns if c != "file_id"])).alias("json")), summary.select(F.to_json(F.struct("total", "by_category", "by_severity")).alias("json"))
+
+
 def export_sarif(issues: DataFrame) -> DataFrame:
     """One SARIF result a row: high error, medium warning, low note."""
     level = F.when(F.col("severity") == "high", "error").when(F.col("severity") == "medium", "warning").otherwise("note")
