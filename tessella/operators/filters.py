@@ -104,6 +104,18 @@ def parse_structured(text: str) -> Structured:
     return out
 
 
+def structured(text: Column) -> Column:
+    """``parse_structured`` of a column: a struct of the pairs, as a map, and the free text. Of a key given twice the last counts."""
+    words = F.regexp_extract_all(text, F.lit(r'\w+:"[^"]*"|\S+'), F.lit(0))
+    names = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
+    key = lambda w: F.when(w.contains(":") & (F.substring_index(w, ":", 1) != w), F.try_element_at(names, F.substring_index(w, ":", 1)))
+    value = lambda w: F.regexp_extract(w, "(?s)^[^:]*:(.*)$", 1)
+    is_pair = lambda w: key(w).isNotNull() & (value(w) != "")
+    pairs = F.transform(F.filter(words, is_pair), lambda w: F.struct(key(w).alias("key"), F.regexp_replace(value(w), r'^"+|"+$', "").alias("value")))
+    last = F.filter(F.transform(F.array_distinct(F.transform(pairs, lambda p: p["key"])), lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)), lambda p: p.isNotNull())
+    return F.struct(F.map_from_entries(last).alias("pairs"), F.array_join(F.filter(words, lambda w: ~F.coalesce(is_pair(w), F.lit(False))), " ").alias("free"))
+
+
 def bounds(text: str) -> tuple[int | None, int | None]:
     """``>n`` and a bare n are least values, ``<n`` a most value, ``a..b`` both; all inclusive."""
     if ".." in text:

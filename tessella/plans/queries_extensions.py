@@ -62,10 +62,20 @@ def _(r):
     return capped(r.lines.where(F.col("line").rlike("[0-9]{3}-[0-9]{4}")), F.lit(True), ["n"], 3, ("doc_id",)).select("doc_id", "n")
 
 
-@query("s11_fallback_extraction", "SELECT * FROM (VALUES ('a.kt', 1, 'Foo', 'class'), ('a.kt', 2, 'bar', 'function'), ('a.kt', 5, 'Baz', 'interface')) t(path, line, name, kind)")
+@query("s11_fallback_extraction", """WITH b AS (SELECT p_partkey // 40 AS file, p_partkey, concat('N', p_partkey) AS name, p_partkey % 3 AS k, [1, 3, 2][p_partkey % 3 + 1] AS size FROM part),
+p AS (SELECT concat('k', file, '.kt') AS path, *, (sum(size) OVER (PARTITION BY file ORDER BY p_partkey) - size)::INT AS z FROM b)
+SELECT path, z + 1 AS line, name, 'interface' AS kind FROM p WHERE k = 0 UNION ALL SELECT path, z + 1, name, 'class' FROM p WHERE k = 1 UNION ALL SELECT path, z + 2, concat('go', name), 'function' FROM p WHERE k = 1
+UNION ALL SELECT path, NULL, concat('a.b.', name), 'import' FROM p WHERE k = 2 UNION ALL SELECT path, z + 2, concat('Obj', name), 'object' FROM p WHERE k = 2""")
 def _(r):
-    d = r.spark.createDataFrame([("a.kt", "class Foo {\n  fun bar() {}\n}\n\ninterface Baz")], "path string, content string")
-    return S.extract_symbols(d)
+    from ..sources import extraction, imports
+
+    name = F.concat(F.lit("N"), F.col("p_partkey").cast("string"))
+    text = F.element_at(F.array(*map(F.lit, ("interface N", "class N {\n  fun goN() {}\n}", "import a.b.N\nobject ObjN {}"))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    d = r.part.select(F.floor(F.col("p_partkey") / 40).cast("long").alias("file"), "p_partkey", F.replace(text, F.lit("N"), name).alias("text"))
+    g = d.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "text"))), lambda x: x["text"]), "\n").alias("content"))
+    files = g.select(F.concat(F.lit("k"), F.col("file").cast("string"), F.lit(".kt")).alias("path"), F.lit("kotlin").alias("language"), "content")
+    found = extraction.extract(files).select("path", F.col("at").alias("line"), "name", "kind")
+    return found.unionByName(imports.extract_imports(files).select("path", F.lit(None).cast("int").alias("line"), F.col("module").alias("name"), F.lit("import").alias("kind")))
 
 
 @query("r6_scoped_view", "SELECT conv_id, role, turn, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS local_turn FROM rounds")

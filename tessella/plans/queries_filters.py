@@ -38,10 +38,11 @@ def _(r):
     return P.structured_search(r.symbols, r.files, r.calls, "k:fn cx:>10 lang:en e").select("id", "name", "kind", "complexity")
 
 
-@query("f6_query_grammar", "SELECT * FROM (VALUES ('kind', 'function'), ('name', 'foo'), ('free', 'auth handler odd:thing')) t(key, value)")
+@query("f6_query_grammar", "SELECT id, kind, concat(name, ' x') AS name, concat('>', complexity) AS complexity, 'auth handler odd:thing k:' AS free FROM symbols")
 def _(r):
-    q = P.parse_structured("kind:function n:foo auth handler odd:thing")
-    return r.spark.createDataFrame([*q.pairs.items(), ("free", q.free)], "key string, value string")
+    text = F.concat(F.lit("k:none auth kind:"), F.col("kind"), F.lit(' n:"'), "name", F.lit(' x" handler odd:thing k: cx:>'), F.col("complexity").cast("string"))
+    q = r.symbols.select("id", P.structured(text).alias("q"))
+    return q.select("id", *[F.col("q.pairs")[c].alias(c) for c in ("kind", "name", "complexity")], "q.free")
 
 
 @query("f7_condition_language", "SELECT id, name FROM symbols WHERE kind = 'function' AND NOT complexity > 10 AND contains(name, 'e')")

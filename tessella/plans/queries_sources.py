@@ -58,11 +58,12 @@ def _(r):
     return _sources(r).select("path", F.size(F.regexp_extract_all(text, F.lit("(expanded)"))).cast("long").alias("n"))
 
 
-@query("s17_pattern_catalog", "SELECT * FROM (VALUES ('ts', 'a', 1), ('ts', 'b', 1), ('rs', 'a', 1)) t(language, id, version)")
+@query("s17_pattern_catalog", """WITH rules AS (SELECT p_brand AS id, p_partkey AS version, CASE WHEN p_size % 10 = 0 THEN ['ts', 'rs', 'py'] ELSE [CASE p_size % 3 WHEN 0 THEN 'ts' WHEN 1 THEN 'rs' ELSE 'py' END] END AS languages FROM part),
+lists AS (SELECT language, id, min(version) AS version FROM (SELECT id, version, unnest(languages) AS language FROM rules) GROUP BY ALL), ids AS (SELECT id, max(version) AS latest FROM rules GROUP BY id) SELECT language, id, version, latest FROM lists JOIN ids USING (id)""")
 def _(r):
-    rules = r.spark.createDataFrame([("a", ["ts", "rs"], 1), ("b", ["ts"], 1), ("a", ["ts"], 2)], "id string, languages array<string>, version int")
-    each = rules.select("id", "version", F.explode("languages").alias("language"))
-    return each.groupBy("language", "id").agg(F.min("version").alias("version"))  # a language's list keeps the first
+    one = F.element_at(F.array(*map(F.lit, ("ts", "rs", "py"))), (F.col("p_size") % 3 + 1).cast("int"))
+    rules = r.part.select(F.col("p_brand").alias("id"), F.col("p_partkey").alias("version"), F.array(F.when(F.col("p_size") % 10 == 0, "all").otherwise(one)).alias("languages"))
+    return S.catalog(rules, ("ts", "rs", "py"))
 
 
 @query("x15_skeleton", f"WITH {_SOURCES} SELECT path, line AS n, concat(CASE k WHEN 0 THEN 'class ' WHEN 1 THEN 'enum ' ELSE 'function ' END, name, CASE k WHEN 3 THEN '() {{' ELSE ' {{' END) AS line FROM placed WHERE k <> 2")
@@ -120,11 +121,19 @@ def _(r):
     return batch.run(plan, r)["t"].select("id", "name")
 
 
-@query("x31_normalised_ops", "SELECT * FROM (VALUES ('k', 'kind'), ('path', 'file'), ('cx', 'complexity')) t(alias, name)")
-def _(r):
+def _aliases() -> list[tuple[str, str]]:
     from ..operators.filters import ALIASES
 
-    return r.spark.createDataFrame([(k, ALIASES[k]) for k in ("k", "path", "cx")], "alias string, name string")
+    return [*ALIASES.items(), ("unheard", "unheard")]
+
+
+@query("x31_normalised_ops", f"SELECT event_id, {[k for k, _ in _aliases()]}[event_id % {len(_aliases())} + 1] AS alias, {[v for _, v in _aliases()]}[event_id % {len(_aliases())} + 1] AS name FROM events")
+def _(r):
+    known = _aliases()
+    alias = F.element_at(F.array(*[F.lit(k) for k, _ in known]), (F.col("event_id") % len(known) + 1).cast("int"))
+    names = F.create_map(*[F.lit(x) for kv in known[:-1] for x in kv])
+    d = r.events.select("event_id", alias.alias("alias"))
+    return d.withColumn("name", F.coalesce(F.try_element_at(names, F.col("alias")), F.col("alias")))
 
 
 @query("x32_digest", f"WITH {_SOURCES}, d AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS i FROM placed WHERE k <> 2) SELECT path, string_agg(concat(CASE k WHEN 0 THEN 'class ' WHEN 1 THEN 'enum ' ELSE 'function ' END, name, CASE k WHEN 3 THEN '() {{' ELSE ' {{' END), '; ' ORDER BY line) AS digest FROM d WHERE i <= 20 GROUP BY path")

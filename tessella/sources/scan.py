@@ -139,6 +139,15 @@ def detect(files: DataFrame, rules: DataFrame) -> DataFrame:
     return hit.select("path", F.col("n").alias("line"), "rule", severity.alias("severity"), "category")
 
 
+def catalog(rules: DataFrame, every: tuple[str, ...]) -> DataFrame:
+    """(language, id, version, latest) of rules (id, version, languages), ``all``
+    standing for ``every`` language: a language's list keeps the first rule of an
+    id, the map of all ids the last."""
+    each = rules.select("id", "version", F.explode(F.when(F.array_contains("languages", "all"), F.array(*map(F.lit, every))).otherwise(F.col("languages"))).alias("language"))
+    lists = each.groupBy("language", "id").agg(F.min("version").alias("version"))
+    return lists.join(rules.groupBy("id").agg(F.max("version").alias("latest")), "id").select("language", "id", "version", "latest")
+
+
 def focus(rules: DataFrame, matrix: DataFrame) -> DataFrame:
     """The rules whose (category, severity) the matrix allows."""
     return rules.join(matrix, ["category", "severity"], "left_semi")

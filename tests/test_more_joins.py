@@ -55,3 +55,15 @@ def test_usage_falls_back_to_signatures(spark):
     assert rows(calls, edges, symbols, "save", most=0) == {(2, 11)}
     assert rows(calls.limit(0), edges, symbols, "save") == {(2, 7)}
     assert rows(calls.limit(0), edges, symbols, "sa") == set()
+
+
+def test_query_grammar_of_a_column(spark):
+    from tessella.operators import filters as P
+
+    rng = random.Random(6)
+    words = ["kind:fn", "k:", 'n:"a b"', "name:x", "free", "odd:thing", 'q:"un', "cx:>3", ":x", "path:a:b", "lang:", "n:y", '"', "f:*.ts"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 7))) for _ in range(200)] + ["", "  ", 'n:"x']
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", P.structured(F.col("t")).alias("q")).collect()
+    for r in rows:
+        want = P.parse_structured(r.t)
+        assert (r.q.pairs, r.q.free) == (want.pairs, want.free)
