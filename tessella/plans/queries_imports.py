@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import imports as I
+from ..sources import workspaces as W
 from .catalog import query
 
 #: (language, statement with N for a part's name, module, names, module in a file's head)
@@ -79,3 +80,33 @@ def _(r):
     header = F.when(F.col("p_partkey") % 10 < 9, F.concat(F.lit("#define WRAP_"), k, F.lit("(x) x\n"))).otherwise("#define other 1\n")
     headers = r.part.select(F.concat(F.lit("inc/h"), k, F.lit(".h")).alias("path"), header.alias("content")).distinct()
     return I.preprocess_macros(sources.unionByName(headers)).select("path", "content")
+
+
+_PROJECT = """paths AS (SELECT id, replace(path, concat('d', id, '.md'), '') || CASE id % 9 WHEN 0 THEN 'package.json' WHEN 1 THEN 'Cargo.toml' WHEN 2 THEN concat('a', id, '.csproj') WHEN 3 THEN 'go.mod' WHEN 4 THEN '.git/go.mod' ELSE concat('d', id, '.md') END AS path FROM files),
+found AS (SELECT regexp_replace(path, '/[^/]*$', '') AS rel_path, CASE WHEN contains(path, 'package.json') THEN 0 WHEN contains(path, 'Cargo.toml') THEN 2 WHEN contains(path, 'go.mod') THEN 5 ELSE 12 END AS place, CASE WHEN contains(path, '.csproj') THEN regexp_extract(path, '[^/]*$') END AS manifest FROM paths WHERE id % 9 < 4),
+ws AS (SELECT replace(rel_path, '/', '-') AS name, rel_path, split_part(rel_path, '/', 1) AS group_name, string_agg(CASE place WHEN 0 THEN 'node' WHEN 2 THEN 'rust' WHEN 5 THEN 'go' ELSE 'csharp' END, ',' ORDER BY place) AS types,
+  string_agg(CASE place WHEN 0 THEN 'package.json' WHEN 2 THEN 'Cargo.toml' WHEN 5 THEN 'go.mod' ELSE manifest END, ',' ORDER BY place) AS build_files FROM (SELECT rel_path, place, min(manifest) AS manifest FROM found GROUP BY ALL) GROUP BY rel_path)"""
+
+
+def _workspaces(r):
+    name = F.concat(F.lit("d"), F.col("id").cast("string"), F.lit(".md"))
+    k = F.col("id") % 9
+    new = F.when(k == 0, "package.json").when(k == 1, "Cargo.toml").when(k == 2, F.concat(F.lit("a"), F.col("id").cast("string"), F.lit(".csproj"))).when(k == 3, "go.mod").when(k == 4, ".git/go.mod").otherwise(name)
+    return W.discover(r.files.select(F.concat(F.replace("path", name, F.lit("")), new).alias("path")))
+
+
+@query("s27_discovery", f"WITH {_PROJECT} SELECT name, rel_path, group_name, types, build_files FROM ws")
+def _(r):
+    return _workspaces(r).select("name", "rel_path", "group_name", F.array_join("types", ",").alias("types"), F.array_join("build_files", ",").alias("build_files"))
+
+
+@query("s27_resolution", f"""WITH {_PROJECT}, asked AS (SELECT DISTINCT CASE id % 6 WHEN 0 THEN source || '-' || lang WHEN 1 THEN source || '/' || lang WHEN 2 THEN lang WHEN 3 THEN upper(source) || '-' || lang WHEN 4 THEN source ELSE 'nothing' END AS query FROM (SELECT id, split_part(path, '/', 1) AS source, language AS lang FROM files)),
+hits AS (SELECT query, name, rel_path, 1 AS tier FROM asked JOIN ws ON name = query UNION SELECT query, name, rel_path, 2 FROM asked JOIN ws ON rel_path = query OR ends_with(rel_path, '/' || query) OR ends_with(query, '/' || name)
+  UNION SELECT query, name, rel_path, 3 FROM asked JOIN ws ON lower(name) = lower(query) UNION SELECT query, name, rel_path, 4 FROM asked JOIN ws ON lower(group_name) = lower(query)
+  UNION SELECT query, name, rel_path, 5 FROM asked JOIN ws ON starts_with(name, query || '-') OR starts_with(name, query || '_')),
+clear AS (SELECT *, count(*) OVER (PARTITION BY query, tier) AS n FROM hits), best AS (SELECT query, arg_min(name, {{'t': tier, 'p': rel_path}}) AS name, min(tier) AS tier FROM clear WHERE tier <= 3 OR n = 1 GROUP BY query)
+SELECT query, name, tier FROM asked LEFT JOIN best USING (query)""")
+def _(r):
+    source, lang, k = F.split("path", "/")[0], F.col("language"), F.col("id") % 6
+    asked = F.when(k == 0, F.concat(source, F.lit("-"), lang)).when(k == 1, F.concat(source, F.lit("/"), lang)).when(k == 2, lang).when(k == 3, F.concat(F.upper(source), F.lit("-"), lang)).when(k == 4, source).otherwise("nothing")
+    return W.resolve(_workspaces(r), r.files.select(asked.alias("query")))
