@@ -363,6 +363,31 @@ def failure_class(message: Column) -> Column:
     return out
 
 
+# fixed values: categories in order with their patterns, and risks without and with recent edits
+FAILURES = (
+    ("host_missing_toolchain", r"(?i)command not found|not recognized|not installed|No such file"),
+    ("dependency_issue", r"(?i)ENOENT|module not found|cannot find module|Cannot resolve"),
+    ("wrong_workspace_root", r"(?i)wrong workspace|not a project|no package\.json|no Cargo\.toml"),
+    ("import_resolution", r"(?i)import.*not found|cannot resolve.*import|unresolved import"),
+    ("type_mismatch", r"(?i)type.*not assignable|Type.*mismatch|expected.*got"),
+    ("test_regression", r"(?i)test.*fail|assertion.*fail|expect.*received"),
+)
+RISKS = {"host_missing_toolchain": ("low", "low"), "wrong_workspace_root": ("low", "low"), "dependency_issue": ("medium", "high"), "import_resolution": ("medium", "high"), "type_mismatch": ("medium", "high"), "test_regression": ("high", "critical")}
+
+
+def failure_outcome(messages: Column, recent: Column) -> Column:
+    """(category, risk) of a run's messages (an array), given whether edits came
+    shortly before: none are unknown; what fits no category was caused by the
+    edits, or was so before."""
+    combined = F.array_join(messages, "\n")
+    category, risk = F.when(F.size(messages) == 0, "unknown"), F.when(F.size(messages) == 0, "low")
+    for name, pattern in FAILURES:
+        category = category.when(combined.rlike(pattern), name)
+        risk = risk.when(combined.rlike(pattern), F.when(recent, RISKS[name][1]).otherwise(RISKS[name][0]))
+    category = category.otherwise(F.when(recent, "refactor_induced").otherwise("baseline_project_failure"))
+    return F.struct(category.alias("category"), risk.otherwise(F.when(recent, "high").otherwise("medium")).alias("risk"))
+
+
 def fingerprint(op: Column, args: Column) -> Column:
     """Operation and its arguments by key; null for operations that change or read anew.
 

@@ -219,6 +219,23 @@ def _(r):
     return r.events.select("event_id", X.failure_class(F.concat(F.lit("#"), F.col("event_id").cast("string"), F.lit(": "), message)).alias("class"))
 
 
+#: A message, its category, and the risks without and with recent edits.
+_FAILED = (
+    ("bash: cargo: command not found", "host_missing_toolchain", "low", "low"), ("Cannot find module 'x'", "dependency_issue", "medium", "high"), ("error: no Cargo.toml here", "wrong_workspace_root", "low", "low"), ("unresolved import `a::b`", "import_resolution", "medium", "high"),
+    ("Type 'A' is not assignable to 'B'", "type_mismatch", "medium", "high"), ("3 tests failed", "test_regression", "high", "critical"), ("segmentation fault", "", "medium", "high"),
+)
+
+
+@query("x41_failure_outcome", f"""WITH e AS (SELECT event_id, event_id % 8 AS k, event_id % 3 = 0 AS recent, event_id % 5 = 0 AS two FROM events)
+SELECT event_id, CASE WHEN k = 7 AND NOT two THEN 'unknown' WHEN two AND (k >= 6 OR k > 3) THEN 'import_resolution' WHEN k = 6 THEN CASE WHEN recent THEN 'refactor_induced' ELSE 'baseline_project_failure' END ELSE {[f[1] for f in _FAILED]}[k + 1] END AS category,
+CASE WHEN k = 7 AND NOT two THEN 'low' WHEN two AND k > 3 THEN CASE WHEN recent THEN 'high' ELSE 'medium' END WHEN recent THEN {[f[3] for f in _FAILED]}[k + 1] ELSE {[f[2] for f in _FAILED]}[k + 1] END AS risk FROM e""")
+def _(r):
+    k, two = F.col("event_id") % 8, F.col("event_id") % 5 == 0
+    one = F.when(k < 7, F.array(F.concat(F.lit("#"), F.col("event_id").cast("string"), F.lit(" "), F.get(F.array(*[F.lit(f[0]) for f in _FAILED]), k.cast("int"))))).otherwise(F.array().cast("array<string>"))
+    messages = F.when(two, F.concat(one, F.array(F.lit("note: unresolved import `q`")))).otherwise(one)
+    return r.events.select("event_id", X.failure_outcome(messages, F.col("event_id") % 3 == 0).alias("x")).select("event_id", "x.*")
+
+
 @query("x42_fingerprint", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN concat('search.code?limit=', o_orderkey % 5, '&status=', o_orderstatus) END AS fingerprint FROM orders")
 def _(r):
     op = F.when(F.col("o_orderkey") % 3 == 0, "read.lines").otherwise("search.code")
