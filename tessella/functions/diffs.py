@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Changed lines, on either side, beyond which lines aren't carried over (fixed value).
 MOST_CHANGED = 150
+#: Confidence in a place where lines are equal but for blanks at their ends (fixed value; equal texts have 100).
+TRIMMED = 80
 
 
 def lines_of(text: str | None) -> list[str]:
@@ -154,3 +156,55 @@ def remap_edits(edits: DataFrame, versions: DataFrame, by: str = "path") -> Data
     to = F.when(F.col("line") > 0, F.get("__to", F.col("line") - 1))
     to = F.when(to > 0, to)
     return d.withColumn("moved", F.coalesce(to - F.col("line"), F.lit(0))).withColumn("line", F.coalesce(to, F.col("line"))).drop("__to")
+
+
+# ------------------------------------------------------- places of a text
+
+
+def place_of(content: str, text: str, expected: int = 0) -> tuple[int, int] | None:
+    """(line, confidence) of the best place of a text in another: equal
+    characters (100) before lines equal but for blanks at their ends (TRIMMED),
+    and of those the one whose line, from 0, is nearest to ``expected`` (0: the first)."""
+    old, lines = lines_of(text), (content or "").split("\n")
+    if not old:
+        return None
+    away = lambda k: abs(k - expected) if expected > 0 else 0
+    at, row, seen, best = content.find(text), 0, 0, None
+    while at >= 0:
+        row, seen = row + content.count("\n", seen, at), at
+        if best is None or away(row) < away(best):
+            best = row
+        at = content.find(text, at + 1)
+    if best is not None:
+        return best + 1, 100
+    there, want = [x.rstrip() for x in lines_of(content)], [x.rstrip() for x in old]
+    found = [k for k in range(len(there) - len(want) + 1) if there[k] == want[0] and there[k : k + len(want)] == want]
+    return (min(found, key=lambda k: (away(k), k)) + 1, TRIMMED) if found else None
+
+
+def _fields(**kinds) -> T.StructType:
+    return T.StructType([T.StructField(c, k()) for c, k in kinds.items()])
+
+
+@F.pandas_udf(_fields(line=T.IntegerType, confidence=T.IntegerType, tier=T.StringType, preview=T.StringType))
+def suggested_place(content: pd.Series, text: pd.Series, expected: pd.Series) -> pd.DataFrame:
+    """Where a text that was to be replaced probably stands; nulls where nowhere. Only to be shown: ``replaced`` takes equal texts alone."""
+    out = []
+    for c, t, e in zip(content, text, expected):
+        found = place_of(c or "", t or "", int(e) if pd.notna(e) else 0)
+        lines = lines_of(c)
+        out.append((*found, "exact" if found[1] >= 100 else "whitespace_trimmed", "\n".join(lines[found[0] - 1 : found[0] + 2])) if found else (None, None, None, None))
+    return pd.DataFrame(out, columns=["line", "confidence", "tier", "preview"]).astype({"line": "Int32", "confidence": "Int32"})
+
+
+@F.pandas_udf(_fields(content=T.StringType, line=T.IntegerType, matches=T.IntegerType))
+def replaced(content: pd.Series, text: pd.Series, new: pd.Series) -> pd.DataFrame:
+    """(content, line, matches): the content with the one place of the text
+    replaced; null content where the text is empty, absent, or stands more than once."""
+    out = []
+    for c, t, n in zip(content, text, new):
+        c, t = c or "", t or ""
+        k = c.count(t) if t else 0
+        at = c.find(t) if k == 1 else -1
+        out.append((c[:at] + (n or "") + c[at + len(t) :], c.count("\n", 0, at) + 1, 1) if k == 1 else (None, None, k))
+    return pd.DataFrame(out, columns=["content", "line", "matches"]).astype({"line": "Int32", "matches": "Int32"})

@@ -106,6 +106,37 @@ def similar_signatures(symbols: DataFrame, threshold: float = 0.8) -> DataFrame:
     return pairs.withColumn("similarity", jaccard(F.col("tokens"), F.col("tokens2"))).where(F.col("similarity") >= threshold).select("id", "other", "similarity").distinct()
 
 
+#: Kinds that count as functions (fixed values), and functions that one search may name.
+FUNCTIONS, MOST_NAMED = ("function", "method", "arrow_function", "generator_function"), 1000
+
+
+def similar_functions(symbols: DataFrame, names: list[str], threshold: float = 0.8, limit: int = 20) -> DataFrame:
+    """(source, id, similarity, match_type) of the functions that are like the
+    first function of each name (or, if there is none, like the name): the same
+    signature but for case and blanks, a similar one, or, where that falls short,
+    a similar name at 0.7. ``limit`` of each name, and in all.
+
+    symbols: (id, file_id, name, kind, line, signature). Every function is compared
+    with each of the names, of which there are MOST_NAMED at most."""
+    from ..functions.text import name_similarity, normal_signature, structural_similarity
+
+    if len(names) > MOST_NAMED:
+        raise ValueError(f"{MOST_NAMED} names at most")
+    functions = symbols.where(F.col("kind").isin(*FUNCTIONS)).select("id", "file_id", "line", "name", F.coalesce(F.nullif("signature", F.lit("")), "name").alias("text"), normal_signature(F.col("signature")).alias("normal"))
+    asked = symbols.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "source string")
+    own = functions.join(F.broadcast(asked), F.col("name") == F.col("source")).groupBy("source").agg(F.min_by(F.struct("id", "text", "normal"), "id").alias("s"))
+    sources = asked.join(own, "source", "left").select("source", F.col("s.id").alias("own"), F.coalesce("s.text", "source").alias("like"), F.col("s.normal").alias("same"))
+    d = functions.join(F.broadcast(sources), F.col("own").isNull() | (F.col("own") != F.col("id")))  # a row a name
+    exact = F.coalesce((F.col("normal") == F.col("same")) & (F.col("same") != ""), F.lit(False))
+    d = d.withColumn("__sig", structural_similarity(F.col("like"), F.col("text"))).withColumn("__name", name_similarity(F.col("source"), F.col("name")) * 0.7)
+    named = (F.col("__sig") < threshold) & (F.col("__name") > F.col("__sig"))
+    d = d.withColumn("similarity", F.when(exact, 1.0).when(named, F.col("__name")).otherwise(F.col("__sig"))).withColumn("match_type", F.when(exact, "body_hash").when(named, "name").otherwise("signature"))
+    d = d.where(exact | (F.col("similarity") >= threshold))
+    best = [F.desc("similarity"), F.col("match_type"), F.col("id")]
+    d = d.withColumn("__r", F.row_number().over(Window.partitionBy("source").orderBy(*best))).where(F.col("__r") <= limit)
+    return d.orderBy(F.desc("similarity"), "source", "match_type", "id").limit(limit).select("source", "id", "similarity", "match_type")
+
+
 def enclosing(spans: DataFrame, points: DataFrame) -> DataFrame:
     """(point, span): the smallest span of the file that holds the point's line, not its own.
 

@@ -62,3 +62,29 @@ def _(r):
     files = r.documents.select("doc_id", F.regexp_replace("text", "\r\n", "\n").alias("text"))
     out = S.apply_scripts(files, edits, "doc_id", "text")
     return out.select("doc_id", "content", "error", F.size("resolutions").alias("n"))
+
+
+_WANTED = """pairs AS (SELECT a.doc_id, a.line || CASE WHEN a.doc_id % 2 = 1 THEN '  ' ELSE '' END || chr(10) || b.line || CASE WHEN a.doc_id % 2 = 1 THEN ' ' ELSE '' END AS text, a.line AS l2, b.line AS l3 FROM lines a JOIN lines b ON b.doc_id = a.doc_id AND b.n = a.n + 1 WHERE a.n = 2 AND NOT contains(a.line, chr(13)) AND NOT contains(b.line, chr(13)) AND trim(b.line) <> '')"""
+
+
+def _wanted(r):
+    a, b = r.lines.where("n = 2").select("doc_id", F.col("line").alias("l2")), r.lines.where("n = 3").select("doc_id", F.col("line").alias("l3"))
+    odd = F.col("doc_id") % 2 == 1
+    text = F.concat("l2", F.when(odd, "  ").otherwise(""), F.lit("\n"), "l3", F.when(odd, " ").otherwise(""))
+    d = a.join(b, "doc_id").where(~F.col("l2").contains("\r") & ~F.col("l3").contains("\r") & (F.trim("l3") != "")).select("doc_id", text.alias("wanted"))
+    return r.documents.select("doc_id", "text").join(d, "doc_id")
+
+
+@query("m3_suggested_places", f"""WITH {_WANTED}, d AS (SELECT p.*, t.text AS content FROM pairs p JOIN documents t USING (doc_id)),
+e AS (SELECT doc_id, CASE WHEN contains(content, text) THEN 1 + length(left(content, strpos(content, text) - 1)) - length(replace(left(content, strpos(content, text) - 1), chr(10), '')) END AS exact FROM d),
+t AS (SELECT p.doc_id, min(a.n) AS n FROM pairs p JOIN lines a ON a.doc_id = p.doc_id AND rtrim(a.line, ' ' || chr(9) || chr(13)) = rtrim(l2, ' ' || chr(9) || chr(13)) JOIN lines b ON b.doc_id = p.doc_id AND b.n = a.n + 1 AND rtrim(b.line, ' ' || chr(9) || chr(13)) = rtrim(l3, ' ' || chr(9) || chr(13)) GROUP BY p.doc_id)
+SELECT doc_id, coalesce(exact, n)::INT AS line, CASE WHEN exact IS NULL THEN 80 ELSE 100 END::INT AS confidence, CASE WHEN exact IS NULL THEN 'whitespace_trimmed' ELSE 'exact' END AS tier FROM e LEFT JOIN t USING (doc_id)""")
+def _(r):
+    found = _wanted(r).select("doc_id", D.suggested_place("text", "wanted", F.lit(0)).alias("x"))
+    return found.select("doc_id", "x.line", "x.confidence", "x.tier")
+
+
+@query("m3_exact_replacement", f"""WITH {_WANTED}, d AS (SELECT p.doc_id, p.text, t.text AS content, (length(t.text) - length(replace(t.text, p.text, ''))) // length(p.text) AS k FROM pairs p JOIN documents t USING (doc_id))
+SELECT doc_id, CASE WHEN k = 1 THEN replace(content, text, 'new text') END AS content, k::INT AS matches FROM d""")
+def _(r):
+    return _wanted(r).select("doc_id", D.replaced("text", "wanted", F.lit("new text")).alias("x")).select("doc_id", "x.content", "x.matches")

@@ -173,6 +173,25 @@ def _(r):
     return J.similar_signatures(r.symbols)
 
 
+_RETURNING = "f AS (SELECT id, name, concat(signature, ': ', CASE WHEN id % 4 = 0 THEN 'int' ELSE kind END) AS text FROM symbols WHERE kind IN ('function', 'method'))"
+_TOKENS = lambda c: f"list_distinct(list_filter(regexp_split_to_array({c}, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> ''))"
+_PARTS = lambda c: f"list_distinct(list_filter(string_split(lower({c}), '_'), lambda t: t <> ''))"
+_JACCARD = lambda a, b: f"(len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))))"
+
+
+@query("j20_similar_functions", f"""WITH {_RETURNING}, asked AS (SELECT DISTINCT name AS source FROM symbols WHERE id < 60 AND kind IN ('function', 'method') UNION SELECT 'big_red_widget'),
+src AS (SELECT source, min(f.id) AS own FROM asked LEFT JOIN f ON f.name = source GROUP BY source), s AS (SELECT source, own, coalesce(f.text, source) AS likes, f.text AS same FROM src LEFT JOIN f ON f.id = own),
+c AS (SELECT source, f.id, f.name, f.text, likes, coalesce(lower(f.text) = lower(same), false) AS exact, {_JACCARD(_TOKENS('likes'), _TOKENS('f.text'))}
+  + CASE WHEN contains(likes, '(') THEN 0.1 ELSE 0.0 END + CASE WHEN contains(likes, ':') AND string_split(likes, ': ')[2] = string_split(f.text, ': ')[2] THEN 0.1 ELSE 0.0 END AS sig, {_JACCARD(_PARTS('source'), _PARTS('f.name'))} * 0.7 AS nam FROM f, s WHERE own IS NULL OR own <> f.id),
+m AS (SELECT source, id, CASE WHEN exact THEN 1.0 WHEN sig < 0.6 AND nam > sig THEN nam ELSE least(1.0, sig) END::DOUBLE AS similarity, CASE WHEN exact THEN 'body_hash' WHEN sig < 0.6 AND nam > sig THEN 'name' ELSE 'signature' END AS match_type FROM c)
+SELECT * FROM (SELECT * FROM m WHERE similarity >= 0.6 QUALIFY row_number() OVER (PARTITION BY source ORDER BY round(similarity, 12) DESC, match_type, id) <= 100) ORDER BY round(similarity, 12) DESC, source, match_type, id LIMIT 100""", rounded=("similarity",))
+def _(r):
+    text = F.concat("signature", F.lit(": "), F.when(F.col("id") % 4 == 0, "int").otherwise(F.col("kind")))
+    symbols = r.symbols.withColumn("signature", text)
+    names = [x[0] for x in symbols.where("id < 60 AND kind IN ('function', 'method')").select("name").distinct().collect()]  # sixty at most
+    return J.similar_functions(symbols, [*names, "big_red_widget"], 0.6, 100)
+
+
 @query("j21_feedback", "SELECT s.id, coalesce(count(c.id), 0) AS boost FROM symbols s LEFT JOIN calls c ON c.name = s.name GROUP BY s.id")
 def _(r):
     n = r.calls.groupBy("name").agg(F.count("*").alias("boost"))

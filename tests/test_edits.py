@@ -216,3 +216,17 @@ def test_edits_of_symbols(spark):
     kinds = spark.createDataFrame([("delete", 0, "f", "class", "delete"), ("wrap", 0, "f", "function", "delete")], "path string, seq int, name string, kind string, action string")
     got = {r.path: r.error for r in scripts.apply_symbol_edits(files, extraction.extract(files), kinds).collect()}
     assert got["delete"] and got["wrap"] is None
+
+
+def test_places_of_a_text(spark):
+    text = "a\nb  \nc\nb\nc\nxb\n"
+    cases = [("b\nc", 0, (4, 100)), ("b\nc ", 0, (2, 80)), ("b\nc ", 4, (4, 80)), ("b", 0, (2, 100)), ("b", 4, (4, 100)), ("b", 5, (6, 100)), ("z", 0, None), ("", 0, None), ("c\nxy", 0, None), ("c\n", 2, (3, 100)), ("c\n", 9, (5, 100))]
+    for wanted, expected, place in cases:
+        assert diffs.place_of(text, wanted, expected) == place, wanted
+    d = spark.createDataFrame([(i, text, w, e) for i, (w, e, _) in enumerate(cases)] + [(99, None, "b", None)], "i int, c string, t string, e int")
+    got = {r.i: r.x for r in d.select("i", diffs.suggested_place("c", "t", "e").alias("x")).collect()}
+    assert {i: (x.line, x.confidence) if x.line else None for i, x in got.items()} == {**{i: p for i, (_, _, p) in enumerate(cases)}, 99: None}
+    assert got[0].preview == "b\nc\nxb" and got[0].tier == "exact" and got[1].tier == "whitespace_trimmed"
+    out = {r.i: r.x for r in d.select("i", diffs.replaced("c", "t", F.lit("!")).alias("x")).collect()}
+    assert (out[0].content, out[0].line, out[0].matches) == ("a\nb  \nc\n!\nxb\n", 4, 1)
+    assert (out[3].content, out[3].matches) == (None, 3) and out[6].matches == 0 and out[7].content is None and out[99].content is None

@@ -67,3 +67,12 @@ def test_query_grammar_of_a_column(spark):
     for r in rows:
         want = P.parse_structured(r.t)
         assert (r.q.pairs, r.q.free) == (want.pairs, want.free)
+
+
+def test_similar_functions_by_signature_and_name(spark):
+    rows = [(1, "loadUser", "function", "fn loadUser(id: u32) -> User"), (2, "load_user", "method", "FN  loadUser(id: u32) -> USER"), (3, "LoadUsers", "function", "x"), (4, "saveUser", "function", "fn saveUser(id: u32) -> User"), (5, "User", "class", "fn loadUser(id: u32) -> User"), (6, "user_load_x", "function", ""), (7, "other", "function", None)]
+    d = spark.createDataFrame([(i, 1, n, k, i, s) for i, n, k, s in rows], "id int, file_id int, name string, kind string, line int, signature string")
+    got = {(r.source, r.id): (round(r.similarity, 6), r.match_type) for r in joins.similar_functions(d, ["loadUser", "user_load", "loadUser"], 0.4).collect()}
+    # tokens fn, saveUser, id, u32, User against fn, loadUser, ...: 4 of 6, as many parameters, the same return type
+    assert got == {("loadUser", 2): (1.0, "body_hash"), ("loadUser", 4): (round(4 / 6 + 0.2, 6), "signature"), ("loadUser", 6): (round(0.7 * 2 / 3, 6), "name"), ("user_load", 1): (0.7, "name"), ("user_load", 2): (0.7, "name"), ("user_load", 6): (round(2 / 3 + 0.03, 6), "signature")}
+    assert joins.similar_functions(d, ["loadUser"], 0.4, limit=1).count() == 1
