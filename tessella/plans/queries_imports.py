@@ -110,3 +110,27 @@ def _(r):
     source, lang, k = F.split("path", "/")[0], F.col("language"), F.col("id") % 6
     asked = F.when(k == 0, F.concat(source, F.lit("-"), lang)).when(k == 1, F.concat(source, F.lit("/"), lang)).when(k == 2, lang).when(k == 3, F.concat(F.upper(source), F.lit("-"), lang)).when(k == 4, source).otherwise("nothing")
     return W.resolve(_workspaces(r), r.files.select(asked.alias("query")))
+
+
+@query("x20_import_statements", f"""WITH {_PARTS}, z AS (SELECT path, language, replace({_values(1)}, 'N', name) AS text, [4, 1, 1, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1][file % {len(_STATEMENTS)} + 1] AS size, p_partkey FROM (SELECT *, concat('src/f', file) AS path, {_values(0)} AS language FROM parts)),
+p AS (SELECT *, (sum(size) OVER (PARTITION BY path ORDER BY p_partkey) - size + 1)::INT AS n FROM z)
+SELECT path, n, CASE language WHEN 'rust' THEN replace(regexp_extract(text, '^(.*\n.*\n.*)\n', 1), chr(10) || '  ', ' ') ELSE string_split(text, chr(10))[1] END AS line FROM p""")
+def _(r):
+    from ..functions import shapes as H
+    from ..sources import scan as S
+
+    return H.shaped(S.numbered_lines(_files(r)), "imports")
+
+
+@query("x14_shaped_lines", """WITH l AS (SELECT doc_id, n, line, max(n) OVER (PARTITION BY doc_id) AS last FROM lines)
+SELECT 'head' AS shape, count(*) AS rows_, sum(n)::BIGINT AS places FROM l WHERE n <= 3 UNION ALL SELECT 'tail', count(*), sum(n)::BIGINT FROM l WHERE n > last - 3 UNION ALL SELECT 'exclude', count(*), sum(n)::BIGINT FROM l WHERE n NOT BETWEEN 2 AND 4
+UNION ALL SELECT 'if', count(*), sum(n)::BIGINT FROM l WHERE contains(line, 'the') UNION ALL SELECT 'snap', count(*), sum(n)::BIGINT FROM l
+UNION ALL SELECT 'pattern', count(*), sum(n)::BIGINT FROM (SELECT n, max(regexp_matches(lower(line), 'licen[cs]e')::INT) OVER (PARTITION BY doc_id ORDER BY n RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM l) WHERE near = 1""")
+def _(r):
+    from ..functions import shapes as H
+
+    out = None
+    for shape, arg in (("head", 3), ("tail", 3), ("exclude", "2-4"), ("if", "has(the)"), ("snap", None), ("pattern", "licen[cs]e")):
+        one = H.shaped(r.lines, shape, arg, "doc_id").agg(F.count("*").alias("rows_"), F.sum("n").alias("places")).select(F.lit(shape).alias("shape"), "rows_", "places")
+        out = one if out is None else out.unionByName(one)
+    return out
