@@ -105,3 +105,16 @@ def _(r):
     """Diagnostics are rows of an input table; they are rolled up by file."""
     d = r.code_issues.where("not suppressed").groupBy("file_id")
     return d.agg(F.count(F.when(F.col("severity") == "high", 1)).alias("errors"), F.count(F.when(F.col("severity") == "medium", 1)).alias("warnings"))
+
+
+@query("s28_change_log", """WITH kept AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 2 THEN 'patched' WHEN turn % 6 = 1 THEN 'late' ELSE role END AS role, CASE WHEN turn % 6 = 1 THEN 'twice' ELSE text END AS text FROM rounds WHERE turn % 5 <> 0)
+SELECT * FROM kept UNION ALL SELECT conv_id, turn + 1000, 'put', text FROM rounds WHERE turn % 5 = 0 UNION ALL SELECT conv_id, turn, 'again', NULL FROM rounds WHERE turn % 10 = 0""")
+def _(r):
+    from ..sources import sessions
+
+    t = F.col("turn")
+    row = lambda op, seq, role, text, where, turn=t: r.rounds.where(where).select("conv_id", turn.alias("turn"), F.lit(role).alias("role"), (text if text is not None else F.lit(None).cast("string")).alias("text"), F.lit(op).alias("op"), F.lit(seq).alias("seq"))
+    log = row("delete", 1, None, None, "turn % 5 = 0").unionByName(row("patch", 2, "patched", None, "turn % 4 = 2 AND turn % 5 <> 0")).unionByName(row("patch", 2, "lost", F.col("text"), "turn % 5 = 0"))
+    log = log.unionByName(row("put", 3, "put", F.col("text"), "turn % 5 = 0", t + 1000)).unionByName(row("put", 3, "again", None, "turn % 10 = 0"))
+    log = log.unionByName(row("patch", 1, "early", F.lit("once"), "turn % 6 = 1 AND turn % 5 <> 0")).unionByName(row("patch", 4, None, F.lit("twice"), "turn % 6 = 1 AND turn % 5 <> 0")).unionByName(row("patch", 3, "late", None, "turn % 6 = 1 AND turn % 5 <> 0"))
+    return sessions.apply_log(r.rounds.select("conv_id", "turn", "role", "text"), log, ["conv_id", "turn"])
