@@ -31,11 +31,13 @@ def _folder(r, name):
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-@query("r1_stream_bursts")
+# what is still open when the stream has been read isn't given out
+@query("r1_stream_bursts", f"""WITH l AS (SELECT *, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 3600 AS same FROM events), g AS (SELECT *, {_RUN.format(same='same')} AS run FROM l)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, arg_max(event_type, ts) AS kind, count(*) AS n FROM g GROUP BY user_id, run HAVING epoch(max(ts)) + 3600 <= (SELECT epoch(max(ts)) - 600 FROM events)""")
 def _(r):
     out = _folder(r, "bursts")
     T.run_once(T.bursts(T.read_events(r.spark, f"{r.sf_dir}/events.parquet"), "ts", ["user_id"], "event_type"), out, out + "-state")
-    return r.spark.read.parquet(out)
+    return r.spark.read.parquet(out).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("r2_incremental_index", "SELECT user_id, event_id FROM events WHERE event_type <> 'error'")
@@ -50,12 +52,19 @@ def _calls(r):
     return r.events.select((F.col("user_id") % 20).alias("provider"), "event_id", F.col("ts").cast("timestamp").cast("double").alias("at"), F.floor("value").cast("long").alias("tokens"))
 
 
-@query("r3_quota_windows")
+_QUOTA = """WITH RECURSIVE c AS (SELECT user_id % 20 AS provider, event_id, epoch(ts) AS "at", floor(value)::BIGINT AS tokens, row_number() OVER (PARTITION BY user_id % 20 ORDER BY epoch(ts), event_id) AS k FROM events),
+q AS (SELECT provider, event_id, k, "at" AS anchor, CASE WHEN tokens <= 200 THEN tokens ELSE 0 END AS used, tokens <= 200 AS allowed FROM c WHERE k = 1
+  UNION ALL SELECT provider, event_id, k, anchor, base + CASE WHEN base + tokens <= 200 THEN tokens ELSE 0 END, base + tokens <= 200 FROM
+    (SELECT c.provider, c.event_id, c.k, c.tokens, CASE WHEN c."at" - q.anchor >= 86400 THEN c."at" ELSE q.anchor END AS anchor, CASE WHEN c."at" - q.anchor >= 86400 THEN 0 ELSE q.used END AS base FROM q JOIN c ON c.provider = q.provider AND c.k = q.k + 1))
+SELECT provider, event_id, used::BIGINT AS used, allowed FROM q"""
+
+
+@query("r3_quota_windows", _QUOTA)
 def _(r):
     return R.quota(_calls(r), 86400, 200)
 
 
-@query("r3_stream_quota")
+@query("r3_stream_quota", _QUOTA)
 def _(r):
     out = _folder(r, "quota")
     s = T.read_events(r.spark, f"{r.sf_dir}/events.parquet")
@@ -113,11 +122,11 @@ def _(r):
     return R.snapshot(d, ["user_id"], ["ts", "event_id"])
 
 
-@query("r13_stream_windows")
+@query("r13_stream_windows", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type, count(*) AS n FROM events GROUP BY ALL HAVING epoch(any_value(date_trunc('day', ts))) + 86400 <= (SELECT epoch(max(ts)) - 600 FROM events)")
 def _(r):
     out = _folder(r, "windows")
     T.run_once(T.windowed_counts(T.read_events(r.spark, f"{r.sf_dir}/events.parquet"), "ts", ["event_type"], "1 day"), out, out + "-state")
-    return r.spark.read.parquet(out)
+    return r.spark.read.parquet(out).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
 
 
 _LOG = "log AS (SELECT conv_id, turn, length(text) % 3 <> 0 AS ok, CASE WHEN role = 'assistant' THEN substr(sha256(text), 1, 8) END AS ref, CASE WHEN turn % 4 = 1 THEN 'io' ELSE 'none' END AS error FROM rounds)"
