@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Letters and what they are folded to (fixed values).
 ACCENTED, FOLDED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-SEPARATORS = r"[^a-z0-9\p{L}]+"
+WORD, SEPARATORS = r"[a-z0-9\p{L}]+", r"[^a-z0-9\p{L}]+"
 
 _C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
 #: Tests of a stem: a vowel, one or more, exactly one, two or more vowel-consonant pairs; short (consonant, vowel, consonant but w, x, y).
@@ -31,7 +31,8 @@ STEP_4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "men
 
 def words(text: Column) -> Column:
     """The words of letters and digits of a text, lower-cased and without accents, in order."""
-    return F.filter(F.split(F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, FOLDED), SEPARATORS), lambda w: w != "")
+    # taken out by what they have: to split by what they haven't takes many times as long
+    return F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, FOLDED), F.lit(f"({WORD})"))
 
 
 def _before(w: Column, suffix: str) -> Column:

@@ -15,11 +15,16 @@ from .ranks import positions
 K1, B = 1.2, 0.75
 
 
+def text_words(text: Column) -> Column:
+    """The words of letters and digits, lower-cased, in order."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9\p{L}]+)"))
+
+
 def postings(docs: DataFrame, doc: str, fields: dict[str, str]) -> DataFrame:
     """(term, doc, field, tf, len): words of letters and digits, lower-cased."""
     out = None
     for name, text in fields.items():
-        words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^a-z0-9\p{L}]+"), lambda w: w != "")
+        words = text_words(F.col(text))
         one = docs.select(F.col(doc).alias("doc"), words.alias("w")).select("doc", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("doc", "term", "len").agg(F.count("*").alias("tf")).withColumn("field", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
@@ -34,7 +39,7 @@ def bm25(docs: DataFrame, doc: str, fields: dict[str, str], weights: dict[str, f
     if prefilter:
         any_word = reduce(lambda a, b: a | b, [F.lower(F.col(t)).contains(w) for t in fields.values() for w in terms])
         d = docs.where(any_word)
-    words = lambda t: F.filter(F.split(F.lower(F.coalesce(F.col(t), F.lit(""))), r"[^a-z0-9\p{L}]+"), lambda w: w != "")
+    words = lambda t: text_words(F.col(t))
     stats = docs.agg(F.count("*").alias("n_docs"), *[F.avg(F.regexp_count(F.lower(F.coalesce(F.col(t), F.lit(""))), F.lit(r"[a-z0-9\p{L}]+"))).alias(f"avg_{f}") for f, t in fields.items()])
     p = d.select(F.col(doc).alias("doc"), *[words(t).alias(f) for f, t in fields.items()])
     tf = lambda f, w: F.size(F.filter(F.col(f), lambda x: x == w))

@@ -42,7 +42,7 @@ class TextIndex:
     def _schema(self, table: str) -> str:
         each = lambda *kinds: "".join(f", `{k}_{f}` int" for f in self.fields for k in kinds)
         return {
-            "commits": "id long", "dead": "doc long", "docs": f"doc long{each('len')}, gram_text string", "grams": "gram string, doc long, part int",
+            "commits": "id long", "words": f"word string, doc long{each('tf', 'len')}", "counted": f"term string, block long, doc long{each('tf', 'len')}, part int", "dead": "doc long", "docs": f"doc long{each('len')}, gram_text string", "grams": "gram string, doc long, part int",
             "postings": f"term string, block long, doc long{each('tf', 'len')}, part int", "bounds": f"term string, block long, n long{each('tf', 'len')}, part int",
         }[table] + ", seg int"
 
@@ -58,6 +58,13 @@ class TextIndex:
     def _read(self, table: str) -> DataFrame:
         return self.spark.read.schema(self._schema(table)).parquet(f"{self.root}/{table}").where(F.col("seg").isin(self.segments()))
 
+    def _read_segment(self, table: str, seg: int) -> DataFrame:
+        return self.spark.read.schema(self._schema(table)).parquet(f"{self.root}/{table}").where(F.col("seg") == seg)
+
+    def _remove(self, table: str, seg: int) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/seg={seg}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def _write(self, df: DataFrame, table: str, seg: int, *by: str) -> None:
         w = df.write.mode("overwrite")
         (w.partitionBy(*by) if by else w).parquet(f"{self.root}/{table}/seg={seg}")
@@ -97,8 +104,18 @@ class TextIndex:
         named = lambda f: F.transform(f"w_{f}", lambda w: F.struct(F.lit(f).alias("field"), w.alias("word")))
         tokens = F.flatten(F.array(*map(named, self.fields)))
         each = own.select("doc", *lens, F.explode(tokens).alias("x")).select("doc", *[f"len_{f}" for f in self.fields], "x.field", "x.word")
-        counted = add_stem(each, "word", "term").groupBy("term", "doc").agg(*[F.count(F.when(F.col("field") == f, 1)).cast("int").alias(f"tf_{f}") for f in self.fields], *[F.first(f"len_{f}").alias(f"len_{f}") for f in self.fields])
-        self._store(counted.select(self._part("term"), "term", F.expr(f"doc div {self.block}").alias("block"), "doc", *self._numbers()), seg)
+        tf = lambda how: [how(f).cast("int").alias(f"tf_{f}") for f in self.fields]
+        lengths = [F.first(f"len_{f}").alias(f"len_{f}") for f in self.fields]
+        # every word is stemmed once, not once a place
+        self._write(each.groupBy("word", "doc").agg(*tf(lambda f: F.count(F.when(F.col("field") == f, 1))), *lengths), "words", seg)
+        held = self._read_segment("words", seg)
+        stemmed = add_stem(held.select("word").distinct(), "word", "term")
+        counted = held.join(stemmed, "word").groupBy("term", "doc").agg(*tf(lambda f: F.sum(f"tf_{f}")), *lengths)
+        # written before it is dealt by range, as that looks at its rows twice
+        self._write(counted.select(self._part("term"), "term", F.expr(f"doc div {self.block}").alias("block"), "doc", *self._numbers()), "counted", seg)
+        self._store(self._read_segment("counted", seg).drop("seg"), seg)
+        self._remove("words", seg)
+        self._remove("counted", seg)
         chars = F.sequence(F.lit(1), F.length("gram_text") - 2)
         grams = own.where(F.length("gram_text") >= 3).select("doc", F.explode(F.array_distinct(F.transform(chars, lambda i: F.substring(F.col("gram_text"), i, F.lit(3))))).alias("gram"))
         grams = grams.select(self._part("gram"), "gram", "doc")
@@ -112,7 +129,7 @@ class TextIndex:
     def _store(self, postings: DataFrame, seg: int) -> None:
         # by range, so that a term of very many documents fills several files
         self._write(postings.repartitionByRange("part", "term", "doc").sortWithinPartitions("part", "term", "doc"), "postings", seg, "part")
-        written = self.spark.read.schema(self._schema("postings")).parquet(f"{self.root}/postings").where(F.col("seg") == seg)
+        written = self._read_segment("postings", seg)
         bounds = written.groupBy("part", "term", "block").agg(F.count("*").alias("n"), *[F.max(f"tf_{f}").alias(f"tf_{f}") for f in self.fields], *[F.min(F.when(F.col(f"tf_{f}") > 0, F.col(f"len_{f}"))).alias(f"len_{f}") for f in self.fields])
         self._write(bounds.repartitionByRange("part", "term", "block").sortWithinPartitions("part", "term", "block"), "bounds", seg, "part")
 

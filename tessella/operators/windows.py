@@ -104,16 +104,18 @@ def rebase(regions: DataFrame, deltas: DataFrame, by: list[str]) -> DataFrame:
     end before they start, or start before line 1, drop.
 
     deltas: (by, at, delta, inclusive)."""
-    # one sweep a group: deltas that count at their own line stand before the ends there, others after
-    ends = regions.select(*by, "start").unionByName(regions.select(*by, F.col("end").alias("start"))).distinct().select(*by, F.col("start").alias("__at"), F.lit(1).alias("__k"), F.lit(0).cast("long").alias("__d"))
-    moves = deltas.select(*by, F.col("at").alias("__at"), F.when(F.col("inclusive"), 0).otherwise(2).alias("__k"), F.col("delta").cast("long").alias("__d"))
+    # one sweep a group: deltas that count at their own line stand before the ends there, others after;
+    # regions come back together where they lie
+    region = F.struct(*regions.columns).alias("__r")
+    ends = regions.select(*by, region, F.explode(F.array(F.struct(F.col("start").cast("long").alias("__at"), F.lit(0).alias("__edge")), F.struct(F.col("end").cast("long").alias("__at"), F.lit(1).alias("__edge")))).alias("__e"))
+    ends = ends.select(*by, "__r", "__e.__at", "__e.__edge", F.lit(1).alias("__k"), F.lit(0).cast("long").alias("__d"))
+    none = F.lit(None)
+    moves = deltas.select(*by, none.cast(ends.schema["__r"].dataType).alias("__r"), F.col("at").cast("long").alias("__at"), none.cast("int").alias("__edge"), F.when(F.col("inclusive"), 0).otherwise(2).alias("__k"), F.col("delta").cast("long").alias("__d"))
     run = Window.partitionBy(*by).orderBy("__at", "__k").rowsBetween(Window.unboundedPreceding, 0)
     found = ends.unionByName(moves).withColumn("__d", F.sum("__d").over(run)).where("__k = 1")
-    out = regions
-    for edge in ("start", "end"):
-        moved = found.select(*by, F.col("__at").alias(edge), F.col("__d").alias(f"__{edge}"))
-        out = out.join(moved, [*by, edge], "left").withColumn(f"new_{edge}", F.col(edge) + F.coalesce(f"__{edge}", F.lit(0))).drop(f"__{edge}")
-    return out.select(*regions.columns, "new_start", "new_end").where("new_start >= 1 and new_end >= new_start")
+    at = lambda edge: F.max(F.when(F.col("__edge") == edge, F.col("__at") + F.col("__d")))
+    out = found.groupBy(*by, "__r").agg(at(0).alias("new_start"), at(1).alias("new_end"))
+    return out.select("__r.*", "new_start", "new_end").where("new_start >= 1 and new_end >= new_start")
 
 
 def ditto(d: DataFrame, by: list[str], order: list, cols: list[str]) -> DataFrame:
