@@ -79,7 +79,7 @@ def _rules(r):
     return I.compile_rules(r.spark.createDataFrame(lines, "base string, n long, line string"))
 
 
-_VERDICT = """CASE WHEN starts_with(path, 'src0/') THEN true WHEN language = 'en' THEN NOT starts_with(path, 'src3/')
+_VERDICT = r"""CASE WHEN starts_with(path, 'src0/') THEN true WHEN language = 'en' THEN NOT starts_with(path, 'src3/')
 WHEN starts_with(path, 'src5/fr/') THEN regexp_matches(path, '/d3[0-9]*\.md$')
 WHEN starts_with(path, 'src5/') THEN true
 WHEN starts_with(path, 'src1/') AND regexp_matches(path, '/d1[0-4][0-9]*\.md$') THEN false WHEN starts_with(path, 'src1/') AND regexp_matches(path, '/d[12][0-9]*\.md$') THEN true
