@@ -64,24 +64,35 @@ def signature_similarity(a: Column, b: Column) -> Column:
     return F.least(F.lit(1.0), jaccard(tokens(a), tokens(b)) + bonus)
 
 
+def signature_parts(s: Column) -> Column:
+    """What ``structural_similarity`` compares: alphanumeric tokens, number of
+    parameters, and return type, after the last ``->`` or the colon behind the last
+    parenthesis."""
+    tokens = F.array_distinct(F.filter(F.split(s, r"[^\p{L}\p{N}]+"), lambda t: t != ""))
+    inner = F.regexp_extract(s, r"^[^(]*\(([^)]*)\)", 1)
+    count = F.when(F.trim(inner) == "", 0).otherwise(F.size(F.split(inner, ",")))
+    returns = F.trim(F.when(s.contains("->"), F.substring_index(s, "->", -1)).otherwise(F.regexp_extract(F.when(s.contains(")"), F.substring_index(s, ")", -1)).otherwise(""), r"(?s)^[^:]*:(.*)$", 1)))
+    return F.struct(tokens.alias("tokens"), count.alias("count"), returns.alias("returns"))
+
+
 def structural_similarity(a: Column, b: Column) -> Column:
-    """Jaccard of the alphanumeric tokens; 0.1 more for as many parameters (not
-    none), 0.03 within one; 0.1 for the same return type, after the last ``->`` or
-    the colon behind the last parenthesis; 1 at most, 0 without tokens."""
-    tokens = lambda s: F.array_distinct(F.filter(F.split(s, r"[^\p{L}\p{N}]+"), lambda t: t != ""))
-    inner = lambda s: F.regexp_extract(s, r"^[^(]*\(([^)]*)\)", 1)
-    count = lambda s: F.when(F.trim(inner(s)) == "", 0).otherwise(F.size(F.split(inner(s), ",")))
-    returns = lambda s: F.trim(F.when(s.contains("->"), F.substring_index(s, "->", -1)).otherwise(F.regexp_extract(F.when(s.contains(")"), F.substring_index(s, ")", -1)).otherwise(""), r"(?s)^[^:]*:(.*)$", 1)))
-    p, q = count(a), count(b)
+    """Of two ``signature_parts``: Jaccard of the tokens; 0.1 more for as many
+    parameters (not none), 0.03 within one; 0.1 for the same return type; 1 at
+    most, 0 without tokens."""
+    p, q = a["count"], b["count"]
     bonus = F.when((p == q) & (p > 0), 0.1).when(F.abs(p - q) <= 1, 0.03).otherwise(0.0)
-    same = F.when((returns(a) != "") & (returns(a) == returns(b)), 0.1).otherwise(0.0)
-    return F.when((F.size(tokens(a)) == 0) | (F.size(tokens(b)) == 0), 0.0).otherwise(F.least(F.lit(1.0), jaccard(tokens(a), tokens(b)) + bonus + same))
+    same = F.when((a["returns"] != "") & (a["returns"] == b["returns"]), 0.1).otherwise(0.0)
+    return F.when((F.size(a["tokens"]) == 0) | (F.size(b["tokens"]) == 0), 0.0).otherwise(F.least(F.lit(1.0), jaccard(a["tokens"], b["tokens"]) + bonus + same))
+
+
+def name_words(s: Column) -> Column:
+    """The different words that an identifier is made of."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace(s, r"(?<=[^_])(?=\p{Lu})", "_")), "_"), lambda w: w != ""))
 
 
 def name_similarity(a: Column, b: Column) -> Column:
-    """Jaccard of the words that two identifiers are made of; 0 if one has none."""
-    words = lambda s: F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace(s, r"(?<=[^_])(?=\p{Lu})", "_")), "_"), lambda w: w != ""))
-    return F.when((F.size(words(a)) == 0) | (F.size(words(b)) == 0), 0.0).otherwise(jaccard(words(a), words(b)))
+    """Jaccard of two identifiers' ``name_words``; 0 if one has none."""
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(jaccard(a, b))
 
 
 def normal_signature(s: Column) -> Column:

@@ -116,25 +116,35 @@ def similar_functions(symbols: DataFrame, names: list[str], threshold: float = 0
     signature but for case and blanks, a similar one, or, where that falls short,
     a similar name at 0.7. ``limit`` of each name, and in all.
 
-    symbols: (id, file_id, name, kind, line, signature). Every function is compared
-    with each of the names, of which there are MOST_NAMED at most."""
-    from ..functions.text import name_similarity, normal_signature, structural_similarity
+    symbols: (id, file_id, name, kind, line, signature). Every different name and
+    signature is compared with each of the names, of which there are MOST_NAMED at
+    most; of the functions that share both, the first ``limit`` can be found."""
+    from ..functions.text import name_similarity, name_words, normal_signature, signature_parts, structural_similarity
 
     if len(names) > MOST_NAMED:
         raise ValueError(f"{MOST_NAMED} names at most")
-    functions = symbols.where(F.col("kind").isin(*FUNCTIONS)).select("id", "file_id", "line", "name", F.coalesce(F.nullif("signature", F.lit("")), "name").alias("text"), normal_signature(F.col("signature")).alias("normal"))
-    asked = symbols.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "source string")
+    spark = symbols.sparkSession
+    functions = symbols.where(F.col("kind").isin(*FUNCTIONS)).select("id", "name", F.coalesce(F.nullif("signature", F.lit("")), "name").alias("text"), normal_signature(F.col("signature")).alias("normal"))
+    asked = spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "source string")
     own = functions.join(F.broadcast(asked), F.col("name") == F.col("source")).groupBy("source").agg(F.min_by(F.struct("id", "text", "normal"), "id").alias("s"))
-    sources = asked.join(own, "source", "left").select("source", F.col("s.id").alias("own"), F.coalesce("s.text", "source").alias("like"), F.col("s.normal").alias("same"))
-    d = functions.join(F.broadcast(sources), F.col("own").isNull() | (F.col("own") != F.col("id")))  # a row a name
+    like = F.coalesce("s.text", "source")
+    sources = asked.join(own, "source", "left").select("source", F.col("s.id").alias("own"), F.col("s.normal").alias("same"), signature_parts(like).alias("like"), name_words(F.col("source")).alias("words"))
+    # one more than can be returned, as a name's own function isn't
+    first = Window.partitionBy("name", "text", "normal").orderBy("id")
+    kept = graph.save(functions.withColumn("__k", F.row_number().over(first)).where(F.col("__k") <= limit + 1))
+    # so many tasks whatever the bytes: each row is compared with all names
+    values = kept.where("__k = 1").select("name", "text", "normal").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    d = values.select("*", signature_parts(F.col("text")).alias("__parts"), name_words(F.col("name")).alias("__words")).crossJoin(F.broadcast(sources))  # a row a name
     exact = F.coalesce((F.col("normal") == F.col("same")) & (F.col("same") != ""), F.lit(False))
-    d = d.withColumn("__sig", structural_similarity(F.col("like"), F.col("text"))).withColumn("__name", name_similarity(F.col("source"), F.col("name")) * 0.7)
+    d = d.withColumn("__sig", structural_similarity(F.col("like"), F.col("__parts"))).withColumn("__name", name_similarity(F.col("words"), F.col("__words")) * 0.7)
     named = (F.col("__sig") < threshold) & (F.col("__name") > F.col("__sig"))
     d = d.withColumn("similarity", F.when(exact, 1.0).when(named, F.col("__name")).otherwise(F.col("__sig"))).withColumn("match_type", F.when(exact, "body_hash").when(named, "name").otherwise("signature"))
-    d = d.where(exact | (F.col("similarity") >= threshold))
-    best = [F.desc("similarity"), F.col("match_type"), F.col("id")]
-    d = d.withColumn("__r", F.row_number().over(Window.partitionBy("source").orderBy(*best))).where(F.col("__r") <= limit)
-    return d.orderBy(F.desc("similarity"), "source", "match_type", "id").limit(limit).select("source", "id", "similarity", "match_type")
+    d = d.where(exact | (F.col("similarity") >= threshold)).select("source", "own", "similarity", "match_type", *[F.col(c).alias(f"__{c}") for c in ("name", "text", "normal")])
+    d = kept.join(d, [kept[c].eqNullSafe(d[f"__{c}"]) for c in ("name", "text", "normal")] + [F.col("own").isNull() | (F.col("own") != F.col("id"))])
+    # the last bits of equal similarities differ by how they were come by
+    near = F.desc(F.round("similarity", 12))
+    d = d.withColumn("__r", F.row_number().over(Window.partitionBy("source").orderBy(near, "match_type", "id"))).where(F.col("__r") <= limit)
+    return d.orderBy(near, "source", "match_type", "id").limit(limit).select("source", "id", "similarity", "match_type")
 
 
 def enclosing(spans: DataFrame, points: DataFrame) -> DataFrame:

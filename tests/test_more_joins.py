@@ -1,6 +1,9 @@
 """Joins and windows that were made linear, against plain loops."""
 
+import collections
 import random
+import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -76,3 +79,12 @@ def test_similar_functions_by_signature_and_name(spark):
     # tokens fn, saveUser, id, u32, User against fn, loadUser, ...: 4 of 6, as many parameters, the same return type
     assert got == {("loadUser", 2): (1.0, "body_hash"), ("loadUser", 4): (round(4 / 6 + 0.2, 6), "signature"), ("loadUser", 6): (round(0.7 * 2 / 3, 6), "name"), ("user_load", 1): (0.7, "name"), ("user_load", 2): (0.7, "name"), ("user_load", 6): (round(2 / 3 + 0.03, 6), "signature")}
     assert joins.similar_functions(d, ["loadUser"], 0.4, limit=1).count() == 1
+
+
+def test_similar_functions_compares_copies_once(spark):
+    """Each different function is compared with the names, not each row: 9 million comparisons took minutes."""
+    d = spark.range(30_000).selectExpr("id", "1L file_id", "concat('load_', id % 3) name", "'function' kind", "1 line", "concat('load_', id % 3, '(a: int, b: str): str') signature")
+    began = time.time()
+    rows = joins.similar_functions(d, [f"load_{i}" for i in range(300)], 0.6, 5).collect()
+    assert time.time() - began < 60
+    assert [(r.source, r.id, r.match_type) for r in rows] == [("load_0", 3 * k, "body_hash") for k in range(1, 6)]
