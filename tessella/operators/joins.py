@@ -147,6 +147,28 @@ def similar_functions(symbols: DataFrame, names: list[str], threshold: float = 0
     return d.orderBy(near, "source", "match_type", "id").limit(limit).select("source", "id", "similarity", "match_type")
 
 
+#: Lines that a function is cut into for the calls in it to be found.
+BLOCK = 64
+
+
+def intra_file_graph(symbols: DataFrame, calls: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(file_id, from_id, to_id): functions and the symbols of their file that
+    calls on their lines name, themselves aside.
+
+    Calls count once for each file, name and line. They meet functions by blocks
+    of lines, and what names a function calls is told before the symbols of those
+    names join, so that the work is that of calls, blocks and results.
+
+    symbols: (id, file_id, name, kind, start, end); calls: (file_id, name, line)."""
+    cut = F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(F.col("end") / block)))
+    f = symbols.where(F.col("kind").isin("function", "method") & (F.col("start") <= F.col("end"))).select("file_id", F.col("id").alias("from_id"), "start", "end", cut.alias("at"))
+    t = symbols.select("file_id", "name", F.col("id").alias("to_id"))
+    c = calls.select("file_id", "name", "line").distinct().withColumn("at", F.floor(F.col("line") / block))
+    named = c.join(f, ["file_id", "at"]).where("start <= line and line <= end").select("file_id", "from_id", "name").distinct()
+    # an id could stand twice
+    return named.join(t, ["file_id", "name"]).where("from_id <> to_id").select("file_id", "from_id", "to_id").distinct()
+
+
 def enclosing(spans: DataFrame, points: DataFrame) -> DataFrame:
     """(point, span): the smallest span of the file that holds the point's line, not its own.
 

@@ -278,7 +278,4 @@ def _(r):
 
 @query("j32_intra_file_graph", "SELECT DISTINCT a.file_id, a.id AS from_id, b.id AS to_id FROM symbols a JOIN symbols b ON a.file_id = b.file_id AND a.id <> b.id JOIN calls c ON c.file_id = a.file_id AND c.name = b.name WHERE a.kind IN ('function', 'method') AND a.line <= c.line AND c.line <= a.line + a.complexity")
 def _(r):
-    f = r.symbols.where(F.col("kind").isin("function", "method")).select("file_id", F.col("id").alias("from_id"), F.col("line").alias("start"), (F.col("line") + F.col("complexity")).alias("end"))
-    t = r.symbols.select("file_id", F.col("id").alias("to_id"), "name")
-    hits = r.calls.select("file_id", "name", "line").join(t, ["file_id", "name"])
-    return hits.join(f, "file_id").where("from_id <> to_id and start <= line and line <= end").select("file_id", "from_id", "to_id").distinct()
+    return J.intra_file_graph(r.symbols.withColumns({"start": F.col("line"), "end": F.col("line") + F.col("complexity")}), r.calls)

@@ -88,3 +88,14 @@ def test_similar_functions_compares_copies_once(spark):
     rows = joins.similar_functions(d, [f"load_{i}" for i in range(300)], 0.6, 5).collect()
     assert time.time() - began < 60
     assert [(r.source, r.id, r.match_type) for r in rows] == [("load_0", 3 * k, "body_hash") for k in range(1, 6)]
+
+
+def test_intra_file_graph_counts_a_call_once_a_line(spark):
+    """Calls repeated on a line, and names that many symbols bear, met before functions did."""
+    symbols = spark.createDataFrame([(1, 1, "f", "function", 1, 200), (1, 2, "g", "method", 60, 70), (1, 3, "c", "class", 1, 300), (2, 4, "f", "function", 5, 4), (2, 5, "h", "function", None, None)], "file_id long, id long, name string, kind string, start int, end int")
+    same = spark.range(100, 3_100).selectExpr("1L file_id", "id", "'many' name", "'variable' kind", "400 start", "400 end")
+    calls = spark.range(20_000).selectExpr("1L file_id", "if(id % 2 = 0, 'many', 'g') name", "cast(id % 10 + 61 AS int) line").union(spark.sql("SELECT 1L, 'f', 201 UNION ALL SELECT 1L, 'f', 70 UNION ALL SELECT 2L, 'f', 5 UNION ALL SELECT 1L, 'g', null"))
+    began = time.time()
+    rows = {(r.file_id, r.from_id, r.to_id) for r in joins.intra_file_graph(symbols.union(same), calls).collect()}
+    many = {(1, f, t) for f in (1, 2) for t in range(100, 3_100)}
+    assert rows == many | {(1, 1, 2), (1, 2, 1)} and time.time() - began < 60
