@@ -92,18 +92,33 @@ def signature_tokens(signature: Column) -> Column:
 
 
 def similar_signatures(symbols: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Pairs of symbols whose signatures' token sets reach the Jaccard
-    threshold. Candidates share a token of a prefix in global order of rarity,
-    as an exact similarity join needs; lengths bound the rest."""
-    d = symbols.select("id", signature_tokens(F.col("signature")).alias("tokens")).where(F.size("tokens") > 0)
-    df = d.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    ordered = d.select("id", F.explode("tokens").alias("t")).join(df, "t").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("tokens"))
-    n = F.size("tokens")
-    prefix = F.slice("tokens", F.lit(1), n - F.ceil(n * threshold).cast("int") + 1)
-    p = ordered.select("id", "tokens", F.explode(prefix).alias("t"))
-    q = p.select(F.col("id").alias("other"), F.col("tokens").alias("tokens2"), "t")
-    pairs = p.join(q, "t").where((F.col("id") < F.col("other")) & (F.least(n, F.size("tokens2")) >= threshold * F.greatest(n, F.size("tokens2")))).drop("t")
-    return pairs.withColumn("similarity", jaccard(F.col("tokens"), F.col("tokens2"))).where(F.col("similarity") >= threshold).select("id", "other", "similarity").distinct()
+    """Pairs of symbols whose signatures' token sets reach the Jaccard threshold.
+
+    Symbols of one set are a class, and only classes are compared: candidates
+    share a token of a prefix in global order of rarity, as an exact similarity
+    join needs, and lengths and places in the order bound the rest. Pairs of
+    classes are expanded to those of their members at the end, so that the work
+    is that of the different sets and of the rows returned."""
+    d = symbols.select("id", F.array_sort(signature_tokens(F.col("signature"))).alias("set")).where(F.size("set") > 0)
+    classes = graph.save(d.groupBy("set").agg(F.min("id").alias("class")))
+    df = classes.select(F.explode("set").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    ordered = classes.select("class", F.explode("set").alias("t")).join(df, "t").groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("tokens"))
+    n, n2 = F.size("tokens"), F.size("tokens2")
+    prefix = F.slice("tokens", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
+    p = ordered.select("class", "tokens", F.posexplode(prefix).alias("i", "t"))
+    q = p.select(F.col("class").alias("class2"), F.col("tokens").alias("tokens2"), F.col("i").alias("i2"), "t")
+    # the tokens behind the shared ones must suffice
+    enough = F.least(n - F.col("i"), n2 - F.col("i2")) >= threshold / (1 + threshold) * (n + n2) - 1e-9
+    near = p.join(q, "t").where((F.col("class") < F.col("class2")) & (F.least(n, n2) >= threshold * F.greatest(n, n2)) & enough)
+    near = near.withColumn("similarity", jaccard(F.col("tokens"), F.col("tokens2"))).where(F.col("similarity") >= threshold).select("class", "class2", "similarity").distinct()
+    same = classes.select("class", F.col("class").alias("class2"), F.lit(1.0).alias("similarity"))
+    members = graph.save(d.join(classes, "set").select("id", "class"))
+    # few bytes that become many rows: so many tasks whatever their size
+    asked = members.join(same.unionByName(near), "class").repartition(int(symbols.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    pairs = asked.join(members.select(F.col("id").alias("id2"), F.col("class").alias("class2")), "class2")
+    # a class with itself gives each pair both ways, two classes give it once
+    pairs = pairs.where((F.col("class") != F.col("class2")) | (F.col("id") < F.col("id2")))
+    return pairs.select(F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("other"), "similarity")
 
 
 #: Kinds that count as functions (fixed values), and functions that one search may name.
