@@ -49,7 +49,8 @@ def block_ends(lines: DataFrame, by: str = "path") -> DataFrame:
     opens = d.where(F.col("line").contains("{") & (F.col("after") > F.col("before"))).select(by, "n", F.col("before").alias("depth"), F.lit(True).alias("open"))
     # a line that closes several blocks reaches each of their depths; the next to reach a block's depth closes it
     closes = d.where(F.col("after") < F.col("before")).select(by, "n", F.explode(F.sequence("after", F.col("before") - 1)).alias("depth"), F.lit(False).alias("open"))
-    ahead = Window.partitionBy(by, "depth").orderBy("n").rowsBetween(1, Window.unboundedFollowing)
+    # from the end, as a frame that ends with the group is added up anew for each row
+    ahead = Window.partitionBy(by, "depth").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     found = opens.unionByName(closes).withColumn("end", F.min(F.when(~F.col("open"), F.col("n"))).over(ahead))
     return found.where(F.col("open") & F.col("end").isNotNull()).select(by, F.col("n").alias("line"), "end")
 
@@ -97,7 +98,7 @@ def import_statements(lines: DataFrame, by: str = "path") -> DataFrame:
     starts = F.col("line").rlike(IMPORT_LINE)
     brace = t.contains("{") & ~t.contains("}")
     paren = t.startswith("from ") & t.contains("(") & ~t.contains(")")
-    ahead = Window.partitionBy(by).orderBy("n").rowsBetween(1, Window.unboundedFollowing)
+    ahead = Window.partitionBy(by).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     close = lambda c: F.coalesce(F.min(F.when(F.col("line").contains(c), F.col("n"))).over(ahead), F.max("n").over(ahead), F.col("n"))
     end = F.when(brace, close("}")).when(paren, close(")")).otherwise(F.col("n"))
     d = lines.select(by, "n", "line", F.when(starts, F.struct(F.col("n").alias("first"), end.alias("end"))).alias("own"))

@@ -45,3 +45,14 @@ def test_other_shapes(spark):
     assert rows("sig") == [(1, 1, "  fn a() {")] and rows("highlight") == rows("full") == rows("snap") and len(rows("full")) == 5
     with pytest.raises(ValueError):
         rows("cube")
+
+
+def test_block_ends_of_a_long_file_in_one_sweep(spark):
+    """A frame to the end of the file was added up anew for each of its blocks."""
+    import time
+
+    lines = spark.range(240_000).selectExpr("'f' path", "cast(id + 1 AS int) n", "if(id % 2 = 0, 'a {', '}') line")
+    began = time.time()
+    assert shapes.block_ends(lines).where("end = line + 1").count() == 120_000 and time.time() - began < 60
+    opens = spark.range(60_000).selectExpr("'f' path", "cast(id + 1 AS int) n", "if(id % 2 = 0, 'import {', 'x }') line")
+    assert shapes.import_statements(opens).where("line = 'import { x }'").count() == 30_000 and time.time() - began < 90
