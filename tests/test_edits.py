@@ -230,3 +230,21 @@ def test_places_of_a_text(spark):
     out = {r.i: r.x for r in d.select("i", diffs.replaced("c", "t", F.lit("!")).alias("x")).collect()}
     assert (out[0].content, out[0].line, out[0].matches) == ("a\nb  \nc\n!\nxb\n", 4, 1)
     assert (out[3].content, out[3].matches) == (None, 3) and out[6].matches == 0 and out[7].content is None and out[99].content is None
+
+
+def test_queries_bound_what_a_python_worker_holds(spark):
+    """Whole texts came in batches of 10,000 rows, each held in several forms at once."""
+    import pandas as pd
+
+    from tessella import registry
+
+    @F.pandas_udf("int")
+    def rows(x: pd.Series) -> pd.Series:
+        return pd.Series([len(x)] * len(x))
+
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+    registry.queries()["x26_line_map"](spark, "/root/testdata/sf0.001")
+    d = spark.range(0, 3000, 1, 1)
+    assert d.select(rows("id").alias("n")).agg(F.max("n")).first()[0] <= 256
+    assert d.limit(400).select(rows(F.concat(F.repeat(F.lit("x"), 100_000), F.col("id").cast("string"))).alias("n")).agg(F.max("n")).first()[0] < 200
