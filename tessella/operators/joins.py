@@ -197,8 +197,9 @@ def overlap_blocks(blocks: DataFrame, chunks: DataFrame, share: float = 0.8, lea
     """(block, chunk, containment): of the chunks that hold ``share`` of a
     block's distinct trimmed lines (``least`` at least), the first.
 
-    blocks: (block, line); chunks: (chunk, line)."""
-    clean = lambda d, c: d.select(c, F.trim("line").alias("line")).where("line <> ''").distinct()
+    blocks: (block, line); chunks: (chunk, line). Lines travel as 128 bits of their SHA-256."""
+    key = F.substring(F.unhex(F.sha2("line", 256)), 1, 16)
+    clean = lambda d, c: d.select(c, F.trim("line").alias("line")).where("line <> ''").select(c, key.alias("line")).distinct()
     b, c = clean(blocks, "block"), clean(chunks, "chunk")
     size = b.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     # prefix filter: of a block's lines, a chunk that holds enough of them has one of the rarest
@@ -207,7 +208,10 @@ def overlap_blocks(blocks: DataFrame, chunks: DataFrame, share: float = 0.8, lea
     need = F.greatest(F.ceil(F.col("n") * share - 1e-9), F.lit(least)).cast("int")
     lines = b.join(size, "block").join(df, "line", "left").groupBy("block", "n").agg(rare.alias("x"))
     prefix = lines.select("block", "n", F.explode(F.slice("x", F.lit(1), F.col("n").cast("int") - need + 1)).alias("y")).select("block", "n", "y.line")
+    # a chunk of too few lines can't hold enough
+    found = c.groupBy("chunk").agg(F.count("*").alias("held")).where(F.col("held") >= least)
     pairs = prefix.join(c, "line").where("block <> chunk").select("block", "chunk", "n").distinct()
+    pairs = pairs.join(found, "chunk").where(F.col("held") >= F.greatest(F.ceil(F.col("n") * share - 1e-9), F.lit(least))).drop("held")
     hits = pairs.join(b, "block").join(c, ["chunk", "line"]).groupBy("block", "chunk", "n").agg(F.count("*").alias("k"))
     ok = hits.withColumn("containment", F.col("k") / F.col("n")).where((F.col("containment") >= share) & (F.col("k") >= least) & (F.col("block") != F.col("chunk")))
     return ok.groupBy("block").agg(F.min(F.struct("chunk", "containment")).alias("x")).select("block", "x.chunk", "x.containment")

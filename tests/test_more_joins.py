@@ -129,3 +129,26 @@ def test_smart_context_lists_every_symbol(spark, tmp_path):
     for t in ("lineitem", "events"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
     assert registry.queries()["t8_smart_context"](spark, str(tmp_path)).where("part = 'symbol'").count() == 400
+
+
+def test_overlap_blocks_shuffles_no_text(spark):
+    """Lines far longer than their keys: what is shuffled is less than the text, the result that of brute force."""
+    rng = random.Random(4)
+    pool = [f"{rng.getrandbits(8000):x}" for _ in range(60)]
+    docs = {d: [pool[(d // 3 * 7 + i) % 60] for i in range(10 - d % 3)] + ([f"{rng.getrandbits(8000):x}"] if d % 3 == 1 else []) for d in range(30)}
+    rows = [(d, f" {x} ") for d, lines in docs.items() for x in lines]
+    d = spark.createDataFrame(rows, "d long, line string").repartition(4).localCheckpoint()
+    status = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        stages = status.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = written()
+    got = {tuple(r) for r in joins.overlap_blocks(d.select(F.col("d").alias("block"), "line"), d.select(F.col("d").alias("chunk"), "line")).collect()}
+    assert written() - before < sum(len(x) for _, x in rows) / 2
+    want = set()
+    for b, x in docs.items():
+        ok = [(c, len(set(x) & set(y)) / len(set(x))) for c, y in docs.items() if c != b and len(set(x) & set(y)) >= max(4, 0.8 * len(set(x)))]
+        want |= {(b, *min(ok))} if ok else set()
+    assert got == want and want
