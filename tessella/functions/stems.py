@@ -7,6 +7,9 @@ bytes stay as they are."""
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, FOLDED), F.lit(f"({WORD})"))
 
 
+def spaced(text: Column) -> Column:
+    """The ``words`` of a text as one string, with a blank between two and perhaps at either end."""
+    return F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, FOLDED), SEPARATORS, " ")
+
+
 def _before(w: Column, suffix: str) -> Column:
     return F.substring(w, F.lit(1), F.length(w) - len(suffix))
 
@@ -76,6 +84,46 @@ def add_stem(df: DataFrame, word: str, out: str) -> DataFrame:
     return d.withColumn(out, F.coalesce(F.when(w.endswith("ll") & w.rlike(TWO), _before(w, "l")).otherwise(w), F.col(word))).drop("__w", "__cut")
 
 
+def _ended(w: str, rules: list[tuple[str, str]], ends: tuple[str, ...], test: str | None) -> str:
+    for suffix, other in rules if w.endswith(ends) else ():
+        if w.endswith(suffix):
+            stem = w[: len(w) - len(suffix)]
+            good = not test or (re.search(test, stem) and (suffix != "ion" or stem[-1] in "st"))
+            return stem + other if good else w
+    return w
+
+
+_STEPS = [(_longest(rules), tuple(s for s, _ in rules), test) for rules, test in ((STEP_1A, None), (STEP_2, ONE), (STEP_3, ONE), (tuple((s, "") for s in STEP_4), TWO))]
+#: A word without any of these ends stays as it is.
+_ENDS = tuple({s for _, ends, _ in _STEPS for s in ends} | {"ed", "ing", "y", "e", "ll"})
+
+
+@lru_cache(1 << 18)
+def stem_of(word: str) -> str:
+    """The stem that ``add_stem`` gives, of one word."""
+    if not word.endswith(_ENDS) or not 3 <= len(word.encode()) <= 64:
+        return word
+    w, has = _ended(word, *_STEPS[0]), lambda test, x: re.search(test, x) is not None
+    if w.endswith("eed"):
+        w = w[:-1] if has(ONE, w[:-3]) else w
+    else:
+        cut = 2 if w.endswith("ed") and has(VOWEL, w[:-2]) else 3 if w.endswith("ing") and has(VOWEL, w[:-3]) else 0
+        if cut:
+            w = w[:-cut]
+            double = len(w) > 1 and w[-1] == w[-2] and w[-1] not in "aeiouylsz"
+            if w.endswith(("at", "bl", "iz")) or (not double and has(JUST_ONE, w) and has(SHORT, w)):
+                w += "e"
+            elif double:
+                w = w[:-1]
+    if w.endswith("y") and has(VOWEL, w[:-1]):
+        w = w[:-1] + "i"
+    for step in _STEPS[1:]:
+        w = _ended(w, *step)
+    if w.endswith("e") and (has(TWO, w[:-1]) or (has(JUST_ONE, w[:-1]) and not has(SHORT, w[:-1]))):
+        w = w[:-1]
+    return w[:-1] if w.endswith("ll") and has(TWO, w) else w
+
+
 def stem_sql(source: str, word: str, out: str) -> str:
     """The same as one DuckDB select over ``source``, with the columns of it and ``out``."""
 

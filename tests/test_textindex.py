@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.functions.stems import ACCENTED, FOLDED, add_stem, stem_sql
+from tessella.functions.stems import ACCENTED, FOLDED, add_stem, spaced, stem_of, stem_sql, words
 from tessella.operators import textindex
 from tessella.operators.textindex import TextIndex
 
@@ -38,6 +38,30 @@ def test_stems_agree_with_sql(spark):
     c.execute("CREATE TABLE t (w0 VARCHAR)")
     c.executemany("INSERT INTO t VALUES (?)", [(w,) for w in made])
     assert got == dict(c.sql(f"SELECT w0, s FROM ({stem_sql('t', 'w0', 's')})").fetchall())
+    assert got == {w: stem_of(w) for w in made} and {w: stem_of(w) for w in KNOWN[::2]} == dict(zip(KNOWN[::2], KNOWN[1::2]))
+
+
+def test_spaced_words_are_the_words(spark):
+    texts = ["", " ", "a", "  Café__au-lait 42 ", "İstanbul ΣΑΣ ǅ x² ½ Ⅷ 𝐀b \n\tß́é", "a\0b c", "日本語 テスト", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(words(F.col("t")).alias("w"), spaced(F.col("t")).alias("s")).collect()
+    assert [r.w for r in got] == [[w for w in r.s.split(" ") if w] for r in got]
+
+
+def test_postings_are_lists_of_blocks(spark):
+    """Of a term one row a block is shuffled, not one a document."""
+    rows = [(i, "rows", "searching searched index") for i in range(64)]
+    index = TextIndex(spark, FIELDS, "name", block=16).apply("id", spark.createDataFrame(rows, "id long, name string, body string").coalesce(1))
+    assert {r.term: r["count"] for r in index._read("postings").groupBy("term").count().collect()} == {"row": 4, "search": 4, "index": 4}
+    assert {r.gram: r["count"] for r in index._read("grams").groupBy("gram").count().collect()} == {"row": 4, "ows": 4}
+    assert {(r.tf_name, r.tf_body, r.len_name, r.len_body) for r in index.postings().where("term = 'search'").collect()} == {(0, 2, 1, 3)}
+
+
+def test_document_given_twice_has_one_posting(spark):
+    rows = [(1, "rows", "plates"), (1, "rows", "plated plates"), (2, "rows", "index")]
+    index = TextIndex(spark, FIELDS, "name", block=1).apply("id", spark.createDataFrame(rows, "id long, name string, body string"))
+    got = {(r.term, r.doc): (r.tf_name, r.tf_body) for r in index.postings().collect()}
+    assert got == {("row", 1): (2, 0), ("plate", 1): (0, 3), ("row", 2): (1, 0), ("index", 2): (0, 1)} and index.postings().count() == 4
+    assert [r.doc for r in index.search("plates", WEIGHTS, 1).collect()] == [1]
 
 
 VOCABULARY = "searching searched search indexes indexing index rows row café cafe naïve running runs parse_headers parsing plates plated".split()
