@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import save
 from ..operators.intervals import innermost
 
 _TOKEN = re.compile(r'//[^\n]*|/\*.*?(?:\*/|\Z)|\br(#*)".*?(?:"\1|\Z)|"(?:\\.|[^"\\])*(?:"|\Z)|`(?:\\.|[^`\\])*(?:`|\Z)|\'(?:\\.|[^\'\\\n])*\'|[{}]', re.S)
@@ -267,6 +268,7 @@ def extract(files: DataFrame) -> DataFrame:
     twice = (F.size("__extra") == 2) & (F.get("__extra", F.lit(0))["name"] == F.get("__extra", F.lit(1))["name"])
     every = F.concat(F.transform("found", lambda x: F.struct(x["name"].alias("name"), x["kind"].alias("kind"), F.lit(False).alias("scoped"))), F.transform(F.when(twice, F.slice("__extra", 1, 1)).otherwise(F.col("__extra")), lambda x: F.struct(x["name"].alias("name"), x["kind"].alias("kind"), F.lit(True).alias("scoped"))))
     s = scoped.select("path", "n", "first", "end", t.alias("signature"), F.explode(every).alias("x")).select("path", F.when(F.col("x.scoped"), F.col("n")).otherwise(F.col("first")).alias("line"), F.col("n").alias("at"), "end", "x.name", "x.kind", "signature")
+    s = save(s)  # read three times below: each reading takes other columns, so that plans would find the symbols anew
     own = F.struct("at", "name")
     containers = s.where(F.col("kind").isin(*CONTAINERS)).select("path", own.alias("span"), F.col("line").alias("start"), "end", F.col("name").alias("label"))
     parents = innermost(containers, s.select("path", own.alias("point"), "line", F.col("name").alias("label")), "path", latest=True)
@@ -292,9 +294,11 @@ def calls(files: DataFrame, symbols: DataFrame) -> DataFrame:
     called = F.filter(F.regexp_extract_all("code", F.lit(r"(?:^|[^\w.]|\.)([A-Za-z_]\w*)\s*\("), F.lit(1)), lambda x: ~x.isin(*NO_CALL))
     named = F.regexp_extract_all("code", F.lit(HANDLER), F.lit(2))
     d = d.select("path", "line", F.explode(F.concat(called, named)).alias("name"))
+    symbols = save(symbols.select("path", "at", "end", "name", "kind"))  # read twice, and below both readings of d
     own = symbols.where("kind in ('function', 'constructor', 'macro')").select("path", F.col("at").alias("line"), "name").distinct()
     d = d.groupBy("path", "line", "name").agg(F.count("*").alias("times")).join(own.withColumn("__own", F.lit(1)), ["path", "line", "name"], "left")
     d = d.withColumn("times", F.col("times") - F.coalesce("__own", F.lit(0))).where("times > 0")
+    d = save(d.drop("__own"))
     scopes = symbols.where(F.col("kind").isin("function", "constructor", *CONTAINERS)).select("path", F.struct("at", "name").alias("span"), F.col("at").alias("start"), "end", F.col("name").alias("label"))
     point = F.struct("line", "name").alias("point")
     inner = innermost(scopes, d.select("path", point, "line", F.lit(None).cast("string").alias("label")), "path", latest=True)

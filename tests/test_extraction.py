@@ -243,3 +243,11 @@ def test_calls_with_their_scope(files, symbols):
     }
     assert {k: got.get(k) for k in want} == want
     assert ("a.ts", 34, "name") not in got and ("a.ts", 12, "load") not in got
+
+
+def test_lines_are_found_once(spark):
+    """What is read several times is held: the result's plans have only the last sweep."""
+    files = spark.createDataFrame([("a", "c", "go() {\n  run(1);\n}")], SCHEMA)
+    symbols = extraction.extract(files)
+    for d in (symbols, extraction.calls(files, symbols)):
+        assert d._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
