@@ -30,7 +30,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stems import add_stem, spaced, stem_of, words
+from ..functions.stems import spaced, stem_of, words
 from .graph import folder
 from .ranking import B, K1
 
@@ -93,9 +93,13 @@ def _block(t: pa.Table, fields: list[str], block: int) -> Iterator[pa.RecordBatc
     term, post = _lists(found // n, _struct(posts))
 
     named: dict[str, int] = {}  # of the trigrams
-    seen = [(named.setdefault(g, len(named)), i) for i, x in enumerate(column("gram_text").to_pylist()) for g in {x[j : j + 3] for j in range(len(x) - 2)}]
-    seen = np.array(sorted(seen), np.int64).reshape(-1, 2)
-    gram, docs = _lists(seen[:, 0], doc.take(pa.array(seen[:, 1])))
+    text = column("gram_text").dictionary_encode()  # many documents may share a text: it is cut once
+    cut = [[named.setdefault(g, len(named)) for g in {x[j : j + 3] for j in range(len(x) - 2)}] for x in text.dictionary.to_pylist()]
+    ends = pa.array(np.cumsum([0, *map(len, cut)]), pa.int32())
+    seen = pa.ListArray.from_arrays(ends, pa.array([g for x in cut for g in x], pa.int64())).take(text.indices)
+    key = seen.flatten().to_numpy()
+    order = np.argsort(key, kind="stable")
+    gram, docs = _lists(key[order], doc.take(pc.list_parent_indices(seen).take(pa.array(order))))
     whole = _struct({"doc": doc, **{f"len_{f}": pa.array(length[f]) for f in fields}, "gram_text": column("gram_text")})
 
     here = {
@@ -188,7 +192,9 @@ class TextIndex:
         return F.pmod(F.xxhash64(c), F.lit(PARTS)).cast("int").alias("part")
 
     def apply(self, doc: str, rows: DataFrame | None = None, deletes: DataFrame | None = None) -> TextIndex:
-        """Adds or replaces ``rows`` and deletes the documents ``deletes`` (columns ``doc``); of a document in both, the row stays."""
+        """Adds or replaces ``rows`` and deletes the documents ``deletes`` (columns ``doc``); of a document in both, the row stays.
+
+        Rows are counted in the partitions that they come in: many short ones in few files should be dealt out before."""
         done = self.segments()
         seg = done[-1] + 1 if done else 0
         given = deletes.select(F.col(doc).cast("long").alias("doc")) if deletes is not None else None
@@ -239,8 +245,15 @@ class TextIndex:
 
     def terms(self, text: str) -> list[tuple[str, int]]:
         """The distinct stems of a query, each with the part its postings lie in."""
-        one = self.spark.range(1).select(F.explode(words(F.lit(text))).alias("word"))
-        return sorted((r.term, r.part) for r in add_stem(one, "word", "term").select("term", self._part("term")).distinct().collect())
+        said = self.spark.range(0, 1, 1, 1).select(words(F.lit(text)).alias("words")).first().words
+        return self._placed(sorted({stem_of(w) for w in said}))
+
+    def _placed(self, keys: list[str]) -> list[tuple[str, int]]:
+        """Terms or trigrams of a query, each with the part that its lists lie in."""
+        if not keys:
+            return []
+        one = self.spark.range(0, 1, 1, 1).select(F.explode(F.array(*map(F.lit, keys))).alias("key"))
+        return [(r.key, r.part) for r in one.select("key", self._part("key")).collect()]
 
     def _of(self, table: str, key: str, found: list[tuple[str, int]]) -> DataFrame:
         return self._read(table).where(F.col("part").isin(sorted({p for _, p in found})) & F.col(key).isin([t for t, _ in found]))
@@ -295,8 +308,7 @@ class TextIndex:
         if len(low) < 3:
             return held
         grams = sorted({low[i : i + 3] for i in range(len(low) - 2)})
-        parts = self.spark.range(1).select(F.explode(F.array(*map(F.lit, grams))).alias("gram")).select("gram", self._part("gram")).collect()
-        some = self._live(self._of("grams", "gram", [(r.gram, r.part) for r in parts]).select("gram", "seg", F.explode("docs").alias("doc"))).groupBy("doc").agg(F.count("*").alias("n")).where(F.col("n") == len(grams))
+        some = self._live(self._of("grams", "gram", self._placed(grams)).select("gram", "seg", F.explode("docs").alias("doc"))).groupBy("doc").agg(F.count("*").alias("n")).where(F.col("n") == len(grams))
         return held.join(some.select("doc"), "doc", "left_semi")
 
 

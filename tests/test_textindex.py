@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tessella.functions.stems import ACCENTED, FOLDED, add_stem, spaced, stem_of, stem_sql, words
 from tessella.operators import textindex
 from tessella.operators.textindex import TextIndex
+from tessella.plans.queries_textindex import _symbols
+from tessella.plans.relations import Relations
 
 # pairs that the published description of the algorithm gives
 KNOWN = """caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat
@@ -56,6 +58,26 @@ def test_postings_are_lists_of_blocks(spark):
     assert {(r.tf_name, r.tf_body, r.len_name, r.len_body) for r in index.postings().where("term = 'search'").collect()} == {(0, 2, 1, 3)}
 
 
+def test_trigrams_of_texts_that_documents_share(spark):
+    rows = [(i, ["rows", "row", "ab", None, "", "arrows"][i % 6], "x") for i in range(60)]
+    index = TextIndex(spark, FIELDS, "name").apply("id", spark.createDataFrame(rows, "id long, name string, body string").coalesce(1))
+    assert {r.gram: r.docs for r in index._read("grams").collect()} == {g: [i for i, name, _ in rows if g in (name or "")] for g in ("row", "ows", "arr", "rro")}
+
+
+def test_symbols_of_one_file_are_counted_by_many_tasks(spark):
+    """A block bears the number of the task that counted it."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    kept = spark.conf.get(key)
+    spark.conf.set(key, "false")  # the table is small
+    try:
+        one = Relations(spark, "/root/testdata/sf0.001")
+        assert one.part.select(F.spark_partition_id()).distinct().count() == 1
+        blocks = _symbols(one)._read("postings").groupBy("seg").agg(F.countDistinct(F.shiftright("block", 32)).alias("tasks"))
+        assert {r.seg: r.tasks for r in blocks.collect()} == {0: 4, 1: 4}
+    finally:
+        spark.conf.set(key, kept)
+
+
 def test_document_given_twice_has_one_posting(spark):
     rows = [(1, "rows", "plates"), (1, "rows", "plated plates"), (2, "rows", "index")]
     index = TextIndex(spark, FIELDS, "name", block=1).apply("id", spark.createDataFrame(rows, "id long, name string, body string"))
