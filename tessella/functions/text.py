@@ -151,17 +151,32 @@ def content_hash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(out).where(batch.notna().to_numpy(), None)
 
 
-def estimate_tokens(text: Column) -> Column:
-    """Characters over 2.5 to 5, by code density and white space; CJK 1.5 each; 1 at least, 0 for none."""
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern))
+
+
+def characters_a_token(text: Column) -> Column:
+    """2.5 to 5, by code density and white space; null for none."""
     n = F.length(text).cast("double")
-    code, space, lines = count(r"[{}\[\]();]"), count(r"[ \t\r\n]"), count(r"\n") + 1
-    cjk = count(r"[\u3000-\u303f\u3400-\u4dbf\u4e00-\u9fff]")
+    n = F.when(n > 0, n)
+    code, space, lines = _count(text, r"[{}\[\]();]"), _count(text, r"[ \t\r\n]"), _count(text, r"\n") + 1
     density = code / n
     is_code = ((code >= 3) & (density >= 0.006)) | (density >= 0.015)
     share = space / n
     per = F.when(is_code & (n / lines > 200), 2.5).when(is_code & (share < 0.15), 3.0).when(is_code, 3.5).when(share > 0.45, 5.0).when(share > 0.30, 4.5).otherwise(3.8)
-    return F.when(F.coalesce(n, F.lit(0.0)) == 0, 0).otherwise(F.greatest(F.lit(1), F.ceil((n - cjk) / per) + F.ceil(cjk * 1.5))).cast("long")
+    return F.when(n > 0, per)
+
+
+def estimate_tokens(text: Column) -> Column:
+    """Characters over ``characters_a_token``; CJK 1.5 each; 1 at least, 0 for none."""
+    cjk = _count(text, r"[\u3000-\u303f\u3400-\u4dbf\u4e00-\u9fff]")
+    n = F.length(text).cast("double")
+    return F.when(F.coalesce(n, F.lit(0.0)) == 0, 0).otherwise(F.greatest(F.lit(1), F.ceil((n - cjk) / characters_a_token(text)) + F.ceil(cjk * 1.5))).cast("long")
+
+
+def character_tokens(text: Column) -> Column:
+    """Characters over ``characters_a_token``, of any script alike; 1 at least, for none too."""
+    return F.greatest(F.lit(1), F.ceil(F.length(text) / characters_a_token(text))).cast("long")
 
 
 def parse_ranges(text: str) -> list[tuple[int, int | None]]:

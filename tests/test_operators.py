@@ -33,6 +33,22 @@ def test_edit_hint(spark):
     assert [r[0] for r in d.select(X.edit_hint(F.col("w"), ["batch_query", "export"])).collect()] == ["batch_query", None]
 
 
+def test_token_estimates_are_those_of_the_sql(spark, tmp_path):
+    """Characters of Chinese and Japanese counted 1.5 tokens each, empty and null texts 0."""
+    import duckdb
+
+    from tessella import registry
+
+    texts = [None, "", " ", "a", "漢字" * 40, "かな、漢字。" * 30 + "f(x);", "\U0001f600é" * 9, "a\0b", "((((", "x" * 497 + "{};", "x" * 498 + "{};", "f(x); " * 60, "f(x);\n" * 60, "a b " * 30, "a  " * 30, "ab " * 3, " \t\r\n" * 9, "x" * 19, "x" * 38]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, registry.queries()["x9_token_estimate"](spark, str(tmp_path)).collect()))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(c.sql(registry.oracle_sql()["x9_token_estimate"]).fetchall()) and len(got) == len(texts)
+    # elsewhere these count as before
+    assert [r[0] for r in spark.createDataFrame([(None,), ("",), ("漢字",), ("x" * 38,)], "t string").select(X.estimate_tokens(F.col("t"))).collect()] == [0, 0, 3, 10]
+
+
 def test_line_ranges():
     assert X.parse_ranges("15-22,40-55") == [(15, 22), (40, 55)]
     assert X.parse_ranges("45-") == [(45, None)] and X.parse_ranges("45") == [(45, 45)]
