@@ -39,12 +39,8 @@ def _(r):
 
 
 @query("x26_remapped_edits", """WITH l AS (SELECT doc_id, n, n % 11 = 5 AS gone, n % 7 = 3 AS changed, n % 13 = 6 AS more FROM lines),
-placed_ AS (SELECT doc_id, n, gone OR changed AS lost, sum(CASE WHEN gone THEN 0 ELSE 1 END + CASE WHEN more THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) - CASE WHEN more THEN 1 ELSE 0 END AS j FROM l),
-ends AS (SELECT doc_id, min(n) FILTER (gone OR changed OR more) AS a, max(n) FILTER (gone OR changed OR more) AS b FROM l GROUP BY doc_id),
-size AS (SELECT e.doc_id, count(*) FILTER (l.n BETWEEN a + CASE WHEN f.more AND NOT f.gone AND NOT f.changed THEN 1 ELSE 0 END AND b) AS olds,
-  sum(CASE WHEN l.n BETWEEN a AND b THEN CASE WHEN l.gone THEN 0 ELSE 1 END + CASE WHEN l.more THEN 1 ELSE 0 END ELSE 0 END) - max(CASE WHEN f.more AND NOT f.gone AND NOT f.changed THEN 1 ELSE 0 END) AS news
-  FROM ends e JOIN l ON l.doc_id = e.doc_id LEFT JOIN l f ON f.doc_id = e.doc_id AND f.n = e.a GROUP BY e.doc_id)
-SELECT doc_id, n AS k, CASE WHEN lost OR greatest(olds, news) > 150 THEN n ELSE j END::INT AS line FROM placed_ JOIN size USING (doc_id)""")
+placed_ AS (SELECT doc_id, n, gone OR changed AS lost, sum(CASE WHEN gone THEN 0 ELSE 1 END + CASE WHEN more THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) - CASE WHEN more THEN 1 ELSE 0 END AS j FROM l)
+SELECT doc_id, n AS k, CASE WHEN lost THEN n ELSE j END::INT AS line FROM placed_""")
 def _(r):
     edits = r.lines.select("doc_id", F.col("n").alias("k"), F.col("n").alias("line"))
     return D.remap_edits(edits, _numbered(r), "doc_id").select("doc_id", "k", "line")

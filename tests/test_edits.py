@@ -92,6 +92,39 @@ def test_edits_follow_their_lines(spark):
     assert {r.k: (r.line, r.moved) for r in diffs.remap_edits(e, v).collect()} == {1: (2, 1), 2: (2, 0), 3: (3, 0), 4: (-1, 0), 5: (99, 0), 6: (1, 0), 7: (4, 0)}
 
 
+def test_edits_follow_their_lines_past_any_number_of_changes(spark, tmp_path):
+    """Beyond 150 changed lines every edit of the file stayed where it was."""
+    import duckdb
+
+    from tessella import registry
+
+    old = [f"line {i}" for i in range(500)]
+    new = ["top", *(f"changed {i}" if i % 2 else f"line {i}" for i in range(500))]
+    v = spark.createDataFrame([("p", "\n".join(old), "\n".join(new))], "path string, old string, new string")
+    e = spark.createDataFrame([("p", i + 1) for i in range(500)], "path string, line int")
+    got = {r.line - r.moved: r.moved for r in diffs.remap_edits(e, v).collect()}
+    assert got == {i + 1: 1 - i % 2 for i in range(500)}
+
+    texts = [None, "", "a\n", "a\r\nb\n\n", "\n".join("abc"[i % 3] for i in range(1000)), "\n" * 400, *("\n".join(["x"] * n) for n in range(100, 220))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    rows = registry.queries()["x26_remapped_edits"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, rows)) == sorted(c.sql(registry.oracle_sql()["x26_remapped_edits"]).fetchall())
+    # a line that is neither gone nor changed stands behind those that are, whatever its number
+    at = lambda n: sum((i % 11 != 5) + (i % 13 == 6) for i in range(1, n)) + 1
+    assert {r.k: r.line for r in rows if r.doc_id == 4} == {n: n if n % 11 == 5 or n % 7 == 3 else at(n) for n in range(1, 1001)}
+
+
+@pytest.mark.parametrize("kinds", [1, 2, 9, 60, 10_000])
+def test_script_of_repeated_lines(kinds):
+    """Lines with few places, and with more than the root of all."""
+    rng = random.Random(kinds)
+    for n, m in ((90, 130), (130, 64), (1, 65), (200, 200)):
+        old, new = ([str(int(kinds * rng.random() ** 3)) for _ in range(k)] for k in (n, m))
+        assert diffs.script(old, new) == table_script(old, new)
+
+
 # ----------------------------------------------------------------- scripts
 
 
